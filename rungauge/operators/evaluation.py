@@ -66,30 +66,31 @@ def paired(a: DataFrame, b: DataFrame, key: str = "id", columns: Sequence[str] =
 def run_pairs(results: DataFrame, run: str = "run", key: str = "id", resolved: str = "resolved") -> DataFrame:
     """Outcome counts of every pair of runs over their common ids.
 
-    Runs are few and named; each id is shuffled once and the pairs of its runs
-    are counted in place, so the self-join meets only runs of one id.
+    Ids are first counted by their pattern (which runs hold the id, with what
+    outcome).  Runs are few, so patterns are few, and only patterns are expanded
+    into pairs of runs; no id is.
     """
-    per_id = results.groupBy(key).agg(
-        F.map_from_entries(
-            F.array_distinct(F.collect_set(F.struct(F.col(run), F.col(resolved).cast("int"))))
-        ).alias("_r")
+    outcome = F.struct(F.col(run).alias("run"), F.col(resolved).alias("ok"))
+    patterns = (
+        results.groupBy(key)
+        .agg(F.array_sort(F.collect_set(outcome)).alias("_p"))
+        .groupBy("_p")
+        .agg(F.count("*").alias("_n"))
     )
-    names = F.array_sort(F.map_keys("_r"))
-    pairs = F.flatten(
-        F.transform(
-            names,
-            lambda x: F.transform(
-                F.filter(names, lambda y: y > x), lambda y: F.struct(x.alias("run_a"), y.alias("run_b"))
-            ),
-        )
-    )
-    rows = per_id.select("_r", F.explode(pairs).alias("p")).select(
-        "p.run_a",
-        "p.run_b",
-        (F.col("_r")[F.col("p.run_a")] == 1).alias("a_resolved"),
-        (F.col("_r")[F.col("p.run_b")] == 1).alias("b_resolved"),
-    )
-    return pair_counts(rows, ["run_a", "run_b"])
+    first = patterns.select("_p", "_n", F.explode("_p").alias("_a"))
+    pairs = first.select("_n", "_a", F.explode("_p").alias("_b")).where(F.col("_a.run") < F.col("_b.run"))
+    a, b = F.col("_a.ok"), F.col("_b.ok")
+
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("_n")).otherwise(0)).cast("long")
+
+    return pairs.groupBy(F.col("_a.run").alias("run_a"), F.col("_b.run").alias("run_b")).agg(
+        F.sum("_n").cast("long").alias("n_common"),
+        total(a & b).alias("n_both"),
+        total(a & ~b).alias("only_a"),
+        total(~a & b).alias("only_b"),
+        total(~a & ~b).alias("n_neither"),
+    ).withColumn("n_discordant", F.col("only_a") + F.col("only_b"))
 
 
 def pair_counts(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
