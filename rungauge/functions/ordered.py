@@ -19,6 +19,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rungauge.shared import cut_lineage
+
 # Rows one task should order at most; a larger group is cut.
 TARGET_ROWS = 2_000_000
 # Hot groups broadcast at most.  A group outside the largest MAX_HOT holds
@@ -35,8 +37,8 @@ KINDS = ("sum", "max", "min", "last", "prev", "next", "first")
 def scan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the plan, or None where it is not available."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # a session without a local JVM gives no estimate
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except (AttributeError, TypeError):  # a session without a local JVM gives no estimate
         return None
 
 
@@ -160,89 +162,115 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)["v"]
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, tuple[str, Column]],
-    along: Column | None = None,
-    target_rows: int | None = None,
-    small_bytes: int | None = None,
-) -> DataFrame:
-    """Adds one column per entry of ``values``: name -> (kind, expression).
+class Scan:
+    """A table with running values added step by step along one order.
 
-    Kinds: ``sum``/``max``/``min`` up to and with the row, ``last``/``first``
-    non-null value up to and with the row, ``prev``/``next`` neighbour's value.
     ``order`` is a total ascending order inside the group; ``along`` is a number
-    that rises with it (default: the first order column).
+    that rises with it (default: the first order column).  The size check decides
+    once, for all steps.  A small input gets plain windows that share one sort.
+    A large one is cut once; before every further step the rows so far are
+    written to the checkpoint folder, so steps never recompute each other.
+
+    ``at_most`` names a table with at least as many rows as this one, for inputs
+    whose size estimate a join has inflated.
     """
-    keys = list(keys)
-    anonymous = not keys
-    if anonymous:
-        df = df.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    value_columns = {name: f"_v_{name}" for name in values}
-    for name, (_, expression) in values.items():
-        df = df.withColumn(value_columns[name], expression)
-
-    if target_rows is None and is_small(df, small_bytes):
-        whole = Window.partitionBy(*keys).orderBy(*order)
+
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        along: Column | None = None,
+        target_rows: int | None = None,
+        at_most: DataFrame | None = None,
+    ) -> None:
+        self.order = list(order)
+        self.keys = list(keys)
+        self.helpers: list[str] = []
+        if not self.keys:
+            df = df.withColumn("_all", F.lit(0))
+            self.keys, self.helpers = ["_all"], ["_all"]
+        self.plain = target_rows is None and is_small(df if at_most is None else at_most)
+        self.steps = 0
+        if self.plain:
+            self.partition = self.keys
+        else:
+            along = F.col(self.order[0]) if along is None else along
+            df = cut_hot_groups(df, self.keys, along, target_rows or TARGET_ROWS)
+            self.partition = [*self.keys, "_slice"]
+            self.helpers += ["_slice", "_hot"]
+        self.df = df
+
+    def column(self, name: str, value: Column) -> "Scan":
+        """A column computed from the row alone."""
+        self.df = self.df.withColumn(name, value)
+        return self
+
+    def add(self, **values: tuple[str, Column]) -> "Scan":
+        """Columns name = (kind, expression).
+
+        Kinds: ``sum``/``max``/``min`` up to and with the row, ``last``/``first``
+        non-null value up to and with the row, ``prev``/``next`` neighbour's value.
+        """
+        if self.steps and not self.plain:
+            self.df = cut_lineage(self.df)
+        self.steps += 1
+        whole = Window.partitionBy(*self.partition).orderBy(*self.order)
         upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for name, (kind, _) in values.items():
-            local = _local(kind, F.col(value_columns[name]), upto, whole)
-            df = df.withColumn(name, local["v"] if kind in ("prev", "next") else local)
-        return df.drop(*value_columns.values(), *(["_all"] if anonymous else []))
-
-    along = F.col(order[0]) if along is None else along
-    cut = cut_hot_groups(df, keys, along, target_rows or TARGET_ROWS)
-    whole = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = cut
-    for name, (kind, _) in values.items():
-        rows = rows.withColumn(f"_l_{name}", _local(kind, F.col(value_columns[name]), upto, whole))
-
-    position = F.struct(*order)
-    per_slice = (
-        cut.where("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(*[
-            _summary(kind, F.col(value_columns[name]), position).alias(f"_t_{name}")
+        rows = self.df
+        inputs = {name: f"_v_{name}" for name in values}
+        rows = rows.withColumns({inputs[name]: value for name, (_, value) in values.items()})
+        if self.plain:
+            local = {name: _local(kind, F.col(inputs[name]), upto, whole) for name, (kind, _) in values.items()}
+            out = rows.withColumns(
+                {n: c["v"] if values[n][0] in ("prev", "next") else c for n, c in local.items()}
+            )
+            self.df = out.drop(*inputs.values())
+            return self
+        per_slice = rows.where("_hot").groupBy(*self.partition).agg(*[
+            _summary(kind, F.col(inputs[name]), F.struct(*self.order)).alias(f"_t_{name}")
             for name, (kind, _) in values.items()
         ])
-    )
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(
-        *[F.col(k).alias(f"_carry_key_{i}") for i, k in enumerate(keys)],
-        F.col("_slice").alias("_carry_slice"),
-        *[
-            _carry(kind, f"_t_{name}", before, across).alias(f"_p_{name}")
-            for name, (kind, _) in values.items()
-        ],
-    )
-    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_carry_key_{i}")) for i, k in enumerate(keys)])
-    out = rows.join(carried, on & (F.col("_slice") == F.col("_carry_slice")), "left")
-    for name, (kind, _) in values.items():
-        out = out.withColumn(name, _combine(kind, F.col(f"_l_{name}"), F.col(f"_p_{name}")))
-    helpers = ["_hot", "_slice", "_carry_slice", *value_columns.values()]
-    helpers += [f"_carry_key_{i}" for i in range(len(keys))]
-    helpers += [f"_l_{name}" for name in values] + [f"_p_{name}" for name in values]
-    return out.drop(*helpers, *(["_all"] if anonymous else []))
+        across = Window.partitionBy(*self.keys).orderBy("_slice")
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        carried = per_slice.select(
+            *[F.col(k).alias(f"_carry_key_{i}") for i, k in enumerate(self.partition)],
+            *[
+                _carry(kind, f"_t_{name}", before, across).alias(f"_p_{name}")
+                for name, (kind, _) in values.items()
+            ],
+        )
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_carry_key_{i}")) for i, k in enumerate(self.partition)])
+        local = rows.withColumns(
+            {f"_l_{name}": _local(kind, F.col(inputs[name]), upto, whole) for name, (kind, _) in values.items()}
+        )
+        out = local.join(carried, on, "left").withColumns(
+            {name: _combine(kind, F.col(f"_l_{name}"), F.col(f"_p_{name}")) for name, (kind, _) in values.items()}
+        )
+        drop = [*inputs.values(), *[f"_carry_key_{i}" for i in range(len(self.partition))]]
+        self.df = out.drop(*drop, *[f"_l_{name}" for name in values], *[f"_p_{name}" for name in values])
+        return self
+
+    def add_run(self, name: str, same: Column) -> "Scan":
+        """``name``: rows since ``same`` was last false, this row included (0 when false)."""
+        self.column("_same", same).add(_rn=("sum", F.lit(1)))
+        self.add(_stop=("max", F.when(~F.col("_same"), F.col("_rn"))))
+        length = F.col("_rn") - F.coalesce("_stop", F.lit(0))
+        self.df = self.df.withColumn(name, length.cast("long")).drop("_same", "_rn", "_stop")
+        return self
+
+    def rows(self, *drop: str) -> DataFrame:
+        """The table without helper columns."""
+        return self.df.drop(*self.helpers, *drop)
 
 
-def runs_of(
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    same: Column,
-    name: str,
+    values: dict[str, tuple[str, Column]],
     along: Column | None = None,
     **options,
 ) -> DataFrame:
-    """Adds ``name``: rows since ``same`` was last false, this row included (0 when false)."""
-    out = running(df.withColumn("_same", same), keys, order, {"_rn": ("sum", F.lit(1))}, along, **options)
-    out = running(
-        out, keys, order, {"_stop": ("max", F.when(~F.col("_same"), F.col("_rn")))}, along, **options
-    )
-    length = F.col("_rn") - F.coalesce("_stop", F.lit(0))
-    return out.withColumn(name, length.cast("long")).drop("_same", "_rn", "_stop")
+    """One step of a ``Scan``: adds one column per entry of ``values``."""
+    return Scan(df, keys, order, along, **options).add(**values).rows()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ DSML_COMMAND = r'(?s)<｜｜DSML｜｜ parameter name="command"[^>]*>(.*?)</｜
 # --- end of fixed values --------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound to a variable: the value is computed once per row.
+
+    Used as a plain expression, a value that appears n times is evaluated n times,
+    because regular expressions and array functions share no results.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Both ends freed of blanks."""
     return F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
@@ -98,21 +109,37 @@ def parse_action(text: Column) -> Column:
     kind is ``ok``, ``none``, ``many`` or ``unavailable`` (only calls of tools
     that do not exist); action is null unless ok.
     """
-    fences = all_matches(text, FENCE, 1)
-    calls = F.when(F.instr(text, "<function") > 0, native_calls(text)).otherwise(
-        F.array().cast("array<struct<name:string,command:string>>")
-    )
-    commands = F.transform(F.filter(calls, lambda c: c["command"].isNotNull()), lambda c: c["command"])
-    actions = F.concat(fences, commands)
-    others = F.size(F.filter(calls, lambda c: c["command"].isNull()))
-    kind = (
-        F.when((F.size(actions) == 1) & (others == 0), F.lit("ok"))
-        .when((F.size(actions) == 0) & (others > 0), F.lit("unavailable"))
-        .when((F.size(actions) + others) == 0, F.lit("none"))
-        .otherwise(F.lit("many"))
-    )
-    action = F.when(kind == "ok", strip(F.try_element_at(actions, F.lit(1))))
-    return F.struct(action.alias("action"), kind.alias("kind"))
+
+    def found(t: Column) -> Column:
+        # The plain searches keep the regular expressions off texts without markup.
+        fences = F.when(F.contains(t, F.lit("```")), all_matches(t, FENCE, 1)).otherwise(
+            F.array().cast("array<string>")
+        )
+        calls = F.when(F.contains(t, F.lit("<function")), native_calls(t)).otherwise(
+            F.array().cast("array<struct<name:string,command:string>>")
+        )
+        return F.struct(fences.alias("fences"), calls.alias("calls"))
+
+    def counted(v: Column) -> Column:
+        shell = F.filter(v["calls"], lambda c: c["command"].isNotNull())
+        return F.struct(
+            F.concat(v["fences"], F.transform(shell, lambda c: c["command"])).alias("actions"),
+            F.size(F.filter(v["calls"], lambda c: c["command"].isNull())).alias("others"),
+        )
+
+    def judged(v: Column) -> Column:
+        n = F.size(v["actions"])
+        ok = (n == 1) & (v["others"] == 0)
+        kind = (
+            F.when(ok, F.lit("ok"))
+            .when((n == 0) & (v["others"] > 0), F.lit("unavailable"))
+            .when((n + v["others"]) == 0, F.lit("none"))
+            .otherwise(F.lit("many"))
+        )
+        action = F.when(ok, strip(F.try_element_at(v["actions"], F.lit(1))))
+        return F.struct(action.alias("action"), kind.alias("kind"))
+
+    return let(let(let(text, found), counted), judged)
 
 
 def is_submission(text: Column) -> Column:

@@ -57,24 +57,48 @@ def hygiene(content: Column) -> Column:
     line ends become two.  When that would change the parsed action, or the
     number of fences is not one, the stripped text comes back untouched.
     """
-    c = tx.strip(content)
-    fence = F.regexp_extract(c, tx.FENCE, 0)
-    at = F.instr(c, fence)
-    before = F.regexp_replace(F.substring(c, F.lit(1), at - 1), tx.THOUGHT_TAG, "")
-    parts = F.split(before, "\n", -1)
-    kept = F.filter(parts, lambda line: ~line.rlike(tx.TAG_LINE))
-    pre = tx.strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
-    out = F.concat(F.when(F.length(pre) > 0, F.concat(pre, F.lit("\n\n"))).otherwise(F.lit("")), fence)
-    tail = tx.strip(F.substring(c, at + F.length(fence), F.length(c)))
-    same = tx.parse_action(out)["action"].eqNullSafe(tx.parse_action(c)["action"])
-    one = F.size(tx.all_matches(c, tx.FENCE, 0)) == 1
     zero = F.lit(0)
-    return F.when(
-        one & same,
-        F.struct(
-            out.alias("content"), F.length(tail).alias("trimmed"), (F.size(parts) - F.size(kept)).alias("tag_lines")
+
+    def around(v: Column) -> Column:
+        c, fence = v["c"], F.try_element_at(v["fences"], F.lit(1))
+        at = F.instr(c, fence)
+        before = F.regexp_replace(F.substring(c, F.lit(1), at - 1), tx.THOUGHT_TAG, "")
+        return F.struct(
+            c.alias("c"),
+            fence.alias("fence"),
+            F.split(before, "\n", -1).alias("lines"),
+            tx.strip(F.substring(c, at + F.length(fence), F.length(c))).alias("tail"),
+        )
+
+    def rebuilt(v: Column) -> Column:
+        kept = F.filter(v["lines"], lambda line: ~line.rlike(tx.TAG_LINE))
+        pre = tx.strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+        lead = tx.let(pre, lambda p: F.when(F.length(p) > 0, F.concat(p, F.lit("\n\n"))).otherwise(F.lit("")))
+        return F.struct(
+            v["c"].alias("c"),
+            F.concat(lead, v["fence"]).alias("out"),
+            F.length(v["tail"]).alias("trimmed"),
+            (F.size(v["lines"]) - F.size(kept)).alias("tag_lines"),
+        )
+
+    def checked(v: Column) -> Column:
+        same = tx.parse_action(v["out"])["action"].eqNullSafe(tx.parse_action(v["c"])["action"])
+        return F.when(
+            same, F.struct(v["out"].alias("content"), v["trimmed"].alias("trimmed"), v["tag_lines"].alias("tag_lines"))
+        ).otherwise(untouched(v["c"]))
+
+    def untouched(c: Column) -> Column:
+        return F.struct(c.alias("content"), zero.alias("trimmed"), zero.alias("tag_lines"))
+
+    def fenced(c: Column) -> Column:
+        return F.struct(c.alias("c"), tx.all_matches(c, tx.FENCE, 0).alias("fences"))
+
+    return tx.let(
+        tx.let(tx.strip(content), fenced),
+        lambda v: F.when(F.size(v["fences"]) == 1, tx.let(tx.let(tx.let(v, around), rebuilt), checked)).otherwise(
+            untouched(v["c"])
         ),
-    ).otherwise(F.struct(c.alias("content"), zero.alias("trimmed"), zero.alias("tag_lines")))
+    )
 
 
 def clean_messages(messages: DataFrame, content: str = "content", role: str = "role") -> DataFrame:
@@ -104,31 +128,52 @@ def repair_reply(content: Column, reasoning: Column) -> Column:
     A reply whose text is empty takes its reasoning when that holds one fence;
     one native call becomes a fence; text after a single fence is cut.
     """
-    c0 = F.coalesce(content, F.lit(""))
-    promote = (
-        (F.length(tx.strip(c0)) == 0) & reasoning.isNotNull() & (F.size(tx.all_matches(reasoning, tx.FENCE, 0)) == 1)
-    )
-    c1 = F.when(truthy(promote), reasoning).otherwise(c0)
-    found = F.filter(F.transform(tx.all_matches(c1, tx.DSML_COMMAND, 1), tx.strip), lambda x: F.length(x) > 0)
-    native = (F.instr(c1, "```") == 0) & (F.instr(c1, tx.DSML_START) > 0) & (F.size(found) == 1)
-    pre = tx.strip(F.substring(c1, F.lit(1), F.instr(c1, tx.DSML_START) - 1))
-    lead = F.when(F.length(pre) > 0, F.concat(pre, F.lit("\n\n"))).otherwise(F.lit(""))
-    fenced = F.concat(lead, F.lit("```bash\n"), F.try_element_at(found, F.lit(1)), F.lit("\n```"))
-    c2 = F.when(native, fenced).otherwise(c1)
-    fence = F.regexp_extract(c2, tx.FENCE, 0)
-    end = F.instr(c2, fence) + F.length(fence) - 1
-    trim = (F.size(tx.all_matches(c2, tx.FENCE, 0)) == 1) & (
-        F.length(tx.strip(F.substring(c2, end + 1, F.length(c2)))) > 0
-    )
-    c3 = F.when(trim, F.substring(c2, F.lit(1), end)).otherwise(c2)
-    fixes = F.array_compact(
-        F.array(
-            F.when(truthy(promote), F.lit("promoted_reasoning")),
-            F.when(native, F.lit("dsml_to_fence")),
-            F.when(trim, F.lit("trimmed_tail")),
+
+    def state(text: Column, fixes: Column) -> Column:
+        return F.struct(text.alias("t"), fixes.alias("fixes"))
+
+    def one_fence(text: Column) -> Column:
+        return F.contains(text, F.lit("```")) & (F.size(tx.all_matches(text, tx.FENCE, 0)) == 1)
+
+    def promote(text: Column) -> Column:
+        use = truthy((F.length(tx.strip(text)) == 0) & reasoning.isNotNull() & one_fence(reasoning))
+        return F.when(use, state(reasoning, F.array(F.lit("promoted_reasoning")))).otherwise(
+            state(text, F.array().cast("array<string>"))
         )
-    )
-    return F.struct(F.when(content.isNull() & (F.size(fixes) == 0), content).otherwise(c3).alias("content"), fixes.alias("fixes"))
+
+    def native(v: Column) -> Column:
+        t = v["t"]
+        at = F.instr(t, tx.DSML_START)
+        commands = F.filter(F.transform(tx.all_matches(t, tx.DSML_COMMAND, 1), tx.strip), lambda x: F.length(x) > 0)
+        pre = tx.strip(F.substring(t, F.lit(1), at - 1))
+        lead = tx.let(pre, lambda p: F.when(F.length(p) > 0, F.concat(p, F.lit("\n\n"))).otherwise(F.lit("")))
+
+        def fence(found: Column) -> Column:
+            block = F.concat(lead, F.lit("```bash\n"), F.try_element_at(found, F.lit(1)), F.lit("\n```"))
+            fixed = state(block, F.array_append(v["fixes"], F.lit("dsml_to_fence")))
+            return F.when(F.size(found) == 1, fixed).otherwise(v)
+
+        return F.when(~F.contains(t, F.lit("```")) & (at > 0), tx.let(commands, fence)).otherwise(v)
+
+    def trim(v: Column) -> Column:
+        t = v["t"]
+
+        def cut(fences: Column) -> Column:
+            fence = F.try_element_at(fences, F.lit(1))
+            end = F.instr(t, fence) + F.length(fence) - 1
+            tail = tx.strip(F.substring(t, end + 1, F.length(t)))
+            fixed = state(F.substring(t, F.lit(1), end), F.array_append(v["fixes"], F.lit("trimmed_tail")))
+            return F.when((F.size(fences) == 1) & (F.length(tail) > 0), fixed).otherwise(v)
+
+        return F.when(F.contains(t, F.lit("```")), tx.let(tx.all_matches(t, tx.FENCE, 0), cut)).otherwise(v)
+
+    def result(v: Column) -> Column:
+        # A reply without text that nothing repaired keeps its missing text.
+        kept = F.when(content.isNull() & (F.size(v["fixes"]) == 0), content).otherwise(v["t"])
+        return F.struct(kept.alias("content"), v["fixes"].alias("fixes"))
+
+    start = F.coalesce(content, F.lit(""))
+    return tx.let(tx.let(tx.let(tx.let(start, promote), native), trim), result)
 
 
 # --- protocol rewriting ----------------------------------------------------------

@@ -15,7 +15,7 @@ from rungauge.functions.ordered import running
 COMMAND_START = r"(?:^|[\n;`(]|&&|\|\|?|\$\()\s*(?:\w+=\S+\s+)*"
 FORBIDDEN = [
     ("git_use", r"(?i)" + COMMAND_START + r"(?:[\w./-]*/)?git(?:-[a-z]+)?(?:\s|$|;|&|\|)"),
-    ("git_metadata", r"(?i)--git-dir|--work-tree|(?:^|[\s=:\"'/])\.git(?:/|\b)"),
+    ("git_metadata", r"(?i)--git-dir|--work-tree|(?:^|[\s=:\"'/])\.git(?:/|\b)|/opt/agl_tmp"),
     (
         "network",
         r"(?i)" + COMMAND_START + r"(?:[\w./-]*/)?"

@@ -440,21 +440,27 @@ def _(spark, root):
     return shorten(spark, root).select("trace", where.alias("route"))
 
 
-CLASSES = [
+COMMANDS = [
     "cd /testbed && git log", "cat src/.git/config", "curl http://x", "python -c 'import urllib.request'", "pip install x",
     "python3 -m pip install y", "echo a > tests/conftest.py", "cat x | tee -a setup.cfg", "grep digit f.py", "echo install git",
 ]
 
 
-@query("f12_forbidden_action", "select doc_id, case doc_id % 10 when 0 then 'git_use' when 1 then 'git_metadata' when 2 then 'network' "
-       "when 3 then 'network' when 4 then 'package_install' when 5 then 'package_install' when 6 then 'test_tampering' when 7 then 'test_tampering' end as reason from documents "
-       "where not regexp_matches(text, '(?i)(git|curl|pip|http|\\.cfg|>|`)')")
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+COMMAND_SQL = "text || chr(10) || [" + ", ".join(quoted(c) for c in COMMANDS) + "][doc_id % 10 + 1]"
+REASON_SQL = "case " + " ".join(
+    f"when regexp_matches(action, {quoted(pattern)}) then '{name}'" for name, pattern in tr.FORBIDDEN
+) + " end"
+
+
+@query("f12_forbidden_action", f"select doc_id, {REASON_SQL} as reason from (select doc_id, {COMMAND_SQL} as action from documents)")
 def _(spark, root):
-    command = F.get(F.array(*[F.lit(c) for c in CLASSES]), (F.col("doc_id") % 10).cast("int"))
-    # Whole texts are searched; texts that name a forbidden word themselves are left to the unit tests.
-    docs = table(spark, root, "documents").where(~F.col("text").rlike(r"(?i)(git|curl|pip|http|\.cfg|>|`)"))
+    command = F.get(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("doc_id") % 10).cast("int"))
     action = F.concat("text", F.lit("\n"), command)
-    return docs.select("doc_id", tr.forbidden_reason(action).alias("reason"))
+    return table(spark, root, "documents").select("doc_id", tr.forbidden_reason(action).alias("reason"))
 
 
 @query("f13_edit_action", f"""

@@ -62,5 +62,15 @@ def test_runs(spark):
     df = spark.createDataFrame([(1, i, b) for i, b in enumerate([True, True, False, True, True, True, False])],
                                "k int, i int, b boolean")
     for options in ({}, {"target_rows": 2}):
-        out = ordered.runs_of(df, ["k"], ["i"], F.col("b"), "r", **options).orderBy("i")
+        out = ordered.Scan(df, ["k"], ["i"], **options).add_run("r", F.col("b")).rows().orderBy("i")
         assert [r.r for r in out.collect()] == [1, 2, 0, 1, 2, 3, 0]
+
+
+def test_size_check_decides(spark, rows, tmp_path):
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert ordered.Scan(stored, ["k"], ["ts", "id"]).plain
+    unknown = rows.select("k", "ts", "id")  # no size estimate: not proven small
+    assert not ordered.Scan(unknown, ["k"], ["ts", "id"]).plain
+    assert ordered.Scan(unknown, ["k"], ["ts", "id"], at_most=stored).plain
