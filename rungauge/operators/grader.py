@@ -187,18 +187,24 @@ def eval_violations(ev: str = "eval") -> Column:
 
 def ascii_json(value: Column) -> Column:
     """A text as a JSON string with every non-ASCII character escaped."""
-    quoted = F.to_json(F.struct(value.alias("v")))
-    inner = F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+    unit = lambda u: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(u)), 4, "0"))
 
     def escape(ch: Column) -> Column:
-        code = F.ascii(ch)
-        unit = lambda u: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(u)), 4, "0"))
-        high = F.shiftright(code - 0x10000, 10) + 0xD800
-        low = (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
-        return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        return tx.let(
+            F.ascii(ch),
+            lambda code: F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(
+                F.concat(
+                    unit(F.shiftright(code - 0x10000, 10) + 0xD800), unit((code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+                )
+            ),
+        )
+
+    def text(quoted: Column) -> Column:
+        wide = F.array_join(F.transform(F.split(quoted, ""), escape), "")
+        return F.when(quoted.rlike(r"[^\x00-\x7f]"), wide).otherwise(quoted)
 
-    wide = F.array_join(F.transform(F.split(inner, ""), escape), "")
-    return F.when(inner.rlike(r"[^\x00-\x7f]"), wide).otherwise(inner)
+    whole = F.to_json(F.struct(value.alias("v")))
+    return tx.let(tx.let(whole, lambda j: F.substring(j, F.lit(6), F.length(j) - 6)), text)
 
 
 def event_line(event: Column) -> Column:
@@ -253,15 +259,24 @@ def evidence_violations(ev: str = "eval") -> Column:
     e = lambda f: F.col(f"{ev}.{f}")
     collection, tests = e("collection_events"), e("test_events")
     collections = F.filter(collection, lambda x: x["kind"] == "collection")
-    available = F.try_element_at(collections, F.lit(1))["nodes"]
-    c_finish = F.transform(F.filter(collection, lambda x: x["kind"] == "session_finish"), lambda x: x["exitstatus"])
-    t_finish = F.transform(F.filter(tests, lambda x: x["kind"] == "session_finish"), lambda x: x["exitstatus"])
-    reports = F.filter(tests, lambda x: x["kind"] == "test")
     f2p, p2p = e("f2p_statuses"), e("p2p_statuses")
-    requested = F.concat(F.map_keys(f2p), F.map_keys(p2p))
-    mapping = e("node_mapping")
-    used = F.map_values(mapping)
-    files = F.transform(F.map_keys(f2p), lambda n: F.substring_index(n, "::", 1))
+    # What several rules look at, computed once per row.
+    shared = F.struct(
+        F.size(collections).alias("n_collections"),
+        F.try_element_at(collections, F.lit(1))["nodes"].alias("available"),
+        F.transform(F.filter(collection, lambda x: x["kind"] == "session_finish"), lambda x: x["exitstatus"]).alias("c_finish"),
+        F.transform(F.filter(tests, lambda x: x["kind"] == "session_finish"), lambda x: x["exitstatus"]).alias("t_finish"),
+        F.filter(tests, lambda x: x["kind"] == "test").alias("reports"),
+        F.concat(F.map_keys(f2p), F.map_keys(p2p)).alias("requested"),
+        F.map_entries(e("node_mapping")).alias("mapping"),
+        F.map_values(e("node_mapping")).alias("used"),
+        F.transform(F.map_keys(f2p), lambda n: F.substring_index(n, "::", 1)).alias("files"),
+    )
+    return tx.let(shared, lambda v: _evidence_rules(e, v, f2p, p2p, collection, tests))
+
+
+def _evidence_rules(e, v: Column, f2p: Column, p2p: Column, collection: Column, tests: Column) -> Column:
+    available, reports, used, requested = v["available"], v["reports"], v["used"], v["requested"]
     first_word = lambda n: F.try_element_at(F.split(tx.strip(n), rf"[{tx.BLANK}]+"), F.lit(1))
 
     def exact(entry: Column) -> Column:
@@ -283,6 +298,7 @@ def evidence_violations(ev: str = "eval") -> Column:
         lambda r: F.array_contains(used, r["nodeid"]) & r["when"].isin(PHASES) & r["outcome"].isin(OUTCOMES) & r["wasxfail"].isNotNull(),
     )
     seen = F.array_distinct(F.transform(reports, lambda r: r["nodeid"]))
+    keys = F.transform(v["mapping"], lambda x: x["key"])
     return violations(
         [
             ("restore_rc", ~truthy(e("restore_rc") == 0)),
@@ -293,7 +309,7 @@ def evidence_violations(ev: str = "eval") -> Column:
             ("collection_hash", ~truthy(events_digest(collection) == e("collection_sha256"))),
             ("report_hash", ~truthy(events_digest(tests) == e("report_sha256"))),
             ("collection_unknown", ~truthy(F.forall(collection, lambda x: x["kind"].isin("collection", "session_finish")))),
-            ("collection_incomplete", ~truthy((F.size(collections) == 1) & (c_finish == F.array(F.lit(0))))),
+            ("collection_incomplete", ~truthy((v["n_collections"] == 1) & (v["c_finish"] == F.array(F.lit(0))))),
             (
                 "collected_nodes",
                 ~truthy(
@@ -305,21 +321,21 @@ def evidence_violations(ev: str = "eval") -> Column:
             (
                 "mapping_cover",
                 ~truthy(
-                    (F.size(F.array_except(F.map_keys(mapping), requested)) == 0)
-                    & (F.size(F.array_except(requested, F.map_keys(mapping))) == 0)
+                    (F.size(F.array_except(keys, requested)) == 0)
+                    & (F.size(F.array_except(requested, keys)) == 0)
                 ),
             ),
             (
                 "mapping_exact",
                 ~truthy(
-                    F.forall(F.map_entries(mapping), lambda x: truthy(exact(x))) & (F.size(F.array_distinct(used)) == F.size(used))
+                    F.forall(v["mapping"], lambda x: truthy(exact(x))) & (F.size(F.array_distinct(used)) == F.size(used))
                 ),
             ),
             (
                 "p2p_outside_scope",
-                ~truthy(F.forall(F.map_keys(p2p), lambda n: F.array_contains(files, F.substring_index(n, "::", 1)))),
+                ~truthy(F.forall(F.map_keys(p2p), lambda n: F.array_contains(v["files"], F.substring_index(n, "::", 1)))),
             ),
-            ("execution_finish", ~truthy(t_finish == F.array(e("pytest_rc")))),
+            ("execution_finish", ~truthy(v["t_finish"] == F.array(e("pytest_rc")))),
             (
                 "execution_unknown",
                 ~truthy(F.forall(tests, lambda x: x["kind"].isin("collection", "session_finish", "test"))),
@@ -330,7 +346,7 @@ def evidence_violations(ev: str = "eval") -> Column:
                 "missing_reports",
                 ~truthy((F.size(F.array_except(used, seen)) == 0) & (F.size(F.array_except(seen, used)) == 0)),
             ),
-            ("status_disagrees", ~truthy(F.forall(F.map_entries(mapping), lambda x: truthy(agrees(x))))),
+            ("status_disagrees", ~truthy(F.forall(v["mapping"], lambda x: truthy(agrees(x))))),
             ("resolved_nonzero_rc", truthy(e("resolved")) & ~truthy(e("pytest_rc") == 0)),
         ]
     )

@@ -24,12 +24,27 @@ def gap_sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at:
     return scan.add(session=("sum", starts.cast("long"))).rows("_before")
 
 
-def identical_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], signature: Column, along: Column | None = None, **options) -> DataFrame:
-    """Adds ``run_length``: equal consecutive signatures up to this row; 0 for no signature."""
-    scan = Scan(rows.withColumn("_sig", signature), keys, order, along, **options).add(_prev=("prev", F.col("_sig")))
-    scan.add_run("_repeats", truthy(F.col("_sig") == F.col("_prev")))
-    length = F.when(F.col("_sig").isNull(), 0).otherwise(F.col("_repeats") + 1).cast("long")
-    return scan.column("run_length", length).rows("_sig", "_prev", "_repeats")
+def identical_runs(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], signature: Column, along: Column | None = None,
+    start: tuple[Column, Column] | None = None, **options,
+) -> DataFrame:
+    """Adds ``signature`` and ``run_length``: equal consecutive signatures up to this row; 0 for no signature.
+
+    ``start`` is the (signature, run length) a key brings along from earlier rows.
+    """
+    scan = Scan(rows.withColumn("signature", signature), keys, order, along, **options)
+    scan.add(_before=("prev", F.struct(F.col("signature").alias("s"))), _place=("sum", F.lit(1)))
+    first = F.col("_before").isNull()
+    earlier = F.col("_before.s")
+    carried = F.lit(0)
+    if start is not None:
+        earlier = F.when(first, start[0]).otherwise(earlier)
+        carried = F.coalesce(start[1], F.lit(0))
+    scan.add_run("_repeats", truthy(F.col("signature") == earlier))
+    # A run that reaches back to the first row goes on from what the key brought along.
+    whole = F.col("_repeats") == F.col("_place")
+    length = F.when(F.col("signature").isNull(), 0).when(whole, F.col("_repeats") + carried).otherwise(F.col("_repeats") + 1)
+    return scan.column("run_length", length.cast("long")).rows("_before", "_place", "_repeats")
 
 
 def repetition_profile(runs: DataFrame, keys: Sequence[str], long_run: int = 5) -> DataFrame:
@@ -99,23 +114,32 @@ def step_delta(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n_pas
 
 
 def client_segments(
-    requests: DataFrame, client: str, order: Sequence[str], kind: str, task: str, along: Column | None = None, **options
+    requests: DataFrame, client: str, order: Sequence[str], kind: str, task: str, along: Column | None = None,
+    start: tuple[Column, Column] | None = None, **options,
 ) -> DataFrame:
-    """Adds ``run_no``, ``n_compact`` and ``segment`` per request of a client.
+    """Adds ``run_no``, ``n_compact``, ``segment`` and ``task_key`` per request of a client.
 
     ``kind`` is task, compact, post or other.  A task request with another task
     than the client's current one starts a run; compactions are counted inside
-    the run.  Requests before any task are ``unknown``.
+    the run.  Requests before any task are ``unknown``.  ``start`` is the (task,
+    compactions) a client brings along from earlier rows.
     """
     is_task = F.col(kind) == "task"
     scan = Scan(requests, [client], order, along, **options)
-    scan.add(_current=("last", F.when(is_task, F.col(task)))).add(_former=("prev", F.col("_current")))
-    scan.column("_starts", (is_task & ~F.col(task).eqNullSafe(F.col("_former"))).cast("long"))
+    scan.add(_last=("last", F.when(is_task, F.col(task))))
+    if start is None:
+        scan.column("task_key", F.col("_last")).column("_brought", F.lit(None).cast("string")).column("_start", F.lit(0))
+    else:
+        scan.column("_brought", start[0]).column("_start", F.coalesce(start[1], F.lit(0)))
+        scan.column("task_key", F.coalesce("_last", "_brought"))
+    scan.add(_former=("prev", F.col("task_key")), _any=("prev", F.lit(True)))
+    former = F.when(F.col("_any").isNull(), F.col("_brought")).otherwise(F.col("_former"))
+    scan.column("_starts", (is_task & ~F.col(task).eqNullSafe(former)).cast("long"))
     scan.column("_compact", (F.col(kind) == "compact").cast("long"))
     scan.add(run_no=("sum", F.col("_starts")), _all=("sum", F.col("_compact")))
     scan.add(_base=("last", F.when(F.col("_starts") == 1, F.col("_all") - F.col("_compact"))))
-    n = (F.col("_all") - F.coalesce("_base", F.lit(0))).cast("long")
-    started = F.col("run_no") > 0
+    n = F.when(F.col("run_no") == 0, F.col("_all") + F.col("_start")).otherwise(F.col("_all") - F.col("_base")).cast("long")
+    started = F.col("task_key").isNotNull()
     name = (
         F.when(~started, F.lit("unknown"))
         .when(is_task, F.lit("task"))
@@ -124,7 +148,7 @@ def client_segments(
         .otherwise(F.lit("other"))
     )
     scan.column("n_compact", F.when(started, n).otherwise(0).cast("long")).column("segment", name)
-    return scan.column("task_key", F.col("_current")).rows("_current", "_former", "_starts", "_compact", "_all", "_base")
+    return scan.rows("_last", "_brought", "_start", "_former", "_any", "_starts", "_compact", "_all", "_base")
 
 
 def shared_budget(
@@ -187,18 +211,23 @@ def attempts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], resolve
     )
 
 
-def step_budget(requests: DataFrame, client: str, order: Sequence[str], fresh: Column, counted: Column, budget: int, warn: int, along: Column | None = None, **options) -> DataFrame:
+def step_budget(
+    requests: DataFrame, client: str, order: Sequence[str], fresh: Column, counted: Column, budget: int, warn: int,
+    along: Column | None = None, start: Column | None = None, **options,
+) -> DataFrame:
     """Adds the step number since the last fresh session and its state: ok, warn, used_up or over.
 
-    Requests that are not counted keep the number and have no state.
+    Requests that are not counted keep the number and have no state.  ``start`` is
+    the step number a client brings along from earlier rows.
     """
     rows = requests.withColumn("_fresh", truthy(fresh) & truthy(counted)).withColumn("_one", truthy(counted).cast("long"))
+    rows = rows.withColumn("_start", F.lit(0) if start is None else F.coalesce(start, F.lit(0)))
     scan = Scan(rows, [client], order, along, **options).add(_n=("sum", F.col("_one")))
     out = scan.add(_base=("last", F.when(F.col("_fresh"), F.col("_n") - 1))).rows()
-    n = (F.col("_n") - F.coalesce("_base", F.lit(0))).cast("long")
+    n = (F.col("_n") - F.coalesce(F.col("_base"), -F.col("_start"))).cast("long")
     state = F.when(n > budget, "over").when(n >= budget, "used_up").when(n >= budget - warn, "warn").otherwise("ok")
     return out.withColumn("step", n).withColumn("budget_state", F.when(F.col("_one") == 1, state)).drop(
-        "_fresh", "_one", "_n", "_base"
+        "_fresh", "_one", "_start", "_n", "_base"
     )
 
 
