@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rungauge.functions.text import let
+
 LN2 = math.log(2.0)
 
 
@@ -34,19 +36,23 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     within a few standard deviations, so the number summed grows with the square
     root of n and not with n.
     """
-    n = (b + c).cast("double")
-    k = F.least(b, c).cast("double")
-    top = F.exp(log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) - n * LN2)
-    terms = F.least(k, F.ceil(F.sqrt(n) * 12.0).cast("double") + 60.0).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    sides = F.struct((b + c).cast("double").alias("n"), F.least(b, c).cast("double").alias("k"))
+
+    def tail_p(v: Column) -> Column:
+        n, k = v["n"], v["k"]
+        top = F.exp(log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) - n * LN2)
+        terms = F.least(k, F.ceil(F.sqrt(n) * 12.0).cast("double") + 60.0).cast("int")
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+        def add(acc: Column, j: Column) -> Column:
+            term = acc["term"] * (k - j) / (n - k + j + 1.0)
+            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    def add(acc: Column, j: Column) -> Column:
-        term = acc["term"] * (k - j) / (n - k + j + 1.0)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        # The last index gives a factor of zero when every term is summed.
+        tail = F.aggregate(F.sequence(F.lit(0), terms), start, add, lambda acc: acc["total"])
+        return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * top * tail))
 
-    # The last index gives a factor of zero when every term is summed.
-    tail = F.aggregate(F.sequence(F.lit(0), terms), start, add, lambda acc: acc["total"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * top * tail))
+    return let(sides, tail_p)
 
 
 def smallest_detectable(n: Column, alpha: float = 0.05) -> Column:
@@ -60,21 +66,26 @@ def smallest_detectable(n: Column, alpha: float = 0.05) -> Column:
     top = F.floor((n - parity) / 2)  # net = parity + 2 * step, step in 0 .. top
 
     def p_at(step: Column) -> Column:
-        net = parity + 2 * step
-        return mcnemar_p(((n - net) / 2).cast("long"), ((n + net) / 2).cast("long"))
+        return let(
+            parity + 2 * step,
+            lambda net: mcnemar_p(F.floor((n - net) / 2).cast("long"), F.floor((n + net) / 2).cast("long")),
+        )
 
     def halve(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["lo"] + acc["hi"]) / 2)
-        found = p_at(middle) < alpha
-        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(
-            F.struct(
-                F.when(found, acc["lo"]).otherwise(middle + 1).alias("lo"),
-                F.when(found, middle).otherwise(acc["hi"]).alias("hi"),
+        def narrow(middle: Column) -> Column:
+            return let(
+                p_at(middle) < alpha,
+                lambda found: F.struct(
+                    F.when(found, acc["lo"]).otherwise(middle + 1).alias("lo"),
+                    F.when(found, middle).otherwise(acc["hi"]).alias("hi"),
+                ),
             )
-        )
+
+        return F.when(acc["lo"] >= acc["hi"], acc).otherwise(let(F.floor((acc["lo"] + acc["hi"]) / 2), narrow))
 
     start = F.struct(F.lit(0).cast("long").alias("lo"), top.cast("long").alias("hi"))
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve, lambda acc: acc["lo"])
+    rounds = (F.ceil(F.log2(top + 2.0)) + 1).cast("int")
+    step = F.aggregate(F.sequence(F.lit(1), rounds), start, halve, lambda acc: acc["lo"])
     reachable = (n > 0) & (p_at(top) < alpha)
     return F.when(reachable, F.greatest(F.lit(1).cast("long"), parity + 2 * step))
 

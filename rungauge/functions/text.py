@@ -14,6 +14,9 @@ BLANK = (
     r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+BLANK_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+) + "\u2028\u2029\u202f\u205f\u3000"
 SUBMIT_MARKER = "COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT"
 SUBMIT_FENCE = "```bash\necho COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT\n```"
 FORMAT_ERROR_PREFIX = "Format error:"
@@ -50,16 +53,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Both ends freed of blanks."""
-    return F.regexp_replace(text, rf"\A[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{BLANK}]+", "")
+    return F.ltrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def one_blank(text: Column) -> Column:
     """Words joined by single spaces."""
-    return strip(F.regexp_replace(text, rf"[{BLANK}]+", " "))
+    return F.trim(F.regexp_replace(text, rf"[{BLANK}]+", " "))
 
 
 def lines(text: Column) -> Column:

@@ -9,7 +9,7 @@ from rungauge.functions.text import BLANK
 from rungauge.operators import curation as cu
 from rungauge.operators import joins as jn
 from rungauge.plans.registry import query
-from rungauge.session import table
+from rungauge.session import spread_table, table
 from rungauge.sources import sinks
 
 # The same white space class in the oracle's regular expressions.
@@ -41,7 +41,7 @@ select lang, n_rows, sha256(concat_ws('-', """ + ", ".join(f"w{i}::varchar" for
        'critic-train-derived-v1' as protocol from w
 """)
 def _(spark, root):
-    docs = table(spark, root, "documents")
+    docs = spread_table(spark, root, "documents", "doc_id")
     return sinks.manifest(docs, "critic-train-derived-v1", ["lang"], ["doc_id", "text", "source", "n_chars"])
 
 
@@ -135,7 +135,7 @@ select count(*) as n_rows, 0::bigint as n_missing_ids, count_if(length({one_blan
 def _(spark, root):
     from rungauge.functions.text import one_blank as blanks
 
-    train = table(spark, root, "documents").select(blanks(F.col("text")).alias("id"), "text")
+    train = spread_table(spark, root, "documents", "doc_id").select(blanks(F.col("text")).alias("id"), "text")
     return cu.purity(train, table(spark, root, "benchmark"), "id", "text", "text")
 
 
@@ -177,7 +177,7 @@ with t as (select doc_id, sha256({one_blank('text')}) as text_group from documen
 select doc_id, text_group, bucket, case when bucket = 0 then 'validation' else 'train' end as split from u
 """)
 def _(spark, root):
-    out = cu.bucket_split(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = cu.bucket_split(spread_table(spark, root, "documents", "doc_id").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "text_group", F.col("bucket").cast("long").alias("bucket"), "split")
 
 
@@ -200,7 +200,7 @@ def _(spark, root):
 select sha256({one_blank('text')}) as text_group, count(*) as n_copies, min(doc_id) as representative from documents group by 1
 """)
 def _(spark, root):
-    return cu.duplicate_groups(table(spark, root, "documents"), "doc_id", "text")
+    return cu.duplicate_groups(spread_table(spark, root, "documents", "doc_id"), "doc_id", "text")
 
 
 @query("t11_prompt_key_groups", """
@@ -216,7 +216,7 @@ def _(spark, root):
 
     quoted = F.concat(F.lit('  "'), F.replace("text", F.lit('"'), F.lit('\\"')), F.lit('" '))
     prompt = F.when(F.col("doc_id") % 3 == 0, quoted).otherwise(F.col("text"))
-    return table(spark, root, "documents").groupBy(prompt_key(prompt).alias("prompt_key")).agg(
+    return spread_table(spark, root, "documents", "doc_id").groupBy(prompt_key(prompt).alias("prompt_key")).agg(
         F.count("*").alias("n_traces"), F.min("doc_id").alias("first_id")
     )
 
@@ -262,7 +262,7 @@ select count(*) as n_asked, count(k) as n_matched, round(count(k) / count(*), 6)
 def _(spark, root):
     from rungauge.functions.text import one_blank as blanks
 
-    docs = table(spark, root, "documents")
+    docs = spread_table(spark, root, "documents", "doc_id")
     prompt = F.concat(
         F.lit("Consider the following PR description:\n"), "text", F.lit("\n</pr_description>"), "source"
     )
@@ -354,7 +354,7 @@ with c as (select distinct text as f from documents), w as (select f, {FIRST_WOR
 select node, f as "full", case when f in (select f from u) then 'shared' else s end as state from r
 """)
 def _(spark, root):
-    docs, bench = table(spark, root, "documents"), table(spark, root, "benchmark")
+    docs, bench = spread_table(spark, root, "documents", "doc_id"), table(spark, root, "benchmark")
     first = F.regexp_extract("text", f"^[{BLANK}]*([^{BLANK}]+)", 1)
     asked = bench.select(first.alias("node")).unionByName(docs.where("doc_id % 3 = 0").select(F.col("text").alias("node")))
     return jn.resolve_nodes(asked, docs, "node", "text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rungauge.operators import grader as gd
 from rungauge.plans import bindings as b
 from rungauge.plans.registry import query
+from rungauge.session import spread, spread_table
 
 
 def result_rows(spark, root):
@@ -37,7 +38,7 @@ def result_rows(spark, root):
         F.lit("complete").alias("evaluation_state"), (i % 53 != 10).alias("reward_eligible"), (i % 59 != 11).alias("report_intact"),
         F.lit(0).alias("restore_rc"), F.when(i % 61 == 12, 2).otherwise(0).alias("collection_rc"),
     )
-    return b.rollouts(spark, root).select(
+    return spread(b.rollouts(spark, root), "rollout_id", b.table(spark, root, "orders")).select(
         i.alias("id"), F.when(i % 13 == 2, "lost").alias("error"), (i % 19 == 1).alias("timed_out"), F.when(i % 23 == 1, 124).otherwise(0).alias("smith_rc"),
         (n_f2p + F.when(i % 67 == 13, 1).otherwise(0)).alias("n_f2p"), F.when(i % 71 != 14, ev).alias("eval"),
     )
@@ -120,7 +121,7 @@ def evidence_rows(spark, root):
     p2p = F.create_map(F.when(i % 7 == 4, F.lit("t/b.py::x")).otherwise(F.lit("t/a.py::test_ü[1")), F.lit("PASSED"))
     mapping = F.map_from_arrays(F.concat(F.map_keys(f2p), F.map_keys(p2p)), F.array(n2, n1))
     # The event arrays become columns first: they are used several times below.
-    rows = b.table(spark, root, "orders").select(
+    rows = spread_table(spark, root, "orders", "o_orderkey").select(
         i.alias("id"), collection.alias("collection"), tests.alias("tests"), available.alias("available"), f2p.alias("f2p"), p2p.alias("p2p"),
         mapping.alias("mapping"), rc.alias("rc"), (good | (i % 7 == 6)).alias("resolved"),
     )

@@ -8,7 +8,7 @@ from rungauge.functions import text as tx
 from rungauge.operators import messages as ms
 from rungauge.operators import trajectories as tr
 from rungauge.plans.registry import query
-from rungauge.session import table
+from rungauge.session import spread_table, table
 
 # Conversations as agent traces: assistant texts get one of nine endings by
 # (conv_id * 5 + turn) % 9, some user texts become format errors.  The same
@@ -52,7 +52,7 @@ from (select *, len(fences) + len(cmds) as n_ok,
 
 
 def messages(spark, root):
-    return table(spark, root, "conversations").select(
+    return spread_table(spark, root, "conversations", "conv_id").select(
         F.col("conv_id").alias("trace"), F.col("turn").cast("int").alias("idx"), "role",
         F.expr(CONTENT.replace("chr(", "char(")).alias("content"),
     )
@@ -89,7 +89,7 @@ from ({FENCED_DOCS})
 """)
 def _(spark, root):
     content = F.expr(FENCED_DOCS.split("select doc_id, ")[1].split(" as content")[0].replace("chr(", "char("))
-    docs = table(spark, root, "documents").select("doc_id", tx.parse_action(content).alias("p"))
+    docs = spread_table(spark, root, "documents", "doc_id").select("doc_id", tx.parse_action(content).alias("p"))
     return docs.select("doc_id", F.col("p.kind").alias("kind"), F.col("p.action").alias("action"))
 
 
@@ -138,7 +138,7 @@ select doc_id, case doc_id % 5 when 0 then case when doc_id % 10 = 0 then text |
 from documents
 """)
 def _(spark, root):
-    rows = table(spark, root, "documents").select(
+    rows = spread_table(spark, root, "documents", "doc_id").select(
         "doc_id",
         F.expr(REPLY_CONTENT.replace("chr(", "char(")).alias("content"),
         F.expr(REPLY_REASONING.replace("chr(", "char(")).alias("reasoning"),
@@ -154,7 +154,7 @@ select fix, count(*) as n from (select case when doc_id % 10 = 0 then 'promoted_
   when doc_id % 5 = 2 then 'trimmed_tail' end as fix from documents) where fix is not null group by 1
 """)
 def _(spark, root):
-    rows = table(spark, root, "documents").select(
+    rows = spread_table(spark, root, "documents", "doc_id").select(
         F.expr(REPLY_CONTENT.replace("chr(", "char(")).alias("content"),
         F.expr(REPLY_REASONING.replace("chr(", "char(")).alias("reasoning"),
     )
@@ -189,7 +189,7 @@ select doc_id, case doc_id % 7 when 0 then {block("'ls ' || doc_id")} when 1 the
 from documents
 """)
 def _(spark, root):
-    rows = table(spark, root, "documents").select(
+    rows = spread_table(spark, root, "documents", "doc_id").select(
         "doc_id",
         F.expr(REWRITE_CONTENT.replace("chr(", "char(")).alias("content"),
         F.expr(REWRITE_ARGUMENTS).alias("arguments"),
@@ -218,7 +218,7 @@ select doc_id, 0 as call, case doc_id % 8 when 3 then 'edit' when 4 then 'fly' w
 from documents where doc_id % 8 <> 7
 """)
 def _(spark, root):
-    rows = table(spark, root, "documents").select("doc_id", F.expr(CALL_TEXT).alias("t"))
+    rows = spread_table(spark, root, "documents", "doc_id").select("doc_id", F.expr(CALL_TEXT).alias("t"))
     out = ms.tool_calls(rows, ["doc_id"], "t", TOOLS)
     pairs = F.transform(F.map_entries("parameters"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select("doc_id", "call", "name", "void_cause", F.array_join(pairs, ";").alias("parameters"))
@@ -229,7 +229,7 @@ select case doc_id % 8 when 2 then 'duplicate_param' when 3 then 'missing_requir
   else 'valid' end as outcome, count(*) as n from documents where doc_id % 8 <> 7 group by 1
 """)
 def _(spark, root):
-    rows = table(spark, root, "documents").select("doc_id", F.expr(CALL_TEXT).alias("t"))
+    rows = spread_table(spark, root, "documents", "doc_id").select("doc_id", F.expr(CALL_TEXT).alias("t"))
     return ms.call_report(ms.tool_calls(rows, ["doc_id"], "t", TOOLS))
 
 
@@ -292,7 +292,7 @@ def _(spark, root):
 def _(spark, root):
     """A plugged-in counter (words) in place of the character estimate."""
     words = ms.text_udf(lambda: lambda text: len(text.split()))
-    docs = table(spark, root, "documents").select("source", "text")
+    docs = spread_table(spark, root, "documents", "doc_id").select("source", "text")
     return ms.token_sizes(docs, ["source"], "text", 100_000, words)
 
 
@@ -460,7 +460,7 @@ REASON_SQL = "case " + " ".join(
 def _(spark, root):
     command = F.get(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("doc_id") % 10).cast("int"))
     action = F.concat("text", F.lit("\n"), command)
-    return table(spark, root, "documents").select("doc_id", tr.forbidden_reason(action).alias("reason"))
+    return spread_table(spark, root, "documents", "doc_id").select("doc_id", tr.forbidden_reason(action).alias("reason"))
 
 
 @query("f13_edit_action", f"""
@@ -682,7 +682,7 @@ select doc_id, case doc_id % 4 when 0 then 'src/x.py' when 1 then 'src/y.py test
 from documents
 """)
 def _(spark, root):
-    rows = table(spark, root, "documents").select("doc_id", F.expr(DIFF.replace("chr(", "char(")).alias("diff"))
+    rows = spread_table(spark, root, "documents", "doc_id").select("doc_id", F.expr(DIFF.replace("chr(", "char(")).alias("diff"))
     out = tr.patch_audit(rows, "doc_id", "diff")
     return out.select(
         "doc_id", F.array_join("files", " ").alias("files"), F.array_join("test_files", " ").alias("test_files"), "edits_tests"

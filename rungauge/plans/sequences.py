@@ -10,7 +10,7 @@ from rungauge.operators import sequences as sq
 from rungauge.operators import trajectories as tr
 from rungauge.plans.messages import MESSAGES, messages
 from rungauge.plans.registry import query
-from rungauge.session import table
+from rungauge.session import spread, spread_table, table
 
 EVENTS = """
 select event_id, user_id, epoch_us(ts) as us, event_type, value, props, cast(json_extract_string(props, '$.k') as integer) as k from events
@@ -345,7 +345,7 @@ from documents where length(text) >= 4 group by 1
 def _(spark, root):
     n = F.length("text")
     quarter = F.floor(n / 4)
-    rows = table(spark, root, "documents").where(n >= 4).select(
+    rows = spread_table(spark, root, "documents", "doc_id").where(n >= 4).select(
         "source", quarter.alias("p"), (quarter + F.col("doc_id") % 40).alias("pe"), F.floor(n / 3).alias("r"),
         F.when(F.floor(n / 3) > 0, F.floor(n / 3)).alias("re"),
     )
@@ -361,7 +361,7 @@ def _(spark, root):
         F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"API_KEY":"s'), F.col("event_id").cast("string"),
         F.lit('","nested":[{"password":{"deep":1},"user":'), F.col("user_id").cast("string"), F.lit("}]}"),
     )
-    out = table(spark, root, "events").select("event_id", gd.redact_json(raw).alias("r"))
+    out = spread_table(spark, root, "events", "event_id").select("event_id", gd.redact_json(raw).alias("r"))
     return out.select("event_id", F.col("r.json").alias("json"), F.array_join("r.touched", ",").alias("touched"))
 
 
@@ -401,7 +401,7 @@ def _(spark, root):
         F.lit('{"prompt_tokens": '), k, F.lit(', "input_tokens":'), k, F.lit(', "output_tokens": 7, "note": "'),
         F.when(F.col("k") == 99, "Maximum context length").otherwise(""), F.lit('"}'),
     )
-    rows = events(spark, root).select(
+    rows = spread(events(spark, root), "event_id").select(
         "user_id", kind.alias("type"), F.lit("bash").alias("tool"), F.when(F.col("k") < 20, "error").otherwise("completed").alias("status"),
         body.alias("body"),
     )
@@ -422,7 +422,7 @@ def _(spark, root):
     first = F.concat(F.lit("\x1b[32m"), status, F.lit("\x1b[0m "), node, F.lit(" - detail of it"))
     last = F.concat(node, F.lit(" "), status, F.lit("   [ 12%]"))
     text = F.concat(F.lit("collected\n"), F.when(number % 2 == 0, first).otherwise(last), F.lit("\nend of log"))
-    rows = turns(spark, root).select(F.col("l_orderkey").alias("run"), text.alias("log"))
+    rows = spread(turns(spark, root), "l_partkey").select(F.col("l_orderkey").alias("run"), text.alias("log"))
     return gd.log_statuses(rows, ["run"], "log")
 
 

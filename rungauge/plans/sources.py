@@ -8,7 +8,7 @@ from rungauge.functions import times
 from rungauge.plans import bindings as b
 from rungauge.plans.registry import query
 from rungauge.plans.sequences import turns
-from rungauge.session import table
+from rungauge.session import spread, spread_table, table
 from rungauge.shared import fresh_folder
 from rungauge.sources import readers as rd
 from rungauge.sources import sinks as sk
@@ -36,7 +36,7 @@ def _(spark, root):
     # A list, a list as JSON text, or one bare text; every 40th line is followed by a blank one.
     f2p = F.when(i % 3 == 0, '["a::1","b::2"]').when(i % 3 == 1, '"[\\"x::y\\"]"').otherwise('"bare::t"')
     line = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"FAIL_TO_PASS":'), f2p, F.lit("}"))
-    lines = table(spark, root, "documents").withColumn("j", body).select(
+    lines = spread_table(spark, root, "documents", "doc_id").withColumn("j", body).select(
         F.explode(F.when(i % 40 == 0, F.array(line, F.lit(""))).otherwise(F.array(line))).alias("value")
     )
     tasks = rd.read_tasks(spark, written(spark, lines, "tasks"), "documents")
@@ -50,23 +50,27 @@ RESULT_SCHEMA = "resolved boolean, n_turns int"
 
 
 @query("s03_result_folders", """
-select r.run, s_suppkey::varchar as instance_id, case when s_suppkey % 7 <> 0 then (s_suppkey + r.n) % 3 = 0 end as resolved, s_suppkey % 7 = 0 as unreadable
-from supplier, (values ('base', 0), ('probe', 1)) r(run, n)
+with n as (select s_nationkey as k, count(*) as c, sum(s_suppkey)::bigint as s from supplier group by 1)
+select r.run, k::varchar as instance_id, case when k % 7 <> 0 then (s + r.n) % 3 = 0 end as resolved, case when k % 7 <> 0 then c end::int as n_turns, k % 7 = 0 as unreadable
+from n, (values ('base', 0), ('probe', 1)) r(run, n)
 """)
 def _(spark, root):
+    # One result file per run and nation, made from the nation's suppliers; every seventh is cut short.
+    per = table(spark, root, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("c"), F.sum("s_suppkey").alias("s"))
     runs = F.explode(F.array(F.struct(F.lit("base").alias("run"), F.lit(0).alias("n")), F.struct(F.lit("probe").alias("run"), F.lit(1).alias("n"))))
-    rows = table(spark, root, "supplier").select(F.col("s_suppkey"), runs.alias("r"))
+    rows = per.select("k", "c", "s", runs.alias("r"))
     good = F.concat(
-        F.lit('{"resolved": '), ((F.col("s_suppkey") + F.col("r.n")) % 3 == 0).cast("string"), F.lit(',\n "n_turns": 3}')
+        F.lit('{"resolved": '), ((F.col("s") + F.col("r.n")) % 3 == 0).cast("string"), F.lit(',\n "n_turns": '), F.col("c").cast("string"), F.lit("}")
     )
-    text = F.when(F.col("s_suppkey") % 7 == 0, F.lit('{"resolved": tr')).otherwise(good)
+    text = F.when(F.col("k") % 7 == 0, F.lit('{"resolved": tr')).otherwise(good)
     path = fresh_folder(spark, "results")
-    rows.select(F.col("r.run").alias("run"), F.col("s_suppkey").alias("instance"), text.alias("value")).repartition(
+    rows.select(F.col("r.run").alias("run"), F.col("k").alias("instance"), text.alias("value")).repartition("run", "instance").write.partitionBy(
         "run", "instance"
-    ).write.partitionBy("run", "instance").text(path)
+    ).text(path)
     out = rd.read_results(spark, path, RESULT_SCHEMA, r"run=([^/]+)/instance=([^/]+)/")
     # A file that can not be read says nothing about the outcome.
-    return out.select("run", "instance_id", F.when(~F.col("unreadable"), F.col("resolved")).alias("resolved"), "unreadable")
+    readable = lambda c: F.when(~F.col("unreadable"), F.col(c)).alias(c)
+    return out.select("run", "instance_id", readable("resolved"), readable("n_turns"), "unreadable")
 
 
 @query("s04_session_segments", """
@@ -168,7 +172,7 @@ def _(spark, root):
 
 def rollout_lines(spark, root):
     """Log lines of every rollout; a few have no end, a few end twice."""
-    r = b.rollouts(spark, root)
+    r = spread(b.rollouts(spark, root), "rollout_id", b.table(spark, root, "orders"))
     i = F.col("rollout_id")
     start = F.concat(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",123 INFO SmithAgent start: instance=task-"), F.col("uid").cast("string"), F.lit(" max_turns=40")
@@ -232,7 +236,7 @@ def _(spark, root):
         F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)"), F.when(i % 5 == 0, "\n}").otherwise("}"),
     )
     line = F.when(i % 17 == 0, F.concat(F.lit('{"doc_id": '), i.cast("string"), F.lit(', "text": '))).otherwise(whole)
-    path = written(spark, table(spark, root, "documents").select(line.alias("value")), "broken")
+    path = written(spark, spread_table(spark, root, "documents", "doc_id").select(line.alias("value")), "broken")
     out = rd.read_broken_json(spark, path, "doc_id long, text string", '{"doc_id"')
     return out.groupBy("bad").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("doc_id"))).alias("id_sum"),
@@ -254,7 +258,7 @@ def _(spark, root):
     line = F.when(
         F.col("l_linestatus") == "F", F.concat(F.lit("INFO turn="), F.col("l_linenumber").cast("string"), F.lit(" cmd="), literal, F.lit(" rc=0"))
     ).otherwise("INFO thinking")
-    lines = turns(spark, root).select(F.col("l_orderkey").alias("trace"), "l_linenumber", "l_partkey", "l_suppkey", line.alias("value"))
+    lines = spread(turns(spark, root), "l_partkey").select(F.col("l_orderkey").alias("trace"), "l_linenumber", "l_partkey", "l_suppkey", line.alias("value"))
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
     actions = rd.action_log(lines, "trace", order)
     # Python decodes the literals, so the size estimate is gone; the lines bound it.
