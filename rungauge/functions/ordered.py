@@ -48,6 +48,19 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return size is not None and size <= (SMALL_BYTES if limit is None else limit)
 
 
+# Plan nodes whose work is not repeated lightly.
+COSTLY = ("Join ", "Aggregate ", "Window ", "Generate ", "EvalPython", "MapInPandas", "LogicalRDD", "Sort ")
+
+
+def rereads_cheaply(df: DataFrame) -> bool:
+    """True when the plan only scans files, filters and projects."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except (AttributeError, TypeError):
+        return False
+    return not any(node in plan for node in COSTLY)
+
+
 def cut_hot_groups(
     df: DataFrame, keys: Sequence[str], along: Column, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
@@ -168,11 +181,13 @@ class Scan:
     ``order`` is a total ascending order inside the group; ``along`` is a number
     that rises with it (default: the first order column).  The size check decides
     once, for all steps.  A small input gets plain windows that share one sort.
-    A large one is cut once; before every further step the rows so far are
-    written to the checkpoint folder, so steps never recompute each other.
+    A large one is written to the shared folder when its plan is costly, then
+    measured again, because joins inflate estimates; if it is large indeed it is
+    cut into slices, and the rows so far are written before every further step,
+    so steps never recompute each other.
 
-    ``at_most`` names a table with at least as many rows as this one, for inputs
-    whose size estimate a join has inflated.
+    ``at_most`` names a table with at least as many rows as this one, where the
+    caller knows that a join has inflated the estimate.
     """
 
     def __init__(
@@ -191,6 +206,9 @@ class Scan:
             df = df.withColumn("_all", F.lit(0))
             self.keys, self.helpers = ["_all"], ["_all"]
         self.plain = target_rows is None and is_small(df if at_most is None else at_most)
+        if not self.plain and not rereads_cheaply(df):
+            df = cut_lineage(df)
+            self.plain = target_rows is None and is_small(df)
         self.steps = 0
         if self.plain:
             self.partition = self.keys

@@ -363,7 +363,7 @@ with r as (select strftime(ts, '%Y-%m') as step, reward - case when price > 4900
                   count(*) over (partition by step) as c from r)
 select step, count(*) as n, round(avg(reward), 6) as reward_mean, count_if(reward >= 1) as n_resolved,
        count_if(reward < 0) as n_timeout, round(avg(n_turns), 6) as turns_mean, max(n_turns) as turns_max,
-       round(avg(tokens), 6) as tokens_mean, max(tokens) as tokens_max, round(avg(price), 3) as duration_mean,
+       round(avg(tokens), 6) as tokens_mean, max(tokens) as tokens_max, round(avg(price), 6) as duration_mean,
        max(price) as duration_max, max(case when i = round_even((c - 1) * 0.5, 0) then price end) as duration_p50,
        max(case when i = round_even((c - 1) * 0.9, 0) then price end) as duration_p90,
        round(count_if(reward >= 1) / count(*), 6) as resolve_rate
@@ -380,7 +380,7 @@ def _(spark, root):
     out = ev.step_metrics(rows, "step", "reward", "n_turns", "tokens", "price")
     for c in ("reward_mean", "turns_mean", "tokens_mean", "resolve_rate"):
         out = out.withColumn(c, F.round(c, 6))
-    return out.withColumn("duration_mean", F.round("duration_mean", 3))
+    return out.withColumn("duration_mean", F.round("duration_mean", 6))
 
 
 @query("a29_value_quality", """

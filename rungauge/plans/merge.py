@@ -269,7 +269,7 @@ select k as trace, round(avg(least(3.0, greatest(-3.0, (a - b) / 0.5))), 6) as m
 """)
 def _(spark, root):
     lines = table(spark, root, "lineitem").select(
-        F.col("l_orderkey").alias("trace"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), "l_discount", "l_tax"
+        F.col("l_orderkey").alias("trace"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"), "l_discount", "l_tax"
     )
     teacher = lines.select("trace", "pos", (-F.col("l_discount") * 10).alias("logp"))
     student = lines.select("trace", "pos", (-F.col("l_tax") * 30).alias("logp"))

@@ -77,7 +77,7 @@ def _(spark, root):
 with f as (select conv_id, turn, md5(conv_id::varchar) as k, case turn % 4 when 0 then '' when 1 then '.compact' || (turn + 1) when 2 then '.post' || turn else '.other9' end as s,
    1000.0 * conv_id as ts, case when conv_id % 3 = 0 then null else 1000.0 * conv_id end as exact from conversations)
 select k as key, case turn % 4 when 0 then 'main' when 1 then 'compact' else 'post' end as segment, case turn % 4 when 0 then 0 when 1 then turn + 1 else turn end::int as segment_index, conv_id
-from f where turn % 4 <> 3 and coalesce(exact, ts + 600) between 20000 and 80000
+from f where turn % 4 <> 3 and coalesce(exact, ts + 600) between 3000 and 80000
 """)
 def _(spark, root):
     t = F.col("turn")
@@ -89,7 +89,7 @@ def _(spark, root):
         "conv_id", F.concat(F.md5(F.col("conv_id").cast("string")), suffix, F.lit(".json")).alias("file_name"),
         (ts + 600).alias("modified"), F.when(F.col("conv_id") % 3 != 0, ts).alias("ts"),
     )
-    return rd.session_segments(files, since=20000.0, until=80000.0).select("key", "segment", "segment_index", "conv_id")
+    return rd.session_segments(files, since=3000.0, until=80000.0).select("key", "segment", "segment_index", "conv_id")
 
 
 EVENT_LINES = "case when event_id % 50 = 0 then 'malformed' when event_id % 41 = 0 then 'no_session' when event_type = 'signup' then 'retry' when event_type = 'error' then 'upstream_error' when event_id % 37 = 0 then 'upstream_error' else 'request' end"
