@@ -235,7 +235,9 @@ def dense_ratio(n_pass: Column, n_f2p: Column, n_ok: Column, n_p2p: Column, time
     return F.when(zero, F.lit(0.0)).otherwise(F.coalesce(n_pass, F.lit(0)) / n_f2p.cast("double"))
 
 
-def step_metrics(rollouts: DataFrame, step: str, reward: str, turns: str, tokens: str, duration: str) -> DataFrame:
+def step_metrics(
+    rollouts: DataFrame, step: str, reward: str, turns: str, tokens: str, duration: str, **options
+) -> DataFrame:
     """Per step: counts, means, maxima and the index percentiles of the duration."""
     sums = rollouts.groupBy(step).agg(
         F.count("*").alias("n"),
@@ -251,7 +253,7 @@ def step_metrics(rollouts: DataFrame, step: str, reward: str, turns: str, tokens
     )
     quantiles = ranks.value_at(
         rollouts, [step], duration,
-        {"duration_p50": ranks.index_round(0.5), "duration_p90": ranks.index_round(0.9)},
+        {"duration_p50": ranks.index_round(0.5), "duration_p90": ranks.index_round(0.9)}, **options,
     )
     return sums.join(quantiles, step, "left").withColumn("resolve_rate", ratio(F.col("n_resolved"), F.col("n")))
 
@@ -317,7 +319,7 @@ def selection_bias(pairs: DataFrame) -> DataFrame:
     )
 
 
-def condition_table(rows: DataFrame, condition: str, cap: int = 40) -> DataFrame:
+def condition_table(rows: DataFrame, condition: str, cap: int = 40, **options) -> DataFrame:
     """Per condition: n, resolved, submitted, resolved of submitted, at the turn cap, median turns, timeouts, empty hints."""
     counts = rows.groupBy(condition).agg(
         F.count("*").alias("n"),
@@ -328,7 +330,7 @@ def condition_table(rows: DataFrame, condition: str, cap: int = 40) -> DataFrame
         F.count_if(truthy(F.col("timed_out"))).alias("n_timeout"),
         F.count_if((F.col("hint_mode") != "none") & (F.coalesce("hint_chars", F.lit(0)) == 0)).alias("n_hint_empty"),
     )
-    middle = ranks.medians(rows, [condition], "n_turns", "median_turns")
+    middle = ranks.medians(rows, [condition], "n_turns", "median_turns", **options)
     return counts.join(middle, condition, "left")
 
 

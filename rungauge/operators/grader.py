@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from rungauge.functions import text as tx
 from rungauge.functions.guards import truthy, violations
 from rungauge.operators.trajectories import REDACTED_KEYS
+from rungauge.shared import cut_lineage
 
 # Fixed values of the test report formats.
 ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
@@ -360,18 +361,31 @@ def gate(planned: DataFrame, results: DataFrame, key: str, step: int) -> DataFra
     read as a score.  Problems are counted by kind; the rows behind them are
     ``gate_problems``.
     """
-    problems = gate_problems(planned, results, key).groupBy("problem").agg(F.count("*").alias("n"))
+    # Judging a row is costly, so what the gate needs of it is written once.
+    facts = cut_lineage(
+        results.select(
+            key,
+            F.col("eval.resolved").alias("resolved"),
+            F.col("eval.timed_out").alias("eval_timed_out"),
+            "timed_out",
+            "smith_rc",
+            "unreadable",
+            F.slice("violations", 1, 1).alias("violations"),
+        ),
+        "gate",
+    )
+    problems = gate_problems(planned, facts, key).groupBy("problem").agg(F.count("*").alias("n"))
     # Kinds of problems are few; ids behind them are not gathered.
     kinds = problems.agg(
         F.array_sort(F.collect_list(F.concat_ws("=", "problem", F.col("n").cast("string")))).alias("problems"),
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_problems"),
     )
     n_expected = planned.agg(F.count("*")).scalar()
-    sums = results.agg(
+    sums = facts.agg(
         F.count("*").alias("n_observed"),
-        F.count_if(truthy(F.col("eval.resolved"))).alias("_r"),
+        F.count_if(truthy(F.col("resolved"))).alias("_r"),
         F.count_if(truthy(F.col("timed_out"))).alias("_t"),
-        F.count_if(truthy(F.col("eval.timed_out"))).alias("_e"),
+        F.count_if(truthy(F.col("eval_timed_out"))).alias("_e"),
         F.count_if(truthy(F.col("smith_rc") == 124)).alias("_o"),
     )
     one = kinds.withColumn("_one", F.lit(1))

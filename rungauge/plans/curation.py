@@ -536,8 +536,8 @@ def _(spark, root):
 @query("u05_merged_predictions", """
 with v as (select l_orderkey as o, case when l_returnflag = 'R' then 1.0 else 0.0 end as r, l_discount * 10 as v from lineitem
            where l_linestatus = 'F' or l_orderkey % 2 = 0), t as (select avg((r - v) * (r - v)) as m from v group by o)
-select count(*) as n, (select count(*) from t) as n_trajectories, round(avg((r - v) * (r - v)), 6) as token_mse,
-       (select round(avg(m), 6) from t) as trajectory_mse, round(1 - var_pop(r - v) / var_pop(r), 6) as explained_variance from v
+select count(*) as n, (select count(*) from t) as n_trajectories, round(avg((r - v) * (r - v)), 9) as token_mse,
+       (select round(avg(m), 9) from t) as trajectory_mse, round(1 - var_pop(r - v) / var_pop(r), 9) as explained_variance from v
 """)
 def _(spark, root):
     from rungauge.operators.evaluation import value_quality
@@ -548,5 +548,5 @@ def _(spark, root):
     second = rows.where("l_linestatus <> 'F' and trajectory % 2 = 0")
     out = value_quality(first.unionByName(second), "trajectory", "reward", "value")
     for c in ("token_mse", "trajectory_mse", "explained_variance"):
-        out = out.withColumn(c, F.round(c, 6))
+        out = out.withColumn(c, F.round(c, 9))
     return out

@@ -377,7 +377,7 @@ def _(spark, root):
         "tokens",
         "price",
     )
-    out = ev.step_metrics(rows, "step", "reward", "n_turns", "tokens", "price")
+    out = ev.step_metrics(rows, "step", "reward", "n_turns", "tokens", "price", at_most=table(spark, root, "orders"))
     for c in ("reward_mean", "turns_mean", "tokens_mean", "resolve_rate"):
         out = out.withColumn(c, F.round(c, 6))
     return out.withColumn("duration_mean", F.round("duration_mean", 6))
@@ -386,14 +386,14 @@ def _(spark, root):
 @query("a29_value_quality", """
 with v as (select l_orderkey as o, case when l_returnflag = 'R' then 1.0 else 0.0 end as r, l_discount * 10 as v
            from lineitem), t as (select avg((r - v) * (r - v)) as m from v group by o)
-select count(*) as n, (select count(*) from t) as n_trajectories, round(avg((r - v) * (r - v)), 6) as token_mse,
-       (select round(avg(m), 6) from t) as trajectory_mse,
-       round(1 - var_pop(r - v) / var_pop(r), 6) as explained_variance from v
+select count(*) as n, (select count(*) from t) as n_trajectories, round(avg((r - v) * (r - v)), 9) as token_mse,
+       (select round(avg(m), 9) from t) as trajectory_mse,
+       round(1 - var_pop(r - v) / var_pop(r), 9) as explained_variance from v
 """)
 def _(spark, root):
     out = ev.value_quality(predictions(spark, root), "trajectory", "reward", "value")
     for c in ("token_mse", "trajectory_mse", "explained_variance"):
-        out = out.withColumn(c, F.round(c, 6))
+        out = out.withColumn(c, F.round(c, 9))
     return out
 
 
@@ -469,7 +469,7 @@ def _(spark, root):
         F.when(F.col("mode") == "5-LOW", "none").otherwise(F.col("mode")).alias("hint_mode"),
         F.col("tokens").alias("hint_chars"),
     )
-    return ev.condition_table(rows, "mode", cap=6)
+    return ev.condition_table(rows, "mode", cap=6, at_most=table(spark, root, "orders"))
 
 
 @query("a36_throughput", """

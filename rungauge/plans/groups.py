@@ -63,7 +63,9 @@ select rollout_id, round(case when reward > 0 then least(1.0, greatest(0.1, budg
 from ({GROUPED}) r left join m on m.uid = r.uid
 """)
 def _(spark, root):
-    out = gr.median_length_reward(b.rollouts(spark, root), ["uid"], "reward", "tokens")
+    # One row per order, whatever the join makes of the size estimate.
+    orders = table(spark, root, "orders")
+    out = gr.median_length_reward(b.rollouts(spark, root), ["uid"], "reward", "tokens", at_most=orders)
     return out.select("rollout_id", F.round("shaped", 6).alias("shaped"))
 
 
@@ -280,8 +282,10 @@ select o.batch, rid, case when "at" <= n_drop then case when z then 'same_reward
 from o join c on c.batch = o.batch
 """)
 def _(spark, root):
-    rows = gr.mark_zero_variance(batches(spark, root), ["batch", "uid"], "score")
-    return bt.drop_to_fit(rows, ["batch"], "rid", "zero_adv", 64, 2).select("batch", "rid", "drop_reason")
+    base = batches(spark, root)
+    rows = gr.mark_zero_variance(base, ["batch", "uid"], "score")
+    out = bt.drop_to_fit(rows, ["batch"], "rid", "zero_adv", 64, 2, at_most=base)
+    return out.select("batch", "rid", "drop_reason")
 
 
 @query("l08_neutral_padding", f"""
