@@ -299,9 +299,9 @@ select o_orderkey as rollout_id, l_shipdate::varchar as last_ship, n from orders
 def _(spark, root):
     # The id is read out of the log's file name.
     logs = table(spark, root, "lineitem").select(
-        F.concat(F.lit("agl-rollout-"), F.col("l_orderkey").cast("string"), F.lit(".log")).alias("file"), "l_shipdate"
+        F.concat(F.lit("rollout-"), F.col("l_orderkey").cast("string"), F.lit(".log")).alias("file"), "l_shipdate"
     )
-    per = logs.withColumn("id", F.regexp_extract("file", r"^agl-rollout-(\d+)\.log$", 1).cast("long")).groupBy("id").agg(
+    per = logs.withColumn("id", F.regexp_extract("file", r"^rollout-(\d+)\.log$", 1).cast("long")).groupBy("id").agg(
         F.max("l_shipdate").alias("last"), F.count("*").alias("n")
     )
     orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("rollout_id"))
