@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungauge.llm import mixing, sharding
+from rungauge.llm import decontamination, mixing, sharding
 from rungauge.llm.registry import query
 from rungauge.session import table
 from rungauge.shared import cut_lineage
@@ -61,3 +61,37 @@ def shard_rows(spark: SparkSession, root: str) -> DataFrame:
     return sharding.sharded(docs, ["doc_id", "text_crc32", "size"], shards=24, seed=10).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+DECONTAMINATION_SQL = r"""
+with docs as (
+  select row_number() over () as row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark),
+windows as (
+  select distinct item_id, least(len(words), 10) as width, words[i : i + 9] as win
+  from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from items where len(words) > 0)),
+spots as (
+  select row, words, width, unnest(range(1, len(words) - width + 2)) as i
+  from docs, (select distinct width from windows) where len(words) >= width),
+found as (
+  select s.row, s.i, s.width, w.item_id from spots s join windows w on w.width = s.width and w.win = s.words[s.i : s.i + s.width - 1]),
+hits as (select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + width)) as p from found) group by 1),
+named as (select row, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct row, cast(item_id as varchar) as id from found) group by 1)
+select d.doc_id, cast(len(d.words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join hits using (row) left join named using (row)
+"""
+
+
+@query("op6_decontaminate", DECONTAMINATION_SQL)
+def decontaminate(spark: SparkSession, root: str) -> DataFrame:
+    """Words of each document that lie in a ten-word window of a benchmark item."""
+    found = decontamination.decontaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated"
+    )
