@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungauge.llm import decontamination, mixing, sharding
+from rungauge.llm import bagminhash, decontamination, mixing, sharding
 from rungauge.llm.registry import query
 from rungauge.session import table
 from rungauge.shared import cut_lineage
@@ -95,3 +95,9 @@ def decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+@query("op7_near_duplicates")
+def near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """Class of near-copies of each document."""
+    return bagminhash.near_duplicates(table(spark, root, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+ROWS = 1 << 15
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 FOLD = np.arange(256, dtype=np.uint8)
@@ -122,6 +123,7 @@ def pieces(batches, size: int = 4 * PIECE, column: str = "text") -> Iterator[tup
         at = 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+            upto = min(upto, at + ROWS)
             low = offsets[at]
             yield batch.slice(at, upto - at), data[low : offsets[upto]], offsets[at : upto + 1] - low
             at = upto
