@@ -26,8 +26,9 @@ from rungauge.shared import cut_lineage
 
 INDEX = "segment long, term long, positions array<int>, key long, first int, n_words int"
 HITS = "segment long, key long, first int, n_words long, runs array<struct<start: int, end: int>>, items array<long>"
+SEGMENT = 2 << 20  # bytes of text in a segment; a longer document is one of its own
 BLOCK_WINDOWS = 200_000  # windows searched at once: 16 MB of terms sent to the tasks
-CANDIDATES = 1 << 21  # candidate starts held at once in a task
+CANDIDATES = 1 << 17  # candidate starts held at once in a task
 
 
 class Phrases:
@@ -67,7 +68,7 @@ def build_index(docs: DataFrame, key: str, vocabulary: np.ndarray | None = None,
 
     def index(batches) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
-        for rows, data, offsets in pieces(batches):
+        for rows, data, offsets in pieces(batches, SEGMENT):
             words = Words(data, offsets)
             at = (np.arange(len(words.hashes)) + words.owner()).astype(np.int32)
             terms = words.hashes
