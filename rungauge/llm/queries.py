@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungauge.llm import bagminhash, decontamination, mixing, sharding
+from rungauge.llm import bagminhash, decontamination, mixing, pii, secret_scan, sharding
 from rungauge.llm.registry import query
 from rungauge.session import table
 from rungauge.shared import cut_lineage
@@ -101,3 +101,24 @@ def decontaminate(spark: SparkSession, root: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     """Class of near-copies of each document."""
     return bagminhash.near_duplicates(table(spark, root, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query("op3_scan_secrets")
+def scan_secrets(spark: SparkSession, root: str) -> DataFrame:
+    """Known secret shapes and random strings in each document."""
+    found = secret_scan.scanned(table(spark, root, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s.kind != "random")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in secret_scan.KINDS], F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("secrets")).alias("spans")
+    )
+
+
+@query("op5_find_personal_data")
+def find_personal_data(spark: SparkSession, root: str) -> DataFrame:
+    """Personal data in each document, by kind and place."""
+    found = pii.detected(table(spark, root, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE + pii.ADDED], F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans")
+    )
