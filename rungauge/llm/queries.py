@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungauge.llm import bagminhash, decontamination, mixing, pii, secret_scan, sharding
+from rungauge.llm import bagminhash, decontamination, mixing, pii, secret_scan, sharding, topk
 from rungauge.llm.registry import query
 from rungauge.session import table
 from rungauge.shared import cut_lineage
@@ -122,3 +122,22 @@ def find_personal_data(spark: SparkSession, root: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k) for k in pii.BASE + pii.ADDED], F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans")
     )
+
+
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) as score
+  from v q join v on q.vec_id % 100 = 0 and v.vec_id <> q.vec_id),
+ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
+@query("op8_top_k", TOP_K_SQL)
+def top_k(spark: SparkSession, root: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
+    return topk.top_k(topk.quantised(table(spark, root, "embeddings")))
