@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungauge.llm import bagminhash, decontamination, mixing, pii, secret_scan, sharding, topk
+from rungauge.llm import bagminhash, decontamination, mixing, pii, secret_scan, sharding, topk, url_rules
 from rungauge.llm.registry import query
 from rungauge.session import table
 from rungauge.shared import cut_lineage
@@ -141,3 +141,9 @@ select query_id, rank, vec_id, score from ranked where rank <= 10
 def top_k(spark: SparkSession, root: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector."""
     return topk.top_k(topk.quantised(table(spark, root, "embeddings")))
+
+
+@query("op4_filter_urls")
+def filter_urls(spark: SparkSession, root: str) -> DataFrame:
+    """Verdict on each page's url by fixed and mined rules."""
+    return url_rules.judged(table(spark, root, "pages").select("page_id", "url")).drop("url")
