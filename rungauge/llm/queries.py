@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungauge.llm import bagminhash, decontamination, mixing, pii, secret_scan, sharding, topk, url_rules
+from rungauge.llm import bagminhash, decontamination, lm_scoring, mixing, pii, secret_scan, sharding, topk, toxicity, url_rules
 from rungauge.llm.registry import query
+from rungauge.llm.sides import held_out
 from rungauge.session import table
 from rungauge.shared import cut_lineage
 
@@ -147,3 +148,19 @@ def top_k(spark: SparkSession, root: str) -> DataFrame:
 def filter_urls(spark: SparkSession, root: str) -> DataFrame:
     """Verdict on each page's url by fixed and mined rules."""
     return url_rules.judged(table(spark, root, "pages").select("page_id", "url")).drop("url")
+
+
+@query("op1_score_toxicity")
+def score_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity of each document by matched clauses."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, table(spark, root, "labels"))
+    found = toxicity.scored(docs, model).drop("text")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"), "clauses")
+
+
+@query("op9_score_language")
+def score_language(spark: SparkSession, root: str) -> DataFrame:
+    """Cross-entropy difference of each document: texts labelled good against all others."""
+    wanted = table(spark, root, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.scored(table(spark, root, "documents"), wanted).withColumn("held_out", held_out(F.col("doc_id")))

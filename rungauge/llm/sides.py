@@ -1,0 +1,18 @@
+"""Joins with a side that is sent whole only when it is small enough."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SENT_ROWS = 2_000_000  # narrow rows of a broadcast side: some tens of MB
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """The side marked for broadcast when it has at most ``rows`` rows; else as it is, for a shuffled join.  ``df`` must be narrow."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def held_out(key: Column) -> Column:
+    """Whether a row is kept from training: crc32 of its id as text leaves 1 modulo 3."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
