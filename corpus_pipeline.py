@@ -13,6 +13,9 @@ from rungauge.shared import fresh_folder
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", stages.drop_toxic),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("decontamination", stages.drop_contaminated),
     ("mixing", stages.mix),
     ("sharding", stages.shard),
 ]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungauge.llm.components import components
+from rungauge.llm.sides import sent_if_small
 from rungauge.llm.words import GOLDEN, Words, combined, mix, pieces
 from rungauge.shared import cut_lineage
 
@@ -205,6 +206,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     members = cut_lineage(spread.join(shared, "bucket"), "buckets")
     wanted = members.select("node").distinct()
     keys = signed.groupBy("node").agg(F.min("key").alias("wanted_key")).join(wanted, "node", "left_semi").select("wanted_key").distinct()
+    keys = sent_if_small(cut_lineage(keys, "wanted"))
     texts = source.join(keys, F.col("key").eqNullSafe(F.col("wanted_key")), "left_semi").select("text")
     sets = cut_lineage(_multisets(texts).dropDuplicates(["node"]), "multisets")
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungauge.llm.sides import held_out
@@ -192,8 +192,11 @@ def learned(rows: DataFrame, terms: int = TERMS) -> Lexicon:
     it is as pure as they are.
     """
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}'’]+")), lambda w: F.length(w) >= 3)
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in STEMS]
-    exploded = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("term"))
+
+    def beginnings(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
+
+    exploded = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, *[beginnings(n) for n in STEMS]))).alias("term"))
     counts = exploded.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     size = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     seeds = dict.fromkeys(INSULTS.split(), SEED_WEIGHT)
