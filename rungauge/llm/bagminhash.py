@@ -10,9 +10,12 @@ weighted Jaccard similarity, and a shingle with weight w costs log w processes.
 Processes run in rounds until the next point can't lower any component.
 
 Equal multisets are one node.  Nodes that agree in a band of components share a
-bucket; a bucket's hubs are compared with its members, links merge classes, and
-hubs are taken anew until no bucket holds two classes with uncompared members.
-So no bucket is expanded into all its pairs, and none is cut.
+bucket; buckets that share a node form a cluster.  A cluster of bounded size is
+resolved in one task, a larger one bucket by bucket, and a bucket that is itself
+too large by pairs of blocks.  A task counts the shingles that one node, its hub,
+shares with all others, links those that overlap enough, and goes on with the next
+hub outside the largest class, until no two classes have uncompared members.  It
+emits the links that merge classes, fewer than it has members.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rungauge.llm.components import components
@@ -33,7 +36,8 @@ from rungauge.shared import cut_lineage
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
-HUBS = 8  # hubs of a bucket in a later round
+LOAD, MEMBERS = 2_000_000, 4096  # shingles and nodes that one task resolves
+POSTINGS = 1 << 20  # counted at once
 BITS = np.uint64(48)  # of a shingle's hash; the piece's document number stands above them
 
 
@@ -137,52 +141,67 @@ def _unpacked(shingles: pa.Scalar) -> np.ndarray:
     return np.pad(raw, ((0, 0), (0, 2))).view(np.uint64).ravel()
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted lists with repeats."""
-    values, at = np.unique(a, return_index=True)
-    weights = np.diff(np.append(at, len(a)))
-    others, at = np.unique(b, return_index=True)
-    other_weights = np.diff(np.append(at, len(b)))
-    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
-    common = int(np.minimum(weights[i], other_weights[j]).sum())
-    return common / (len(a) + len(b) - common)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b with ``linked``: whether their multisets overlap enough."""
-
-    def verify(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            linked = [overlap(_unpacked(x[i]), _unpacked(y[i])) >= threshold for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
-
-
-def _candidates(members: DataFrame, labels: DataFrame | None, hubs: DataFrame | None, tested: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The next hubs (bucket, node) and the pairs they still have to be compared in."""
-    rows = members if labels is None else members.join(labels, "node", "left")
-    rows = rows.withColumn("label", F.coalesce(F.col("label"), F.col("node")) if labels is not None else F.col("node"))
-    if hubs is None:  # all are classes of their own yet: the least node of each bucket is its hub
-        chosen = rows.groupBy("bucket").agg(F.min(F.struct("node", "label", "size")).alias("hub")).select("bucket", "hub.*")
-    else:
-        rows = rows.join(hubs.withColumn("was", F.lit(True)), ["bucket", "node"], "left")
-        open_rows = rows.filter(F.col("was").isNull())
-        per_label = open_rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        busy = per_label.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).filter(F.col("labels") > 1)
-        # Members of all classes but the one with most uncompared ones; small classes first.
-        waiting = open_rows.join(busy.select("bucket", F.col("most.label").alias("rest")), "bucket").filter(F.col("label") != F.col("rest"))
-        order = Window.partitionBy("bucket").orderBy("node")
-        chosen = waiting.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= HUBS).select("bucket", "node", "label", "size")
-    chosen = cut_lineage(chosen, "hubs")
-    hub = chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"))
-    near = rows.select("bucket", "node", "label", "size").join(hub, "bucket").filter(F.col("label") != F.col("hub_label"))
-    near = near.filter(F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size"))
-    pairs = near.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    return chosen.select("bucket", "node"), pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+class Overlaps:
+    """Overlaps of some multisets, counted by postings of the shingles that several of them hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        values = np.concatenate(sets)
+        fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])
+        begins = np.flatnonzero(fresh)
+        nth = np.arange(len(values)) - np.repeat(begins, np.diff(np.append(begins, len(values))))
+        # The second occurrence of a shingle in a set is an element of its own, and so on.
+        _, codes, held = np.unique(mix(values + nth.astype(np.uint64) * GOLDEN), return_inverse=True, return_counts=True)
+        shared = held[codes] > 1
+        self.codes, owner = codes[shared], owner[shared]
+        self.first = np.searchsorted(owner, np.arange(len(sets) + 1))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=len(held)))])
+        self.postings = owner[np.argsort(self.codes, kind="stable")]
+
+    def similarities(self, hub: int) -> np.ndarray:
+        """Weighted Jaccard similarity of one set to all."""
+        codes = self.codes[self.first[hub] : self.first[hub + 1]]
+        common = np.zeros(len(self.sizes), np.int64)
+        lengths = self.starts[codes + 1] - self.starts[codes]
+        upto, at = np.cumsum(lengths), 0
+        while at < len(codes):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + POSTINGS, side="right")))
+            n = lengths[at:stop]
+            places = np.repeat(self.starts[codes[at:stop]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common += np.bincount(self.postings[places], minlength=len(common))
+            at = stop
+        return common / (self.sizes + self.sizes[hub] - common)
+
+
+def resolved(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the sets into the classes of their similarity graph."""
+    overlaps = Overlaps(sets)
+    label = np.arange(len(sets))
+    waiting = np.ones(len(sets), bool)
+    links = []
+    while True:
+        open_labels = np.bincount(label[waiting], minlength=len(sets))
+        if (open_labels > 0).sum() < 2:
+            return links
+        hub = int(np.flatnonzero(waiting & (label != open_labels.argmax()))[0])
+        waiting[hub] = False
+        near = np.flatnonzero((overlaps.similarities(hub) >= threshold) & (label != label[hub]))
+        _, one = np.unique(label[near], return_index=True)
+        links += [(hub, int(i)) for i in near[one]]
+        label[np.isin(label, label[near])] = label[hub]
+
+
+def _linked(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Links a, b inside each group of rows (node, shingles)."""
+
+    def link(group: pa.Table) -> pa.Table:
+        nodes, place = np.unique(group.column("node").to_numpy(), return_index=True)
+        shingles = group.column("shingles").combine_chunks()
+        links = resolved([_unpacked(shingles[i]) for i in place], threshold) if len(nodes) > 1 else []
+        return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.int64()), "b": pa.array([nodes[j] for _, j in links], pa.int64())})
+
+    return rows.groupBy(*by).applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -201,37 +220,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     signed = cut_lineage(_signed(source), "signatures")
     nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    spread = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket")
-    members = cut_lineage(spread.join(shared, "bucket"), "buckets")
-    wanted = members.select("node").distinct()
-    keys = signed.groupBy("node").agg(F.min("key").alias("wanted_key")).join(wanted, "node", "left_semi").select("wanted_key").distinct()
+    spread = cut_lineage(nodes.select("node", "key", "size", F.explode("bands").alias("bucket")), "bands")
+    buckets = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    members = cut_lineage(spread.join(buckets, "bucket").select("bucket", "least", "node", "key", "size"), "buckets")
+    clusters = components(members.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    keys = members.select(F.col("key").alias("wanted_key")).distinct()
     keys = sent_if_small(cut_lineage(keys, "wanted"))
     texts = source.join(keys, F.col("key").eqNullSafe(F.col("wanted_key")), "left_semi").select("text")
-    sets = cut_lineage(_multisets(texts).dropDuplicates(["node"]), "multisets")
-
-    labels = hubs = tested = None
-    while True:
-        fresh_hubs, pairs = _candidates(members, labels, hubs, tested, threshold)
-        if fresh_hubs.isEmpty():
-            break
-        result = cut_lineage(_verified(pairs, sets, threshold), "verified")
-        hubs = fresh_hubs if hubs is None else hubs.unionByName(fresh_hubs)
-        tested = result if tested is None else tested.unionByName(result)
-        links = result.filter("linked").select("a", "b")
-        if labels is None:
-            labels = components(links)
-        elif not links.isEmpty():
-            old = labels
-            known = lambda side: F.coalesce(F.col(f"{side}_label"), F.col(side))
-            ends = links.join(old.select(F.col("node").alias("a"), F.col("label").alias("a_label")), "a", "left")
-            ends = ends.join(old.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b", "left")
-            merged = components(ends.select(known("a").alias("a"), known("b").alias("b")))
-            moved = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            renamed = old.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = cut_lineage(renamed.unionByName(merged.join(renamed.select("node"), "node", "left_anti")), "labels")
-    own = signed.select("key", "node", "size")
-    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = cut_lineage(_multisets(texts).dropDuplicates(["node"]).join(clusters, "node").withColumn("size", F.length("shingles") / 6), "multisets")
+
+    loads = cut_lineage(sets.groupBy("label").agg(F.sum("size").alias("load"), F.count("*").alias("n")), "loads")
+    small = (F.col("load") <= LOAD) & (F.col("n") <= MEMBERS)
+    links = _linked(sets.join(loads.filter(small).select("label"), "label", "left_semi").select("label", "node", "shingles"), ["label"], threshold)
+    if not loads.filter(~small).isEmpty():
+        large = sets.join(loads.filter(~small).select("label"), "label", "left_semi").select("node", "size", "shingles")
+        rows = members.select("bucket", "node").join(large, "node")
+        loads = rows.groupBy("bucket").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
+        blocks = F.ceil(F.greatest(F.col("load") / LOAD, F.col("n") / MEMBERS) * 2).cast("int")
+        rows = rows.join(loads.select("bucket", F.when(small, 1).otherwise(blocks).alias("blocks")), "bucket")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+        links = links.unionByName(_linked(rows, ["bucket", "i", "j"], threshold))
+    labels = components(links)
+    own = signed.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.filter(F.col("node").isNotNull()).groupBy(F.col("label").alias("of")).agg(F.min("key").alias("least"))
     return own.join(least, F.col("label") == F.col("of"), "left").select(
         F.col("key").alias(key), F.coalesce("least", "key").alias("class_id"), F.col("size").alias("n_shingles")
