@@ -78,8 +78,9 @@ class Bags:
         streams = [(owner, seed, np.ones(len(owner)), np.zeros(len(owner), np.int64), weight)]
         low = 1
         while (heavy := weight > low).any():  # the next dyadic interval (low, 2 low] of those that reach into it
-            owner, seed, weight = owner[heavy], mix(seed[heavy] + GOLDEN), weight[heavy]
-            streams.append((owner, seed, np.full(len(owner), float(low)), np.full(len(owner), low), weight))
+            owner, seed, weight = owner[heavy], seed[heavy], weight[heavy]
+            seeds = mix(seed ^ np.uint64(low))  # of its own: a stream's later draws must not be another's first
+            streams.append((owner, seeds, np.full(len(owner), float(low)), np.full(len(owner), low), weight))
             low *= 2
         owner, seed, rate, base, weight = (np.concatenate(x) for x in zip(*streams))
         time = np.zeros(len(owner))

@@ -26,6 +26,7 @@ from rungauge.shared import cut_lineage
 
 INDEX = "segment long, term long, positions array<int>, key long, first int, n_words int"
 HITS = "segment long, key long, first int, n_words long, runs array<struct<start: int, end: int>>, items array<long>"
+NO_ID = np.iinfo(np.int64).min  # stands for the null id of an item inside the arrays
 SEGMENT = 2 << 20  # bytes of text in a segment; a longer document is one of its own
 BLOCK_WINDOWS = 200_000  # windows searched at once: 16 MB of terms sent to the tasks
 CANDIDATES = 1 << 17  # candidate starts held at once in a task
@@ -34,17 +35,17 @@ CANDIDATES = 1 << 17  # candidate starts held at once in a task
 class Phrases:
     """Windows of test items: ``terms`` (their ranks in ``vocabulary``), -1 beyond a short window's ``lengths``."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         rows, owners, lengths = [], [], []
         for item, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             hashes = Words(data, np.array([0, len(data)])).hashes
-            if item is None or not len(hashes):
+            if not len(hashes):
                 continue
             n = min(width, len(hashes))
             windows = np.lib.stride_tricks.sliding_window_view(hashes, n)
             rows.append(np.pad(windows, ((0, 0), (0, width - n))))
-            owners.append(np.full(len(windows), item, np.int64))
+            owners.append(np.full(len(windows), NO_ID if item is None else item, np.int64))
             lengths.append(np.full(len(windows), n, np.int32))
         self.hashes = np.concatenate(rows) if rows else np.zeros((0, width), np.uint64)
         self.owners = np.concatenate(owners) if rows else np.zeros(0, np.int64)
@@ -171,7 +172,7 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                 docs.column("first"),
                 pa.array(n_words),
                 pa.ListArray.from_arrays(pa.array(np.searchsorted(run_of, edges), pa.int32()), runs),
-                pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], edges), pa.int32()), pa.array(found[:, 1], pa.int64())),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], edges), pa.int32()), pa.array(found[:, 1], pa.int64(), mask=found[:, 1] == NO_ID)),
             ],
             names=["segment", "key", "first", "n_words", "runs", "items"],
         )
@@ -194,8 +195,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", w
     """``key``, ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``contaminated`` of each document.
 
     A window is ``width`` consecutive words of a benchmark item; an item with
-    fewer words is one window, an item without words or without id is none.  A
-    document word inside an occurrence is hit.  A null or empty text has no words
+    fewer words is one window, an item without words is none; items without id
+    are one item with a null id.  A document word inside an occurrence is hit.  A null or empty text has no words
     and is clean; repeated rows are judged each for itself; empty tables give no
     hits or no rows.
 
