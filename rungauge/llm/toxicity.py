@@ -80,6 +80,7 @@ REPORT = Transducer({("", "report"): ("told", "report", 0.0), ("told", "insult")
 TARGET = Transducer({
     ("", "target"): ("aimed", "target", 0.0),
     ("aimed", "insult"): ("aimed", "insult", math.log(2.0)),
+    ("aimed", "report"): ("", "report", 0.0),  # who speaks is not who is meant
     ("", "insult"): ("open", "insult", 0.0),
     ("open", "target"): ("aimed", "struck", math.log(0.5)),  # an insult first, then its target: half of one more
 })
