@@ -165,3 +165,31 @@ def estimated_tokens(text: Column) -> Column:
 
 def clip_note(omitted: Column) -> Column:
     return F.concat(F.lit("...[truncated "), omitted.cast("string"), F.lit(" chars: tool output limit]"))
+
+
+def bare_json(text: Column) -> Column:
+    """JSON text with its strings emptied, so that brackets and commas are only structure."""
+    return F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', '""')
+
+
+def json_depth(text: Column) -> Column:
+    """How much deeper a piece of JSON text ends than it begins."""
+    bare = bare_json(text)
+    return F.length(F.regexp_replace(bare, r"[^{\[]", "")) - F.length(F.regexp_replace(bare, r"[^}\]]", ""))
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether a text is one JSON object from its first character to its last, without repeated keys.
+
+    A parser that stops after the first value does not see what follows it, so
+    the brackets are followed: they may close to nothing once, at the end.
+    """
+    brackets = F.regexp_extract_all(bare_json(text), F.lit(r"[{}\[\]]"), F.lit(0))
+
+    def follow(state: Column, b: Column) -> Column:
+        depth = state["depth"] + F.when(b.isin("{", "["), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), (state["closed"] + (depth == 0).cast("int")).alias("closed"))
+
+    end = F.aggregate(brackets, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed")), follow)
+    shape = strip(text).startswith("{") & strip(text).endswith("}")
+    return F.coalesce(shape & F.try_parse_json(text).isNotNull() & (end["depth"] == 0) & (end["closed"] == 1), F.lit(False))

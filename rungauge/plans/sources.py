@@ -22,27 +22,31 @@ def written(spark, df, label: str) -> str:
 
 
 @query("s01_task_scan", """
-select 'd' || doc_id as instance_id, length(text) as n_chars, lang as repo, case doc_id % 3 when 0 then 2 else 1 end::bigint as n_f2p,
-  case doc_id % 3 when 0 then 'a::1 b::2' when 1 then 'x::y' else 'bare::t' end as f2p, 0::bigint as n_p2p from documents
+select case when doc_id % 37 = 5 or doc_id % 31 = 4 then null else 'd' || doc_id end as instance_id, case when doc_id % 37 <> 5 then length(text) end as n_chars,
+  case when doc_id % 37 <> 5 then lang end as repo, (case when doc_id % 37 = 5 then 0 when doc_id % 3 = 0 then 2 else 1 end)::bigint as n_f2p,
+  case when doc_id % 37 = 5 then '' when doc_id % 3 = 0 then 'a::1 b::2' when doc_id % 3 = 1 then 'x::y' else 'bare::t' end as f2p, 0::bigint as n_p2p, doc_id % 37 = 5 as malformed from documents
 """)
 def _(spark, root):
     i = F.col("doc_id")
     body = F.to_json(
         F.struct(
-            F.concat(F.lit("d"), i.cast("string")).alias("instance_id"), F.col("text").alias("problem_statement"),
+            F.when(i % 31 != 4, F.concat(F.lit("d"), i.cast("string"))).alias("instance_id"), F.col("text").alias("problem_statement"),
             F.col("source").alias("image_name"), F.col("lang").alias("repo"),
         )
     )
-    # A list, a list as JSON text, or one bare text; every 40th line is followed by a blank one.
+    # A list, a list as JSON text, or one bare text; every 40th line is followed by a blank one; some are cut, some lack their id.
     f2p = F.when(i % 3 == 0, '["a::1","b::2"]').when(i % 3 == 1, '"[\\"x::y\\"]"').otherwise('"bare::t"')
-    line = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"FAIL_TO_PASS":'), f2p, F.lit("}"))
+    whole = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"FAIL_TO_PASS":'), f2p, F.lit("}"))
+    line = F.when(i % 37 == 5, F.expr("substring(j, 1, length(j) - 1)")).otherwise(whole)
     lines = spread_table(spark, root, "documents", "doc_id").withColumn("j", body).select(
         F.explode(F.when(i % 40 == 0, F.array(line, F.lit(""))).otherwise(F.array(line))).alias("value")
     )
-    tasks = rd.read_tasks(spark, written(spark, lines, "tasks"), "documents")
+    tasks = rd.scan_tasks(spark, written(spark, lines, "tasks"), "documents")
+    sound = lambda c: F.when(~F.col("malformed"), c)
     return tasks.select(
-        "instance_id", F.length("problem_statement").alias("n_chars"), "repo", F.size("FAIL_TO_PASS").cast("long").alias("n_f2p"),
-        F.array_join("FAIL_TO_PASS", " ").alias("f2p"), F.size("PASS_TO_PASS").cast("long").alias("n_p2p"),
+        sound(F.col("instance_id")).alias("instance_id"), sound(F.length("problem_statement")).alias("n_chars"), sound(F.col("repo")).alias("repo"),
+        F.coalesce(sound(F.size("FAIL_TO_PASS")), F.lit(0)).cast("long").alias("n_f2p"), F.coalesce(sound(F.array_join("FAIL_TO_PASS", " ")), F.lit("")).alias("f2p"),
+        F.size("PASS_TO_PASS").cast("long").alias("n_p2p"), "malformed",
     )
 
 
@@ -51,18 +55,19 @@ RESULT_SCHEMA = "resolved boolean, n_turns int"
 
 @query("s03_result_folders", """
 with n as (select s_nationkey as k, count(*) as c, sum(s_suppkey)::bigint as s from supplier group by 1)
-select r.run, k::varchar as instance_id, case when k % 7 <> 0 then (s + r.n) % 3 = 0 end as resolved, case when k % 7 <> 0 then c end::int as n_turns, k % 7 = 0 as unreadable
+select r.run, k::varchar as instance_id, case when k % 5 < 1 or k % 5 > 3 then null else (s + r.n) % 3 = 0 end as resolved, case when k % 5 between 1 and 3 then c end::int as n_turns, k % 5 not between 1 and 3 as unreadable
 from n, (values ('base', 0), ('probe', 1)) r(run, n)
 """)
 def _(spark, root):
-    # One result file per run and nation, made from the nation's suppliers; every seventh is cut short.
+    # One result file per run and nation, made from the nation's suppliers; some are cut, followed by a second object, an array, or empty.
     per = table(spark, root, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("c"), F.sum("s_suppkey").alias("s"))
     runs = F.explode(F.array(F.struct(F.lit("base").alias("run"), F.lit(0).alias("n")), F.struct(F.lit("probe").alias("run"), F.lit(1).alias("n"))))
     rows = per.select("k", "c", "s", runs.alias("r"))
     good = F.concat(
         F.lit('{"resolved": '), ((F.col("s") + F.col("r.n")) % 3 == 0).cast("string"), F.lit(',\n "n_turns": '), F.col("c").cast("string"), F.lit("}")
     )
-    text = F.when(F.col("k") % 7 == 0, F.lit('{"resolved": tr')).otherwise(good)
+    cut = F.when(F.col("k") % 2 == 0, F.lit('{"resolved": tr')).otherwise(F.concat(good, good))
+    text = F.when(F.col("k") % 5 == 0, cut).when(F.col("k") % 5 == 4, F.concat(F.lit("["), good, F.lit("]"))).otherwise(good)
     path = fresh_folder(spark, "results")
     rows.select(F.col("r.run").alias("run"), F.col("k").alias("instance"), text.alias("value")).repartition("run", "instance").write.partitionBy(
         "run", "instance"
@@ -229,15 +234,16 @@ select doc_id % 17 = 0 as bad, count(*) as n, cast(sum(case when doc_id % 17 = 0
 from documents group by 1
 """)
 def _(spark, root):
-    # Rows broken between tokens are joined again; a cut row is bad and harms no other.
+    # Records broken between tokens, by either line end, with their fields in either order, are joined again; a cut one is bad and harms no other.
     i = F.col("doc_id")
-    whole = F.concat(
-        F.lit('{"doc_id": '), i.cast("string"), F.when(i % 3 == 0, ",\n\n").otherwise(", "), F.lit('"text": '),
-        F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)"), F.when(i % 5 == 0, "\n}").otherwise("}"),
-    )
-    line = F.when(i % 17 == 0, F.concat(F.lit('{"doc_id": '), i.cast("string"), F.lit(', "text": '))).otherwise(whole)
+    text = F.concat(F.lit('"text": '), F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)"))
+    number = F.concat(F.lit('"doc_id": '), i.cast("string"))
+    gap = F.when(i % 3 == 0, ",\n\n").when(i % 3 == 1, ",\r\n ").otherwise(", ")
+    end = F.when(i % 5 == 0, "\n}").otherwise("}")
+    whole = F.concat(F.lit("{"), F.when(i % 2 == 0, F.concat(number, gap, text)).otherwise(F.concat(text, gap, number)), end)
+    line = F.when(i % 17 == 0, F.concat(F.lit("{"), number, F.lit(', "text": '))).otherwise(whole)
     path = written(spark, spread_table(spark, root, "documents", "doc_id").select(line.alias("value")), "broken")
-    out = rd.read_broken_json(spark, path, "doc_id long, text string", '{"doc_id"')
+    out = rd.read_broken_json(spark, path, "doc_id long, text string", record_start="{")
     return out.groupBy("bad").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("doc_id"))).alias("id_sum"),
         F.sum(F.when(F.col("bad"), 0).otherwise(F.length("text"))).cast("long").alias("n_chars"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rungauge.functions import text as tx
+from rungauge.functions.ordered import running
 from rungauge.functions.rows import keep_first, keep_last
 
 TASK_FIELDS = (
@@ -73,38 +75,54 @@ def list_text(value: Column) -> Column:
     return F.when(value.startswith('"'), unquoted).otherwise(value)
 
 
-def read_tasks(spark: SparkSession, path: str | list[str], source: str | None = None) -> DataFrame:
-    """Task table from JSON lines: fixed fields, list columns as arrays, source and id added."""
-    raw = spark.read.schema(TASK_FIELDS).json(path).where(F.col("instance_id").isNotNull())
-    out = raw.withColumn("FAIL_TO_PASS", text_list(F.col("FAIL_TO_PASS"))).withColumn(
-        "PASS_TO_PASS", text_list(F.col("PASS_TO_PASS"))
-    )
+def scan_tasks(spark: SparkSession, path: str | list[str], source: str | None = None) -> DataFrame:
+    """Task table from JSON lines, every line that is not blank: ``malformed`` ones keep their ``line`` and have no fields.
+
+    Fixed fields, list columns as arrays, source and id added; a row without id stays.
+    """
+    fields = T.StructType.fromDDL(TASK_FIELDS + ", _corrupt_record string")
+    lines = spark.read.text(path).where(F.length(tx.strip(F.col("value"))) > 0)
+    parsed = F.from_json("value", fields, {"columnNameOfCorruptRecord": "_corrupt_record"})
     origin = F.lit(source) if source else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return require_rows(
-        out.withColumn("data_source", origin).withColumn("data_id", F.col("instance_id")), str(path)
-    )
+    raw = lines.select(parsed.alias("row"), origin.alias("data_source")).select("row.*", "data_source")
+    out = raw.withColumns({c: text_list(F.col(c)) for c in ("FAIL_TO_PASS", "PASS_TO_PASS")})
+    out = out.withColumn("malformed", F.col("_corrupt_record").isNotNull()).withColumnRenamed("_corrupt_record", "line")
+    return require_rows(out.withColumn("data_id", F.col("instance_id")), str(path))
+
+
+def read_tasks(spark: SparkSession, path: str | list[str], source: str | None = None) -> DataFrame:
+    """The rows of ``scan_tasks``; a malformed line fails the job that meets it, and says which."""
+    rows = scan_tasks(spark, path, source)
+    problem = F.concat(F.lit("malformed task line: "), F.left("line", F.lit(200)))
+    sound = F.when(F.col("malformed"), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(sound).drop("malformed", "line")
 
 
 def read_results(spark: SparkSession, root: str, schema: str, key_pattern: str) -> DataFrame:
-    """One result file per run and instance; keys come from the folder names.
+    """One row per result file, whatever it holds; keys come from the folder names.
 
     ``key_pattern`` has two groups, run and instance.  ``unreadable`` marks files
-    that are no JSON object: the lenient caller filters them, the gate reports them.
+    that are not one JSON object of the schema: empty, cut, followed by something
+    else, an array, a repeated key.  The lenient caller filters them, the gate
+    reports them.  Empty files have no content to scan, so they are taken from
+    the file listing that the scan makes anyway.
     """
     fields = T.StructType.fromDDL(schema + ", _corrupt_record string")
-    raw = (
-        spark.read.schema(fields)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(root)
-        .withColumn("_path", F.col("_metadata.file_path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    text = F.col("content").cast("string")
+    read = files.select("path", text.alias("text")).withColumn("sound", tx.is_json_object(F.col("text")))
+    parsed = F.from_json(F.when(F.col("sound"), F.col("text")), fields, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    names = [f.name for f in fields if f.name != "_corrupt_record"]
+    bad = ~F.col("sound") | F.col("row._corrupt_record").isNotNull()
+    rows = read.select("path", "sound", parsed.alias("row")).select("path", *[F.when(~bad, F.col(f"row.{n}")).alias(n) for n in names], bad.alias("unreadable"))
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "listed string")
+    clean = F.regexp_replace("path", "^file:/+", "file:/")
+    found = rows.withColumn("path", clean).join(
+        listed.withColumn("listed", F.regexp_replace("listed", "^file:/+", "file:/")), F.col("path") == F.col("listed"), "full"
     )
-    return (
-        raw.withColumn("run", F.regexp_extract("_path", key_pattern, 1))
-        .withColumn("instance_id", F.regexp_extract("_path", key_pattern, 2))
-        .withColumn("unreadable", F.col("_corrupt_record").isNotNull())
-        .drop("_corrupt_record", "_path")
+    at = F.coalesce("path", "listed")
+    return found.select(
+        *names, F.regexp_extract(at, key_pattern, 1).alias("run"), F.regexp_extract(at, key_pattern, 2).alias("instance_id"), F.coalesce("unreadable", F.lit(True)).alias("unreadable")
     )
 
 
@@ -332,36 +350,53 @@ def archive_records(files: DataFrame, logical_pattern: str) -> DataFrame:
     return keep_first(named, ["logical_name"], ["is_gz", "path"])
 
 
-def read_broken_json(
-    spark: SparkSession, path: str, schema: str, record_start: str, max_chars: int = 8_000_000
-) -> DataFrame:
-    """JSON rows that may span several lines; ``bad`` marks those that do not parse.
+def read_broken_json(spark: SparkSession, path: str, schema: str, record_start: str | None = None, max_chars: int = 8_000_000) -> DataFrame:
+    """JSON objects that may span several lines, fields in any order; every line ends up in one row.
 
-    ``record_start`` is the text every record begins a line with.  The text scan
-    splits on it, so files are still read in parallel, and a bad record does not
-    swallow its neighbours.
+    A string holds no line break, so each line's change of bracket depth is its
+    own, and a record ends where the running depth of its file is back at
+    nothing.  ``bad`` rows are records that do not parse as one object; they keep
+    their ``text``.  A record that was cut never closes: it takes what follows
+    with it, as the sequential reader would, up to ``max_chars`` at a time, or
+    up to the next line that begins with ``record_start`` when one is given.
     """
-    marker = "\n" + record_start
-    pieces = spark.read.option("lineSep", marker).text(path)
-    record = F.when(F.col("value").startswith(record_start), F.col("value")).otherwise(
-        F.concat(F.lit(record_start), F.col("value"))
-    )
-    return join_broken_json(pieces.select(record.alias("value")), schema, max_chars)
+    lines = read_lines(spark, path).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    return join_broken_json(lines.where(F.length(tx.strip(F.col("value"))) > 0), schema, record_start, max_chars)
 
 
-def join_broken_json(records: DataFrame, schema: str, max_chars: int = 8_000_000) -> DataFrame:
-    """Parses records; a blank one is dropped, an oversized or unparseable one is bad."""
-    parsed = T.StructType.fromDDL(schema + ", _corrupt_record string")
-    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    rows = records.where(F.length(tx.strip(F.col("value"))) > 0).withColumn(
-        "_j", F.from_json("value", parsed, options)
+def join_broken_json(
+    lines: DataFrame, schema: str, record_start: str | None = None, max_chars: int = 8_000_000, file: str = "file", order: Sequence[str] = ("block", "line")
+) -> DataFrame:
+    """The records of ordered lines (``value``): parsed fields, ``bad``, and the ``text`` of bad ones."""
+    narrow = lines.select(
+        file, *order, "value", tx.json_depth(F.col("value")).cast("long").alias("_d"), (F.length("value") + 1).cast("long").alias("_n"),
+        (F.col("value").startswith(record_start) if record_start else F.lit(False)).cast("long").alias("_start"),
     )
-    bad = (
-        F.col("_j").isNull()
-        | F.col("_j._corrupt_record").isNotNull()
-        | (F.length("value") > max_chars)
+    at = list(order)
+    rows = running(narrow, [file], at, {"_part": ("sum", F.col("_start")), "_depth": ("sum", F.col("_d")), "_chars": ("sum", F.col("_n"))}, F.col(at[-1]).cast("double"))
+    # A line that may begin a record sets the depth back; without such lines the file is one part.
+    rows = rows.withColumn("_before", F.col("_depth") - F.col("_d"))
+    base = rows.where("_start = 1").select(F.col(file).alias("_f"), F.col("_part").alias("_p"), F.col("_before").alias("_base"))
+    rows = rows.join(base, (F.col(file) == F.col("_f")) & (F.col("_part") == F.col("_p")), "left").withColumn("_base", F.coalesce("_base", F.lit(0)))
+    rows = rows.withColumn("_ends", (F.col("_depth") <= F.col("_base")).cast("long")).select(file, *at, "value", "_n", "_chars", "_part", "_ends")
+    rows = running(rows, [file], at, {"_closed": ("sum", F.col("_ends"))}, F.col(at[-1]).cast("double")).withColumn("_record", F.col("_closed") - F.col("_ends"))
+    first = rows.groupBy(file, "_part", "_record").agg(F.min(F.col("_chars") - F.col("_n")).alias("_from"), F.sum("_n").alias("_size"))
+    keys = [F.col(file).alias("_f"), F.col("_part").alias("_p"), F.col("_record").alias("_r"), "_from", "_size", F.col("_ends_well").alias("_well")]
+    ended = rows.groupBy(file, "_part", "_record").agg(F.max("_ends").alias("_ends_well"))
+    first = first.join(ended, [file, "_part", "_record"]).select(*keys)
+    same = (F.col(file) == F.col("_f")) & (F.col("_part") == F.col("_p")) & (F.col("_record") == F.col("_r"))
+    # Only what never closes is cut: a whole record is one value, however long.
+    piece = F.when(F.col("_well") == 1, F.lit(0)).otherwise(F.floor((F.col("_chars") - F.col("_n") - F.col("_from")) / max_chars))
+    rows = rows.join(first, same).withColumn("_piece", piece.cast("long"))
+    joined = rows.groupBy(file, "_part", "_record", "_piece").agg(F.array_sort(F.collect_list(F.struct(*at, "value"))).alias("_lines"))
+    joined = joined.select(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("text"))
+    parsed = T.StructType.fromDDL(schema + ", _corrupt_record string")
+    out = joined.withColumn("_sound", tx.is_json_object(F.col("text"))).withColumn(
+        "_j", F.from_json(F.when(F.col("_sound"), F.col("text")), parsed, {"columnNameOfCorruptRecord": "_corrupt_record"})
     )
-    return rows.select("_j.*", bad.alias("bad")).drop("_corrupt_record")
+    bad = ~F.col("_sound") | F.col("_j._corrupt_record").isNotNull()
+    names = [f.name for f in parsed if f.name != "_corrupt_record"]
+    return out.select(*[F.when(~bad, F.col(f"_j.{n}")).alias(n) for n in names], bad.alias("bad"), F.when(bad, F.col("text")).alias("text_of_bad"))
 
 
 @F.pandas_udf(T.StringType())
