@@ -147,16 +147,19 @@ def eval_violations(ev: str = "eval") -> Column:
 
     Columns come from a scan with a declared schema, so a value of another type
     (a boolean where a number belongs) is already null, and null breaks the rule.
+    A row with a protocol, or with evidence but no protocol, is structured: its
+    evidence is judged too, whatever its flags say.
     """
     e = lambda f: F.col(f"{ev}.{f}")
     counts = ["n_f2p", "n_f2p_pass", "n_p2p", "n_p2p_ok"]
-    structured = e("grader_protocol").isNotNull()
+    evidence = ["evaluation_state", "report_intact", "collection_events", "test_events", "node_mapping"]
+    structured = F.greatest(*[e(f).isNotNull() for f in ["grader_protocol", *evidence]])
     timed_out, resolved, rc = e("timed_out"), e("resolved"), e("pytest_rc")
     expected = ~timed_out & (e("n_f2p_pass") == e("n_f2p")) & (e("n_p2p_ok") == e("n_p2p"))
     rules = [
         ("runner_error", F.col("error").isNotNull() & (F.col("error") != "")),
         ("missing_eval", F.col(ev).isNull()),
-        ("unknown_protocol", structured & (e("grader_protocol") != PROTOCOL)),
+        ("unknown_protocol", structured & ~truthy(e("grader_protocol") == PROTOCOL)),
         (
             "evaluation_incomplete",
             structured & (~truthy(e("evaluation_state") == "complete") | ~truthy(e("reward_eligible"))),
@@ -183,7 +186,8 @@ def eval_violations(ev: str = "eval") -> Column:
         ("resolved_disagrees", ~truthy(resolved == expected)),
     ]
     # Without an eval object only the first two rules speak.
-    return F.when(F.col(ev).isNull(), violations(rules[:2])).otherwise(violations(rules))
+    own = F.when(F.col(ev).isNull(), violations(rules[:2])).otherwise(violations(rules))
+    return F.concat(own, F.when(truthy(structured), evidence_violations(ev)).otherwise(F.array().cast("array<string>")))
 
 
 def ascii_json(value: Column) -> Column:

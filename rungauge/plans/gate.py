@@ -10,38 +10,62 @@ from rungauge.plans.registry import query
 from rungauge.session import spread, spread_table
 
 
-def result_rows(spark, root):
-    """Rollouts as result rows; some break one rule each, by the id.
+EVENT = "struct<kind:string,nodes:array<string>,nodeid:string,when:string,outcome:string,wasxfail:boolean,exitstatus:int>"
 
-    Status maps are made from the counts, so a rollout of any length stays one row.
+
+def result_rows(spark, root, faults=True):
+    """Rollouts as result rows; with ``faults`` some break one rule each, by the id.
+
+    Status maps, and the structured evidence of every third row, are made from
+    the counts, so a rollout of any length stays one row.
     """
     i = F.col("rollout_id")
+    fault = lambda condition: condition if faults else F.lit(False)
     n_f2p, n_pass = F.col("n_f2p") + 1, F.col("n_f2p_pass")
     n_p2p, n_ok = F.col("n_p2p"), F.col("n_p2p_ok")
 
     def statuses(prefix: str, total, good, other):
-        keys = F.transform(F.sequence(F.lit(1).cast("long"), total), lambda k: F.concat(F.lit(prefix), k.cast("string")))
+        keys = F.transform(F.sequence(F.lit(1).cast("long"), total), lambda k: F.concat(F.lit(f"t.py::{prefix}"), k.cast("string")))
         values = F.transform(F.sequence(F.lit(1).cast("long"), total), lambda k: F.when(k <= good, "PASSED").otherwise(other))
         empty = F.create_map().cast("map<string,string>")
         return F.when(total > 0, F.map_from_arrays(keys, values)).otherwise(empty)
 
     timed_out = i % 17 == 3
     resolved = ~timed_out & (n_pass == n_f2p) & (n_ok == n_p2p)
-    other = F.when(i % 29 == 4, "LOST").otherwise("FAILED")
-    ev = F.struct(
-        (resolved | (i % 31 == 5)).alias("resolved"),
-        F.when(i % 37 != 6, timed_out).alias("timed_out"),
-        F.when(timed_out, F.when(i % 2 == 0, 124).otherwise(1)).when(i % 41 == 7, 2).otherwise(F.when(resolved, 0).otherwise(1)).alias("pytest_rc"),
-        n_f2p.alias("n_f2p"), (n_pass + F.when(i % 43 == 8, 1).otherwise(0)).alias("n_f2p_pass"), n_p2p.alias("n_p2p"), n_ok.alias("n_p2p_ok"),
-        statuses("f", n_f2p, n_pass, other).alias("f2p_statuses"), statuses("p", n_p2p, n_ok, F.lit("FAILED")).alias("p2p_statuses"),
-        F.when(i % 3 == 0, F.when(i % 47 == 9, "other").otherwise("pytest-structured-v1")).alias("grader_protocol"),
-        F.lit("complete").alias("evaluation_state"), (i % 53 != 10).alias("reward_eligible"), (i % 59 != 11).alias("report_intact"),
-        F.lit(0).alias("restore_rc"), F.when(i % 61 == 12, 2).otherwise(0).alias("collection_rc"),
+    rows = spread(b.rollouts(spark, root), "rollout_id", b.table(spark, root, "orders")).select(
+        i.alias("id"), F.when(fault(i % 13 == 2), "lost").alias("error"), (i % 19 == 1).alias("timed_out"), F.when(i % 23 == 1, 124).otherwise(0).alias("smith_rc"),
+        (n_f2p + F.when(fault(i % 67 == 13), 1).otherwise(0)).alias("n_f2p"), n_f2p.alias("f"), n_pass.alias("fp"), n_p2p.alias("p"), n_ok.alias("ok"),
+        timed_out.alias("t"), (resolved | fault(i % 31 == 5)).alias("resolved"),
+        F.when(timed_out, F.when(fault(i % 2 == 1), 1).otherwise(124)).when(fault(i % 41 == 7), 2).otherwise(F.when(resolved, 0).otherwise(1)).alias("rc"),
+        statuses("f", n_f2p, n_pass, F.when(fault(i % 29 == 4), "LOST").otherwise("FAILED")).alias("f2p"), statuses("p", n_p2p, n_ok, F.lit("FAILED")).alias("p2p"),
     )
-    return spread(b.rollouts(spark, root), "rollout_id", b.table(spark, root, "orders")).select(
-        i.alias("id"), F.when(i % 13 == 2, "lost").alias("error"), (i % 19 == 1).alias("timed_out"), F.when(i % 23 == 1, 124).otherwise(0).alias("smith_rc"),
-        (n_f2p + F.when(i % 67 == 13, 1).otherwise(0)).alias("n_f2p"), F.when(i % 71 != 14, ev).alias("eval"),
+
+    def event(**given):
+        return F.struct(*[given.get(f.split(":")[0], F.lit(None)).cast(f.split(":")[1]).alias(f.split(":")[0]) for f in EVENT[7:-1].split(",")])
+
+    def reports(entry):
+        call = F.when(entry["value"] == "PASSED", "passed").otherwise("failed")
+        return F.array(*[event(kind=F.lit("test"), nodeid=entry["key"], when=F.lit(w), outcome=call if w == "call" else F.lit("passed"), wasxfail=F.lit(False)) for w in ("setup", "call", "teardown")])
+
+    i = F.col("id")
+    nodes = F.concat(F.map_keys("f2p"), F.map_keys("p2p"))
+    collection = F.array(event(kind=F.lit("collection"), nodes=nodes), event(kind=F.lit("session_finish"), exitstatus=F.lit(0)))
+    tests = F.concat(F.flatten(F.transform(F.concat(F.map_entries("f2p"), F.map_entries("p2p")), reports)), F.array(event(kind=F.lit("session_finish"), exitstatus=F.col("rc"))))
+    rows = rows.withColumn("nodes", nodes).withColumn("collection", collection).withColumn("tests", tests)
+    st = i % 3 == 0
+    only = lambda c: F.when(st, c)
+    ev = F.struct(
+        "resolved", F.when(~fault(i % 37 == 6), F.col("t")).alias("timed_out"), F.col("rc").alias("pytest_rc"),
+        F.col("f").alias("n_f2p"), (F.col("fp") + F.when(fault(i % 43 == 8), 1).otherwise(0)).alias("n_f2p_pass"), F.col("p").alias("n_p2p"), F.col("ok").alias("n_p2p_ok"),
+        F.col("f2p").alias("f2p_statuses"), F.col("p2p").alias("p2p_statuses"),
+        only(F.when(fault(i % 47 == 9), "other").when(~fault(i % 73 == 15), "pytest-structured-v1")).alias("grader_protocol"),
+        only(F.lit("complete")).alias("evaluation_state"), (~fault(i % 53 == 10)).alias("reward_eligible"), only(~fault(i % 59 == 11)).alias("report_intact"),
+        F.lit(0).alias("restore_rc"), F.when(fault(i % 61 == 12), 2).otherwise(0).alias("collection_rc"), only(F.lit("f2p_same_files")).alias("p2p_scope"),
+        only(F.col("nodes")).alias("collected_nodes"), only(F.map_from_arrays("nodes", "nodes")).alias("node_mapping"), only(F.col("collection")).alias("collection_events"),
+        only(F.when(~fault(i % 79 == 16), F.col("tests"))).alias("test_events"), only(gd.events_digest(F.col("collection"))).alias("collection_sha256"),
+        only(F.when(fault(i % 83 == 20), "0").otherwise(gd.events_digest(F.col("tests")))).alias("report_sha256"), only(gd.nodes_digest(F.col("nodes"))).alias("requested_nodes_sha256"),
     )
+    return rows.select("id", "error", "timed_out", "smith_rc", "n_f2p", F.when(~fault(i % 71 == 14), ev).alias("eval"))
 
 
 FACTS = f"""
@@ -51,13 +75,17 @@ RULES = f"""
 with x as (select *, not t and fp = f and ok = p as r from ({FACTS})),
  y as (select *, r or i % 31 = 5 as r2, case when i % 37 <> 6 then t end as t2, case when t then case when i % 2 = 0 then 124 else 1 end when i % 41 = 7 then 2 when r then 0 else 1 end as rc,
    fp + case when i % 43 = 8 then 1 else 0 end as fp2, i % 3 = 0 as st from x),
- z as (select i, case when i % 71 = 14 then list_filter([case when i % 13 = 2 then 'runner_error' end, 'missing_eval'], lambda v: v is not null) else list_filter([
-  case when i % 13 = 2 then 'runner_error' end, case when st and i % 47 = 9 then 'unknown_protocol' end, case when st and i % 53 = 10 then 'evaluation_incomplete' end,
+ z as (select i, case when i % 71 = 14 then list_filter([case when i % 13 = 2 then 'runner_error' end, 'missing_eval'], lambda v: v is not null) else list_concat(list_filter([
+  case when i % 13 = 2 then 'runner_error' end, case when st and (i % 47 = 9 or i % 73 = 15) then 'unknown_protocol' end, case when st and i % 53 = 10 then 'evaluation_incomplete' end,
   case when st and (i % 59 = 11 or i % 61 = 12) then 'evidence_incomplete' end, case when t2 is null then 'eval_timed_out_not_boolean' end,
   case when fp2 > f or ok > p then 'invalid_counts' end, case when i % 67 = 13 then 'n_f2p_mismatch' end,
   case when i % 29 = 4 and fp < f then 'f2p_statuses_unknown_status' end, case when fp2 <> fp then 'f2p_statuses_pass_count' end,
   case when t2 and (rc <> 124 or r2) then 'inconsistent_timeout' end, case when not coalesce(t2, false) and rc not in (0, 1) then 'unavailable_rc' end,
-  case when coalesce(r2 <> (not t2 and fp2 = f and ok = p), true) then 'resolved_disagrees' end], lambda v: v is not null) end as v from y)
+  case when coalesce(r2 <> (not t2 and fp2 = f and ok = p), true) then 'resolved_disagrees' end], lambda v: v is not null),
+  case when not st then [] else list_filter([
+  case when i % 61 = 12 then 'collection_rc' end, case when i % 79 = 16 then 'test_events' end, case when i % 83 = 20 or i % 79 = 16 then 'report_hash' end,
+  case when i % 79 = 16 then 'execution_finish' end, case when i % 79 = 16 then 'execution_unknown' end, case when i % 79 = 16 then 'invalid_phase' end, case when i % 79 = 16 then 'duplicate_phase' end,
+  case when i % 79 = 16 then 'missing_reports' end, case when i % 79 = 16 or i % 29 = 4 and fp < f then 'status_disagrees' end, case when r2 and rc <> 0 then 'resolved_nonzero_rc' end], lambda v: v is not null) end) end as v from y)
 """
 
 
@@ -83,15 +111,19 @@ def gate_input(spark, root):
 
 
 @query("a38_gate", f"""
-{RULES}, g as (select i, v from z where len(v) = 0)
-select 80 as checkpoint_step, true as complete, count(*) as n_expected, count(*) as n_observed, count_if(r) as n_resolved, round(count_if(r) / count(*), 6) as resolved_rate,
-  count_if(g.i % 19 = 1) as n_trajectory_timeout, count_if(t) as n_eval_timeout, count_if(g.i % 23 = 1) as n_outer_timeout_rc124, 0::bigint as n_problems, '' as problems
-from g join (select *, not t and fp = f and ok = p as r from ({FACTS})) q on q.i = g.i
+{RULES}, problems as (select 'invalid:' || v[1] as problem, count(*) as n from z where i % 90 <> 1 and len(v) > 0 group by 1
+  union all select 'missing', count(*) from orders where o_orderkey % 90 = 1 having count(*) > 0 union all select 'extra', count(*) from orders where o_orderkey % 90 = 0 having count(*) > 0)
+select 80 as checkpoint_step, false as complete, count_if(i % 90 <> 0) as n_expected, count_if(i % 90 <> 1) as n_observed, null::bigint as n_resolved, null::double as resolved_rate,
+  null::bigint as n_trajectory_timeout, null::bigint as n_eval_timeout, null::bigint as n_outer_timeout_rc124, (select sum(n)::bigint from problems) as n_problems,
+  (select string_agg(problem || '=' || n, ',' order by problem || '=' || n) from problems) as problems from z
+union all
+select 81, true, count(*), count(*), count_if(r), round(count_if(r) / count(*), 6), count_if(i % 19 = 1), count_if(t), count_if(i % 23 = 1), 0, '' from x
 """)
 def _(spark, root):
-    # The gate over the rows that are valid: complete, so it gives counts.
-    rows = result_rows(spark, root).withColumn("violations", gd.eval_violations()).where(F.size("violations") == 0)
-    out = gd.gate(rows.select("id"), rows.withColumn("unreadable", F.lit(False)), "id", 80)
+    # A run with faults is refused and gives no counts; the same run without them is whole.
+    planned, results = gate_input(spark, root)
+    rows = result_rows(spark, root, faults=False).withColumn("violations", gd.eval_violations()).withColumn("unreadable", F.lit(False))
+    out = gd.gate(planned, results, "id", 80).unionByName(gd.gate(rows.select("id"), rows, "id", 81))
     return out.withColumn("resolved_rate", F.round("resolved_rate", 6)).withColumn("problems", F.array_join("problems", ","))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,23 +64,38 @@ def write_manifest(manifest_rows: DataFrame, path: str) -> None:
 
 
 def publish(summary: DataFrame, path: str, complete: str = "complete") -> None:
-    """Publishes a complete one-row summary by rename; refuses anything else.
+    """Publishes a complete one-row summary as one JSON file; refuses anything else.
 
-    The rename is the file system's; a target that exists is never replaced.
+    The file is written whole under a name of its own and then renamed by the
+    call that fails when the target exists, also when it appeared in between.
+    Whatever happens, no staging file stays.
     """
     spark: SparkSession = summary.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
     files = target.getFileSystem(conf)
+    target = files.makeQualified(target)
     if files.exists(target):
         raise Refused(f"refusing to overwrite {path}")
     checks = summary.agg(F.count("*").alias("n"), F.min(F.col(complete).cast("int")).alias("ok")).first()
     if checks.n != 1 or checks.ok != 1:
         raise Refused("summary is not complete")
-    staging = jvm.org.apache.hadoop.fs.Path(path + ".staging")
-    summary.coalesce(1).write.mode(NEVER_REPLACE).json(staging.toString())
-    if files.exists(target) or not files.rename(staging, target):
-        raise Refused(f"refusing to overwrite {path}")
+    line = summary.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
+    staging = hadoop.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    none[0] = hadoop.Options.Rename.NONE
+    try:
+        stream = files.create(staging, False)
+        stream.write(bytearray((line + "\n").encode()))
+        stream.close()
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(staging, target, none)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            raise Refused(f"refusing to overwrite {path}") from error
+        raise
+    finally:
+        files.delete(staging, False)
 
 
 def not_done(df: DataFrame, ledger: DataFrame, key: str, ledger_key: str | None = None) -> DataFrame:
@@ -88,13 +105,10 @@ def not_done(df: DataFrame, ledger: DataFrame, key: str, ledger_key: str | None
 
 
 def append_results(df: DataFrame, path: str, key: str) -> None:
-    """Adds rows for ids that the ledger does not hold yet, once per id."""
+    """Adds rows for ids that the ledger does not hold yet, once per id; a ledger has one writer at a time."""
     spark = df.sparkSession
     fresh = keep_first(df, [key], [F.xxhash64(*df.columns)])
-    try:
-        ledger = spark.read.schema(df.schema).json(path)
-        fresh = not_done(fresh, ledger, key)
-    except Exception as error:  # first run: no ledger yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # not on the first run
+        fresh = not_done(fresh, spark.read.schema(df.schema).json(path), key)
     fresh.write.mode("append").json(path)
