@@ -32,48 +32,42 @@ def clients(stream):
     )
 
 
-# Windows the watermark has closed: events span 30 days, lateness is a day.
-CLOSED = "{end} <= (select max(ts) - interval 1 day from events)"
-
-
 @query("r05_capture_stream", f"""
 select batch as day, count(*) as n_calls, count_if(outcome = 'kept') as n_kept, count_if(outcome = 'error') as n_error, count_if(outcome = 'no_ids') as n_no_ids,
   round(count_if(outcome = 'kept') / count(*), 6) as rate, count_if(outcome = 'kept') / count(*) < 0.7 as below from ({CALLS}) group by 1
-having {CLOSED.format(end="cast(batch as timestamp) + interval 1 day")}
 """)
 def _(spark, root):
     k = F.get_json_object("props", "$.k").cast("int")
     outcome = ev.capture_outcome(F.col("event_type"), F.when(F.col("value") > 300, 500).otherwise(200), k >= 5)
     calls = event_stream(spark, root).select("at", outcome.alias("outcome"))
-    out = st.drain(st.capture_rates(calls, "at", "outcome", "1 day", "1 day", 0.7), label="capture")
+    out = st.drain_whole(calls, lambda c: st.capture_rates(c, "at", "outcome", "1 day", "1 day", 0.7), "at", "capture")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n_calls", "n_kept", "n_error", "n_no_ids", F.round("rate", 6).alias("rate"), "below")
 
 
-@query("r06_sliding_throughput", f"""
+@query("r06_sliding_throughput", """
 with w as (select time_bucket(interval 1 hour, ts) - i * interval 1 hour as s from events, range(0, 3) t(i))
-select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n from w group by s having {CLOSED.format(end="s + interval 3 hour")}
+select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n from w group by s
 """)
 def _(spark, root):
-    out = st.drain(st.sliding_counts(event_stream(spark, root), "at", "3 hours", "1 hour", "1 day"), label="sliding")
+    out = st.drain_whole(event_stream(spark, root), lambda e: st.sliding_counts(e, "at", "3 hours", "1 hour", "1 day"), "at", "sliding")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
 
 
-@query("r10_tumbling_windows", f"""
+@query("r10_tumbling_windows", """
 select strftime(time_bucket(interval 6 hour, ts), '%Y-%m-%d %H:%M') as window_start, count(*) as n from events group by time_bucket(interval 6 hour, ts)
-having {CLOSED.format(end="time_bucket(interval 6 hour, ts) + interval 6 hour")}
 """)
 def _(spark, root):
-    out = st.drain(st.sliding_counts(event_stream(spark, root), "at", "6 hours", "6 hours", "1 day"), label="tumbling")
+    out = st.drain_whole(event_stream(spark, root), lambda e: st.sliding_counts(e, "at", "6 hours", "6 hours", "1 day"), "at", "tumbling")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
 
 
-@query("r09_session_stream", f"""
+@query("r09_session_stream", """
 with g as (select *, ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 2 hour as gap from events),
  s as (select *, sum(case when gap then 1 else 0 end) over (partition by user_id order by ts, event_id) as n from g)
-select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n from s group by user_id, s.n having {CLOSED.format(end="max(ts) + interval 2 hour")}
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n from s group by user_id, s.n
 """)
 def _(spark, root):
-    out = st.drain(st.gap_session_stream(event_stream(spark, root), "user_id", "at", "2 hours", "1 day"), label="sessions")
+    out = st.drain_whole(event_stream(spark, root), lambda e: st.gap_session_stream(e, "user_id", "at", "2 hours", "1 day"), "at", "sessions")
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 

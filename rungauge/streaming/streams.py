@@ -57,6 +57,35 @@ def drain(stream: DataFrame, mode: str = "append", label: str = "stream") -> Dat
     return rows
 
 
+END = "9999-01-01 00:00:00"
+
+
+def drain_whole(stream: DataFrame, windows: Callable[[DataFrame], DataFrame], at: str, label: str = "stream") -> DataFrame:
+    """The windows of a finished stream, the last ones too.
+
+    A watermark closes a window only when later rows come, so the end of the
+    input is told to the stream by one row of its own: after the input is
+    drained, a row at the end of time is put in a second folder of the stream
+    and the same query goes on from its checkpoint.  That row's own windows end
+    later still and stay open.
+    """
+    spark = stream.sparkSession
+    ends, out = fresh_folder(spark, f"{label}-end"), fresh_folder(spark, label)
+    nothing = spark.createDataFrame([], stream.schema)
+    nothing.write.parquet(ends)
+    result = windows(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)))
+
+    def go_on() -> None:
+        writer = result.writeStream.outputMode("append").format("parquet").option("path", out)
+        writer.option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    go_on()
+    last = [F.lit(END).cast("timestamp").alias(f.name) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*last).write.mode("append").parquet(ends)
+    go_on()
+    return spark.read.schema(result.schema).parquet(out)
+
+
 def _with_batch(stream: DataFrame, mode: str) -> T.StructType:
     if mode == "append":
         return stream.schema
