@@ -147,6 +147,9 @@ def merged_rows(
 
     Policies for a broken continuation: ``split`` opens a new row, ``drop`` leaves
     the whole rollout out, ``keep_terminal`` keeps only the last contiguous part.
+    The last two are for chains that must stay whole: one that does not fit the
+    limits is an error, it is neither cut nor split.  ``policy_counts`` counts
+    what a policy leaves out.
 
     Inside a contiguous part prompts only grow, so turns whose prompt still fits
     ``max_prompt`` are at most that many; only their lengths are gathered to place
@@ -205,11 +208,28 @@ def merged_rows(
     rows = scan.rows()
     begin = F.when(F.col("opens_row"), 0).otherwise(F.col("_end") - F.col("n_obs") - F.col("n_resp") - F.col("_base"))
     over = F.when(F.col("opens_row"), 0).otherwise(F.col("_end") - F.col("_base"))
-    return (
+    out = (
         rows.withColumn("begin", begin.cast("long"))
         .withColumn("blocked", ~F.col("opens_row") & (over > max_response) & (F.col("n_prompt") > max_prompt))
         .drop("_end", "_base")
     )
+    return out if policy == "split" else out.where(_whole(max_prompt, max_response, key, turn))
+
+
+def _whole(max_prompt: int, max_response: int, key: Sequence[str], turn: str) -> Column:
+    """True for turns of chains that fit; a chain that would have to be cut fails the job."""
+    opens = F.col("opens_row")
+    over = F.col("blocked") | (opens & (F.col("continues") | (F.col("n_prompt") > max_prompt) | (F.col("n_resp") > max_response)))
+    where = F.concat_ws(" ", F.lit("chain over its length limit: rollout"), *[F.col(k).cast("string") for k in key], F.lit("turn"), F.col(turn).cast("string"))
+    return F.when(truthy(over), F.raise_error(where).cast("boolean")).otherwise(F.lit(True))
+
+
+def policy_counts(turns: DataFrame, merged: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rollouts there were, kept and dropped by a policy, and the sampled tokens kept."""
+    kept = merged.groupBy(*key).agg(F.sum("n_resp").alias("_n")).agg(F.count("*").alias("n_kept"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_sampled"))
+    all_rollouts = turns.select(*key).distinct().agg(F.count("*").alias("n_rollouts"))
+    both = all_rollouts.withColumn("_one", F.lit(1)).join(F.broadcast(kept.withColumn("_one", F.lit(1))), "_one").drop("_one")  # one row each
+    return both.withColumn("n_dropped", F.col("n_rollouts") - F.col("n_kept"))
 
 
 def training_rows(merged: DataFrame, key: Sequence[str], turn: str, max_prompt: int, max_response: int) -> DataFrame:

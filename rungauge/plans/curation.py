@@ -78,10 +78,12 @@ def _(spark, root):
 @query("f05_band_counts", f"""
 select case when p_partkey is null then 'unmatched' when pass_rate = 0 then 'never' when pass_rate = 1 then 'always'
        else 'between' end as band, count(*) as n_tasks
-from ({RATES}) left join (select * from part where p_size < 40) on p_partkey = task group by 1
+from ({RATES}) left join (select case when p_size < 40 then p_partkey else -p_partkey end as p_partkey from part) on p_partkey = task group by 1
 """)
 def _(spark, root):
-    tasks = table(spark, root, "part").where("p_size < 40").select("p_partkey", "p_name")
+    # Large parts have another key in the task table, so their rates have no task.
+    key = F.when(F.col("p_size") < 40, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("p_partkey")
+    tasks = table(spark, root, "part").select(key, "p_name")
     return cu.screen_tasks(rates(spark, root), tasks, "task", "p_partkey")[1]
 
 
@@ -254,7 +256,7 @@ def _(spark, root):
 
 
 @query("j03_statement_match", f"""
-with k as (select distinct {one_blank('text')} as k from documents where doc_id % 10 <> 3),
+with k as (select distinct {one_blank('text')} as k from (select case when doc_id % 10 = 3 then text || ' changed' else text end as text from documents)),
      a as (select distinct {one_blank('text')} as a from documents)
 select count(*) as n_asked, count(k) as n_matched, round(count(k) / count(*), 6) as match_rate,
        count(k) / count(*) >= 0.9 as enough from a left join k on k = a
@@ -267,7 +269,8 @@ def _(spark, root):
         F.lit("Consider the following PR description:\n"), "text", F.lit("\n</pr_description>"), "source"
     )
     asked = docs.select(blanks(cu.statement_of_prompt(prompt)).alias("statement"))
-    known = docs.where("doc_id % 10 <> 3").select(blanks(F.col("text")).alias("statement"))
+    changed = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    known = docs.select(blanks(changed).alias("statement"))
     out = jn.match_report(asked, "statement", known, "statement")
     return out.withColumn("match_rate", F.round("match_rate", 6))
 
@@ -346,7 +349,7 @@ FIRST_WORD = "regexp_extract(text, '^[" + BLANK + "]*([^" + BLANK + "]+)', 1)"
 @query("j10_node_resolution", f"""
 with c as (select distinct text as f from documents), w as (select f, {FIRST_WORD.replace('text', 'f')} as w from c),
      q as (select w, count(*) as n, min(f) as one from w group by 1),
-     a as (select distinct {FIRST_WORD} as node from benchmark union select distinct text from documents where doc_id % 3 = 0),
+     a as (select distinct {FIRST_WORD} as node from benchmark union select distinct case when doc_id % 3 = 0 then text else {FIRST_WORD} end from documents),
      r as (select node, coalesce(f, case when n = 1 then one end) as f, case when f is not null then 'exact' when n is null
            then 'unavailable' when n > 1 then 'ambiguous' else 'truncated' end as s
            from a left join c on c.f = a.node left join q on q.w = a.node),
@@ -356,12 +359,14 @@ select node, f as "full", case when f in (select f from u) then 'shared' else s
 def _(spark, root):
     docs, bench = spread_table(spark, root, "documents", "doc_id"), table(spark, root, "benchmark")
     first = F.regexp_extract("text", f"^[{BLANK}]*([^{BLANK}]+)", 1)
-    asked = bench.select(first.alias("node")).unionByName(docs.where("doc_id % 3 = 0").select(F.col("text").alias("node")))
+    asked = bench.select(first.alias("node")).unionByName(
+        docs.select(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(first).alias("node"))
+    )
     return jn.resolve_nodes(asked, docs, "node", "text")
 
 
 @query("j11_unique_names", """
-with k as (select p_name, min(p_brand) as lo, max(p_brand) as hi, min(p_type) as s from part where p_size > 10 group by 1)
+with k as (select p_name || case when p_size > 10 then '' else '?' end as p_name, min(p_brand) as lo, max(p_brand) as hi, min(p_type) as s from part group by 1)
 select p_name, case when lo is null then 'MISSING' when lo <> hi then 'ambiguous' else s end as status
 from (select distinct p_name || case when p_partkey % 4 = 0 then '!' else '' end as p_name from part) left join k using (p_name)
 """)
@@ -370,7 +375,8 @@ def _(spark, root):
     asked = part.select(
         F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, "!").otherwise("")).alias("p_name")
     )
-    return jn.unique_names(asked, part.where("p_size > 10"), "p_name", "p_brand", "p_type")
+    known = part.withColumn("p_name", F.concat("p_name", F.when(F.col("p_size") > 10, "").otherwise("?")))
+    return jn.unique_names(asked, known, "p_name", "p_brand", "p_type")
 
 
 TENSORS = """
@@ -379,14 +385,14 @@ select label, vec_id * 64 + i as pos, embedding[i + 1]::double as v, vec_id from
 DRIFT = f"""
 select coalesce(n.name, o.name) as name, sqrt(sum((n.v - o.v) * (n.v - o.v))) as change, sqrt(sum(case when n.v is not null then o.v * o.v end)) as norm,
        count_if(n.v is null or o.v is null) as n_unmatched
-from (select 'layer' || label || case when label % 5 = 0 then '.norm' else '' end as name, pos, v + 0.01 * (pos % 3) as v from ({TENSORS}) where label <> 3) n
-full join (select 'layer' || label || case when label % 5 = 0 then '.norm' else '' end as name, pos, v from ({TENSORS}) where label <> 7 or vec_id % 2 = 0) o
+from (select 'layer' || label || case when label % 5 = 0 then '.norm' when label = 3 then '.new' else '' end as name, pos, v + 0.01 * (pos % 3) as v from ({TENSORS})) n
+full join (select 'layer' || label || case when label % 5 = 0 then '.norm' else '' end as name, case when label = 7 and vec_id % 2 <> 0 then -1 - pos else pos end as pos, v from ({TENSORS})) o
   on n.name = o.name and n.pos = o.pos group by 1
 """
 
 
 def tensors(spark, root):
-    """Embeddings as two parameter tables; one side lacks a tensor, the other has one cut short."""
+    """Embeddings as two parameter tables; one tensor has another name on one side, one has other positions."""
     long = table(spark, root, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "x")).select(
         "label",
         "vec_id",
@@ -396,8 +402,10 @@ def tensors(spark, root):
         (F.col("vec_id") * 64 + F.col("i")).alias("pos"),
         F.col("x").cast("double").alias("v"),
     )
-    new = long.where("label <> 3").select("name", "pos", (F.col("v") + 0.01 * (F.col("pos") % 3)).alias("v"))
-    old = long.where("label <> 7 or vec_id % 2 = 0").select("name", "pos", "v")
+    renamed = F.when(F.col("label") == 3, F.concat("name", F.lit(".new"))).otherwise(F.col("name")).alias("name")
+    moved = F.when((F.col("label") == 7) & (F.col("vec_id") % 2 != 0), -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos")
+    new = long.select(renamed, "pos", (F.col("v") + 0.01 * (F.col("pos") % 3)).alias("v"))
+    old = long.select("name", moved, "v")
     return jn.tensor_join(new, old, ["name", "pos"], "v")
 
 
@@ -432,20 +440,19 @@ def _(spark, root):
 
 @query("j13_first_root", """
 with k as (select n_nationkey as id, n_name as name from nation),
-     c as (select c_nationkey as id, min(c_mktsegment) as seg from customer where c_custkey % 3 = 0 group by 1),
+     c as (select c_nationkey as id, min(c_mktsegment) as seg from customer group by 1),
      s as (select s_nationkey as id, min(s_name) as seg from supplier group by 1)
 select o_orderkey as id, case when c1.id is not null then 0 when s1.id is not null then 1 else -1 end as root,
        coalesce(case when c1.id is not null then c1.seg when s1.id is not null then s1.seg end, o_orderpriority) as seg
-from orders left join (select c_custkey as id, c_mktsegment as seg from customer where c_custkey % 3 = 0) c1 on c1.id = o_custkey
+from orders left join (select case when c_custkey % 3 = 0 then c_custkey else -c_custkey end as id, c_mktsegment as seg from customer) c1 on c1.id = o_custkey
 left join (select s_suppkey as id, s_name as seg from supplier) s1 on s1.id = o_custkey
 """)
 def _(spark, root):
     wanted = table(spark, root, "orders").select(
         F.col("o_orderkey"), F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("seg")
     )
-    first = table(spark, root, "customer").where("c_custkey % 3 = 0").select(
-        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg")
-    )
+    here = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))  # the others have another id in this root
+    first = table(spark, root, "customer").select(here.alias("id"), F.col("c_mktsegment").alias("seg"))
     second = table(spark, root, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("seg"))
     per_id = wanted.select("id").distinct().withColumn("seg", F.lit(None).cast("string"))
     found = cu.resolve_over_roots(per_id, "id", [first, second], ["seg"])
@@ -535,7 +542,7 @@ def _(spark, root):
 
 @query("u05_merged_predictions", """
 with v as (select l_orderkey as o, case when l_returnflag = 'R' then 1.0 else 0.0 end as r, l_discount * 10 as v from lineitem
-           where l_linestatus = 'F' or l_orderkey % 2 = 0), t as (select avg((r - v) * (r - v)) as m from v group by o)
+           ), t as (select avg((r - v) * (r - v)) as m from v group by o)
 select count(*) as n, (select count(*) from t) as n_trajectories, round(avg((r - v) * (r - v)), 9) as token_mse,
        (select round(avg(m), 9) from t) as trajectory_mse, round(1 - var_pop(r - v) / var_pop(r), 9) as explained_variance from v
 """)
@@ -545,7 +552,7 @@ def _(spark, root):
 
     rows = predictions(spark, root)
     first = rows.where("l_linestatus = 'F'")
-    second = rows.where("l_linestatus <> 'F' and trajectory % 2 = 0")
+    second = rows.where("l_linestatus <> 'F'")
     out = value_quality(first.unionByName(second), "trajectory", "reward", "value")
     for c in ("token_mse", "trajectory_mse", "explained_variance"):
         out = out.withColumn(c, F.round(c, 9))

@@ -133,17 +133,16 @@ def _(spark, root):
 
 @query("w24_strict_prefix", f"""
 with s as ({SEGMENTED}), m as (select rollout, max(segment) as last from s group by 1)
-select 'drop' as policy, count(distinct s.rollout) as n_rollouts, cast(sum(resp) as bigint) as n_sampled from s join m using (rollout) where last = 0
-union all select 'keep_terminal', count(distinct s.rollout), cast(sum(resp) as bigint) from s join m using (rollout) where segment = last
+select 'drop' as policy, count(distinct s.rollout) as n_rollouts, count(distinct s.rollout) filter (last = 0) as n_kept, count(distinct s.rollout) filter (last > 0) as n_dropped,
+  cast(sum(resp) filter (last = 0) as bigint) as n_sampled from s join m using (rollout)
+union all select 'keep_terminal', count(distinct s.rollout), count(distinct s.rollout), 0, cast(sum(resp) filter (segment = last) as bigint) from s join m using (rollout)
 """)
 def _(spark, root):
     rows = token_turns(spark, root)
     out = None
     for policy in ("drop", "keep_terminal"):
         merged = mg.merged_rows(rows, ["rollout"], "turn", 10_000, 10_000, policy=policy)
-        part = merged.groupBy("rollout").agg(F.sum("n_resp").alias("n")).agg(
-            F.count("*").alias("n_rollouts"), F.sum("n").cast("long").alias("n_sampled")
-        ).withColumn("policy", F.lit(policy))
+        part = mg.policy_counts(rows, merged, ["rollout"]).withColumn("policy", F.lit(policy))
         out = part if out is None else out.unionByName(part)
     return out
 
