@@ -340,7 +340,8 @@ def _(spark, root):
     child = docs.withColumn("source", F.lit("elsewhere")).withColumn(
         "lang", F.when(i % 13 == 0, F.lit("xx")).otherwise(F.col("lang"))
     )
-    return cu.provenance(child, docs.where(i % 11 != 0), "doc_id", "source")
+    parents = docs.withColumn("doc_id", F.when(i % 11 == 0, -1 - i).otherwise(i))
+    return cu.provenance(child, parents, "doc_id", "source")
 
 
 FIRST_WORD = "regexp_extract(text, '^[" + BLANK + "]*([^" + BLANK + "]+)', 1)"

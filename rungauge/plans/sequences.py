@@ -294,7 +294,7 @@ def _(spark, root):
 @query("f18_stop_event_class", f"""
 with e as (select event_id, case when event_type in ('purchase', 'view') then 'step_finish' else 'tool_use' end as type, case when event_type = 'purchase' then 'stop' else 'tool-calls' end as reason,
    user_id as session, event_id // 3 as message_id, value, k from ({EVENTS})),
- x as (select message_id, count(*) as n, min(session) as session, arg_min(value, session) as v, arg_min(k, session) as k from e where k % 4 <> 0 group by 1)
+ x as (select message_id, count(*) as n, min(session) as session, arg_min(value, session) as v, arg_min(k, session) as k from (select * replace (case when k % 4 = 0 then -1 - message_id else message_id end as message_id) from e) group by 1)
 select event_id, case when type = 'step_finish' and reason = 'stop' and x.n = 1 and x.session = e.session then
    case when x.v > 100 then 'compaction' when x.k % 5 > 0 then 'task_stop' else 'unknown' end else 'unknown' end as stop_class
 from e left join x on x.message_id = e.message_id
@@ -306,8 +306,8 @@ def _(spark, root):
         F.when(F.col("event_type") == "purchase", "stop").otherwise("tool-calls").alias("reason"),
         F.col("user_id").alias("session"), F.floor(F.col("event_id") / 3).alias("message_id"), "value", "k",
     )
-    exported = base.where("k % 4 <> 0").select(
-        "message_id", "session", F.lit("assistant").alias("role"), (F.col("value") > 100).alias("summary"),
+    exported = base.select(
+        F.when(F.col("k") % 4 == 0, -1 - F.col("message_id")).otherwise(F.col("message_id")).alias("message_id"), "session", F.lit("assistant").alias("role"), (F.col("value") > 100).alias("summary"),
         F.lit("build").alias("agent"), F.lit("stop").alias("finish"), F.when(F.col("k") % 5 == 0, "failed").alias("error"),
     )
     return tr.stop_event_class(base, exported).select("event_id", "stop_class")
