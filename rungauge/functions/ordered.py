@@ -3,11 +3,12 @@
 A plain window sends a whole group to one task.  Here a group larger than
 ``target_rows`` is cut into slices along its order, the window runs inside
 (group, slice), and what earlier slices contribute is added from a summary with
-one row per slice.  Ordinary groups stay in one slice, and when no group is hot
-the adaptive planner sees an empty hot-group table and drops the summary branch.
+one row per slice.  Ordinary groups stay in one slice.
 
-Slices come from exact counts and bounds, never from samples, so a task that is
-run again after an executor is lost cuts its rows in the same places.
+What is cut is decided by counted rows.  Slices are ranges of the whole order, so
+that rows that agree in the first order columns are cut too; the rows of hot
+groups are written with their slice, so a task that is run again after an
+executor is lost finds the same cuts.
 """
 
 from __future__ import annotations
@@ -19,17 +20,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rungauge.shared import cut_lineage
+from rungauge.shared import cut_lineage, sent_if_small
 
 # Rows one task should order at most; a larger group is cut.
 TARGET_ROWS = 2_000_000
-# Hot groups broadcast at most.  A group outside the largest MAX_HOT holds
-# less than 1/MAX_HOT of all rows, so no group is both uncut and dominant.
-MAX_HOT = 20_000
-# Inputs whose files are below this cannot hold a group too large for a task.
+# Estimated bytes up to which rows are counted before anything is written.
 SMALL_BYTES = 256 * 1024 * 1024
-# Equal-width steps per slice wanted, so that uneven density is evened out.
-STEPS_PER_SLICE = 64
 
 KINDS = ("sum", "max", "min", "last", "prev", "next", "first")
 
@@ -43,7 +39,7 @@ def scan_bytes(df: DataFrame) -> int | None:
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """True when the whole input is proven to fit in one task."""
+    """True when the plan's estimate is below the limit: a guide to what is cheap, not to what is right."""
     size = scan_bytes(df)
     return size is not None and size <= (SMALL_BYTES if limit is None else limit)
 
@@ -61,54 +57,25 @@ def rereads_cheaply(df: DataFrame) -> bool:
     return not any(node in plan for node in COSTLY)
 
 
-def cut_hot_groups(
-    df: DataFrame, keys: Sequence[str], along: Column, target_rows: int = TARGET_ROWS
-) -> DataFrame:
-    """Adds ``_slice`` (long) and ``_hot`` (boolean); ``along`` must rise with the order.
+def cut_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Adds ``_slice`` (long) and ``_hot`` (boolean).
 
-    Three aggregates, all with map-side partial sums: rows and bounds per group,
-    rows per equal-width step of the hot groups, and the running count of steps
-    that turns steps into slices of about ``target_rows`` rows.
+    Rows are counted per group with map-side partial sums.  The rows of groups
+    above ``target_rows``, however many such groups there are, are range
+    partitioned by key and order into as many parts as they fill; a part's number
+    is the slice, which rises with the order inside a group.
     """
-    keyed = df.withColumn("_along", along.cast("double"))
-    stats = keyed.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_along").alias("_lo"), F.max("_along").alias("_hi")
-    )
-    hot = (
-        stats.where((F.col("_n") > target_rows) & (F.col("_hi") > F.col("_lo")))
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT)
-        .select(
-            *[F.col(k).alias(f"_hot_key_{i}") for i, k in enumerate(keys)],
-            "_lo",
-            (
-                (F.col("_hi") - F.col("_lo"))
-                / (F.ceil(F.col("_n") / F.lit(target_rows)) * STEPS_PER_SLICE)
-            ).alias("_width"),
-        )
-    )
+    names = [F.col(k).alias(f"_hot_key_{i}") for i, k in enumerate(keys)]
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target_rows)
+    hot = cut_lineage(hot.select(*names, "_n"), "hot-groups")
+    n_hot = hot.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if not n_hot:
+        return df.withColumn("_slice", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_key_{i}")) for i, k in enumerate(keys)])
-    step = F.floor((F.col("_along") - F.col("_lo")) / F.col("_width"))
-    # At most MAX_HOT rows: the bound is the limit above.
-    stepped = (
-        keyed.join(F.broadcast(hot), on, "left")
-        .withColumn("_hot", F.col("_width").isNotNull())
-        .withColumn("_step", F.coalesce(step, F.lit(-1)).cast("long"))
-        .drop("_lo", "_width", "_along", *[f"_hot_key_{i}" for i in range(len(keys))])
-    )
-    per_step = stepped.where("_hot").groupBy(*keys, "_step").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    slices = per_step.select(
-        *[F.col(k).alias(f"_step_key_{i}") for i, k in enumerate(keys)],
-        F.col("_step").alias("_step_no"),
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / target_rows).alias("_slice"),
-    )
-    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_step_key_{i}")) for i, k in enumerate(keys)])
-    return (
-        stepped.join(slices, on & (F.col("_step") == F.col("_step_no")), "left")
-        .withColumn("_slice", F.coalesce("_slice", F.lit(0)).cast("long"))
-        .drop("_step", "_step_no", *[f"_step_key_{i}" for i in range(len(keys))])
-    )
+    marked = df.join(sent_if_small(hot), on, "left").withColumn("_hot", F.col("_n").isNotNull()).drop("_n", *[f"_hot_key_{i}" for i in range(len(keys))])
+    parts = -(-n_hot // target_rows)
+    sliced = marked.where("_hot").repartitionByRange(parts, *keys, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
+    return marked.where(~F.col("_hot")).withColumn("_slice", F.lit(0).cast("long")).unionByName(cut_lineage(sliced, "slices"))
 
 
 def _local(kind: str, value: Column, upto: Window, whole: Window) -> Column:
@@ -178,43 +145,30 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
 class Scan:
     """A table with running values added step by step along one order.
 
-    ``order`` is a total ascending order inside the group; ``along`` is a number
-    that rises with it (default: the first order column).  The size check decides
-    once, for all steps.  A small input gets plain windows that share one sort.
-    A large one is written to the shared folder when its plan is costly, then
-    measured again, because joins inflate estimates; if it is large indeed it is
-    cut into slices, and the rows so far are written before every further step,
-    so steps never recompute each other.
-
-    ``at_most`` names a table with at least as many rows as this one, where the
-    caller knows that a join has inflated the estimate.
+    ``order`` is a total ascending order inside the group.  Rows are counted once,
+    for all steps: a table that one task can order as a whole gets plain windows
+    that share one sort.  Another is cut into slices, and the rows so far are
+    written before every further step, so steps never recompute each other.
     """
 
-    def __init__(
-        self,
-        df: DataFrame,
-        keys: Sequence[str],
-        order: Sequence[str],
-        along: Column | None = None,
-        target_rows: int | None = None,
-        at_most: DataFrame | None = None,
-    ) -> None:
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> None:
         self.order = list(order)
         self.keys = list(keys)
         self.helpers: list[str] = []
         if not self.keys:
             df = df.withColumn("_all", F.lit(0))
             self.keys, self.helpers = ["_all"], ["_all"]
-        self.plain = target_rows is None and is_small(df if at_most is None else at_most)
+        target = target_rows or TARGET_ROWS
+        if not is_small(df) and not rereads_cheaply(df):
+            df = cut_lineage(df)
+        self.plain = df.select(*self.keys).limit(target + 1).count() <= target
         if not self.plain and not rereads_cheaply(df):
             df = cut_lineage(df)
-            self.plain = target_rows is None and is_small(df)
         self.steps = 0
         if self.plain:
             self.partition = self.keys
         else:
-            along = F.col(self.order[0]) if along is None else along
-            df = cut_hot_groups(df, self.keys, along, target_rows or TARGET_ROWS)
+            df = cut_hot_groups(df, self.keys, self.order, target)
             self.partition = [*self.keys, "_slice"]
             self.helpers += ["_slice", "_hot"]
         self.df = df
@@ -287,8 +241,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, tuple[str, Column]],
-    along: Column | None = None,
     **options,
 ) -> DataFrame:
     """One step of a ``Scan``: adds one column per entry of ``values``."""
-    return Scan(df, keys, order, along, **options).add(**values).rows()
+    return Scan(df, keys, order, **options).add(**values).rows()

@@ -15,11 +15,10 @@ def with_position(
     keys: Sequence[str],
     order: Sequence[str],
     name: str = "rn",
-    along: Column | None = None,
     **options,
 ) -> DataFrame:
     """Adds the 1-based position in the group's order."""
-    out = running(df, keys, order, {name: ("sum", F.lit(1))}, along, **options)
+    out = running(df, keys, order, {name: ("sum", F.lit(1))}, **options)
     return out.withColumn(name, F.col(name).cast("long"))
 
 
@@ -59,7 +58,7 @@ def value_at(
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     placed = running(
-        counted, keys, [value], {"_upto": ("sum", F.col("_c"))}, F.col(value).cast("double"), **options
+        counted, keys, [value], {"_upto": ("sum", F.col("_c"))}, **options
     )
     totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:

@@ -28,18 +28,10 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return _keep(df, keys, order, F.max_by)
 
 
-def text_position(text: Column) -> Column:
-    """A number that rises with the byte order of a text (its first six bytes)."""
-    head = F.hex(F.encode(F.substring(text, 1, 6), "utf-8"))
-    return F.conv(F.rpad(F.substring(head, 1, 12), 12, "0"), 16, 10).cast("double")
-
-
 def global_position(
     df: DataFrame,
     groups: Sequence[str],
     within: Sequence[str],
-    group_along: Column,
-    within_along: Column,
     name: str = "rn",
     **options,
 ) -> DataFrame:
@@ -49,11 +41,11 @@ def global_position(
     group nor the whole table is sorted in one task.
     """
     sizes = df.groupBy(*groups).agg(F.count("*").alias("_n"))
-    offsets = running(sizes, [], list(groups), {"_upto": ("sum", F.col("_n"))}, group_along, **options)
+    offsets = running(sizes, [], list(groups), {"_upto": ("sum", F.col("_n"))}, **options)
     offsets = offsets.select(
         *[F.col(g).alias(f"_group_{i}") for i, g in enumerate(groups)], (F.col("_upto") - F.col("_n")).alias("_before")
     )
-    placed = with_position(df, groups, within, "_at", within_along, **options)
+    placed = with_position(df, groups, within, "_at", **options)
     on = None
     for i, g in enumerate(groups):
         same = F.col(g).eqNullSafe(F.col(f"_group_{i}"))

@@ -42,8 +42,7 @@ def drop_to_fit(
     ordered = rows.withColumn("_o", F.when(F.col(zero_adv), 0).otherwise(1)).withColumn(
         "_h", hash_order(seed, F.col(key))
     )
-    along = F.col("_o") * F.lit(2.0**48) + hash_position(F.col("_h"))
-    placed = with_position(ordered, list(batch), ["_o", "_h", key], "_at", along, **options)
+    placed = with_position(ordered, list(batch), ["_o", "_h", key], "_at", **options)
     out = join_groups(placed, counts.select(*batch, "n_drop"), batch)
     return out.withColumn(
         "drop_reason",

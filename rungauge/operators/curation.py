@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rungauge.functions import hashing, ranks, text as tx
 from rungauge.functions.guards import ratio
-from rungauge.functions.rows import global_position, keep_first, text_position
+from rungauge.functions.rows import global_position, keep_first
 
 
 def pass_rates(attempts: DataFrame, task: str, reward: str) -> DataFrame:
@@ -75,7 +75,6 @@ def work_list(
     limit: int | None = None,
     shards: int = 1,
     shard: int = 0,
-    key_along: Column | None = None,
     **options,
 ) -> DataFrame:
     """Deduplicated, totally ordered, limited and sharded list of tasks still to do.
@@ -86,8 +85,7 @@ def work_list(
     rows = keep_first(tasks.where(F.col(key).isNotNull()), [key], list(first_by))
     if only is not None:
         rows = rows.join(only.select(F.col(only.columns[0]).alias("_only")), F.col(key) == F.col("_only"), "left_semi")
-    along = text_position(F.col(key).cast("string")) if key_along is None else key_along
-    placed = global_position(rows, [image, n_f2p], [key], text_position(F.col(image)), along, "place", **options)
+    placed = global_position(rows, [image, n_f2p], [key], "place", **options)
     placed = placed.withColumn("place", F.col("place") - 1)
     if limit is not None:
         placed = placed.where(F.col("place") < limit)
@@ -104,7 +102,7 @@ def image_plan(tasks: DataFrame, image: str, batch_size: int, **options) -> Data
     """
     per = tasks.where(F.col(image).isNotNull() & (F.col(image) != "")).groupBy(image).agg(F.count("*").alias("n_tasks"))
     ordered = per.withColumn("_minus", -F.col("n_tasks"))
-    placed = ranks.with_position(ordered, [], ["_minus", image], "place", F.col("_minus").cast("double"), **options)
+    placed = ranks.with_position(ordered, [], ["_minus", image], "place", **options)
     placed = placed.withColumn("batch", F.floor((F.col("place") - 1) / batch_size) + 1).drop("_minus")
     totals = placed.groupBy("batch").agg(F.count("*").alias("batch_images"), F.sum("n_tasks").cast("long").alias("batch_tasks"))
     return placed.join(totals, "batch")

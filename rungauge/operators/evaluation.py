@@ -398,7 +398,7 @@ def _pair_wins(rows: DataFrame, keys: Sequence[str], score: str, truth: str) ->
     tallied = rows.groupBy(*keys, score).agg(
         F.count_if(F.col(truth)).alias("_pos"), F.count_if(~F.col(truth)).alias("_neg")
     )
-    upto = running(tallied, keys, [score], {"_neg_upto": ("sum", F.col("_neg"))}, F.col(score).cast("double"))
+    upto = running(tallied, keys, [score], {"_neg_upto": ("sum", F.col("_neg"))})
     below = F.col("_neg_upto") - F.col("_neg")
     return upto.groupBy(*keys).agg(
         F.sum(F.col("_pos") * (below + F.col("_neg") / 2.0)).alias("wins"),

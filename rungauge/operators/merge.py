@@ -156,8 +156,6 @@ def merged_rows(
     the cuts.  A later turn can not open a row and stays in the last one, counted
     as ``blocked``.
     """
-    # Every table below has one row per turn, whatever a join makes of the estimate.
-    options.setdefault("at_most", turns)
     linked = continuity(turns, key, turn, codec, **options)
     scan = Scan(linked, key, [turn], **options)
     scan.add(segment=("sum", F.when(F.col("continuity") == "broken", 1).otherwise(0)))

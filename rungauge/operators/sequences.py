@@ -19,20 +19,20 @@ from rungauge.functions.rows import keep_last
 
 def gap_sessions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, gap: float, **options) -> DataFrame:
     """Adds ``session``: a new one starts after a pause longer than ``gap`` (0-based per key)."""
-    scan = Scan(rows, keys, order, F.col(at), **options).add(_before=("prev", F.col(at)))
+    scan = Scan(rows, keys, order, **options).add(_before=("prev", F.col(at)))
     starts = truthy((F.col(at) - F.col("_before")) > gap)
     return scan.add(session=("sum", starts.cast("long"))).rows("_before")
 
 
 def identical_runs(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], signature: Column, along: Column | None = None,
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], signature: Column,
     start: tuple[Column, Column] | None = None, **options,
 ) -> DataFrame:
     """Adds ``signature`` and ``run_length``: equal consecutive signatures up to this row; 0 for no signature.
 
     ``start`` is the (signature, run length) a key brings along from earlier rows.
     """
-    scan = Scan(rows.withColumn("signature", signature), keys, order, along, **options)
+    scan = Scan(rows.withColumn("signature", signature), keys, order, **options)
     scan.add(_before=("prev", F.struct(F.col("signature").alias("s"))), _place=("sum", F.lit(1)))
     first = F.col("_before").isNull()
     earlier = F.col("_before.s")
@@ -63,7 +63,7 @@ def repetition_profile(runs: DataFrame, keys: Sequence[str], long_run: int = 5)
 
 def periodic_cycles(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], signature: Column, fingerprint: Column,
-    repeats: int = 3, max_period: int = 2, along: Column | None = None, **options,
+    repeats: int = 3, max_period: int = 2, **options,
 ) -> DataFrame:
     """Adds ``period``: the shortest period whose last ``repeats`` rounds are exact copies, else null.
 
@@ -72,7 +72,7 @@ def periodic_cycles(
     the history.
     """
     sig = F.when(fingerprint.isNotNull(), F.struct(signature.alias("s"), fingerprint.alias("f")))
-    scan = Scan(rows.withColumn("_b0", sig), keys, order, along, **options)
+    scan = Scan(rows.withColumn("_b0", sig), keys, order, **options)
     for p in range(1, max_period + 1):
         scan.add(**{f"_b{p}": ("prev", F.col(f"_b{p - 1}"))})
     period = None
@@ -87,23 +87,23 @@ def periodic_cycles(
     return scan.column("period", period).rows(*back, *[f"_m{p}" for p in range(1, max_period + 1)])
 
 
-def context_drops(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, floor: float, share: float = 0.5, along: Column | None = None, **options) -> DataFrame:
+def context_drops(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, floor: float, share: float = 0.5, **options) -> DataFrame:
     """Adds ``dropped``: the last non-zero context was above the floor and this one below its share.
 
     A context of 0 neither drops nor becomes the reference.
     """
     seen = F.when(F.col(size) > 0, F.col(size))
-    scan = Scan(rows, keys, order, along, **options).add(_last=("last", seen)).add(_before=("prev", F.col("_last")))
+    scan = Scan(rows, keys, order, **options).add(_last=("last", seen)).add(_before=("prev", F.col("_last")))
     dropped = (F.col("_before") > floor) & (F.col(size) > 0) & (F.col(size) < share * F.col("_before"))
     return scan.column("dropped", truthy(dropped)).rows("_last", "_before")
 
 
-def step_delta(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n_pass: str, total: str, check: str, along: Column | None = None, **options) -> DataFrame:
+def step_delta(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n_pass: str, total: str, check: str, **options) -> DataFrame:
     """Adds ``delta``, the change of the pass share, and ``flip``, +1 or -1 when a check turns.
 
     The first row starts from nothing passed and a failing check.
     """
-    out = running(rows, keys, order, {"_p": ("prev", F.col(n_pass)), "_c": ("prev", F.col(check))}, along, **options)
+    out = running(rows, keys, order, {"_p": ("prev", F.col(n_pass)), "_c": ("prev", F.col(check))}, **options)
     change = F.col(n_pass) - F.coalesce("_p", F.lit(0))
     was, now = truthy(F.col("_c")), truthy(F.col(check))
     return (
@@ -114,7 +114,7 @@ def step_delta(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n_pas
 
 
 def client_segments(
-    requests: DataFrame, client: str, order: Sequence[str], kind: str, task: str, along: Column | None = None,
+    requests: DataFrame, client: str, order: Sequence[str], kind: str, task: str,
     start: tuple[Column, Column] | None = None, **options,
 ) -> DataFrame:
     """Adds ``run_no``, ``n_compact``, ``segment`` and ``task_key`` per request of a client.
@@ -125,7 +125,7 @@ def client_segments(
     compactions) a client brings along from earlier rows.
     """
     is_task = F.col(kind) == "task"
-    scan = Scan(requests, [client], order, along, **options)
+    scan = Scan(requests, [client], order, **options)
     scan.add(_last=("last", F.when(is_task, F.col(task))))
     if start is None:
         scan.column("task_key", F.col("_last")).column("_brought", F.lit(None).cast("string")).column("_start", F.lit(0))
@@ -153,7 +153,7 @@ def client_segments(
 
 def shared_budget(
     messages: DataFrame, keys: Sequence[str], order: Sequence[str], is_tool: Column, content: str, single: int, combined: int,
-    along: Column | None = None, **options,
+    **options,
 ) -> DataFrame:
     """Tool outputs clipped one by one, then by a budget shared in each run of consecutive ones.
 
@@ -168,7 +168,7 @@ def shared_budget(
     ).otherwise(text)
     rows = messages.withColumn("_tool", truthy(is_tool)).withColumn("_text", F.when(F.col("_tool"), clipped).otherwise(F.col(content)))
     rows = rows.withColumn("_len", F.when(F.col("_tool"), F.length("_text")).otherwise(0).cast("long"))
-    scan = Scan(rows, keys, order, along, **options)
+    scan = Scan(rows, keys, order, **options)
     scan.add(_island=("sum", F.when(F.col("_tool"), 0).otherwise(1)), _upto=("sum", F.col("_len")))
     # Lengths before the run: the running length at the last row that is no tool output.
     rows = scan.add(_before_run=("last", F.when(~F.col("_tool"), F.col("_upto")))).rows()
@@ -200,9 +200,9 @@ def keep_last_request(requests: DataFrame, rollout: str, prompt: str, seq: str,
     return keep_last(requests.withColumn("_pk", key), [rollout, "_pk"], [seq]).drop("_pk")
 
 
-def attempts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], resolved: str, allowed: int, along: Column | None = None, **options) -> DataFrame:
+def attempts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], resolved: str, allowed: int, **options) -> DataFrame:
     """Adds the attempt number, its own 0/1 reward, and whether another attempt follows a failure."""
-    out = running(rows, keys, order, {"attempt": ("sum", F.lit(1))}, along, **options)
+    out = running(rows, keys, order, {"attempt": ("sum", F.lit(1))}, **options)
     done = truthy(F.col(resolved))
     return (
         out.withColumn("attempt", F.col("attempt").cast("long"))
@@ -213,7 +213,7 @@ def attempts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], resolve
 
 def step_budget(
     requests: DataFrame, client: str, order: Sequence[str], fresh: Column, counted: Column, budget: int, warn: int,
-    along: Column | None = None, start: Column | None = None, **options,
+    start: Column | None = None, **options,
 ) -> DataFrame:
     """Adds the step number since the last fresh session and its state: ok, warn, used_up or over.
 
@@ -222,7 +222,7 @@ def step_budget(
     """
     rows = requests.withColumn("_fresh", truthy(fresh) & truthy(counted)).withColumn("_one", truthy(counted).cast("long"))
     rows = rows.withColumn("_start", F.lit(0) if start is None else F.coalesce(start, F.lit(0)))
-    scan = Scan(rows, [client], order, along, **options).add(_n=("sum", F.col("_one")))
+    scan = Scan(rows, [client], order, **options).add(_n=("sum", F.col("_one")))
     out = scan.add(_base=("last", F.when(F.col("_fresh"), F.col("_n") - 1))).rows()
     n = (F.col("_n") - F.coalesce(F.col("_base"), -F.col("_start"))).cast("long")
     state = F.when(n > budget, "over").when(n >= budget, "used_up").when(n >= budget - warn, "warn").otherwise("ok")
@@ -231,7 +231,7 @@ def step_budget(
     )
 
 
-def assemble_chunks(chunks: DataFrame, response: Sequence[str], order: Sequence[str], part: str, along: Column | None = None, **options) -> DataFrame:
+def assemble_chunks(chunks: DataFrame, response: Sequence[str], order: Sequence[str], part: str, **options) -> DataFrame:
     """Deltas of one response put together in order, with the last finish and usage.
 
     Slices of a long response are joined side by side and the joined slices
@@ -240,7 +240,7 @@ def assemble_chunks(chunks: DataFrame, response: Sequence[str], order: Sequence[
     from rungauge.functions.ranks import with_position
 
     piece = 4096
-    placed = with_position(chunks, response, order, "_at", along, **options).withColumn(
+    placed = with_position(chunks, response, order, "_at", **options).withColumn(
         "_piece", F.floor((F.col("_at") - 1) / piece)
     )
     pieces = placed.groupBy(*response, "_piece").agg(

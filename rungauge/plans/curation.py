@@ -27,7 +27,6 @@ def _(spark, root):
     tasks = table(spark, root, "part").select("p_partkey", "p_brand", "p_size", "p_name")
     out = cu.work_list(
         tasks, "p_partkey", "p_brand", "p_size", ["p_name"], done=done, shards=4, shard=1,
-        key_along=F.col("p_partkey").cast("double"),
     )
     return out.select("p_partkey", "p_brand", "p_size", "place")
 

@@ -65,7 +65,7 @@ from ({GROUPED}) r left join m on m.uid = r.uid
 def _(spark, root):
     # One row per order, whatever the join makes of the size estimate.
     orders = table(spark, root, "orders")
-    out = gr.median_length_reward(b.rollouts(spark, root), ["uid"], "reward", "tokens", at_most=orders)
+    out = gr.median_length_reward(b.rollouts(spark, root), ["uid"], "reward", "tokens")
     return out.select("rollout_id", F.round("shaped", 6).alias("shaped"))
 
 
@@ -284,7 +284,7 @@ from o join c on c.batch = o.batch
 def _(spark, root):
     base = batches(spark, root)
     rows = gr.mark_zero_variance(base, ["batch", "uid"], "score")
-    out = bt.drop_to_fit(rows, ["batch"], "rid", "zero_adv", 64, 2, at_most=base)
+    out = bt.drop_to_fit(rows, ["batch"], "rid", "zero_adv", 64, 2)
     return out.select("batch", "rid", "drop_reason")
 
 
@@ -317,7 +317,7 @@ def _(spark, root):
 
     rows = batches(spark, root).select("batch", "rid")
     return global_position(
-        rows, ["batch"], ["rid"], F.col("batch").cast("double"), F.col("rid").cast("double"), "position"
+        rows, ["batch"], ["rid"], "position"
     )
 
 

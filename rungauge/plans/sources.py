@@ -267,8 +267,7 @@ def _(spark, root):
     lines = spread(turns(spark, root), "l_partkey").select(F.col("l_orderkey").alias("trace"), "l_linenumber", "l_partkey", "l_suppkey", line.alias("value"))
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
     actions = rd.action_log(lines, "trace", order)
-    # Python decodes the literals, so the size estimate is gone; the lines bound it.
-    return with_position(actions, ["trace"], order, "k", at_most=lines).select("trace", "k", "action")
+    return with_position(actions, ["trace"], order, "k").select("trace", "k", "action")
 
 
 def sample_rows(spark, root):

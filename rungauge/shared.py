@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -41,3 +42,11 @@ def cut_lineage(df: DataFrame, label: str = "rows") -> DataFrame:
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SENT_ROWS = 2_000_000  # narrow rows of a broadcast side: some tens of MB
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A narrow side marked for broadcast when it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

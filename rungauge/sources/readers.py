@@ -373,13 +373,13 @@ def join_broken_json(
         (F.col("value").startswith(record_start) if record_start else F.lit(False)).cast("long").alias("_start"),
     )
     at = list(order)
-    rows = running(narrow, [file], at, {"_part": ("sum", F.col("_start")), "_depth": ("sum", F.col("_d")), "_chars": ("sum", F.col("_n"))}, F.col(at[-1]).cast("double"))
+    rows = running(narrow, [file], at, {"_part": ("sum", F.col("_start")), "_depth": ("sum", F.col("_d")), "_chars": ("sum", F.col("_n"))})
     # A line that may begin a record sets the depth back; without such lines the file is one part.
     rows = rows.withColumn("_before", F.col("_depth") - F.col("_d"))
     base = rows.where("_start = 1").select(F.col(file).alias("_f"), F.col("_part").alias("_p"), F.col("_before").alias("_base"))
     rows = rows.join(base, (F.col(file) == F.col("_f")) & (F.col("_part") == F.col("_p")), "left").withColumn("_base", F.coalesce("_base", F.lit(0)))
     rows = rows.withColumn("_ends", (F.col("_depth") <= F.col("_base")).cast("long")).select(file, *at, "value", "_n", "_chars", "_part", "_ends")
-    rows = running(rows, [file], at, {"_closed": ("sum", F.col("_ends"))}, F.col(at[-1]).cast("double")).withColumn("_record", F.col("_closed") - F.col("_ends"))
+    rows = running(rows, [file], at, {"_closed": ("sum", F.col("_ends"))}).withColumn("_record", F.col("_closed") - F.col("_ends"))
     first = rows.groupBy(file, "_part", "_record").agg(F.min(F.col("_chars") - F.col("_n")).alias("_from"), F.sum("_n").alias("_size"))
     keys = [F.col(file).alias("_f"), F.col("_part").alias("_p"), F.col("_record").alias("_r"), "_from", "_size", F.col("_ends_well").alias("_well")]
     ended = rows.groupBy(file, "_part", "_record").agg(F.max("_ends").alias("_ends_well"))

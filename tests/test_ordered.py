@@ -34,12 +34,19 @@ def test_sliced_equals_plain(rows, target):
 
 
 def test_hot_group_is_cut(rows):
-    cut = ordered.cut_hot_groups(rows, ["k"], F.col("ts"), 100)
+    cut = ordered.cut_hot_groups(rows, ["k"], ["ts", "id"], 100)
     sizes = cut.where("k = 'hot'").groupBy("_slice").count().collect()
     assert len(sizes) >= 5
     assert cut.count() == rows.count()
 
 
+def test_ties_and_common_prefixes_are_cut(spark):
+    rows = spark.range(2000).select(F.lit("k").alias("k"), F.lit(7).alias("ts"), F.format_string("image/same/prefix/%06d", F.col("id")).alias("name"))
+    cut = ordered.cut_hot_groups(rows, ["k"], ["ts", "name"], 100).groupBy("_slice").agg(F.count("*").alias("n"), F.min("name").alias("a"), F.max("name").alias("b")).orderBy("_slice").collect()
+    assert 15 <= len(cut) <= 20 and max(r.n for r in cut) <= 250
+    assert all(x.b < y.a for x, y in zip(cut, cut[1:]))
+
+
 def test_global_order_and_percentiles(rows):
     got = ranks.with_position(rows, [], ["ts", "id"], target_rows=200).select("id", "rn")
     want = rows.select("id", F.row_number().over(Window.orderBy("ts", "id")).cast("long").alias("rn"))
@@ -66,13 +73,14 @@ def test_runs(spark):
         assert [r.r for r in out.collect()] == [1, 2, 0, 1, 2, 3, 0]
 
 
-def test_size_check_decides(spark, rows, tmp_path, monkeypatch):
+def test_counted_rows_decide(spark, rows, tmp_path, monkeypatch):
     path = str(tmp_path / "rows")
     rows.write.parquet(path)
     stored = spark.read.parquet(path)
-    assert ordered.Scan(stored, ["k"], ["ts", "id"]).plain
-    # No estimate (an in-memory table): written, measured, found small.
-    assert ordered.Scan(rows, ["k"], ["ts", "id"]).plain
+    for table in (stored, rows):
+        assert ordered.Scan(table, ["k"], ["ts", "id"]).plain
+        assert ordered.Scan(table, ["k"], ["ts", "id"], target_rows=3000).plain
+        assert not ordered.Scan(table, ["k"], ["ts", "id"], target_rows=2999).plain
+    # The estimate of bytes has no say in it.
     monkeypatch.setattr(ordered, "SMALL_BYTES", 10)
-    assert not ordered.Scan(stored, ["k"], ["ts", "id"]).plain
-    assert not ordered.Scan(rows, ["k"], ["ts", "id"]).plain
+    assert ordered.Scan(stored, ["k"], ["ts", "id"]).plain and ordered.Scan(rows, ["k"], ["ts", "id"]).plain
