@@ -288,7 +288,10 @@ def _(spark, root):
     return ms.token_sizes(messages(spark, root), ["trace"], "content", 300)
 
 
-@query("p01_token_counter")
+@query("p01_token_counter", r"""
+with c as (select source, len(regexp_extract_all(text, '[^\x09-\x0D ]+')) as w, length(text) as n from documents)
+select source, cast(sum(w) as bigint) as n_tokens, cast(sum(n) as bigint) as n_chars, cast(sum(n) // 3 as bigint) as n_tokens_by_chars, sum(w) > 100000 as over_limit from c group by 1
+""")
 def _(spark, root):
     """A plugged-in counter (words) in place of the character estimate."""
     words = ms.text_udf(lambda: lambda text: len(text.split()))
@@ -451,12 +454,12 @@ def quoted(value: str) -> str:
 
 
 COMMAND_SQL = "text || chr(10) || [" + ", ".join(quoted(c) for c in COMMANDS) + "][doc_id % 10 + 1]"
-REASON_SQL = "case " + " ".join(
-    f"when regexp_matches(action, {quoted(pattern)}) then '{name}'" for name, pattern in tr.FORBIDDEN
-) + " end"
+# What each command is, written down apart from the patterns under test.
+REASONS = ["git_use", "git_metadata", "network", "network", "package_install", "package_install", "test_tampering", "test_tampering", None, None]
+REASON_SQL = "[" + ", ".join("null" if r is None else quoted(r) for r in REASONS) + "][doc_id % 10 + 1]"
 
 
-@query("f12_forbidden_action", f"select doc_id, {REASON_SQL} as reason from (select doc_id, {COMMAND_SQL} as action from documents)")
+@query("f12_forbidden_action", f"select doc_id, {REASON_SQL} as reason from documents")
 def _(spark, root):
     command = F.get(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("doc_id") % 10).cast("int"))
     action = F.concat("text", F.lit("\n"), command)
