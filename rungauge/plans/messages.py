@@ -453,7 +453,6 @@ def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-COMMAND_SQL = "text || chr(10) || [" + ", ".join(quoted(c) for c in COMMANDS) + "][doc_id % 10 + 1]"
 # What each command is, written down apart from the patterns under test.
 REASONS = ["git_use", "git_metadata", "network", "network", "package_install", "package_install", "test_tampering", "test_tampering", None, None]
 REASON_SQL = "[" + ", ".join("null" if r is None else quoted(r) for r in REASONS) + "][doc_id % 10 + 1]"

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungauge.functions import times
-from rungauge.functions.rows import keep_last
 from rungauge.operators import evaluation as ev
 from rungauge.operators import monitor as mo
 from rungauge.operators import sequences as sq
 from rungauge.plans import bindings as b
 from rungauge.plans.evaluation import CALLS
+from rungauge.plans.monitor import REPLAY
 from rungauge.plans.registry import query
 from rungauge.plans.sequences import KIND_SQL, ORDER, RUNS, SEGMENTS
 from rungauge.session import table
@@ -146,7 +146,7 @@ with s as ({b.STEPS}) select run, count(*) as n_health from s group by 1
 """)
 def _(spark, root):
     health, _ = monitor_tables(spark, root)
-    return health.select("run", "step").distinct().groupBy("run").agg(F.count("*").alias("n_health"))
+    return health.groupBy("run").agg(F.count("*").alias("n_health"))
 
 
 def monitor_tables(spark, root):
@@ -158,15 +158,14 @@ def monitor_tables(spark, root):
     wrong.coalesce(1).write.parquet(path)
     right.coalesce(1).write.mode("append").parquet(path)
     stream = st.file_stream(spark, path, right.schema, "*.parquet", files_per_batch=1)
-    return st.LiveMonitor(mo.judge, mo.alarms).run(stream, ["run", "step"], "seq")
+    return st.LiveMonitor(mo.judge, mo.alarms, stop=False).run(stream, ["run", "step"], "seq")
 
 
-@query("r01_monitor_alarms")
+@query("r01_monitor_alarms", f"select run, rule, severity, n_steps from ({REPLAY})")
 def _(spark, root):
-    """Alarms of the watched run as last judged, per rule."""
+    """Alarms of the watched runs as last judged, per rule: those of a replay of the corrected series."""
     _, alarms = monitor_tables(spark, root)
-    final = keep_last(alarms, ["run", "step", "rule"], ["batch"])
-    return final.groupBy("run", "rule", "severity").agg(F.count("*").alias("n_steps"))
+    return alarms.groupBy("run", "rule", "severity").agg(F.count("*").alias("n_steps"))
 
 
 @query("r08_chunk_stream", """

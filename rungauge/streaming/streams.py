@@ -174,39 +174,48 @@ class CarriedStream:
             .start()
         )
         query.awaitTermination()
+        out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/out-*")
+        if not out.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(out):  # nothing came
+            nothing = spark.createDataFrame([], T.StructType([*stream.schema.fields, *fields]))
+            return self.step(nothing).drop(*[f.name for f in fields])
         return spark.read.parquet(f"{root}/out-*").drop(*[f.name for f in fields])
 
 
 class LiveMonitor:
     """Step metrics as a stream: the latest line of a step wins, then every rule is judged.
 
-    Each batch upserts the step table, judges whole runs (a run is one row per
-    step), writes a health row per new step and an alarm row per fired rule.
-    Warnings are recorded, a stop-level alarm ends the run's health rows.
+    Each batch upserts the step table and judges the runs that it touches, all
+    their steps, because a corrected step changes the rules of later ones.  Only
+    the last judgement of a run counts.  Warnings are recorded; with ``stop`` a
+    stop-level alarm ends the run: steps that come in later batches are not read.
     """
 
-    def __init__(self, judge: Callable[[DataFrame], DataFrame], alarms: Callable[[DataFrame], DataFrame]) -> None:
-        self.judge, self.alarms = judge, alarms
+    def __init__(self, judge: Callable[[DataFrame], DataFrame], alarms: Callable[[DataFrame], DataFrame], stop: bool = True) -> None:
+        self.judge, self.alarms, self.stop = judge, alarms, stop
 
     def run(self, stream: DataFrame, keys: Sequence[str], order: str, label: str = "monitor") -> tuple[DataFrame, DataFrame]:
-        """Health and alarm tables after all steps there are now."""
+        """Health and alarm tables after all steps there are now; ``keys`` are those of a run and, last, its step."""
         spark = stream.sparkSession
         root = fresh_folder(spark, label)
-        schema = stream.schema
+        schema, runs = stream.schema, list(keys[:-1])
+        ended_schema = T.StructType([schema[k] for k in runs])
 
         def batch(rows: DataFrame, number: int) -> None:
             here = rows.sparkSession
             known = rows
             if number > 0:
+                if self.stop:
+                    known = known.join(here.read.schema(ended_schema).parquet(f"{root}/ended-{number - 1}"), runs, "left_anti")
                 known = known.unionByName(here.read.schema(schema).parquet(f"{root}/steps-{number - 1}"))
             keep_last(known, list(keys), [order]).write.mode("overwrite").parquet(f"{root}/steps-{number}")
-            judged = self.judge(here.read.schema(schema).parquet(f"{root}/steps-{number}").drop(order))
-            fresh = rows.select(*keys).distinct()
-            now = judged.join(fresh, list(keys), "left_semi")
-            now.write.mode("overwrite").parquet(f"{root}/health-{number}")
-            self.alarms(here.read.parquet(f"{root}/health-{number}")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(
-                f"{root}/alarms-{number}"
-            )
+            touched = here.read.schema(schema).parquet(f"{root}/steps-{number}").drop(order).join(rows.select(*runs).distinct(), runs, "left_semi")
+            self.judge(touched).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/health-{number}")
+            found = self.alarms(here.read.parquet(f"{root}/health-{number}").drop("_batch"))
+            found.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/alarms-{number}")
+            ended = here.read.parquet(f"{root}/alarms-{number}").where("severity = 'stop'").select(*runs)
+            if number > 0:
+                ended = ended.unionByName(here.read.schema(ended_schema).parquet(f"{root}/ended-{number - 1}"))
+            ended.distinct().write.mode("overwrite").parquet(f"{root}/ended-{number}")
 
         query = (
             stream.writeStream.foreachBatch(batch)
@@ -215,4 +224,7 @@ class LiveMonitor:
             .start()
         )
         query.awaitTermination()
-        return spark.read.parquet(f"{root}/health-*"), spark.read.parquet(f"{root}/alarms-*")
+        health = spark.read.parquet(f"{root}/health-*")
+        last = health.groupBy(*runs).agg(F.max("_batch").alias("_batch"))
+        newest = [*runs, "_batch"]
+        return health.join(last, newest, "left_semi").drop("_batch"), spark.read.parquet(f"{root}/alarms-*").join(last, newest, "left_semi").drop("_batch")

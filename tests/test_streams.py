@@ -72,9 +72,21 @@ def test_monitor_later_line_wins_and_alarms(spark, tmp_path):
     spark.createDataFrame(rows([274.5, 254.8, 112.5, 60.4, 91.3], 100), schema).coalesce(1).write.mode("append").parquet(path)
     live = streams.LiveMonitor(monitor.judge, monitor.alarms)
     health, alarms = live.run(streams.file_stream(spark, path, schema, files_per_batch=1), ["run", "step"], "seq")
-    last = {r.step: r.response_length for r in health.collect() if r.response_length != 10.0}
-    assert last[3] == 112.5 and len(last) == 5
+    assert {r.step: r.response_length for r in health.collect()} == {1: 274.5, 2: 254.8, 3: 112.5, 4: 60.4, 5: 91.3}
     assert {(r.rule, r.step) for r in alarms.collect() if r.rule == 1} == {(1, 4), (1, 5)}
+    # The last judgement had a stop-level alarm: another batch of that run is not read, unless the monitor only records.
+    spark.createDataFrame(rows([274.5, 254.8, 112.5, 60.4, 91.3, 80.0, 70.0], 200), schema).coalesce(1).write.mode("append").parquet(path)
+    for stop, steps in ((True, 5), (False, 7)):
+        live = streams.LiveMonitor(monitor.judge, monitor.alarms, stop=stop)
+        health, _ = live.run(streams.file_stream(spark, path, schema, files_per_batch=1), ["run", "step"], "seq")
+        assert health.count() == steps
+
+
+def test_carried_stream_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], "k string, v int").write.parquet(path)
+    carried = streams.CarriedStream("k", "s int", lambda d: d.withColumn("out", F.col("v")), lambda d: d.select("k", F.lit(1).alias("s")))
+    assert carried.run(streams.file_stream(spark, path, "k string, v int"), "none").count() == 0
 
 
 def test_long_responses_are_joined_in_order(spark):
