@@ -13,11 +13,6 @@ def hash_order(salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
 
 
-def hash_position(digest: Column) -> Column:
-    """The leading 48 bits of a hex digest as a number that rises with the digest."""
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
-
-
 def digest_mod_10(digest: Column) -> Column:
     """The 256-bit number written in a hex digest, modulo 10.
 

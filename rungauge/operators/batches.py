@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungauge.functions import arrays
-from rungauge.functions.hashing import hash_order, hash_position
+from rungauge.functions.hashing import hash_order
 from rungauge.functions.ranks import with_position
 from rungauge.operators.groups import join_groups
 
@@ -30,7 +30,7 @@ def mini_batch_fit(counts: DataFrame, n: str, size: int, cap: int | None = None)
 def shuffled(rows: DataFrame, seed: str, key: str, batch: Sequence[str] = (), name: str = "position", **options) -> DataFrame:
     """Adds the row's place in a seeded random order of its batch; all columns stay aligned."""
     hashed = rows.withColumn("_h", hash_order(seed, F.col(key)))
-    out = with_position(hashed, list(batch), ["_h", key], name, hash_position(F.col("_h")), **options)
+    out = with_position(hashed, list(batch), ["_h", key], name, **options)
     return out.drop("_h")
 
 
