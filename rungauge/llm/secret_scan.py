@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -93,8 +94,8 @@ def scanned(docs: DataFrame, vocabulary: str = VOCABULARY, least: int = 20, rati
 
     others = [c for c in docs.columns if c != "secrets"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text).cast("string").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, secrets array<struct<kind: string, start: bigint, end: bigint, part: string>>"
-    out = packed.mapInArrow(scan, schema)
+    spans = T.StructType.fromDDL("secrets array<struct<kind: string, start: bigint, end: bigint, part: string>>")
+    out = packed.mapInArrow(scan, T.StructType([packed.schema["row"], *spans]))
     return out.select("row.*", "secrets")
 
 

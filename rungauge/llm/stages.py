@@ -24,7 +24,7 @@ def _packed(docs: DataFrame, **more: Column) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject; learned from the labels of those that are here."""
     model = toxicity.fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(_packed(docs).select("row", "text"), model).filter(F.col("score") < toxicity.REJECT).select("row.*")
+    return toxicity.scored_rows(docs, model).filter(F.col("score") < toxicity.REJECT).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rungauge.llm.sides import held_out
 from rungauge.llm.words import Words, combined, pieces
@@ -257,13 +259,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mode
     return model
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``clauses`` (how many matched).
-
-    Whole texts are read.  A null or empty text scores like one without matches;
-    repeated rows are scored each for itself; columns of these names in the input
-    are replaced.  The model is bounded by ``TERMS``.
-    """
+def scored_rows(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``row`` (a struct of all columns), ``score`` and ``clauses``; the text is sent to Python once, inside its row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches) -> Iterator[pa.RecordBatch]:
@@ -271,12 +268,22 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         quick = own.lexicon.pattern()
         for batch in batches:
             out, clauses = [], []
-            for value in batch.column(1):
+            for value in pc.struct_field(batch.column(0), text):
                 scores = own.lexicon.matched(value.as_py() or "", quick)
                 out.append(own.score(math.log1p(sum(scores)), max(scores, default=0.0)))
                 clauses.append(len(scores))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(clauses, pa.int32())], names=["row", "score", "clauses"])
 
-    others = [c for c in docs.columns if c not in ("score", "clauses")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text).cast("string").alias("text"))
-    return packed.mapInArrow(score, f"row {packed.schema['row'].dataType.simpleString()}, score double, clauses int").select("row.*", "score", "clauses")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.mapInArrow(score, T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("clauses", T.IntegerType())]))
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``clauses`` (how many matched).
+
+    Whole texts are read.  A null or empty text scores like one without matches;
+    repeated rows are scored each for itself; columns of these names in the input
+    are replaced.  The model is bounded by ``TERMS``.
+    """
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("score", "clauses")]
+    return scored_rows(docs, model, text).select(*kept, "score", "clauses")
