@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungauge.llm.sides import held_out, sent_if_small
+from rungauge.llm.folds import held_out
 from rungauge.llm.words import PLAIN, TOKEN, Words, pieces
+from rungauge.shared import sent_if_small
 
 VOCABULARY = 1024
 SHAPES = 32

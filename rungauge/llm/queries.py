@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rungauge.llm import bagminhash, decontamination, lm_scoring, mixing, pii, secret_scan, sharding, topk, toxicity, url_rules
 from rungauge.llm.registry import query
-from rungauge.llm.sides import held_out
+from rungauge.llm.folds import held_out
 from rungauge.session import table
 from rungauge.shared import cut_lineage
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rungauge.llm.sides import held_out
+from rungauge.llm.folds import held_out
 from rungauge.llm.words import Words, combined, pieces
 from rungauge.shared import cut_lineage
 

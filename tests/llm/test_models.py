@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rungauge.llm import lm_scoring, toxicity
 from rungauge.llm import queries as q
-from rungauge.llm.sides import held_out
+from rungauge.llm.folds import held_out
 from rungauge.llm.words import PLAIN, TOKEN, Words
 
 ROOT = os.environ.get("LLM_DIR", "/root/testdata/sf0.01")
