@@ -155,8 +155,8 @@ def monitor_tables(spark, root):
     path = fresh_folder(spark, "steps")
     wrong = series.where("step % 3 = 0").withColumn("reward", F.lit(0.0)).withColumn("seq", F.col("step").cast("long"))
     right = series.withColumn("seq", F.col("step").cast("long") + 1_000_000)
-    wrong.coalesce(1).write.parquet(path)
-    right.coalesce(1).write.mode("append").parquet(path)
+    wrong.repartition(1).write.parquet(path)
+    right.repartition(1).write.mode("append").parquet(path)
     stream = st.file_stream(spark, path, right.schema, "*.parquet", files_per_batch=1)
     return st.LiveMonitor(mo.judge, mo.alarms, stop=False).run(stream, ["run", "step"], "seq")
 

@@ -44,13 +44,11 @@ def scrub(text):
 def write_trajectories(df: DataFrame, path: str, split: str = "split", step: str = "global_step") -> None:
     """One record per rollout in a folder per split and step.
 
-    Rows are spread over the writers by step and a hash of the row, so that a
-    step with most of the rollouts is written by many tasks.
+    Rows are dealt out by ranges of split, step and a hash of the row: a step has
+    as many writers as it fills ranges, and small steps share one.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    salted.repartition(split, step, "_salt").drop("_salt").write.mode(NEVER_REPLACE).partitionBy(
-        split, step
-    ).json(path)
+    dealt = df.repartitionByRange(split, step, F.xxhash64(*df.columns))
+    dealt.write.mode(NEVER_REPLACE).partitionBy(split, step).json(path)
 
 
 def manifest(df: DataFrame, protocol: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -60,7 +58,7 @@ def manifest(df: DataFrame, protocol: str, keys: Sequence[str], columns: Sequenc
 
 def write_manifest(manifest_rows: DataFrame, path: str) -> None:
     """Written last: its presence says that the outputs are whole."""
-    manifest_rows.coalesce(1).write.mode(NEVER_REPLACE).json(path)
+    manifest_rows.repartition(1).write.mode(NEVER_REPLACE).json(path)
 
 
 def publish(summary: DataFrame, path: str, complete: str = "complete") -> None:
