@@ -114,7 +114,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches, size: int = 4 * PIECE, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches, size: int = 2 * PIECE, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows whose texts have about ``size`` bytes (a longer text stands alone), with bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
