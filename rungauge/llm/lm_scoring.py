@@ -1,14 +1,23 @@
 """Cross-entropy difference of two word bigram models that share one vocabulary.
 
 The target model counts texts labelled as wanted, the background model all others.
-Both have the same vocabulary (the most frequent tokens of all training rows, and
-classes by shape for the others), order and smoothing, and the larger one's counts
-are scaled to the other's total, so that neither is sharper for having seen more.
-A document's score is the mean difference of its tokens' losses: lower is more
-like the target.
-
-A token is a run of bytes above the space, case kept.  The vocabulary's size V
-bounds the model: V^2 pairs, whatever the corpus; all rows are counted.
+Both have the same vocabulary (every token of the corpus), order and smoothing, and
+the larger one's counts are scaled to the other's total, so that neither is sharper
+for having seen more.  A document's score is the mean difference of its tokens'
+losses: lower is more like the target.
+
+A token is a run of bytes above the space, case kept.  The most frequent tokens and
+classes by shape for all others are V symbols; their V^2 pairs are sent to the tasks.
+They settle pairs of two frequent tokens, and are what the counts of all other pairs,
+which stay in Spark and grow with the corpus, are smoothed with:
+
+- a rare token w after a frequent u: P(class of w | u) P(w | class, u)
+- any token w after a rare u: from count(u, w), pulled to P(symbol of w | class of u) P(w | class)
+
+Each place of a rare token is one row with its two neighbours.  Rows of a token meet in
+one shuffle, which gives its count, its pairs with what stands before it, and with the
+frequent tokens after it; the losses are summed by document.  A rare token stands at
+most in one of V - SHAPES places, so no key has many rows.
 """
 
 from __future__ import annotations
@@ -17,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungauge.llm.folds import held_out
-from rungauge.llm.words import PLAIN, TOKEN, Words, pieces
-from rungauge.shared import sent_if_small
+from rungauge.llm.words import PLAIN, TOKEN, Words, mix, pieces
+from rungauge.shared import cut_lineage, sent_if_small
 
-VOCABULARY = 1024
+VOCABULARY = 1024  # symbols: frequent tokens, classes and the begin of a text
 SHAPES = 32
 PULL = 5.0  # weight of the unigram estimate in a pair's
 
@@ -57,27 +68,27 @@ def symbols(data: np.ndarray, words: Words, vocabulary: np.ndarray) -> np.ndarra
     return out
 
 
-def training(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``text`` and ``target`` of rows that aren't held out; ``wanted``: doc_id of the target texts."""
+def training(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``text`` and ``role`` of all rows: 1 target, 0 background, 2 held out; ``wanted``: doc_id of the target texts."""
     ids = wanted.select(F.col("doc_id").alias("of")).filter("of is not null").distinct()
-    rows = docs.select("doc_id", "text").filter("text is not null").filter(~held_out(F.col("doc_id")))
-    return rows.join(sent_if_small(ids), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("target"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    role = F.when(held_out(F.col("key")), 2).otherwise(F.col("of").isNotNull().cast("int"))
+    return rows.join(sent_if_small(ids), F.col("key") == F.col("of"), "left").select("key", "text", role.alias("role"))
 
 
 def _counted(rows: DataFrame, numbers) -> DataFrame:
-    """``code``, ``wanted`` and ``other``: how often each number stands in target and background rows."""
+    """``code``, ``shape``, ``wanted`` and ``other``: how often each number stands in target and background rows."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches):
-            codes, words = numbers(data, offsets)
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[words.owner()]
-            values, place = np.unique(codes, return_inverse=True)
-            n = np.bincount(place, minlength=len(values))
-            wanted = np.bincount(place[target], minlength=len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(wanted.astype(np.int64)), pa.array((n - wanted).astype(np.int64))], names=["code", "wanted", "other"])
+            codes, words, kinds = numbers(data, offsets)
+            role = batch.column(2).to_numpy()[words.owner()]
+            values, first, place = np.unique(codes, return_index=True, return_inverse=True)
+            wanted, other = (np.bincount(place[role == r], minlength=len(values)).astype(np.int64) for r in (1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(wanted), pa.array(other)], names=["code", "shape", "wanted", "other"])
 
-    counted = rows.mapInArrow(count, "code long, wanted long, other long")
-    return counted.groupBy("code").agg(F.sum("wanted").alias("wanted"), F.sum("other").alias("other"))
+    counted = rows.mapInArrow(count, "code long, shape int, wanted long, other long")
+    return counted.groupBy("code", "shape").agg(F.sum("wanted").alias("wanted"), F.sum("other").alias("other"))
 
 
 def pairs(data: np.ndarray, words: Words, vocabulary: np.ndarray, size: int) -> np.ndarray:
@@ -98,26 +109,57 @@ def losses(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return -np.log((table + PULL * single) / (table.sum(1, keepdims=True) + PULL)).astype(np.float32).ravel()
 
 
-def models(rows: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The vocabulary (sorted hashes) and the loss tables of target and background."""
+class Side:
+    """One model's V^2 pairs: ``loss``, ``known`` (what of a token's loss they settle) and the counts of classes."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, scale: float, types: np.ndarray, size: int):
+        self.scale = scale
+        self.loss = losses(codes, counts * scale, size)
+        table = np.zeros(size * size)
+        table[codes] = counts * scale
+        before, own = np.divmod(np.arange(size * size), size)
+        self.known = np.where(before < SHAPES, 0, self.loss + np.where(own < SHAPES, np.log(table + PULL), 0)).astype(np.float32)
+        self.classes = table.reshape(size, size).sum(0)[:SHAPES] + 0.5 * types
+
+    def rest(self, code, after, n, n_led, n_pair, n_next, size: int) -> np.ndarray:
+        """The loss that places of rare tokens add: their own, and that of a frequent token after them."""
+        before, own = np.divmod(code, size)
+        pull = PULL * (n * self.scale + 0.5) / self.classes[own] * np.where(before < SHAPES, np.exp(-self.loss[code].astype(np.float64)), 1)
+        ahead = np.exp(-self.loss[own * size + np.maximum(after, 0)].astype(np.float64))
+        out = -np.log(n_pair * self.scale + pull)
+        out += np.where(after >= 0, np.log(n_led * self.scale + PULL), 0)
+        return out - np.where(after >= SHAPES, np.log(n_next * self.scale + PULL * ahead), 0)
+
+
+def models(rows: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, Side, Side]:
+    """The frequent tokens (sorted hashes) and the sides of target and background."""
 
     def tokens(data, offsets):
         words = Words(data, offsets, TOKEN, PLAIN)
-        return words.hashes, words
+        return words.hashes, words, shapes(data, words)
 
-    known = _counted(rows, tokens).orderBy((F.col("wanted") + F.col("other")).desc(), "code").limit(size - SHAPES - 1)
-    vocabulary = np.sort(np.array([r.code for r in known.select("code").collect()], np.int64).view(np.uint64))
+    every = cut_lineage(_counted(rows, tokens).select("code", "shape", (F.col("wanted") + F.col("other")).alias("n")), "tokens")
+    known = every.orderBy(F.col("n").desc(), "code").limit(size - SHAPES - 1).select("code", "shape").collect()
+    vocabulary = np.sort(np.array([r.code for r in known], np.int64).view(np.uint64))
+    types = np.zeros(SHAPES)
+    for r in every.groupBy("shape").count().collect():
+        types[r["shape"]] = r["count"]
+    types -= np.bincount([r["shape"] for r in known], minlength=SHAPES)
 
     def neighbours(data, offsets):
         words = Words(data, offsets, TOKEN, PLAIN)
-        return pairs(data, words, vocabulary, size), words
+        codes = pairs(data, words, vocabulary, size)
+        return codes, words, np.zeros(len(codes), np.int32)
 
     seen = _counted(rows, neighbours).toPandas()  # at most size^2 rows
     codes = seen["code"].to_numpy(np.int64)
     wanted, other = seen["wanted"].to_numpy(np.float64), seen["other"].to_numpy(np.float64)
     least = min(wanted.sum(), other.sum())
-    level = lambda n: n * (least / n.sum()) if least else n
-    return vocabulary, losses(codes, level(wanted), size), losses(codes, level(other), size)
+    sides = [Side(codes, n, least / n.sum() if least else 1.0, types, size) for n in (wanted, other)]
+    return vocabulary, *sides
+
+
+PLACES = "row long, key long, n_tokens long, a double, b double, token long, before long, packed long"
 
 
 def scored(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY) -> DataFrame:
@@ -125,25 +167,63 @@ def scored(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str =
 
     A null or empty text has no tokens and null losses; repeated rows are scored
     each for itself; with no target rows, or no others, that model is uniform
-    over its shapes; an empty table gives no rows.  Whole texts are read.
+    over its symbols; an empty table gives no rows.  Whole texts are read.
     """
-    vocabulary, target, background = models(training(docs, wanted), size)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, target, background))
-
-    def score(batches) -> Iterator[pa.RecordBatch]:
-        vocabulary, target, background = sent.value
+    rows = training(docs, wanted, key, text)
+    vocabulary, *sides = models(rows, size)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, sides))
+
+    def places(batches) -> Iterator[pa.RecordBatch]:
+        """A row for each document with the losses known here, and one for each place of a rare token."""
+        vocabulary, sides = sent.value
+        names = [c.split()[0] for c in PLACES.split(", ")]
+        at = TaskContext.get().partitionId() << 36
         for batch, data, offsets in pieces(batches):
             words = Words(data, offsets, TOKEN, PLAIN)
             codes = pairs(data, words, vocabulary, size)
-            n = words.counts()
-            sums = [np.diff(np.concatenate([[0.0], np.cumsum(t[codes], dtype=np.float64)])[words.first]) for t in (target, background)]
-            none = n == 0
-            a, b = (s / np.maximum(n, 1) for s in sums)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(a, mask=none), pa.array(b, mask=none), pa.array(a - b, mask=none)],
-                names=["key", "n_tokens", "target_loss", "background_loss", "difference"],
-            )
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(score, "key long, n_tokens long, target_loss double, background_loss double, difference double")
-    return out.withColumnRenamed("key", key)
+            number = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            sums = [pa.array(np.diff(np.concatenate([[0.0], np.cumsum(s.known[codes], dtype=np.float64)])[words.first])) for s in sides]
+            own_key = pa.array(mix(number.astype(np.uint64)).view(np.int64))
+            nothing = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0), pa.array(words.counts().astype(np.int64)), *sums, own_key, nothing, nothing], names=names)
+            before, own = np.divmod(codes, size)
+            hashes = words.hashes.view(np.int64)
+            left = np.where(before < SHAPES, np.roll(hashes, 1), before)
+            after = np.roll(own, -1)
+            after[words.first[1:][words.counts() > 0] - 1] = -1
+            owner = words.owner()
+            role = batch.column(2).to_numpy()[owner]
+            rare = np.flatnonzero(own < SHAPES)
+            packed = ((codes << 16) + (after + 1)) * 4 + role
+            none = [pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(number[owner[rare]]), *none, pa.array(hashes[rare]), pa.array(left[rare]), pa.array(packed[rare])], names=names)
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        _, sides = sent.value
+        for batch in batches:
+            is_place = batch.column("packed").is_valid()
+            part = batch.filter(is_place)
+            packed = part.column("packed").to_numpy() >> 2
+            code, after = packed >> 16, (packed & 0xFFFF) - 1
+            counts = [[part.column(f"{c}_{m}").to_numpy() for c in ("n", "led", "pair", "next")] for m in ("wanted", "other")]
+            rest = [pa.array(s.rest(code, after, *c, size)) for s, c in zip(sides, counts)]
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("row"), none, none, *rest], names=["row", "key", "n_tokens", "a", "b"])
+            yield batch.filter(pc.invert(is_place)).select(["row", "key", "n_tokens", "a", "b"])
+
+    found = rows.mapInArrow(places, PLACES)
+    after = F.expr("(packed >> 2) & 65535")
+    over = {"n": Window.partitionBy("token"), "pair": Window.partitionBy("token", "before"), "next": Window.partitionBy("token", "after")}
+    found = found.withColumn("after", after)
+    counts = {}
+    for model, role in (("wanted", 1), ("other", 0)):
+        one = F.coalesce((F.col("packed").bitwiseAND(3) == role).cast("long"), F.lit(0))
+        counts |= {f"{name}_{model}": F.sum(one).over(window) for name, window in over.items()}
+        counts[f"led_{model}"] = F.sum(F.when(F.col("after") > 0, one).otherwise(0)).over(over["n"])
+    parts = found.withColumns(counts).drop("token", "before", "after")
+    parts = parts.mapInArrow(add, "row long, key long, n_tokens long, a double, b double")
+    own = parts.groupBy("row").agg(F.max("key").alias("key"), F.sum("n_tokens").alias("n_tokens"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    mean = lambda total: F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    out = own.select("key", "n_tokens", mean(F.col("a")).alias("target_loss"), mean(F.col("b")).alias("background_loss"))
+    return out.withColumn("difference", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("key", key)

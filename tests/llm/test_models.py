@@ -1,6 +1,7 @@
 """Toxicity and language scoring: laws of the parts, held-out accuracy on the given tables."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -109,3 +110,66 @@ def test_quality_of_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{ROOT}/labels.parquet").collect()}
     rows = [r for r in q.score_language(spark, ROOT).collect() if r.held_out and r.doc_id in labels and r.n_tokens]
     assert auc([(-r.difference, labels[r.doc_id]) for r in rows]) > 0.85
+
+
+def brute_losses(texts, roles, scored, frequent):
+    """Mean loss of ``scored`` under both models, by formula from plain counters; ``frequent``: tokens with symbols of their own."""
+    from collections import Counter
+
+    size = lm_scoring.VOCABULARY
+    every = sorted({w for t in texts for w in t.split()})
+
+    def symbol(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        shape = int(lm_scoring.shapes(data, Words(data, np.array([0, len(data)]), TOKEN, PLAIN))[0])
+        return lm_scoring.SHAPES + sorted(frequent).index(word) if word in frequent else shape
+
+    of = {w: symbol(w) for w in every} | {None: size - 1}
+    rare = [w for w in every if w not in frequent]
+    total = [sum(len(t.split()) for t, r in zip(texts, roles) if r == role) for role in (1, 0)]
+    out = []
+    for role, n in zip((1, 0), total):
+        scale = min(total) / n
+        gram, lead, word = Counter(), Counter(), Counter()
+        classes = Counter()
+        for t, r in zip(texts, roles):
+            for u, w in zip([None, *t.split()], t.split()):
+                if r == role:
+                    gram[u, w] += scale
+                    lead[u] += scale
+                    word[w] += scale
+                    classes[of[u], of[w]] += scale
+        codes = np.array([a * size + b for a, b in classes])
+        base = np.exp(-lm_scoring.losses(codes, np.array([*classes.values()]), size).astype(np.float64))
+        pull = lm_scoring.PULL
+
+        def inside(w):
+            same = [x for x in rare if of[x] == of[w]]
+            return 1.0 if w in frequent else (word[w] + 0.5) / sum(word[x] + 0.5 for x in same)
+
+        def chance(u, w):
+            p = base[of[u] * size + of[w]]
+            if u is None or u in frequent:
+                return p if w in frequent else p * (gram[u, w] + pull * inside(w)) / (classes[of[u], of[w]] + pull)
+            return (gram[u, w] + pull * p * inside(w)) / (lead[u] + pull)
+
+        out.append([-np.mean([np.log(chance(u, w)) for u, w in zip([None, *t.split()], t.split())]) for t in scored])
+    return out
+
+
+def test_pairs_of_rare_tokens_count(spark):
+    """More tokens than symbols: content words of one shape tell documents apart, as plain counting does."""
+    rnd = np.random.default_rng(3)
+    side = lambda j: "the " + " ".join(f"w{chr(97 + j)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rnd.integers(0, 600, 12)) + " the of"
+    texts = [side(i % 2) for i in range(300)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1][:300]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    wanted = spark.createDataFrame([(i,) for i, t in zip(ids, texts) if t.startswith("the wb")], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.scored(docs, wanted, size=lm_scoring.SHAPES + 3).collect()}
+    size, lm_scoring.VOCABULARY = lm_scoring.VOCABULARY, lm_scoring.SHAPES + 3
+    try:
+        a, b = brute_losses(texts, [int(t.startswith("the wb")) for t in texts], texts[:20], {"the", "of"})
+    finally:
+        lm_scoring.VOCABULARY = size
+    assert np.allclose([got[i].target_loss for i in ids[:20]], a, atol=1e-4) and np.allclose([got[i].background_loss for i in ids[:20]], b, atol=1e-4)
+    assert max(got[i].difference for i, t in zip(ids, texts) if t.startswith("the wb")) < 0 < min(got[i].difference for i, t in zip(ids, texts) if t.startswith("the wa"))
