@@ -1,6 +1,7 @@
 """Cross-entropy difference of two word bigram models that share one vocabulary.
 
-The target model counts texts labelled as wanted, the background model all others.
+The target model counts texts labelled as wanted, the background model all others,
+labelled or not; only labelled rows that are held out for testing are in neither.
 Both have the same vocabulary (every token of the corpus), order and smoothing, and
 the larger one's counts are scaled to the other's total, so that neither is sharper
 for having seen more.  A document's score is the mean difference of its tokens'
@@ -68,12 +69,19 @@ def symbols(data: np.ndarray, words: Words, vocabulary: np.ndarray) -> np.ndarra
     return out
 
 
-def training(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``text`` and ``role`` of all rows: 1 target, 0 background, 2 held out; ``wanted``: doc_id of the target texts."""
-    ids = wanted.select(F.col("doc_id").alias("of")).filter("of is not null").distinct()
+def training(docs: DataFrame, wanted: DataFrame, labelled: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``text`` and ``role`` of all rows: 1 target, 0 background, 2 held out.
+
+    ``wanted``: doc_id of the target texts; ``labelled``: of all rows with a label
+    (else those of ``wanted``).  Only labelled rows are held out; all others count.
+    """
+    ids = wanted.select(F.col("doc_id").alias("of"), F.lit(1).alias("good"))
+    if labelled is not None:
+        ids = ids.unionByName(labelled.select(F.col("doc_id").alias("of"), F.lit(0).alias("good")))
+    ids = ids.filter("of is not null").groupBy("of").agg(F.max("good").alias("good"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    role = F.when(held_out(F.col("key")), 2).otherwise(F.col("of").isNotNull().cast("int"))
-    return rows.join(sent_if_small(ids), F.col("key") == F.col("of"), "left").select("key", "text", role.alias("role"))
+    role = F.when(F.col("of").isNotNull() & held_out(F.col("key")), 2).otherwise(F.coalesce("good", F.lit(0)))
+    return rows.join(sent_if_small(ids), F.col("key") == F.col("of"), "left").select("key", "text", role.cast("int").alias("role"))
 
 
 def _counted(rows: DataFrame, numbers) -> DataFrame:
@@ -162,14 +170,17 @@ def models(rows: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, Side, S
 PLACES = "row long, key long, n_tokens long, a double, b double, token long, before long, packed long"
 
 
-def scored(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY) -> DataFrame:
+def scored(
+    docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY, labelled: DataFrame | None = None
+) -> DataFrame:
     """``key``, ``n_tokens``, ``target_loss``, ``background_loss`` (nats per token) and ``difference`` of each document.
 
     A null or empty text has no tokens and null losses; repeated rows are scored
     each for itself; with no target rows, or no others, that model is uniform
     over its symbols; an empty table gives no rows.  Whole texts are read.
+    Held-out rows of ``labelled`` (else of ``wanted``) are in neither model.
     """
-    rows = training(docs, wanted, key, text)
+    rows = training(docs, wanted, labelled, key, text)
     vocabulary, *sides = models(rows, size)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, sides))
 

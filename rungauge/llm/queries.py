@@ -162,5 +162,5 @@ def score_toxicity(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_score_language")
 def score_language(spark: SparkSession, root: str) -> DataFrame:
     """Cross-entropy difference of each document: texts labelled good against all others."""
-    wanted = table(spark, root, "labels").filter("quality = 1").select("doc_id")
-    return lm_scoring.scored(table(spark, root, "documents"), wanted).withColumn("held_out", held_out(F.col("doc_id")))
+    labels = table(spark, root, "labels").filter("quality is not null")
+    return lm_scoring.scored(table(spark, root, "documents"), labels.filter("quality = 1").select("doc_id"), labelled=labels).withColumn("held_out", held_out(F.col("doc_id")))

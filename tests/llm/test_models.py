@@ -173,3 +173,13 @@ def test_pairs_of_rare_tokens_count(spark):
         lm_scoring.VOCABULARY = size
     assert np.allclose([got[i].target_loss for i in ids[:20]], a, atol=1e-4) and np.allclose([got[i].background_loss for i in ids[:20]], b, atol=1e-4)
     assert max(got[i].difference for i, t in zip(ids, texts) if t.startswith("the wb")) < 0 < min(got[i].difference for i, t in zip(ids, texts) if t.startswith("the wa"))
+
+
+def test_only_labelled_rows_are_held_out(spark):
+    docs = spark.createDataFrame([(i, "text") for i in range(300)] + [(None, "text")], "doc_id long, text string")
+    labels = docs.filter("doc_id < 60")
+    rows = lm_scoring.training(docs, labels.filter("doc_id < 30").select("doc_id"), labels).withColumn("away", held_out(F.col("key"))).collect()
+    assert len(rows) == 301 and sum(r.away for r in rows) > 50
+    for r in rows:
+        labelled = r.key is not None and r.key < 60
+        assert r.role == (2 if labelled and r.away else int(r.key is not None and r.key < 30))
