@@ -84,19 +84,51 @@ def training(docs: DataFrame, wanted: DataFrame, labelled: DataFrame | None = No
     return rows.join(sent_if_small(ids), F.col("key") == F.col("of"), "left").select("key", "text", role.cast("int").alias("role"))
 
 
-def _counted(rows: DataFrame, numbers) -> DataFrame:
-    """``code``, ``shape``, ``wanted`` and ``other``: how often each number stands in target and background rows."""
+def _frequent(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent tokens (sorted hashes), and how many others each shape has."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches):
-            codes, words, kinds = numbers(data, offsets)
+            words = Words(data, offsets, TOKEN, PLAIN)
+            values, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
+            n = np.bincount(place[batch.column(2).to_numpy()[words.owner()] < 2], minlength=len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(shapes(data, words)[first].astype(np.int32)), pa.array(n)], names=["code", "shape", "n"])
+
+    def best(batches) -> Iterator[pa.RecordBatch]:
+        """A part's ``most`` first tokens, and rows without a token with the number of its tokens by shape."""
+        types, top = np.zeros(SHAPES, np.int64), [np.zeros((0, 3), np.int64)]
+        for batch in batches:
+            part = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            types += np.bincount(part[:, 1], minlength=SHAPES)
+            top = np.concatenate([*top, part])
+            top = [top[np.lexsort((top[:, 0], -top[:, 2]))[:most]]]
+        code, shape, n = top[0].T
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(shape.astype(np.int32)), pa.array(n)], names=["code", "shape", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(SHAPES, pa.int64()), pa.array(np.arange(SHAPES, dtype=np.int32)), pa.array(types)], names=["code", "shape", "n"])
+
+    names = "code long, shape int, n long"
+    every = rows.mapInArrow(count, names).groupBy("code").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
+    parts = cut_lineage(every.mapInArrow(best, names), "tokens")
+    known = parts.filter("code is not null").orderBy(F.col("n").desc(), "code").limit(most).select("code", "shape").collect()
+    types = -np.bincount([r["shape"] for r in known], minlength=SHAPES).astype(np.float64)
+    for r in parts.filter("code is null").groupBy("shape").agg(F.sum("n").alias("n")).collect():
+        types[r["shape"]] += r["n"]
+    return np.sort(np.array([r["code"] for r in known], np.int64).view(np.uint64)), types
+
+
+def _counted(rows: DataFrame, vocabulary: np.ndarray, size: int) -> DataFrame:
+    """``code``, ``wanted`` and ``other``: how often each pair of symbols stands in target and background rows."""
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(batches):
+            words = Words(data, offsets, TOKEN, PLAIN)
             role = batch.column(2).to_numpy()[words.owner()]
-            values, first, place = np.unique(codes, return_index=True, return_inverse=True)
+            values, place = np.unique(pairs(data, words, vocabulary, size), return_inverse=True)
             wanted, other = (np.bincount(place[role == r], minlength=len(values)).astype(np.int64) for r in (1, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(wanted), pa.array(other)], names=["code", "shape", "wanted", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(wanted), pa.array(other)], names=["code", "wanted", "other"])
 
-    counted = rows.mapInArrow(count, "code long, shape int, wanted long, other long")
-    return counted.groupBy("code", "shape").agg(F.sum("wanted").alias("wanted"), F.sum("other").alias("other"))
+    counted = rows.mapInArrow(count, "code long, wanted long, other long")
+    return counted.groupBy("code").agg(F.sum("wanted").alias("wanted"), F.sum("other").alias("other"))
 
 
 def pairs(data: np.ndarray, words: Words, vocabulary: np.ndarray, size: int) -> np.ndarray:
@@ -142,24 +174,8 @@ class Side:
 def models(rows: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, Side, Side]:
     """The frequent tokens (sorted hashes) and the sides of target and background."""
 
-    def tokens(data, offsets):
-        words = Words(data, offsets, TOKEN, PLAIN)
-        return words.hashes, words, shapes(data, words)
-
-    every = cut_lineage(_counted(rows, tokens).select("code", "shape", (F.col("wanted") + F.col("other")).alias("n")), "tokens")
-    known = every.orderBy(F.col("n").desc(), "code").limit(size - SHAPES - 1).select("code", "shape").collect()
-    vocabulary = np.sort(np.array([r.code for r in known], np.int64).view(np.uint64))
-    types = np.zeros(SHAPES)
-    for r in every.groupBy("shape").count().collect():
-        types[r["shape"]] = r["count"]
-    types -= np.bincount([r["shape"] for r in known], minlength=SHAPES)
-
-    def neighbours(data, offsets):
-        words = Words(data, offsets, TOKEN, PLAIN)
-        codes = pairs(data, words, vocabulary, size)
-        return codes, words, np.zeros(len(codes), np.int32)
-
-    seen = _counted(rows, neighbours).toPandas()  # at most size^2 rows
+    vocabulary, types = _frequent(rows, size - SHAPES - 1)
+    seen = _counted(rows, vocabulary, size).toPandas()  # at most size^2 rows
     codes = seen["code"].to_numpy(np.int64)
     wanted, other = seen["wanted"].to_numpy(np.float64), seen["other"].to_numpy(np.float64)
     least = min(wanted.sum(), other.sum())
@@ -167,7 +183,9 @@ def models(rows: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, Side, S
     return vocabulary, *sides
 
 
-PLACES = "row long, key long, n_tokens long, a double, b double, token long, before long, packed long"
+PLACES = "row long, token long, before long, after int, document binary"
+DOCUMENT = np.dtype([("has_key", np.int64), ("key", np.int64), ("n_tokens", np.int64), ("a", np.float64), ("b", np.float64)])
+COUNTS = ("n", "led", "pair", "next")  # of a place's token, of those with a token after, and of its two pairs
 
 
 def scored(
@@ -185,7 +203,11 @@ def scored(
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, sides))
 
     def places(batches) -> Iterator[pa.RecordBatch]:
-        """A row for each document with the losses known here, and one for each place of a rare token."""
+        """A row for each document with the losses known here, and one for each place of a rare token.
+
+        ``token``: 56 bits of its hash, and its shape; ``before``: 48 bits of a rare
+        token's hash, and the symbol; ``after``: the next symbol plus one, and the role.
+        """
         vocabulary, sides = sent.value
         names = [c.split()[0] for c in PLACES.split(", ")]
         at = TaskContext.get().partitionId() << 36
@@ -194,46 +216,52 @@ def scored(
             codes = pairs(data, words, vocabulary, size)
             number = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
-            sums = [pa.array(np.diff(np.concatenate([[0.0], np.cumsum(s.known[codes], dtype=np.float64)])[words.first])) for s in sides]
-            own_key = pa.array(mix(number.astype(np.uint64)).view(np.int64))
-            nothing = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0), pa.array(words.counts().astype(np.int64)), *sums, own_key, nothing, nothing], names=names)
+            documents = np.zeros(batch.num_rows, DOCUMENT)
+            documents["has_key"] = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            documents["key"] = batch.column(0).fill_null(0).to_numpy()
+            documents["n_tokens"] = words.counts()
+            for name, side in zip("ab", sides):
+                documents[name] = np.diff(np.concatenate([[0.0], np.cumsum(side.known[codes], dtype=np.float64)])[words.first])
+            n, nothing = batch.num_rows, pa.nulls(batch.num_rows, pa.int64())
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DOCUMENT.itemsize), n, [None, pa.py_buffer(documents.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(mix(number.astype(np.uint64)).view(np.int64)), nothing, pa.nulls(n, pa.int32()), packed], names=names)
             before, own = np.divmod(codes, size)
-            hashes = words.hashes.view(np.int64)
-            left = np.where(before < SHAPES, np.roll(hashes, 1), before)
+            token = (words.hashes >> np.uint64(8) << np.uint64(8)).view(np.int64) | np.minimum(own, SHAPES)
+            left = np.where(before < SHAPES, np.roll(words.hashes >> np.uint64(16) << np.uint64(16), 1).view(np.int64), 0) | before
             after = np.roll(own, -1)
             after[words.first[1:][words.counts() > 0] - 1] = -1
             owner = words.owner()
-            role = batch.column(2).to_numpy()[owner]
+            after = (after + 1) * 4 + batch.column(2).to_numpy()[owner]
             rare = np.flatnonzero(own < SHAPES)
-            packed = ((codes << 16) + (after + 1)) * 4 + role
-            none = [pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(number[owner[rare]]), *none, pa.array(hashes[rare]), pa.array(left[rare]), pa.array(packed[rare])], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number[owner[rare]]), pa.array(token[rare]), pa.array(left[rare]), pa.array(after[rare].astype(np.int32)), pa.nulls(len(rare), pa.binary())], names=names
+            )
 
     def add(batches) -> Iterator[pa.RecordBatch]:
         _, sides = sent.value
+        names = ["row", "key", "n_tokens", "a", "b"]
         for batch in batches:
-            is_place = batch.column("packed").is_valid()
-            part = batch.filter(is_place)
-            packed = part.column("packed").to_numpy() >> 2
-            code, after = packed >> 16, (packed & 0xFFFF) - 1
-            counts = [[part.column(f"{c}_{m}").to_numpy() for c in ("n", "led", "pair", "next")] for m in ("wanted", "other")]
+            is_place = batch.column("document").is_null()
+            part, whole = batch.filter(is_place), batch.filter(pc.invert(is_place))
+            code = (part.column("before").to_numpy() & 0xFFFF) * size + (part.column("token").to_numpy() & 0xFF)
+            after = (part.column("after").to_numpy().astype(np.int64) >> 2) - 1
+            counts = [part.column(c).to_numpy() for c in COUNTS]  # target's above 32 bits of background's
+            counts = [[c >> 32 for c in counts], [c & 0xFFFFFFFF for c in counts]]
             rest = [pa.array(s.rest(code, after, *c, size)) for s, c in zip(sides, counts)]
-            none = pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("row"), none, none, *rest], names=["row", "key", "n_tokens", "a", "b"])
-            yield batch.filter(pc.invert(is_place)).select(["row", "key", "n_tokens", "a", "b"])
-
-    found = rows.mapInArrow(places, PLACES)
-    after = F.expr("(packed >> 2) & 65535")
-    over = {"n": Window.partitionBy("token"), "pair": Window.partitionBy("token", "before"), "next": Window.partitionBy("token", "after")}
-    found = found.withColumn("after", after)
-    counts = {}
-    for model, role in (("wanted", 1), ("other", 0)):
-        one = F.coalesce((F.col("packed").bitwiseAND(3) == role).cast("long"), F.lit(0))
-        counts |= {f"{name}_{model}": F.sum(one).over(window) for name, window in over.items()}
-        counts[f"led_{model}"] = F.sum(F.when(F.col("after") > 0, one).otherwise(0)).over(over["n"])
-    parts = found.withColumns(counts).drop("token", "before", "after")
-    parts = parts.mapInArrow(add, "row long, key long, n_tokens long, a double, b double")
+            nothing = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("row"), nothing, nothing, *rest], names=names)
+            documents = np.frombuffer(b"".join(whole.column("document").to_pylist()), DOCUMENT)
+            fields = [pa.array(documents[c].copy()) for c in ("n_tokens", "a", "b")]
+            yield pa.RecordBatch.from_arrays([whole.column("row"), pa.array(documents["key"].copy(), mask=documents["has_key"] == 0), *fields], names=names)
+
+    # One shuffle by token, before any column is added; the order serves two of the three windows.
+    found = rows.mapInArrow(places, PLACES).repartition("token").sortWithinPartitions("token", "before")
+    role = F.col("after").bitwiseAND(3)
+    one = F.when(role == 1, F.lit(1 << 32)).when(role == 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    token, pair = Window.partitionBy("token"), Window.partitionBy("token", "before")
+    found = found.withColumns({"n": F.sum(one).over(token), "led": F.sum(F.when(F.col("after") > 3, one).otherwise(0)).over(token)})
+    found = found.withColumn("pair", F.sum(one).over(pair)).withColumn("next", F.sum(one).over(Window.partitionBy("token", F.shiftright("after", 2))))
+    parts = found.select("row", "token", "before", "after", "document", *COUNTS).mapInArrow(add, "row long, key long, n_tokens long, a double, b double")
     own = parts.groupBy("row").agg(F.max("key").alias("key"), F.sum("n_tokens").alias("n_tokens"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     mean = lambda total: F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
     out = own.select("key", "n_tokens", mean(F.col("a")).alias("target_loss"), mean(F.col("b")).alias("background_loss"))
