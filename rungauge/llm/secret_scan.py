@@ -3,14 +3,17 @@
 Words of any language, identifiers and markup come in long tokens; a key drawn at
 random falls apart into tokens of one or two characters.  Strings of key-like
 characters whose characters per token stay at or below ``ratio`` are reported,
-unless they are a digest of a known length, a UUID, or made of one class of
-characters only.
+unless they are a digest of a known length, a UUID, or digits only.  A string that
+words lift over the ratio is searched again by its parts between ``/ = _ -``: those
+that fail alone, or neighbours that are random together, as a key that has such
+signs of its own.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,6 +33,7 @@ HEX = r"[0-9a-f]{32,}"
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
+PARTS = rf"(?<![A-Za-z0-9+]){UUID}(?![A-Za-z0-9+])|[A-Za-z0-9+]+"
 KINDS = ("assign", "access", "hex", "random")
 PART = 256  # characters encoded at once; a longer string is counted in parts
 
@@ -44,13 +48,28 @@ def base_spans(text: str, assign: re.Pattern, access: re.Pattern, digits: re.Pat
 
 
 def explained(word: str) -> bool:
-    """Whether a string is a digest of a known length, a UUID, or of one class of characters."""
+    """Whether a string is a digest of a known length, a UUID, or has no letter."""
     if len(word) in DIGESTS and (re.fullmatch("[0-9a-f]+", word) or re.fullmatch("[0-9A-F]+", word)):
         return True
     if re.fullmatch(UUID, word):
         return True
-    classes = [any(c.islower() for c in word), any(c.isupper() for c in word), any(c.isdigit() for c in word)]
-    return sum(classes) < 2
+    return not any(c.isalpha() for c in word)
+
+
+def random_parts(word: str, random, secret) -> list[tuple[int, int]]:
+    """Start and end of random parts of a string; ``random`` judges a part of any length, ``secret`` what is reported."""
+    groups = [[]]
+    for m in re.finditer(PARTS, word):
+        if not re.fullmatch(UUID, m.group()) and random(m.group()):
+            groups[-1].append(m.span())
+        else:
+            groups.append([])
+    out = []
+    for group in filter(None, groups):
+        alone = [(a, b) for a, b in group if secret(a, b)]
+        a, b = group[0][0], group[-1][1]
+        out += alone or ([(a, b)] if len(group) > 1 and secret(a, b) else [])
+    return out
 
 
 def scanned(docs: DataFrame, vocabulary: str = VOCABULARY, least: int = 20, ratio: float = 2.0, known: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
@@ -72,6 +91,10 @@ def scanned(docs: DataFrame, vocabulary: str = VOCABULARY, least: int = 20, rati
         encoder = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=merges, special_tokens={})
         assign, access, digits = re.compile(ASSIGN, re.A), re.compile(ACCESS), re.compile(HEX)
         keys = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % least)
+
+        def random(word: str) -> bool:
+            return len(word) <= ratio * sum(len(encoder.encode_ordinary(word[i : i + PART])) for i in range(0, len(word), PART))
+
         for batch in batches:
             found = []
             for value in batch.column(batch.num_columns - 1):
@@ -82,11 +105,19 @@ def scanned(docs: DataFrame, vocabulary: str = VOCABULARY, least: int = 20, rati
                 for m in keys.finditer(content):
                     while at < len(taken) and taken[at][1] <= m.start():
                         at += 1
-                    if any(start < m.end() for start, _ in taken[at : at + 1]) or explained(word := m.group().strip("=-_/+")) or word in known or len(word) < least:
-                        continue
-                    tokens = sum(len(encoder.encode_ordinary(word[i : i + PART])) for i in range(0, len(word), PART))
-                    if len(word) <= ratio * tokens:
+                    near = list(itertools.takewhile(lambda t: t[0] < m.end(), itertools.islice(taken, at, None)))
+
+                    def secret(start: int, end: int, m=m, near=near) -> bool:
+                        word = m.group()[start:end].strip("=-_/+")
+                        start, end = start + m.start(), end + m.start()
+                        if any(a < end and start < b for a, b in near):
+                            return False
+                        return len(word) >= least and word not in known and not explained(word) and random(word)
+
+                    if secret(0, len(m.group())):
                         spans.append((m.start(), 3, m.end()))
+                    elif m.group().strip("=-_/+") not in known:
+                        spans += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m.group(), random, secret)]
                 spans.sort()
                 found.append([{"kind": KINDS[kind], "start": start, "end": end, "part": content[start:end]} for start, kind, end in spans])
             column = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("part", pa.string())])))

@@ -111,3 +111,24 @@ def test_empty_and_clashing(spark, documents):
     assert secret_scan.scanned(empty).count() == 0 and pii.detected(empty).count() == 0
     odd = documents([(1, "a@b.cd token=12345678")]).withColumns({c: F.lit("x") for c in ("secrets", "spans", "base", "more", "row", "part")})
     assert len(secret_scan.scanned(odd).first().secrets) == 1 and len(pii.detected(odd).first().spans) == 1
+
+
+HANGING = ["", "database_connection_credential=", "session_identifier=", "/api/v1/customers/documents/attachments/",
+           "/services/customers/documents/attachments/download/archive/", "DATABASE_CONNECTION_CREDENTIAL="]
+
+
+def test_random_keys_beside_words(documents):
+    rnd = random.Random(4)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [(p, "".join(rnd.choices(base62, k=k))) for p in HANGING for k in (20, 24, 32, 40) for _ in range(50)]
+    rows = secret_scan.scanned(documents([(i, f"see {p}{key} there") for i, (p, key) in enumerate(keys)])).collect()
+    missed = [keys[r.doc_id] for r in rows if not any(keys[r.doc_id][1] in s.part for s in r.secrets)]
+    assert not missed
+    clean = [(i, f"see {p} there") for i, p in enumerate(HANGING)] + [(90, "see /users/documents/550e8400-e29b-41d4-a716-446655440000/profile there"), (91, "customers/archive/2024-01-15-10-30-45-123456/list")]
+    assert not any(r.secrets for r in secret_scan.scanned(documents(clean)).collect())
+
+
+def test_keys_with_signs_and_of_one_class(documents):
+    texts = ["customers/documents/archive/xT9q/Lp2Vw8Kd_4Rt6Yb1N-c3Mf5Zk there", "see customers/QXZJVKWPFGHBTNDLRMCS/attachments there", "QXZJV-KWPFG-HBTND-LRMCS-YZXWQ"]
+    got = secret_scan.scanned(documents(list(enumerate(texts)))).collect()
+    assert all(len(r.secrets) == 1 for r in got)
