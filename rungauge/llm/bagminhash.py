@@ -215,7 +215,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     key is in it.  An empty table gives no rows.
 
     Recall: two documents at the threshold share none of the 16 bands of four
-    components with probability (1 - 0.8^4)^16 = 0.0002.
+    components with probability (1 - 0.8^4)^16 = 0.0002.  A cluster of at most ``LOAD``
+    shingles and ``MEMBERS`` nodes is compared whole, so such a pair is still linked
+    there when others join it to one cluster; a larger cluster misses it at that rate.
     """
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     signed = cut_lineage(_signed(source), "signatures")
