@@ -64,14 +64,17 @@ class Phrases:
         self.order = np.argsort(weight, axis=1, kind="stable").astype(np.int32)
 
 
-def build_index(docs: DataFrame, key: str, vocabulary: np.ndarray | None = None, text: str = "text") -> DataFrame:
-    """Postings of the whole texts, written once; only of the terms in ``vocabulary`` (sorted) when one is given."""
+def build_index(docs: DataFrame, key: str, vocabulary: np.ndarray | None = None, text: str = "text", gap: int = 1) -> DataFrame:
+    """Postings of the whole texts, written once; only of the terms in ``vocabulary`` (sorted) when one is given.
+
+    ``gap``: positions between two documents, more than twice the slop of a search.
+    """
 
     def index(batches) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
         for rows, data, offsets in pieces(batches, SEGMENT):
             words = Words(data, offsets)
-            at = (np.arange(len(words.hashes)) + words.owner()).astype(np.int32)
+            at = (np.arange(len(words.hashes)) + gap * words.owner()).astype(np.int32)
             terms = words.hashes
             if vocabulary is not None:
                 known = np.searchsorted(vocabulary, terms)
@@ -87,7 +90,7 @@ def build_index(docs: DataFrame, key: str, vocabulary: np.ndarray | None = None,
                 [pa.array(np.full(n, segment)), pa.array(terms[begins].view(np.int64)), lists, pa.nulls(n, pa.int64()), nothing, nothing],
                 names=["segment", "term", "positions", "key", "first", "n_words"],
             )
-            first = (words.first[:-1] + np.arange(d)).astype(np.int32)
+            first = (words.first[:-1] + gap * np.arange(d)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(d, segment)), pa.nulls(d, pa.int64()), pa.nulls(d, pa.list_(pa.int32())), rows.column(0), pa.array(first), pa.array(words.counts().astype(np.int32))],
                 names=["segment", "term", "positions", "key", "first", "n_words"],
@@ -120,7 +123,7 @@ def matches(phrases: Phrases, lists: np.ndarray, slop: int = 0) -> Iterator[tupl
         start = (lists[bounds[rarest[own]] + inside] & 0xFFFFFFFF) - lead[own]
         if slop:  # the first term may itself stand off its place
             own, start = np.repeat(own, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()
-        keep = start >= 0
+        keep = start >= -slop
         own, start = own[keep], start[keep]
         for j in range(1, phrases.terms.shape[1]):
             place = phrases.order[own, j]
@@ -154,10 +157,11 @@ def _search(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
         change = np.zeros(int(first[-1] + n_words[-1]) + 2, np.int32)
         pairs = [np.zeros((0, 2), np.int64)]
         for own, start in matches(phrases, postings, slop):
-            # A window that the slop lets hang over its document's end hits the words inside.
-            doc = np.searchsorted(first, start, side="right") - 1
-            np.add.at(change, start, 1)
-            np.add.at(change, np.minimum(start + phrases.lengths[own], first[doc] + n_words[doc]), -1)
+            # A window that the slop lets hang over its document's ends hits the words inside.
+            doc = np.searchsorted(first - slop, start, side="right") - 1
+            end = np.minimum(start + phrases.lengths[own], first[doc] + n_words[doc])
+            np.add.at(change, np.minimum(np.maximum(start, first[doc]), end), 1)
+            np.add.at(change, end, -1)
             pairs.append(np.unique(np.stack([doc, phrases.owners[own]], 1), axis=0))
         hit = np.flatnonzero(np.diff((np.cumsum(change) > 0).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
         run_of = np.searchsorted(first, hit[:, 0], side="right") - 1
@@ -205,7 +209,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", w
     """
     blocks = _blocks(benchmark, width)
     vocabulary = np.unique(np.concatenate([b.vocabulary for b in blocks]))
-    index = build_index(docs, key, vocabulary)
+    index = build_index(docs, key, vocabulary, gap=2 * slop + 1)
     counts = index.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
     postings = {r.term: r.n for r in counts.collect()}  # terms of the benchmark: bounded by its size
     found = None

@@ -192,3 +192,13 @@ def test_empty_benchmark(documents, spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_proximity_stays_in_a_document(spark):
+    from rungauge.llm import decontamination
+
+    docs = spark.createDataFrame([(1, "x one two three"), (2, "four five six y"), (3, "one three two four five six"), (4, "")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+    for slop, layout in ((1, docs), (2, docs), (1, docs.repartition(4))):
+        got = {r.doc_id: (r.n_hit, r.contaminated) for r in decontamination.decontaminated(layout, items, width=6, slop=slop).collect()}
+        assert got == {1: (0, False), 2: (0, False), 3: (6, True), 4: (0, False)}
