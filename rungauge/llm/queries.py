@@ -1,4 +1,4 @@
-"""The ten operators on the driver tables: thin queries with the columns of their contracts."""
+"""The operators on the driver tables: thin queries with the columns of their contracts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rungauge.llm import bagminhash, decontamination, lm_scoring, mixing, pii, secret_scan, sharding, topk, toxicity, url_rules
 from rungauge.llm.registry import query
 from rungauge.llm.folds import held_out
+from rungauge.llm import sequence_queries  # noqa: F401  (registers its queries)
 from rungauge.session import table
 from rungauge.shared import cut_lineage
 
