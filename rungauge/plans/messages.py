@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungauge.functions import text as tx
+from rungauge.functions.ordered import running
 from rungauge.operators import messages as ms
+from rungauge.operators import prefix_search as ps
 from rungauge.operators import trajectories as tr
 from rungauge.plans.registry import query
 from rungauge.session import spread_table, table
@@ -524,6 +526,47 @@ def _(spark, root):
     return tr.shortest_passing(placed, "trace", "k", "ok")
 
 
+# Each candidate knows how many characters of commands a replay would run; the evaluator passes two thirds of them.
+CHARS = f"select trace, k, max(chars) as chars from (select *, sum(length(action)) over (partition by trace order by idx) as chars from ({NUMBERED})) join ({CANDIDATES}) using (trace, k) where action is not null group by 1, 2"
+RANKED = f"select *, (trace + k + chars) % 3 > 0 as ok, row_number() over (partition by trace order by k) as rank from ({CHARS})"
+
+
+def replay():
+    """A replay in place of a container: looks at the trace, the prefix and the commands' length."""
+    import pyarrow as pa
+
+    def passes(batch):
+        total = sum(batch[c].to_numpy() for c in ("trace", "k", "chars"))
+        return pa.array(total % 3 > 0)
+
+    return passes
+
+
+def replay_candidates(spark, root):
+    acts = numbered(spark, root)
+    chars = running(acts, ["trace"], ["idx"], {"chars": ("sum", F.length("action"))}).where("action is not null")
+    return tr.candidate_prefixes(acts, "trace").join(chars.select("trace", "k", "chars"), ["trace", "k"])
+
+
+@query("p03_frontier_search", f"""
+with r as ({RANKED}), first as (select trace, min(rank) filter (where ok) as hit, count(*) as n from r group by 1)
+select r.trace, max(k) filter (where rank = hit) as k_prefix, any_value(coalesce(hit, n))::bigint as n_evaluated, any_value(n) as n_candidates,
+  case when any_value(hit) is null then 'replay_drift' end as drop_reason from r join first using (trace) group by 1
+""")
+def _(spark, root):
+    """Prefixes asked from the smallest up, one a round; the number of asked ones is part of the result."""
+    return ps.shortest(ps.search(replay_candidates(spark, root), "trace", "k", replay), "trace", "k")
+
+
+@query("p03_evaluated_pairs", f"""
+with r as ({RANKED}), first as (select trace, min(rank) filter (where ok) as hit from r group by 1)
+select trace, k, rank, case when hit is null or rank < (((hit - 1) // 2) * 2 + 3) then ok end as ok from r join first using (trace)
+""")
+def _(spark, root):
+    """Two prefixes a round: every pair with its answer, null where it was never asked."""
+    return ps.search(replay_candidates(spark, root), "trace", "k", replay, width=2)
+
+
 TRUNCATED = f"""
 select n.trace, n.idx, n.role, n.content, n.action from ({NUMBERED}) n join ({SHORTEST}) s on s.trace = n.trace
 where s.k_prefix is not null and (n.k < s.k_prefix or (n.action is not null and n.k = s.k_prefix))
