@@ -161,7 +161,7 @@ class Scan:
         target = target_rows or TARGET_ROWS
         if not is_small(df) and not rereads_cheaply(df):
             df = cut_lineage(df)
-        self.plain = df.select(*self.keys).limit(target + 1).count() <= target
+        self.plain = df.count() <= target
         if not self.plain and not rereads_cheaply(df):
             df = cut_lineage(df)
         self.steps = 0

@@ -1,15 +1,18 @@
 """Turning captured turns into training rows.
 
 A turn continues its predecessor when its prompt begins with the predecessor's
-prompt and response, so a break is a property of two neighbours.  Rows are
-found with running values over (rollout, turn); what a turn adds to a row is
-only its observation and its response, never the whole prompt.  A row's tokens
-are gathered last, and only up to the row's length limit.
+prompt and response, so a break is a property of two neighbours.  It is found from
+hashes of a prompt's beginning, taken at the predecessor's lengths; rows are found
+with running lengths over (rollout, turn).  What a turn adds to a row is only its
+observation and its response, never the whole prompt.  A row's tokens are gathered
+last, and only up to the row's length limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from rungauge.functions import arrays
 from rungauge.functions.guards import first_reason, truthy
 from rungauge.functions.ordered import Scan
+from rungauge.shared import cut_lineage
 
 # --- guards ---------------------------------------------------------------------------
 
@@ -67,61 +71,125 @@ def alignment_reason(turns: Column) -> Column:
 # --- continuity -------------------------------------------------------------------------
 
 
-def fill_prompts(turns: DataFrame, key: Sequence[str], turn: str, **options) -> DataFrame:
+NO_IDS = "array<int>"
+
+
+def _same(key: Sequence[str], left: str, right: str) -> Column:
+    """Equal keys of two sides (null equals null), the columns of each under a prefix."""
+    return reduce(and_, [F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}")) for k in key])
+
+
+def _joined(rows: DataFrame, more: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``more``, which has one row per key."""
+    named = more.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[c for c in more.columns if c not in key])
+    return rows.join(named, _same(key, "", "_k_"), how).drop(*[f"_k_{k}" for k in key])
+
+
+def _sizes(turns: DataFrame, key: Sequence[str], turn: str) -> DataFrame:
+    """Lengths and hashes of each turn's ids, without the ids."""
+    prompt, response = F.coalesce("prompt", F.array().cast(NO_IDS)), F.coalesce("response", F.array().cast(NO_IDS))
+    return turns.select(
+        *key, turn, F.size(prompt).alias("n_prompt"), F.size(response).alias("n_resp"), F.xxhash64(prompt).alias("_hp"), F.xxhash64(response).alias("_hr")
+    )
+
+
+def _based(scan: Scan, turn: str) -> Scan:
+    """Adds ``_base``, the turn whose prompt an empty one builds on, and the length its prompt then has."""
+    scan.add(_upto=("sum", F.col("n_resp")), _place=("sum", F.lit(1)))
+    scan.column("_empty", (F.col("n_prompt") == 0) & (F.col("_place") > 1))
+    before = F.col("_upto") - F.col("n_resp")
+    scan.add(_base=("last", F.when(~F.col("_empty"), F.col(turn))), _shift=("last", F.when(~F.col("_empty"), F.col("n_prompt") - before)))
+    scan.column("_fills", F.col("_empty"))
+    return scan.column("n_prompt", F.when(F.col("_fills"), (F.col("_shift") + before).cast("int")).otherwise(F.col("n_prompt")))
+
+
+def fill_prompts(turns: DataFrame, key: Sequence[str], turn: str, wanted: DataFrame | None = None, **options) -> DataFrame:
     """An empty later prompt becomes the predecessor's prompt plus response.
 
-    Several empty prompts in a row build on the last prompt that is there.  The
-    responses since then are bounded by the context the model could read.
+    Several empty prompts in a row build on the last prompt that is there.  Where
+    each ends follows from running lengths; the responses of a run are put behind
+    its one prompt once, and every prompt is cut from that.  The result is as long as
+    the prompts it writes out.  With ``wanted`` (key, turn) only those turns come back;
+    ``continuity(..., fill=True)`` needs none of them.
     """
-    empty = F.size(F.coalesce("prompt", F.array().cast("array<int>"))) == 0
-    scan = Scan(turns.withColumn("_empty", empty), key, [turn], **options)
-    scan.add(_base=("sum", F.when(F.col("_empty"), 0).otherwise(1)))
-    # Only groups that hold an empty prompt are gathered: base prompt and the short turns after it.
-    scan.add(_gap=("prev", F.col("_empty")), _next=("next", F.col("_empty")))
-    rows = scan.rows()
-    broken = F.col("_empty") | truthy(F.col("_next"))
-    intact = rows.where(~broken).drop("_empty", "_base", "_gap", "_next")
-    item = F.struct(turn, "prompt", "response")
-    gathered = rows.where(broken).groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(key)], F.col("_base").alias("_gb")).agg(
-        F.array_sort(F.collect_list(item)).alias("_items")
-    )
-    on = F.col("_base") == F.col("_gb")
-    for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
-    earlier = F.filter("_items", lambda x: x[turn] < F.col(turn))
-    context = F.flatten(F.concat(F.transform(earlier, lambda x: F.concat(x["prompt"], x["response"]))))
-    fixed = rows.where(broken).join(gathered, on, "left")
-    fixed = fixed.withColumn("prompt", F.when(F.col("_empty") & (F.col("_base") > 0), context).otherwise(F.col("prompt")))
-    return intact.unionByName(fixed.select(*intact.columns))
+    scan = _based(Scan(_sizes(turns, key, turn), key, [turn], **options), turn)
+    rows = scan.add(_follows=("next", F.col("_fills"))).rows()
+    fills = rows.where("_fills").select(*key, turn, "_base", F.col("n_prompt").alias("_n"))
+    needed = fills if wanted is None else _joined(fills, wanted.select(*key, turn).distinct(), [*key, turn])
+    runs = [*key, "_base"]
+    asked = needed.groupBy(*runs).agg(F.max("_n").alias("_most"), F.array_sort(F.collect_list(F.struct(turn, "_n"))).alias("_ends"))
+    members = rows.where(F.col("_fills") | truthy(F.col("_follows"))).select(*key, turn, "_base")
+    parts = _joined(turns.select(*key, turn, "response"), members, [*key, turn])
+    behind = parts.groupBy(*runs).agg(F.array_sort(F.collect_list(F.struct(turn, "response"))).alias("_parts"))
+    bases = turns.select(*key, F.col(turn).alias("_base"), F.col("prompt").alias("_first"))
+    whole = _joined(_joined(asked, behind, runs), bases, runs)
+    none = F.array().cast(NO_IDS)
+    ids = F.concat("_first", F.flatten(F.transform("_parts", lambda x: F.coalesce(x["response"], none))))
+    whole = whole.select(*key, F.slice(ids, F.lit(1), F.col("_most")).alias("_ids"), "_ends")  # put together once per run, before its turns are listed
+    whole = whole.select(*key, "_ids", F.explode("_ends").alias("_end"))
+    filled = whole.select(*key, F.col(f"_end.{turn}").alias(turn), F.slice("_ids", F.lit(1), F.col("_end._n")).alias("_filled"))
+    if wanted is None:
+        out = _joined(turns, filled, [*key, turn], "left")
+    else:
+        out = _joined(_joined(turns, wanted.select(*key, turn).distinct(), [*key, turn]), filled, [*key, turn], "left")
+    return out.withColumn("prompt", F.coalesce("_filled", "prompt")).drop("_filled")
 
 
-def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, **options) -> DataFrame:
-    """Adds ``continues`` and ``observation`` per turn, and how: first, ids, text or broken.
+def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, fill: bool = False, **options) -> DataFrame:
+    """How each turn follows the one before it: first, ids, text or broken.
 
-    ``codec`` is a column function (prompt ids, context ids) -> observation ids or
-    null; it is asked only where the ids do not match.
+    Returns key, turn, n_prompt, n_resp, n_obs (ids that the prompt adds),
+    ``continuity``, ``continues`` and ``observation``, which holds ids only where the
+    text continues and the ids do not.  (key, turn) is unique in ``turns``.
+
+    Ids never pass through a window: the predecessor's lengths and hashes do, and a
+    prompt's beginning is hashed at those lengths where the prompt is read.  ``codec``
+    is a column function (prompt ids, context ids) -> observation ids or null, asked
+    only where the ids do not match.  ``fill`` takes empty later prompts for the
+    predecessor's prompt plus response, without writing them out.
     """
-    scan = Scan(turns, key, [turn], **options).add(
-        _context=("prev", F.concat("prompt", "response"))
-    )
+    at = [*key, turn]
+    scan = Scan(_sizes(turns, key, turn), key, [turn], **options)
+    if fill:
+        _based(scan, turn)
+    else:
+        scan.column("_fills", F.lit(False)).column("_base", F.lit(None).cast(turns.schema[turn].dataType))
+    scan.add(_before=("prev", F.struct(F.col(turn).alias("turn"), "n_prompt", "_hp", "n_resp", "_hr", "_fills", F.col("_base").alias("base"))))
     rows = scan.rows()
-    context = F.col("_context")
-    by_ids = truthy(arrays.starts_with(F.col("prompt"), context))
-    rest = F.when(by_ids, arrays.rest_after(F.col("prompt"), F.size(context)))
-    if codec is not None:
-        ask = context.isNotNull() & ~by_ids
-        rows = rows.withColumn("_by_text", codec(F.when(ask, F.col("prompt")), F.when(ask, context)))
+    sizes = rows.select(*at, "n_prompt", "n_resp", "_fills", "_before")
+    if fill:
+        # What stood before a prompt that ends a run of filled ones: its base and the responses since, as lengths and hashes.
+        ends = rows.where(~F.col("_fills") & truthy(F.col("_before._fills"))).select(*key, F.col("_before.base").alias("_base"))
+        part = F.struct(F.col(turn).alias("t"), F.col("n_resp").alias("n"), F.col("_hr").alias("h"))
+        runs = _joined(rows, ends.distinct(), [*key, "_base"]).groupBy(*key, "_base").agg(
+            F.array_sort(F.collect_list(part)).alias("_parts"), F.max(F.when(~F.col("_fills"), F.struct(F.col("n_prompt").alias("n"), F.col("_hp").alias("h")))).alias("_root")
+        )
+        sizes = _joined(sizes.withColumn("_base", F.when(~F.col("_fills") & truthy(F.col("_before._fills")), F.col("_before.base"))), runs, [*key, "_base"], "left").drop("_base")
+    read = _joined(turns.select(*at, "prompt"), sizes, at)
+    prompt, before = F.col("prompt"), F.col("_before")
+    piece = lambda start, n, h: F.xxhash64(F.slice(prompt, start + 1, n)) == h
+    known = before["n_prompt"] + before["n_resp"]
+    same = piece(F.lit(0), before["n_prompt"], before["_hp"]) & piece(before["n_prompt"], before["n_resp"], before["_hr"])
+    if fill:
+        start = F.struct(F.col("_root.n").alias("at"), piece(F.lit(0), F.col("_root.n"), F.col("_root.h")).alias("ok"))
+        step = lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), (acc["ok"] & piece(acc["at"], x["n"], x["h"])).alias("ok"))
+        same = F.when(F.col("_parts").isNotNull(), F.aggregate("_parts", start, step, lambda acc: acc["ok"])).otherwise(same)
+    by_ids = F.col("_fills") | truthy((F.size(F.coalesce(prompt, F.array().cast(NO_IDS))) >= known) & same)
+    how = F.when(before.isNull(), "first").when(by_ids, "ids").otherwise("broken")
+    out = read.withColumns({"continuity": how, "n_obs": F.when(how == "ids", F.col("n_prompt") - known).otherwise(0)})
+    links = cut_lineage(out.select(*at, "n_prompt", "n_resp", "n_obs", "continuity", before["turn"].alias("_earlier")), "links")
+    if codec is None:
+        links = links.withColumn("observation", F.lit(None).cast(NO_IDS))
     else:
-        rows = rows.withColumn("_by_text", F.lit(None).cast(rows.schema["prompt"].dataType))
-    how = (
-        F.when(context.isNull(), "first").when(by_ids, "ids").when(F.col("_by_text").isNotNull(), "text").otherwise("broken")
-    )
-    return (
-        rows.withColumn("continuity", how)
-        .withColumn("observation", F.coalesce(rest, F.col("_by_text")))
-        .withColumn("continues", F.col("continuity").isin("ids", "text"))
-        .drop("_context", "_by_text")
-    )
+        asked = links.where("continuity = 'broken'").select(*at, "_earlier")
+        earlier = asked.select(*key, F.col("_earlier").alias(turn))
+        source = fill_prompts(turns, key, turn, earlier, **options) if fill else turns
+        context = source.select(*key, F.col(turn).alias("_earlier"), F.concat("prompt", "response").alias("_context"))
+        asked = _joined(_joined(asked, context, [*key, "_earlier"]), turns.select(*at, "prompt"), at)
+        found = asked.select(*at, codec(F.col("prompt"), F.col("_context")).alias("observation")).where("observation is not null")
+        links = _joined(links, cut_lineage(found, "text-links"), at, "left")
+        links = links.withColumns({"continuity": F.when(F.col("observation").isNotNull(), "text").otherwise(F.col("continuity")), "n_obs": F.when(F.col("observation").isNotNull(), F.size("observation")).otherwise(F.col("n_obs"))})
+    return links.drop("_earlier").withColumn("continues", F.col("continuity").isin("ids", "text"))
 
 
 def divergence(pairs: DataFrame, expected: str, actual: str, width: int = 60) -> DataFrame:
@@ -140,77 +208,63 @@ def divergence(pairs: DataFrame, expected: str, actual: str, width: int = 60) ->
 # --- rows ---------------------------------------------------------------------------------
 
 
-def merged_rows(
-    turns: DataFrame, key: Sequence[str], turn: str, max_prompt: int, max_response: int, codec=None, policy: str = "split", **options
-) -> DataFrame:
-    """Turn numbers of every row: adds ``segment``, ``row_start`` and what a turn contributes.
-
-    Policies for a broken continuation: ``split`` opens a new row, ``drop`` leaves
-    the whole rollout out, ``keep_terminal`` keeps only the last contiguous part.
-    The last two are for chains that must stay whole: one that does not fit the
-    limits is an error, it is neither cut nor split.  ``policy_counts`` counts
-    what a policy leaves out.
-
-    Inside a contiguous part prompts only grow, so turns whose prompt still fits
-    ``max_prompt`` are at most that many; only their lengths are gathered to place
-    the cuts.  A later turn can not open a row and stays in the last one, counted
-    as ``blocked``.
-    """
-    linked = continuity(turns, key, turn, codec, **options)
-    scan = Scan(linked, key, [turn], **options)
-    scan.add(segment=("sum", F.when(F.col("continuity") == "broken", 1).otherwise(0)))
-    rows = scan.rows().withColumn("segment", F.col("segment").cast("long"))
-    if policy != "split":
-        last = rows.groupBy(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(key)]).agg(F.max("segment").alias("_last"))
-        on = None
-        for i, k in enumerate(key):
-            same = F.col(k).eqNullSafe(F.col(f"_l{i}"))
-            on = same if on is None else on & same
-        rows = rows.join(last, on).drop(*[f"_l{i}" for i in range(len(key))])
-        rows = rows.where(F.col("_last") == 0) if policy == "drop" else rows.where(F.col("segment") == F.col("_last"))
-        rows = rows.drop("_last")
-
-    size_obs = F.when(F.col("continues"), F.size("observation")).otherwise(0)
-    rows = rows.withColumn("n_obs", size_obs).withColumn("n_resp", F.size("response")).withColumn("n_prompt", F.size("prompt"))
-    part = [*key, "segment"]
-    # The lengths of turns that may open a row, folded in order.
-    first_turn = F.col("continuity").isin("first", "broken")
-    openers = rows.where((F.col("n_prompt") <= max_prompt) | first_turn)
-    lengths = openers.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(part)]).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), "n_obs", "n_resp"))).alias("_turns")
-    )
-    turn_type = rows.schema[turn].dataType
-    start = F.struct(F.lit(0).alias("len"), F.lit(-1).alias("i"), F.array().cast(f"array<{turn_type.simpleString()}>").alias("cuts"))
+def _cuts(rows: DataFrame, long: DataFrame, part: Sequence[str], turn: str, max_prompt: int, max_response: int, cut_type: str) -> DataFrame:
+    """Where the rows of ``long`` parts begin: the lengths of turns that may open one, folded in order."""
+    openers = _joined(rows.where((F.col("n_prompt") <= max_prompt) | ~F.col("continues")), long, part)
+    lengths = openers.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), "n_obs", "n_resp", F.col("_upto").alias("end")))).alias("_turns"))
+    start = F.struct(F.lit(0).alias("len"), F.lit(-1).alias("i"), F.array().cast(cut_type).alias("cuts"))
 
     def place(acc: Column, x: Column) -> Column:
         i = acc["i"] + 1
         projected = acc["len"] + x["n_obs"] + x["n_resp"]
         cut = (i == 0) | (projected > max_response)
+        here = F.struct(x["t"].alias("t"), (x["end"] - x["n_resp"]).alias("at"))
         return F.struct(
             F.when(cut, x["n_resp"]).otherwise(projected).alias("len"),
             i.alias("i"),
-            F.when(cut, F.array_append(acc["cuts"], x["t"])).otherwise(acc["cuts"]).alias("cuts"),
+            F.when(cut, F.array_append(acc["cuts"], here)).otherwise(acc["cuts"]).alias("cuts"),
         )
 
-    cuts = lengths.select(*[f"_s{i}" for i in range(len(part))], F.aggregate("_turns", start, place, lambda a: a["cuts"]).alias("_cuts"))
-    on = None
-    for i, k in enumerate(part):
-        same = F.col(k).eqNullSafe(F.col(f"_s{i}"))
-        on = same if on is None else on & same
-    rows = rows.join(cuts, on, "left").drop(*[f"_s{i}" for i in range(len(part))])
-    own = F.array_max(F.filter("_cuts", lambda t: t <= F.col(turn)))
-    rows = rows.withColumn("row_start", own).withColumn("opens_row", truthy(F.col("row_start") == F.col(turn))).drop("_cuts")
-    # Where a turn's tokens begin inside its row.
-    scan = Scan(rows, part, [turn], **options).add(_end=("sum", F.col("n_obs") + F.col("n_resp")))
-    scan.add(_base=("last", F.when(F.col("opens_row"), F.col("_end") - F.col("n_resp"))))
-    rows = scan.rows()
-    begin = F.when(F.col("opens_row"), 0).otherwise(F.col("_end") - F.col("n_obs") - F.col("n_resp") - F.col("_base"))
-    over = F.when(F.col("opens_row"), 0).otherwise(F.col("_end") - F.col("_base"))
-    out = (
-        rows.withColumn("begin", begin.cast("long"))
-        .withColumn("blocked", ~F.col("opens_row") & (over > max_response) & (F.col("n_prompt") > max_prompt))
-        .drop("_end", "_base")
-    )
+    return lengths.select(*part, F.aggregate("_turns", start, place, lambda a: a["cuts"]).alias("_cuts"))
+
+
+def merged_rows(links: DataFrame, key: Sequence[str], turn: str, max_prompt: int, max_response: int, policy: str = "split", **options) -> DataFrame:
+    """Where each turn of ``links`` (from ``continuity``) goes: ``segment``, ``row_start`` and ``begin``, what it takes of its row.
+
+    Only lengths are used.  Policies for a broken continuation: ``split`` opens a new
+    row, ``drop`` leaves the whole rollout out, ``keep_terminal`` keeps only the last
+    contiguous part.  The last two are for chains that must stay whole: one that does
+    not fit the limits is an error, it is neither cut nor split.  ``policy_counts``
+    counts what a policy leaves out.
+
+    A part that fits ``max_response`` is one row.  In a longer one prompts only grow,
+    so turns whose prompt still fits ``max_prompt`` are at most that many; only their
+    lengths are gathered to place the cuts.  A later turn can not open a row and
+    stays in the last one, counted as ``blocked``.
+    """
+    scan = Scan(links.drop("observation"), key, [turn], **options)
+    scan.add(segment=("sum", F.when(F.col("continuity") == "broken", 1).otherwise(0)), _upto=("sum", F.col("n_obs") + F.col("n_resp")))
+    first_turn = ~F.col("continues")
+    scan.add(_start=("last", F.when(first_turn, F.col("_upto") - F.col("n_resp"))), _first=("last", F.when(first_turn, F.struct(F.col(turn).alias("t")))))
+    rows = scan.rows().withColumns({"segment": F.col("segment").cast("long"), "_upto": F.col("_upto") - F.col("_start")}).drop("_start")
+    if policy != "split":
+        rows = _joined(rows, rows.groupBy(*key).agg(F.max("segment").alias("_last")), key)
+        rows = rows.where(F.col("_last") == 0) if policy == "drop" else rows.where(F.col("segment") == F.col("_last"))
+        rows = rows.drop("_last")
+    part = [*key, "segment"]
+    rows = cut_lineage(rows, "parts")
+    long = rows.groupBy(*part).agg(F.max("_upto").alias("_total")).where(F.col("_total") > max_response).drop("_total")
+    cut_type = f"array<struct<t:{rows.schema[turn].dataType.simpleString()},at:bigint>>"
+    if long.isEmpty():
+        rows = rows.withColumn("_cuts", F.lit(None).cast(cut_type))
+    else:
+        rows = _joined(rows, _cuts(rows, long, part, turn, max_prompt, max_response, cut_type), part, "left")
+    rows = rows.withColumn("_cut", F.array_max(F.filter("_cuts", lambda c: c["t"] <= F.col(turn))))
+    rows = rows.withColumns({"row_start": F.coalesce("_cut.t", "_first.t"), "_over": F.col("_upto") - F.coalesce("_cut.at", F.lit(0))})
+    rows = rows.withColumn("opens_row", truthy(F.col("row_start") == F.col(turn)))
+    begin = F.when(F.col("opens_row"), 0).otherwise(F.col("_over") - F.col("n_obs") - F.col("n_resp"))
+    blocked = ~F.col("opens_row") & (F.col("_over") > max_response) & (F.col("n_prompt") > max_prompt)
+    out = rows.withColumns({"begin": begin.cast("long"), "blocked": blocked}).drop("_cuts", "_cut", "_over", "_upto", "_first")
     return out if policy == "split" else out.where(_whole(max_prompt, max_response, key, turn))
 
 
@@ -230,26 +284,37 @@ def policy_counts(turns: DataFrame, merged: DataFrame, key: Sequence[str]) -> Da
     return both.withColumn("n_dropped", F.col("n_rollouts") - F.col("n_kept"))
 
 
-def training_rows(merged: DataFrame, key: Sequence[str], turn: str, max_prompt: int, max_response: int) -> DataFrame:
+def training_rows(
+    merged: DataFrame, turns: DataFrame, key: Sequence[str], turn: str, max_prompt: int, max_response: int, links: DataFrame | None = None, fill: bool = False, **options
+) -> DataFrame:
     """One row per (rollout, row): prompt, response, mask (1 for sampled ids) and log-probs.
 
-    Only pieces that begin inside the response limit are gathered, so a row never
-    takes in more than the limit plus one turn; the rest is counted as truncated.
+    The ids of ``turns`` meet ``merged`` here, and only here.  Only pieces that begin
+    inside the response limit are gathered, so a row never takes in more than the
+    limit plus one turn; the rest is counted as truncated.  ``links`` gives the
+    observations of turns that continue by text; ``fill`` as in ``continuity``.
     """
-    observed = F.when(F.col("opens_row"), F.array().cast(merged.schema["response"].dataType)).otherwise(
-        F.coalesce("observation", F.array().cast(merged.schema["response"].dataType))
-    )
-    zeros = F.transform(observed, lambda _: F.lit(0))
-    ones = F.transform("response", lambda _: F.lit(1))
-    flat = F.transform(observed, lambda _: F.lit(0.0))
+    at, none = [*key, turn], F.array().cast(NO_IDS)
+    rows = _joined(merged, turns.select(*at, "prompt", "response", "logp"), at)
+    if links is not None:
+        rows = _joined(rows, links.where("observation is not null").select(*at, "observation"), at, "left")
+    else:
+        rows = rows.withColumn("observation", F.lit(None).cast(NO_IDS))
+    if fill:
+        opened = merged.where("opens_row and continues").select(*at)
+        filled = fill_prompts(turns.drop("logp"), key, turn, opened, **options).select(*at, F.col("prompt").alias("_filled"))
+        rows = _joined(rows, filled, at, "left").withColumn("prompt", F.coalesce("_filled", "prompt")).drop("_filled")
+    by_ids = F.slice("prompt", F.col("n_prompt") - F.col("n_obs") + 1, F.col("n_obs"))
+    observed = F.when(F.col("opens_row") | (F.col("n_obs") == 0), none).otherwise(F.coalesce("observation", by_ids))
+    response = F.coalesce("response", none)
     piece = F.struct(
         F.col(turn).alias("t"),
-        F.concat(observed, F.col("response")).alias("ids"),
-        F.concat(zeros, ones).alias("mask"),
-        F.concat(flat, F.coalesce("logp", F.transform("response", lambda _: F.lit(None).cast("double")))).alias("logp"),
-        F.when(F.col("opens_row"), F.col("prompt")).alias("prompt"),
+        F.concat(observed, response).alias("ids"),
+        F.concat(F.transform(observed, lambda _: F.lit(0)), F.transform(response, lambda _: F.lit(1))).alias("mask"),
+        F.concat(F.transform(observed, lambda _: F.lit(0.0)), F.coalesce("logp", F.transform(response, lambda _: F.lit(None).cast("double")))).alias("logp"),
+        F.when(F.col("opens_row"), F.slice("prompt", 1, max_prompt)).alias("prompt"),
     )
-    inside = merged.withColumn("_piece", F.when(F.col("begin") < max_response, piece))
+    inside = rows.withColumn("_piece", F.when(F.col("begin") < max_response, piece))
     out = inside.groupBy(*key, "row_start").agg(
         F.array_sort(F.collect_list("_piece")).alias("_p"),
         F.sum(F.when(F.col("opens_row"), F.col("n_resp")).otherwise(F.col("n_obs") + F.col("n_resp"))).cast("long").alias("n_full"),
@@ -259,11 +324,10 @@ def training_rows(merged: DataFrame, key: Sequence[str], turn: str, max_prompt:
     def joined(field: str) -> Column:
         return F.slice(F.flatten(F.transform("_p", lambda x: x[field])), 1, max_response)
 
-    prompt = F.element_at("_p", 1)["prompt"]
     return out.select(
         *key,
         "row_start",
-        F.slice(prompt, 1, max_prompt).alias("prompt"),
+        F.element_at("_p", 1)["prompt"].alias("prompt"),
         joined("ids").alias("response"),
         joined("mask").alias("mask"),
         joined("logp").alias("logp"),

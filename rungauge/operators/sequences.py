@@ -259,3 +259,77 @@ def assemble_chunks(chunks: DataFrame, response: Sequence[str], order: Sequence[
         F.max_by("_usage", F.when(F.col("_usage").isNotNull(), F.col("_piece"))).alias("usage"),
         F.sum("_n").cast("long").alias("n_chunks"),
     )
+
+
+CHUNK = """struct<choices:array<struct<
+  delta:struct<content:string,reasoning_content:string,tool_calls:array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>>,
+  finish_reason:string>>>"""
+
+
+def chunk_deltas(lines: DataFrame, response: Sequence[str], order: Sequence[str], line: str) -> DataFrame:
+    """What each line of a streamed response adds: kind, index (of a tool call, else 0), piece, and place in the line.
+
+    Kinds: chunk (one per line that holds a chunk), content, reasoning, call (a tool
+    call is there), id, name, arguments, finish, usage.  Lines that are not data, end
+    marks and broken JSON add nothing; empty pieces neither.
+    """
+    text = F.trim(F.substring(line, 6, 2**31 - 1))
+    data = F.when(F.startswith(line, F.lit("data:")) & ~text.isin("", "[DONE]"), text)
+    usage = F.get_json_object("_data", "$.usage")
+    rows = lines.select(*response, *order, data.alias("_data")).withColumns({"_chunk": F.from_json("_data", CHUNK), "_usage": F.when(~usage.isin("", "{}", "[]", "0", "false"), usage)})
+    one = lambda kind, index, piece: F.struct(F.lit(kind).alias("kind"), index.cast("int").alias("index"), piece.cast("string").alias("piece"))
+    zero, nothing = F.lit(0), F.lit(None)
+
+    def of_call(call: Column) -> Column:
+        index = F.coalesce(call["index"], zero)
+        return F.array(one("call", index, F.lit("")), one("id", index, call["id"]), one("name", index, call["function"]["name"]), one("arguments", index, call["function"]["arguments"]))
+
+    empty = F.array().cast("array<struct<kind:string,index:int,piece:string>>")
+
+    def of_choice(choice: Column) -> Column:
+        delta = choice["delta"]
+        own = F.array(one("content", zero, delta["content"]), one("reasoning", zero, delta["reasoning_content"]), one("finish", zero, choice["finish_reason"]))
+        return F.concat(own, F.coalesce(F.flatten(F.transform(delta["tool_calls"], of_call)), empty))
+
+    is_object = F.get_json_object("_data", "$").startswith("{")
+    all_of = F.concat(
+        F.array(one("chunk", zero, F.when(is_object, ""))), F.coalesce(F.flatten(F.transform("_chunk.choices", of_choice)), empty), F.array(one("usage", zero, F.col("_usage")), one("line", zero, nothing))
+    )
+    rows = rows.select(*response, *order, F.posexplode(all_of).alias("place", "_delta")).select(*response, *order, "place", "_delta.*")
+    said = F.col("kind").isin("chunk", "call") & F.col("piece").isNotNull() | (F.length("piece") > 0)
+    return rows.where(F.coalesce(said, F.lit(False)) | (F.col("kind") == "line"))
+
+
+def assemble_responses(deltas: DataFrame, response: Sequence[str], order: Sequence[str], **options) -> DataFrame:
+    """One message per response from ``chunk_deltas``: content, reasoning, tool calls by index, the last finish and usage.
+
+    Each part is put together on its own, keyed by (response, kind, index): its pieces
+    are numbered, joined slice by slice and the slices once more, so a long answer
+    is spread over tasks.  Content and reasoning are null when nothing was said; a tool
+    call keeps the last id and all pieces of name and arguments; a response without
+    any chunk has nulls, no calls and ``n_chunks`` 0.
+    """
+    from rungauge.functions.ranks import with_position
+
+    slice_size = 4096
+    part = [*response, "kind", "index"]
+    placed = with_position(deltas, part, [*order, "place"], "_at", **options).withColumn("_slice", F.floor((F.col("_at") - 1) / slice_size))
+    said = lambda at, piece: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, F.coalesce(piece, F.lit("")).alias("p")))), lambda x: x["p"]), "")
+    slices = placed.groupBy(*part, "_slice").agg(
+        said("_at", F.when(~F.col("kind").isin("chunk", "line", "id", "finish", "usage"), F.col("piece"))).alias("_text"), F.max_by("piece", "_at").alias("_last"), F.count("*").alias("_n")
+    )
+    parts = slices.groupBy(*part).agg(said("_slice", F.col("_text")).alias("text"), F.max_by("_last", "_slice").alias("last"), F.sum("_n").alias("n"))
+    return messages_of_parts(parts, response)
+
+
+def messages_of_parts(parts: DataFrame, response: Sequence[str]) -> DataFrame:
+    """Messages from their parts: one row per (response, kind, index) with text, last piece and number of pieces."""
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    by_index = parts.groupBy(*response, "index").agg(
+        *[F.max(of(kind, c)).alias(kind) for kind, c in (("id", "last"), ("name", "text"), ("arguments", "text"), ("content", "text"), ("reasoning", "text"), ("finish", "last"), ("usage", "last"), ("chunk", "n"), ("call", "n"))]
+    )
+    call = F.struct("index", "id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("arguments", F.lit("")).alias("arguments"))
+    return by_index.groupBy(*response).agg(
+        F.max("content").alias("content"), F.max("reasoning").alias("reasoning"), F.array_sort(F.collect_list(F.when(F.col("call") > 0, call))).alias("tool_calls"),
+        F.max("finish").alias("finish"), F.max("usage").alias("usage"), F.coalesce(F.sum("chunk"), F.lit(0)).cast("long").alias("n_chunks"),
+    )

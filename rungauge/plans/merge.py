@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungauge.functions import arrays
-from rungauge.functions.ranks import with_position
+from rungauge.functions.codec import PieceCodec, continuation_of, ids_of, text_of
 from rungauge.functions.ordered import running
 from rungauge.operators import batches as bt
 from rungauge.operators import merge as mg
@@ -13,6 +13,7 @@ from rungauge.plans import bindings as b
 from rungauge.plans.registry import query
 from rungauge.plans.sequences import TURNS, turns
 from rungauge.session import table
+from rungauge.shared import cut_lineage
 
 # Line items as captured turns.  The token stream of an order is 1, 2, 3, ...: a
 # turn samples ``resp`` ids and the next prompt holds ``obs`` ids more.  Where
@@ -27,22 +28,40 @@ from (select l_orderkey as rollout, row_number() over (partition by l_orderkey o
 
 
 def token_turns(spark, root):
-    """Captured turns with token arrays made of running sums; nothing is gathered."""
+    """Captured turns with token arrays made of running sums, as a written table; log-probs differ by id."""
     lines = turns(spark, root).withColumnRenamed("l_orderkey", "rollout")
-    rows = with_position(lines, ["rollout"], TURNS, "turn").select(
-        "rollout", "turn",
-        (F.col("l_quantity").cast("int") % 5 + 1).cast("long").alias("resp"),
-        (F.col("l_partkey") % 3 + 1).cast("long").alias("obs"),
-        ((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 12)).alias("flag"),
-    )
-    rows = running(rows, ["rollout"], ["turn"], {"_upto": ("sum", F.col("obs") + F.col("resp"))})
+    lines = lines.withColumns({
+        "resp": (F.col("l_quantity").cast("int") % 5 + 1).cast("long"), "obs": (F.col("l_partkey") % 3 + 1).cast("long"),
+        "flag": (F.col("l_linestatus") == "O") & (F.col("l_quantity") < 12),
+    })
+    rows = running(lines, ["rollout"], TURNS, {"turn": ("sum", F.lit(1)), "_upto": ("sum", F.col("obs") + F.col("resp"))})
     n_prompt = (F.col("_upto") - F.col("resp")).cast("int")
     shift = F.when((F.col("turn") > 1) & F.col("flag"), 1000).otherwise(0)
     ids = lambda lo, hi: F.transform(F.sequence(lo, hi), lambda i: (i + shift).cast("int"))
     response = ids(n_prompt + 1, n_prompt + F.col("resp").cast("int"))
-    return rows.select(
+    return cut_lineage(rows.select(
         "rollout", "turn", ids(F.lit(1), n_prompt).alias("prompt"), response.alias("response"),
-        F.transform(response, lambda _: F.lit(-0.25)).alias("logp"),
+        F.transform(response, lambda i: -(i % 7 + 1) / 8.0).alias("logp"),
+    ), "turns")
+
+
+def merge(rows, max_prompt, max_response, **options):
+    """Where each turn goes, from its links to the turn before."""
+    return mg.merged_rows(mg.continuity(rows, ["rollout"], "turn"), ["rollout"], "turn", max_prompt, max_response, **options)
+
+
+def train(rows, max_prompt, max_response):
+    """The training rows of captured turns."""
+    return mg.training_rows(merge(rows, max_prompt, max_response), rows, ["rollout"], "turn", max_prompt, max_response)
+
+
+def digests(rows):
+    """Every value of the rows in one digest per field."""
+    text = lambda c, f: F.md5(F.array_join(F.transform(c, f), ",").cast("binary"))
+    plain = lambda x: x.cast("string")
+    return rows.select(
+        "rollout", "row_start", "truncated", text("prompt", plain).alias("prompt_md5"), text("response", plain).alias("response_md5"),
+        text("mask", plain).alias("mask_md5"), text("logp", lambda x: (x * 8).cast("int").cast("string")).alias("logp_md5"),
     )
 
 
@@ -57,7 +76,7 @@ SEGMENTED = f"select *, cast(count_if(continuity = 'broken') over ({BY}) as bigi
 select rollout, turn, continuity, segment, case when continuity = 'ids' then obs else 0 end as n_observed from ({SEGMENTED})
 """)
 def _(spark, root):
-    out = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", 10_000, 10_000)
+    out = merge(token_turns(spark, root), 10_000, 10_000)
     return out.select("rollout", "turn", "continuity", "segment", F.col("n_obs").cast("long").alias("n_observed"))
 
 
@@ -67,14 +86,33 @@ select rollout, min(turn) as row_start, cast(sum(resp) as bigint) as n_sampled,
 from ({SEGMENTED}) group by rollout, segment
 """)
 def _(spark, root):
-    merged = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", 10_000, 10_000)
-    out = mg.training_rows(merged, ["rollout"], "turn", 10_000, 10_000)
+    out = train(token_turns(spark, root), 10_000, 10_000)
     return out.select(
         "rollout", "row_start", F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_sampled"),
         F.size("response").cast("long").alias("n_tokens"), F.size("prompt").cast("long").alias("n_prompt"),
     )
 
 
+def digest_sql(rows, max_prompt, max_response):
+    """Digests of rows whose ids are a range: ``rows`` gives rollout, row_start, np, shift, n (ids of the response) and m (its mask as text)."""
+    ids = lambda lo, hi: f"array_to_string(list_transform(range({lo}, {hi}), lambda i: i + shift), ',')"
+    logp = f"array_to_string(list_transform(range(1, least(n, {max_response}) + 1), lambda i: case when m[i] = '1' then -((np + i + shift) % 7 + 1) else 0 end), ',')"
+    return f"""
+select rollout, row_start, n > {max_response} or np > {max_prompt} as truncated, md5({ids(1, f"least(np, {max_prompt}) + 1")}) as prompt_md5,
+  md5({ids("np + 1", f"np + least(n, {max_response}) + 1")}) as response_md5, md5(array_to_string(string_split(m[1:{max_response}], ''), ',')) as mask_md5, md5({logp}) as logp_md5
+from (select rollout, row_start, np::bigint as np, shift, length(m) as n, m from ({rows}))
+"""
+
+
+@query("w21_row_digests", digest_sql(f"""
+select rollout, min(turn) as row_start, arg_min(n_prompt, turn) as np, any_value(shift) as shift,
+  string_agg(case when continuity = 'ids' then repeat('0', obs::int) else '' end || repeat('1', resp::int), '' order by turn) as m from ({SEGMENTED}) group by rollout, segment
+""", 10_000, 10_000))
+def _(spark, root):
+    """Every prompt id, response id, mask bit and log-prob of the merged rows."""
+    return digests(train(token_turns(spark, root), 10_000, 10_000))
+
+
 LIMIT_PROMPT, LIMIT_RESPONSE = 20, 9
 # The cuts turn by turn, as a recursive query.
 FOLDED = f"""
@@ -90,7 +128,7 @@ with recursive s as (select *, case when continuity = 'ids' then obs else 0 end
 
 @query("w22_budget_split", f"{FOLDED} select rollout, turn, row_start, opens as opens_row, blocked from f")
 def _(spark, root):
-    out = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", LIMIT_PROMPT, LIMIT_RESPONSE)
+    out = merge(token_turns(spark, root), LIMIT_PROMPT, LIMIT_RESPONSE)
     return out.select("rollout", "turn", "row_start", "opens_row", "blocked")
 
 
@@ -101,7 +139,7 @@ select count(*) as n_rollouts, sum(r)::bigint as n_rows, sum(sp)::bigint as n_bu
   count_if(k > 0) as n_unmerged_rollouts, 0::bigint as n_text_level_merges from p
 """)
 def _(spark, root):
-    out = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", LIMIT_PROMPT, LIMIT_RESPONSE)
+    out = merge(token_turns(spark, root), LIMIT_PROMPT, LIMIT_RESPONSE)
     return mg.merge_metrics(out, ["rollout"])
 
 
@@ -111,13 +149,22 @@ def _(spark, root):
 select rollout, row_start, least(n, {LIMIT_RESPONSE})::bigint as n_tokens, least(np, {LIMIT_PROMPT})::bigint as n_prompt, n > {LIMIT_RESPONSE} or np > {LIMIT_PROMPT} as truncated from r
 """)
 def _(spark, root):
-    merged = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", LIMIT_PROMPT, LIMIT_RESPONSE)
-    out = mg.training_rows(merged, ["rollout"], "turn", LIMIT_PROMPT, LIMIT_RESPONSE)
+    out = train(token_turns(spark, root), LIMIT_PROMPT, LIMIT_RESPONSE)
     return out.select(
         "rollout", "row_start", F.size("response").cast("long").alias("n_tokens"), F.size("prompt").cast("long").alias("n_prompt"), "truncated"
     )
 
 
+@query("w22_row_digests", FOLDED + ", t as (" + digest_sql("""
+select f.rollout, f.row_start, arg_min(s.n_prompt, f.turn) as np, any_value(s.shift) as shift,
+  string_agg(case when f.opens then '' else repeat('0', s.o::int) end || repeat('1', s.resp::int), '' order by f.turn) as m
+from f join s on s.rollout = f.rollout and s.turn = f.turn group by 1, 2
+""", LIMIT_PROMPT, LIMIT_RESPONSE) + ") select * from t")
+def _(spark, root):
+    """The same for rows that budgets cut and limits shorten."""
+    return digests(train(token_turns(spark, root), LIMIT_PROMPT, LIMIT_RESPONSE))
+
+
 @query("w23_missing_prompts", f"""
 select rollout, turn, case when turn > 1 and rollout % 4 = 0 and turn % 3 <> 1 then
    arg_max(n_prompt, turn) filter (where not (turn > 1 and rollout % 4 = 0 and turn % 3 <> 1)) over (partition by rollout order by turn)
@@ -141,7 +188,7 @@ def _(spark, root):
     rows = token_turns(spark, root)
     out = None
     for policy in ("drop", "keep_terminal"):
-        merged = mg.merged_rows(rows, ["rollout"], "turn", 10_000, 10_000, policy=policy)
+        merged = merge(rows, 10_000, 10_000, policy=policy)
         part = mg.policy_counts(rows, merged, ["rollout"]).withColumn("policy", F.lit(policy))
         out = part if out is None else out.unionByName(part)
     return out
@@ -152,8 +199,7 @@ select rollout, min(turn) as row_start, cast(sum(resp) + sum(case when continuit
 from ({SEGMENTED}) group by rollout, segment
 """)
 def _(spark, root):
-    merged = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", 10_000, 10_000)
-    rows = mg.training_rows(merged, ["rollout"], "turn", 10_000, 10_000).withColumn("reward", F.lit(0.75))
+    rows = train(token_turns(spark, root), 10_000, 10_000).withColumn("reward", F.lit(0.75))
     out = mg.place_rewards(rows, "reward", on_action=True)
     return out.select(
         "rollout", "row_start", (F.array_position("scores", 0.75) - 1).alias("reward_at"),
@@ -249,6 +295,80 @@ def _(spark, root):
     return pairs.select("conv_id", "turn", how.alias("continuity"), F.when(~F.col("first") & same, rest).otherwise(0).alias("n_observed"))
 
 
+# Neighbouring texts of a conversation as a rollout of two turns.  Pieces are single bytes and pairs of
+# frequent letters; two of three responses were sampled byte by byte, a fifth of the prompts lost their first letter.
+PAIRED = "etaoinshr"
+PIECES_SQL = f"regexp_extract_all({{}}, '[{PAIRED}]{{{{2}}}}|(?s:.)')"
+PAIRS_SQL = f"""
+select rollout, altered, p1 || r1 as context, case when altered then substr(p1 || r1, 2) else p1 || r1 end || tail as p2,
+  {PIECES_SQL.format("p1")} || case when sampled then string_split(r1, '') else {PIECES_SQL.format("r1")} end as context_pieces, tail
+from (select conv_id * 1000 + turn as rollout, (conv_id + turn) % 5 = 0 as altered, (conv_id + turn) % 3 > 0 as sampled, before as p1, text as r1, chr(10) || role as tail
+  from (select *, lag(text) over (partition by conv_id order by turn) as before from conversations) where before is not null)
+"""
+TEXT_LINKS = f"""
+select rollout, case when list_slice(pieces, 1, len(context_pieces)) = context_pieces then 'ids' when starts_with(p2, context) then 'text' else 'broken' end as continuity, p2, context, tail
+from (select *, {PIECES_SQL.format("p2")} as pieces from ({PAIRS_SQL}))
+"""
+
+
+def letter_codec():
+    """All single bytes, then pairs of frequent letters."""
+    return PieceCodec([bytes([i]) for i in range(256)] + [(a + b).encode() for a in PAIRED for b in PAIRED])
+
+
+def text_turns(spark, root):
+    """Two turns per rollout: a text and the next as prompt and response, then both and more as a prompt."""
+    rows = running(table(spark, root, "conversations"), ["conv_id"], ["turn"], {"before": ("prev", F.col("text"))}).where("before is not null")
+    encode = ids_of(letter_codec)
+    number = F.col("conv_id") + F.col("turn")
+    both = F.concat("before", "text")
+    prompt = F.concat(F.when(number % 5 == 0, F.substring(both, 2, 2**31 - 1)).otherwise(both), F.lit("\n"), "role")
+    single = F.transform(F.filter(F.split(F.hex(F.encode("text", "utf-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int"))
+    texts = rows.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("rollout"), encode(F.col("before")).alias("p1"), encode(prompt).alias("p2"),
+        F.when(number % 3 > 0, single).otherwise(encode(F.col("text"))).alias("r1"),
+    )
+    turn = lambda n, p, r: F.struct(F.lit(n).alias("turn"), p.alias("prompt"), r.alias("response"), F.transform(r, lambda _: F.lit(-0.5)).alias("logp"))
+    last = F.array(F.lit(33)).cast("array<int>")
+    return cut_lineage(texts.select("rollout", F.inline(F.array(turn(0, F.col("p1"), F.col("r1")), turn(1, F.col("p2"), last)))), "text-turns")
+
+
+@query("t14_codec_continuation", f"""
+select rollout, 1 as turn, continuity, case when continuity in ('ids', 'text') then substr(p2, length(context) + 1) end as observed from ({TEXT_LINKS})
+union all select rollout, 0, 'first', null from ({PAIRS_SQL})
+""")
+def _(spark, root):
+    """Links by ids, by text and broken, with the text that a turn adds."""
+    rows = text_turns(spark, root)
+    links = mg.continuity(rows, ["rollout"], "turn", codec=continuation_of(letter_codec))
+    ids = F.when(F.col("continuity") == "ids", F.slice("prompt", F.col("n_prompt") - F.col("n_obs") + 1, F.col("n_obs"))).otherwise(F.col("observation"))
+    return links.join(rows.select("rollout", "turn", "prompt"), ["rollout", "turn"]).select("rollout", "turn", "continuity", text_of(letter_codec)(ids).alias("observed"))
+
+
+@query("w22_text_metrics", f"""
+with c as ({TEXT_LINKS}) select count(*) as n_rollouts, (count(*) + count_if(continuity = 'broken'))::bigint as n_rows, 0::bigint as n_budget_splits, 0::bigint as n_budget_splits_blocked,
+  count_if(continuity = 'broken') as n_merge_mismatch_rows, count_if(continuity = 'broken') as n_unmerged_rollouts, count_if(continuity = 'text') as n_text_level_merges from c
+""")
+def _(spark, root):
+    links = mg.continuity(text_turns(spark, root), ["rollout"], "turn", codec=continuation_of(letter_codec))
+    return mg.merge_metrics(mg.merged_rows(links, ["rollout"], "turn", 100_000, 100_000), ["rollout"])
+
+
+@query("w22_text_rows", f"""
+with c as (select rollout, continuity, context, tail, p1 from ({TEXT_LINKS}) join (select rollout, p1 from (select conv_id * 1000 + turn as rollout, lag(text) over (partition by conv_id order by turn) as p1 from conversations)) using (rollout))
+select rollout, 0 as row_start, p1 as prompt, substr(context, length(p1) + 1) || case when continuity = 'broken' then '' else tail || '!' end as response from c
+union all select rollout, 1, p2, '!' from ({TEXT_LINKS}) where continuity = 'broken'
+""")
+def _(spark, root):
+    """Training rows of text-level merges, decoded: the response is what was said, whatever its pieces were."""
+    rows = text_turns(spark, root)
+    links = mg.continuity(rows, ["rollout"], "turn", codec=continuation_of(letter_codec))
+    merged = mg.merged_rows(links, ["rollout"], "turn", 100_000, 100_000)
+    out = mg.training_rows(merged, rows, ["rollout"], "turn", 100_000, 100_000, links=links)
+    decode = text_of(letter_codec)
+    return out.select("rollout", "row_start", decode(F.col("prompt")).alias("prompt"), decode(F.col("response")).alias("response"))
+
+
 @query("t24_sequence_score", """
 select vec_id, case when vec_id % 7 = 0 then null else round(list_sum(list_transform(range(1, 65), lambda i: -abs(embedding[i]::double))), 6) end as score from embeddings
 """)
@@ -346,9 +466,9 @@ with s as ({SEGMENTED})
 select (rollout % 50)::bigint as step, cast(sum(resp) as bigint) as n_output, cast(sum(resp) as bigint) as n_mask, cast(sum(resp) as bigint) as n_logp, true as conserved from s group by 1
 """)
 def _(spark, root):
-    merged = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", 10_000, 10_000)
-    made = token_turns(spark, root).groupBy((F.col("rollout") % 50).alias("step")).agg(F.sum(F.size("response")).alias("n_output"))
-    rows = mg.training_rows(merged, ["rollout"], "turn", 10_000, 10_000)
+    turns_table = token_turns(spark, root)
+    made = turns_table.groupBy((F.col("rollout") % 50).alias("step")).agg(F.sum(F.size("response")).alias("n_output"))
+    rows = train(turns_table, 10_000, 10_000)
     real = F.size(F.filter("logp", lambda x: x != 0))
     trained = rows.groupBy((F.col("rollout") % 50).alias("step")).agg(
         F.sum(F.aggregate("mask", F.lit(0), lambda a, x: a + x)).alias("n_mask"), F.sum(real).alias("n_logp")
@@ -362,7 +482,7 @@ def _(spark, root):
 select rollout, cast(max(segment) + 1 as bigint) as n_segments, count(*) as n_turns from ({SEGMENTED}) group by 1
 """)
 def _(spark, root):
-    merged = mg.merged_rows(token_turns(spark, root), ["rollout"], "turn", 10_000, 10_000)
+    merged = merge(token_turns(spark, root), 10_000, 10_000)
     return merged.groupBy("rollout").agg(
         (F.max("segment") + 1).cast("long").alias("n_segments"), F.count("*").alias("n_turns")
     )

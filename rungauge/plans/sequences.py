@@ -204,6 +204,57 @@ def _(spark, root):
     return sq.assemble_chunks(rows, ["user_id", "response"], ORDER, "part")
 
 
+# Events as lines of streamed answers, one answer per client and day: content, reasoning, two tool calls
+# with interleaved pieces, ends with usage, and lines that hold no chunk.
+LINE_SQL = """
+case event_id % 9 when 0 then 'data: {"choices":[{"delta":{"content":"' || event_type || '"}}]}'
+  when 1 then 'data:{"choices":[{"delta":{"reasoning_content":"r' || k || ' ","content":""}}]}'
+  when 2 then 'data: {"choices":[{"delta":{"tool_calls":[{"index":0,"id":"c' || event_id || '","function":{"name":"get","arguments":"["}}]}}]}'
+  when 3 then 'data: {"choices":[{"delta":{"tool_calls":[{"index":1,"function":{"arguments":"' || k || ',"}}]}}]}'
+  when 4 then 'data: {"choices":[{"delta":{"tool_calls":[{"index":1,"id":"d' || event_id || '","function":{"name":"p"}},{"function":{"arguments":"y"}}]}}]}'
+  when 5 then 'data: {"choices":[{"delta":{},"finish_reason":"' || event_type || '"}],"usage":{"total":' || k || '}}'
+  when 6 then ': keep-alive' when 7 then 'data: {"choices":[{"delta":{"content":"lost' else 'data: [DONE]' end
+"""
+ANSWER_SQL = f"""
+with e as (select *, us // 86400000000 as response, event_id % 9 as m from ({EVENTS})),
+ a as (select user_id, response, string_agg(event_type, '' order by us, event_id) filter (where m = 0) as content,
+   string_agg('r' || k || ' ', '' order by us, event_id) filter (where m = 1) as reasoning,
+   count_if(m in (2, 4)) > 0 as c0, count_if(m in (3, 4)) > 0 as c1,
+   arg_max('c' || event_id, (us, event_id)) filter (where m = 2) as id0, string_agg('get', '' order by us, event_id) filter (where m = 2) as name0,
+   string_agg(case m when 2 then '[' else 'y' end, '' order by us, event_id) filter (where m in (2, 4)) as args0,
+   arg_max('d' || event_id, (us, event_id)) filter (where m = 4) as id1, string_agg('p', '' order by us, event_id) filter (where m = 4) as name1,
+   string_agg(k || ',', '' order by us, event_id) filter (where m = 3) as args1,
+   arg_max(event_type, (us, event_id)) filter (where m = 5) as finish, arg_max('{{"total":' || k || '}}', (us, event_id)) filter (where m = 5) as usage, count_if(m < 6) as n_chunks
+  from e group by 1, 2)
+select user_id, response, content, reasoning, finish, usage, n_chunks,
+  concat_ws(';', case when c0 then concat_ws('|', '0', coalesce(id0, '-'), coalesce(name0, ''), coalesce(args0, '')) end,
+                 case when c1 then concat_ws('|', '1', coalesce(id1, '-'), coalesce(name1, ''), coalesce(args1, '')) end) as calls from a
+"""
+
+
+def answer_line():
+    """The line of an event."""
+    return F.expr(LINE_SQL.replace("|| k ||", "|| cast(k as string) ||"))
+
+
+def answer_lines(rows):
+    """``events`` as lines of answers."""
+    return rows.select("user_id", F.floor(F.col("us") / 86_400_000_000).alias("response"), *ORDER, answer_line().alias("line"))
+
+
+def written_calls(answers):
+    """Answers with their tool calls as one text."""
+    call = lambda c: F.concat_ws("|", c["index"].cast("string"), F.coalesce(c["id"], F.lit("-")), c["name"], c["arguments"])
+    return answers.withColumn("calls", F.concat_ws(";", F.transform("tool_calls", call))).drop("tool_calls")
+
+
+@query("r08_message_assembly", ANSWER_SQL)
+def _(spark, root):
+    """Content, reasoning and tool calls by index from raw lines."""
+    deltas = sq.chunk_deltas(answer_lines(events(spark, root)), ["user_id", "response"], ORDER, "line")
+    return written_calls(sq.assemble_responses(deltas, ["user_id", "response"], ORDER))
+
+
 # --- event logs -----------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from rungauge.plans import bindings as b
 from rungauge.plans.evaluation import CALLS
 from rungauge.plans.monitor import REPLAY
 from rungauge.plans.registry import query
-from rungauge.plans.sequences import KIND_SQL, ORDER, RUNS, SEGMENTS
+from rungauge.plans.sequences import ANSWER_SQL, KIND_SQL, ORDER, RUNS, SEGMENTS, answer_line, written_calls
 from rungauge.session import table
 from rungauge.shared import fresh_folder
 from rungauge.streaming import streams as st
@@ -179,3 +179,21 @@ def _(spark, root):
     )
     landed = st.drain(rows, label="chunks")
     return sq.assemble_chunks(landed, ["user_id", "response"], ORDER, "part").select("user_id", "response", "text", "n_chunks")
+
+
+def event_files(spark, root, parts, **options):
+    """The events table in several files, so that a stream takes them in several micro-batches."""
+    folder = fresh_folder(spark, "event-files")
+    rows = table(spark, root, "events")
+    rows.repartition(parts, "event_id").write.parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, **options).withColumn("at", st.event_time(F.col("ts")))
+
+
+@query("r08_message_stream", ANSWER_SQL)
+def _(spark, root):
+    """Messages put together by Spark's own state, from files whose order says nothing."""
+    lines = event_files(spark, root, 6, files_per_batch=2).select("at", "user_id", "event_id", "event_type", times.epoch_micros(F.col("ts")).alias("us"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    lines = lines.select("at", "user_id", *ORDER, answer_line().alias("line"))
+    whole = lambda rows: st.message_parts(sq.chunk_deltas(rows, ["at", "user_id"], ORDER, "line"), ["user_id"], "at", "1 day", "3650 days", ORDER)
+    parts = st.drain_whole(lines, whole, "at", "messages").withColumn("response", F.floor(F.unix_seconds("window_start") / 86_400)).drop("window_start")
+    return written_calls(sq.messages_of_parts(parts, ["user_id", "response"]))

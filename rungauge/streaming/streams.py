@@ -124,6 +124,22 @@ def gap_session_stream(rows: DataFrame, key: str, at: str, gap: str, lateness: s
     return found.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def message_parts(deltas: DataFrame, keys: Sequence[str], at: str, window: str, lateness: str, order: Sequence[str]) -> DataFrame:
+    """Parts of streamed messages (``sequences.chunk_deltas``), one message per keys and window.
+
+    Spark's state store holds the pieces of each open part, until the watermark has
+    passed the window; then the part comes out whole, its pieces in order whatever
+    order they arrived in.  ``sequences.messages_of_parts`` makes messages of it.
+    """
+    piece = F.struct(*order, "place", "piece")
+    found = deltas.withWatermark(at, lateness).groupBy(F.window(at, window).alias("w"), *keys, "kind", "index").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    joined = F.array_join(F.transform("_pieces", lambda x: F.coalesce(x["piece"], F.lit(""))), "")
+    return found.select(
+        *keys, F.col("w.start").alias("window_start"), "kind", "index", joined.alias("text"),
+        F.element_at("_pieces", -1)["piece"].alias("last"), F.size("_pieces").cast("long").alias("n"),
+    )
+
+
 def once_per_id(rows: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
     """Repeated ids inside the lateness pass once."""
     return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])

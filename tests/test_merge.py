@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rungauge.functions import arrays
+from rungauge.functions.codec import PieceCodec, continuation_of
 from rungauge.operators import merge
 
 SCHEMA = "rollout string, turn int, prompt array<int>, response array<int>, logp array<double>"
@@ -16,9 +17,10 @@ def turns(spark, *rollouts):
     return spark.createDataFrame(data, SCHEMA)
 
 
-def rows_of(df, max_prompt, max_response, **options):
-    merged = merge.merged_rows(df, ["rollout"], "turn", max_prompt, max_response, **options)
-    rows = merge.training_rows(merged, ["rollout"], "turn", max_prompt, max_response).orderBy("rollout", "row_start").collect()
+def rows_of(df, max_prompt, max_response, codec=None, fill=False, policy="split", **options):
+    links = merge.continuity(df, ["rollout"], "turn", codec, fill, **options)
+    merged = merge.merged_rows(links, ["rollout"], "turn", max_prompt, max_response, policy, **options)
+    rows = merge.training_rows(merged, df, ["rollout"], "turn", max_prompt, max_response, links, fill, **options).orderBy("rollout", "row_start").collect()
     return rows, merge.merge_metrics(merged, ["rollout"]).first()
 
 
@@ -103,6 +105,63 @@ def brute(pairs, max_prompt, max_response):
     return [(s, p[:max_prompt], r[:max_response], m[:max_response]) for s, p, r, m in rows]
 
 
+def filled(pairs):
+    """Empty later prompts written out, by a plain loop."""
+    out = []
+    for prompt, response in pairs:
+        out.append((out[-1][0] + out[-1][1] if not prompt and out else prompt, response))
+    return out
+
+
+@pytest.mark.parametrize("limits,options", [((1000, 1000), {}), ((12, 6), {}), ((30, 9), {"target_rows": 9})])
+def test_empty_prompts_are_filled_on_the_way_as_when_written_out(spark, options, limits):
+    rng = random.Random(limits[0])
+    rollouts = []
+    for name in range(25):
+        pairs, context = [], [rng.randint(1, 9)]
+        for _ in range(rng.choice([1, 4, 12])):
+            lost = rng.random() < 0.5
+            prompt = context if lost else context + [rng.randint(1, 9) for _ in range(rng.randint(0, 2))]
+            if not lost and rng.random() < 0.2:
+                prompt = [0, *prompt[1:]]
+            response = [rng.randint(1, 9) for _ in range(rng.randint(1, 3))]
+            pairs.append(([] if lost else prompt, response))
+            context = (prompt if not lost or len(pairs) > 1 else []) + response
+        rollouts.append((str(name), pairs))
+    df = turns(spark, *rollouts)
+    want = {(name, s): (p, r, m) for name, pairs in rollouts for s, p, r, m in brute(filled(pairs), *limits)}
+    rows, _ = rows_of(df, *limits, fill=True, **options)
+    assert {(r.rollout, r.row_start): (r.prompt, r.response, r["mask"]) for r in rows} == want
+    written = merge.fill_prompts(df, ["rollout"], "turn", **options)
+    assert {(r.rollout, r.turn): r.prompt for r in written.collect()} == {(n, i): p for n, pairs in rollouts for i, (p, _) in enumerate(filled(pairs))}
+
+
+def test_ten_thousand_empty_prompts_in_a_row(spark):
+    pairs = [([1], [2])] + [([], [3] if i % 50 == 0 else []) for i in range(10_000)]
+    whole = [1, 2] + [3] * 200
+    pairs += [(whole + [7], [8]), (whole[:-1] + [9, 7, 8], [5])]
+    df = turns(spark, ("r", pairs))
+    rows, m = rows_of(df, 50_000, 50_000, fill=True)
+    assert [r.response for r in rows] == [whole[1:] + [7, 8], [5]] and m.n_merge_mismatch_rows == 1
+    sizes = {r.turn: r.n for r in merge.fill_prompts(df, ["rollout"], "turn").selectExpr("turn", "size(prompt) as n").collect()}
+    assert [sizes[t] for t in (0, 1, 2, 51, 52, 10_000)] == [1, 2, 3, 3, 4, 202]
+
+
+def windows(plan):
+    """Column names that enter each window of a plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [{a.name() for a in (plan.child().output().apply(i) for i in range(plan.child().output().size()))}] if plan.nodeName() == "Window" else []
+    return own + [w for child in children for w in windows(child)]
+
+
+def test_ids_stay_out_of_windows(spark, monkeypatch):
+    written, cut = [], merge.cut_lineage
+    monkeypatch.setattr(merge, "cut_lineage", lambda df, label: (written.append(df), cut(df, label))[1])
+    rows, _ = rows_of(turns(spark, CHAIN), 8, 3)
+    entered = [w for df in written for w in windows(df._jdf.queryExecution().optimizedPlan())]
+    assert len(rows) == 2 and entered and not any(w & {"prompt", "response", "observation", "logp"} for w in entered)
+
+
 @pytest.mark.parametrize("options", [{}, {"target_rows": 7}])
 def test_random_rollouts_match_the_loop(spark, options):
     rng = random.Random(3)
@@ -122,6 +181,56 @@ def test_random_rollouts_match_the_loop(spark, options):
     assert got == want
 
 
+PIECES = [bytes([i]) for i in range(256)] + [b"the ", b"tests", b" passed", "é".encode(), b"ed"]
+
+
+def codec():
+    return PieceCodec(PIECES)
+
+
+def sampled(text):
+    return list(text.encode())
+
+
+def test_codec_goes_there_and_back():
+    c = codec()
+    for text in ("the tests passed", "", "é𝄞 the", "thethe tests"):
+        assert c.data(c.encode(text)) == text.encode()
+    assert c.encode("the tests passed") == [256, 257, 258] and c.encode("passed") != sampled("passed")
+    assert PieceCodec([b"a"], lambda text: [0] * len(text)).encode("aaa") == [0, 0, 0]
+    with pytest.raises(ValueError):
+        PieceCodec([b"a"]).encode("b")
+
+
+def test_codec_continuations():
+    c, said = codec(), "assistant: the tests passed"
+    context = sampled(said)
+    assert c.continuation(c.encode(said + "\nuser: thanks"), context) == c.encode("\nuser: thanks")
+    assert c.continuation(c.encode(said), context) == []  # the same text
+    assert c.continuation(c.encode("assistant: tests passed"), context) is None  # something else
+    assert c.continuation(c.encode(said), sampled(said + " and more")) is None  # a shorter prompt
+    assert c.continuation(c.encode("caf") + [259, 1], sampled("caf") + [0xC3]) == [0xA9, 1]  # a cut inside a letter
+    assert c.continuation([9999], [1]) is None and c.continuation([1], [-1]) is None  # no such ids
+
+
+def test_ranks_file_gives_pieces(tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in [(2, b"ab"), (0, b"a"), (1, b"b")]))
+    assert PieceCodec.from_ranks(str(path)).encode("abba") == [2, 1, 0]
+
+
+def test_retokenised_turns_merge_by_text(spark):
+    said, c = "the tests passed", codec()
+    df = turns(spark, ("r", [(c.encode("go: "), sampled(said)), (c.encode("go: " + said + "!"), [65]), (c.encode("og: "), [66]), ([], [67]), (c.encode("og: BC?"), [68])]))
+    pieces = PIECES  # workers can not import this module
+    rows, m = rows_of(df, 500, 500, codec=continuation_of(lambda: PieceCodec(pieces)), fill=True)
+    assert [bytes(c.data(r.response)).decode() for r in rows] == [said + "!A", "BC?D"]
+    assert rows[0]["mask"] == [1] * 16 + [0, 1] and (m.n_text_level_merges, m.n_merge_mismatch_rows) == (1, 1)
+    assert len(rows_of(df, 500, 500, fill=True)[0]) == 3  # without a codec the seam breaks
+
+
 def test_text_continuation_with_a_codec(spark):
     @F.udf("array<int>")
     def codec(prompt, context):
