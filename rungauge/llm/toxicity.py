@@ -132,7 +132,8 @@ class Lexicon:
         for hit in quick.finditer(text):
             if hit.start() < end:
                 continue
-            start = max(text.rfind(c, 0, hit.start()) for c in ".!?;:\n") + 1
+            floor = max(end, 0)  # the last clause ended at a mark or in this clause, so nothing before it is searched again
+            start = max(max(text.rfind(c, floor, hit.start()) for c in ".!?;:\n") + 1, floor)
             clause = CLAUSE.match(text, start)
             end = clause.end() if clause else hit.end()
             names, weights = self.classes(text[start:end])
@@ -183,7 +184,8 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(family)], names=["text", "toxic", "family"])
 
     marked = rows.mapInArrow(families, "text string, toxic int, family long")
-    return cut_lineage(marked.dropDuplicates(["family", "toxic"]).select("text", "toxic"), "toxic-sample")
+    one = marked.groupBy("family", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))  # the same text on every run
+    return cut_lineage(one.select("least.text", "toxic"), "toxic-sample")
 
 
 def learned(rows: DataFrame, terms: int = TERMS) -> Lexicon:

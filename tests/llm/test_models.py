@@ -1,6 +1,9 @@
 """Toxicity and language scoring: laws of the parts, held-out accuracy on the given tables."""
 
+import math
 import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -183,3 +186,37 @@ def test_only_labelled_rows_are_held_out(spark):
     for r in rows:
         labelled = r.key is not None and r.key < 60
         assert r.role == (2 if labelled and r.away else int(r.key is not None and r.key < 30))
+
+
+def clause_scores(lexicon, text, quick):
+    """Scores clause by clause: every clause of the text is read, whether or not anything is found in it."""
+    out = []
+    for clause in toxicity.CLAUSE.findall(text.lower()):
+        names, weights = lexicon.classes(clause)
+        for transducer in toxicity.GRAMMAR:
+            names, weights = transducer.run(names, weights)
+        score = sum(math.exp(w) for n, w in zip(names, weights) if n in toxicity.SCORED)
+        if score > 0 and quick.search(clause):
+            out.append(score)
+    return out
+
+
+def test_clauses_are_scored_as_a_plain_reading_does():
+    rnd, lexicon = random.Random(5), toxicity.Lexicon({"idiot": 4.0, "moron": 3.0}, {"lowei": 3.0})
+    quick = lexicon.pattern()
+    words = ["you", "are", "an", "idiot", "not", "moron", "loweish", "he", "said", '"', "i", "will", "kill", "the", "they", "nice", ".", "!", "?", ";", ":", "\n", ",", "..", "é"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 5, 30, 200]))) for _ in range(400)]
+    texts += [t.replace(" .", ".").replace(" !", "!") for t in texts]
+    for text in texts:
+        assert lexicon.matched(text, quick) == clause_scores(lexicon, text, quick)
+
+
+def test_very_long_texts_of_short_clauses_take_linear_time():
+    lexicon = toxicity.Lexicon({"idiot": 4.0}, {})
+    quick, took = lexicon.pattern(), []
+    for n in (40_000, 400_000):
+        start = time.time()
+        found = lexicon.matched("You are an idiot. " * n, quick)
+        took.append(time.time() - start)
+        assert len(found) == n
+    assert took[1] < 40 * max(took[0], 0.05) and took[1] < 60
