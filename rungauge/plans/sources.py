@@ -97,6 +97,59 @@ def _(spark, root):
     return rd.session_segments(files, since=3000.0, until=80000.0).select("key", "segment", "segment_index", "conv_id")
 
 
+# Conversations as session files: one main file each, named by a hash, whose first user message (quoted in a third of
+# them) gives the key; compact and post files for later turns; broken, foreign and userless ones between them.
+SESSION_FILES_SQL = """
+with c as (select conv_id, arg_min(text, turn) filter (where role = 'user') as said, 4000000000.0 + 1000.0 * conv_id as ts from conversations group by 1),
+ s as (select conv_id, turn, 4000000000.0 + 1000.0 * conv_id + turn as ts from conversations where turn % 4 in (1, 2))
+"""
+SESSION_ROWS_SQL = """
+ m as (select md5(trim(said, chr(32) || chr(9) || chr(10) || chr(13))) as key, 'main' as segment, 0 as segment_index, ts, conv_id from c where said is not null and conv_id % 10 <> 4)
+select key, segment, segment_index, arg_max(conv_id, (ts, conv_id)) as conv_id from (
+"""
+
+
+@query("s04_session_files", SESSION_FILES_SQL + "," + SESSION_ROWS_SQL + """
+  select * from m union all select md5('stem' || conv_id), case turn % 4 when 1 then 'compact' else 'post' end, turn::int, ts, conv_id from s)
+where ts between 4000003000.0 and 4000080000.0 group by 1, 2, 3
+""")
+def _(spark, root):
+    """Session files that the query writes and scans: opened inside the window only."""
+    out = rd.read_sessions(spark, session_files(spark, root), since=4_000_003_000.0, until=4_000_080_000.0, slack=4e9)
+    return out.select("key", "segment", "segment_index", F.floor((F.col("ts") - 4e9) / 1000).alias("conv_id"))
+
+
+@query("s04_main_sessions", SESSION_FILES_SQL + "," + SESSION_ROWS_SQL + " select * from m) group by 1, 2, 3")
+def _(spark, root):
+    """Main files only, without a window: keyed by the first user message."""
+    out = rd.read_sessions(spark, session_files(spark, root), main_only=True)
+    return out.select("key", "segment", "segment_index", F.floor((F.col("ts") - 4e9) / 1000).alias("conv_id"))
+
+
+def session_files(spark, root):
+    """Writes the session files of all conversations and gives their folder."""
+    rows = table(spark, root, "conversations")
+    said = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
+    mains = rows.groupBy("conv_id").agg(said.alias("said"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    quoted = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('"'), F.replace("said", F.lit('"'), F.lit('\\"')), F.lit('" '))).otherwise(F.col("said"))
+    parts = F.to_json(F.array(F.create_map(F.lit("type"), F.lit("image"), F.lit("text"), F.lit("no")), F.create_map(F.lit("type"), F.lit("text"), F.lit("text"), quoted)))
+    message = lambda role, content: F.concat(F.lit(f'{{"role":"{role}","content":'), content, F.lit("}"))
+    first = F.when(F.col("conv_id") % 2 == 0, parts).otherwise(F.regexp_extract(F.to_json(F.struct(quoted.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
+    ts = lambda more: (F.col("conv_id") * 1000 + more + 4_000_000_000).cast("string")
+    body = F.concat(F.lit('{"ts":'), ts(F.lit(0)), F.lit(',"request":{"messages":['), message("system", F.lit('"be brief"')), F.when(F.col("said").isNotNull(), F.concat(F.lit(","), message("user", first))).otherwise(""), F.lit("]}}"))
+    text = F.when(F.col("conv_id") % 10 == 4, F.lit('{"ts": 4')).otherwise(body)
+    files = mains.select(F.concat(F.md5(F.concat(F.lit("main"), F.col("conv_id").cast("string"))), F.lit(".json")).alias("file_name"), text.alias("text"))
+    stem = F.md5(F.concat(F.lit("stem"), F.col("conv_id").cast("string")))
+    kind = F.when(F.col("turn") % 4 == 1, ".compact").otherwise(".post")
+    later = rows.where(F.col("turn") % 4 < 3).where(F.col("turn") % 4 > 0).select(
+        F.concat(stem, kind, F.col("turn").cast("string"), F.lit(".json")).alias("file_name"), F.concat(F.lit('{"ts": '), ts(F.col("turn")), F.lit("}")).alias("text")
+    )
+    other = rows.where("turn = 3").select(F.concat(stem, F.lit(".other9.json")).alias("file_name"), F.lit("{}").alias("text"))
+    folder = fresh_folder(spark, "sessions")
+    sk.write_named_files(files.unionByName(later).unionByName(other), folder)
+    return folder
+
+
 EVENT_LINES = "case when event_id % 50 = 0 then 'malformed' when event_id % 41 = 0 then 'no_session' when event_type = 'signup' then 'retry' when event_type = 'error' then 'upstream_error' when event_id % 37 = 0 then 'upstream_error' else 'request' end"
 
 

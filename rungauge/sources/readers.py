@@ -160,18 +160,61 @@ def session_segments(
     )
 
 
+SESSION = "ts double, request struct<messages:array<struct<role:string,content:string>>>"
+
+
+def message_text(content: Column) -> Column:
+    """What a message says: its text, or the text parts of its list; anything else says nothing."""
+    parts = F.from_json(F.when(content.startswith("["), content), "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    return F.when(parts.isNotNull(), joined).when(content.startswith("{"), F.lit("")).otherwise(F.coalesce(content, F.lit("")))
+
+
 def read_sessions(
-    spark: SparkSession, root: str, schema: str, since: float | None = None, until: float | None = None
+    spark: SparkSession, root: str | list[str], since: float | None = None, until: float | None = None, main_only: bool = False, slack: float = 3600.0
 ) -> DataFrame:
-    """Session files of a folder with their segment naming and time window."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json")
-    # Filters on these columns prune files before they are opened.
-    raw = reader.json(root).select(
-        "*",
-        F.col("_metadata.file_name").alias("file_name"),
-        F.unix_timestamp("_metadata.file_modification_time").cast("double").alias("modified"),
-    )
-    return session_segments(raw, since=since, until=until)
+    """Session files <32 hex>[.compactK|.postK].json below the folders: key, segment, segment_index, path, ts, text.
+
+    A main file's key is that of its first user message, a segment's is in its name.
+    First names and modification times are held against the pattern and the window
+    (``slack`` seconds wider); a file that this rules out is not opened.  Then the time
+    in the file decides, or the file's own where it has none.  Without a window only
+    main files are opened: ``text`` is null for files that were not.  Opened files that
+    are no JSON object, and main files without a user message, are left out.  Of files for
+    the same (key, segment, index) the latest stays, by time and then path.
+    """
+    windowed = since is not None or until is not None
+    name, modified = F.col("_metadata.file_name"), F.unix_timestamp("_metadata.file_modification_time").cast("double")
+
+    def listed(opened: bool, main: bool) -> DataFrame:
+        """Files of one kind; their text is read only when it is asked for, and only theirs."""
+        columns = [F.col("_metadata.file_path").alias("path"), name.alias("_name"), modified.alias("_modified")]
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(root)
+        kept = reader.where(name.rlike(SESSION_FILE) & (F.regexp_extract(name, SESSION_FILE, 2) == "" if main else F.regexp_extract(name, SESSION_FILE, 2) != ""))
+        if since is not None:
+            kept = kept.where(F.col("modificationTime") >= F.timestamp_micros(F.lit(int((since - slack) * 1e6)))).where(modified >= since - slack)
+        if until is not None:
+            kept = kept.where(F.col("modificationTime") <= F.timestamp_micros(F.lit(int((until + slack) * 1e6)))).where(modified <= until + slack)
+        return kept.select(*columns, (F.col("content").cast("string") if opened else F.lit(None).cast("string")).alias("text"))
+
+    files = listed(True, True)
+    if not main_only:
+        files = files.unionByName(listed(windowed, False))
+    rows = files.withColumn("_session", F.from_json("text", SESSION))
+    rows = rows.where(F.col("text").isNull() | F.get_json_object("text", "$").startswith("{"))
+    ts = F.coalesce(F.when(F.col("_session.ts") != 0, F.col("_session.ts")), F.col("_modified"))
+    users = F.filter("_session.request.messages", lambda m: m["role"] == "user")
+    stem, kind, index = (F.regexp_extract("_name", SESSION_FILE, i) for i in (1, 2, 3))
+    key = F.when(kind != "", stem).when(F.size(users) > 0, tx.prompt_key(message_text(F.get(users, F.lit(0))["content"])))
+    rows = rows.select(
+        key.alias("key"), F.when(kind == "", F.lit("main")).otherwise(kind).alias("segment"), F.when(index == "", F.lit(0)).otherwise(index.try_cast("int")).alias("segment_index"),
+        "path", ts.alias("ts"), "text",
+    ).where("key is not null")
+    if since is not None:
+        rows = rows.where(F.col("ts") >= since)
+    if until is not None:
+        rows = rows.where(F.col("ts") <= until)
+    return keep_last(rows, ["key", "segment", "segment_index"], ["ts", "path"])
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungauge.functions.hashing import table_digest
 from rungauge.functions.rows import keep_first
+from rungauge.shared import cut_lineage
 
 # A finished output is never replaced.
 NEVER_REPLACE = "errorifexists"
@@ -110,3 +113,28 @@ def append_results(df: DataFrame, path: str, key: str) -> None:
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # not on the first run
         fresh = not_done(fresh, spark.read.schema(df.schema).json(path), key)
     fresh.write.mode("append").json(path)
+
+
+def write_named_files(df: DataFrame, folder: str, name: str = "file_name", text: str = "text") -> DataFrame:
+    """One file per row, under the row's own name below ``folder``; returns the names and sizes written.
+
+    For stores that Arrow opens.  A name holds no folder, and is unique: a task that
+    runs again writes the same file again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            sizes = []
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not file or "/" in file:
+                    raise ValueError(f"no file name: {file!r}")
+                data = (value or "").encode()
+                with store.open_output_stream(f"{path}/{file}", compression=None) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["file_name", "n_bytes"])
+
+    rows = df.select(F.col(name).alias("file_name"), F.col(text).alias("text"))
+    return cut_lineage(rows.mapInArrow(write, "file_name string, n_bytes long"), "named-files")

@@ -3,6 +3,7 @@
 import copy
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,12 +141,54 @@ def test_scan_reports_unreadable_results(spark, tmp_path):
     assert got == {("base", "a"): (False, True), ("base", "b"): (True, None), ("probe", "a"): (False, True)}
 
 
+def opened_files(df):
+    """Files that the scans of an executed plan handed to tasks and read content from."""
+    def leaves(plan):
+        while plan.nodeName() == "AdaptiveSparkPlan" or "QueryStage" in plan.nodeName():
+            plan = plan.plan() if "QueryStage" in plan.nodeName() else plan.executedPlan()
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [x for c in children for x in leaves(c)] if children else [plan]
+
+    scans = [p for p in leaves(df._jdf.queryExecution().executedPlan()) if p.nodeName().startswith("Scan binaryFile")]
+    return sum(p.metrics().apply("numFiles").value() for p in scans if "content" in p.requiredSchema().simpleString())
+
+
+def session(said, ts=None, role="user"):
+    return json.dumps(({"ts": ts} if ts is not None else {}) | {"request": {"messages": [{"role": "system", "content": "x"}, {"role": role, "content": said}]}})
+
+
 def test_session_files(spark, tmp_path):
-    key = "0" * 32
-    for name in (f"{key}.json", f"{key}.compact2.json", f"{key}.post2.json", f"{key}.other.json", "x.json"):
-        (tmp_path / name).write_text('{"ts": 5.0}')
-    out = readers.read_sessions(spark, str(tmp_path), "ts double").collect()
-    assert sorted((r.key == key, r.segment, r.segment_index) for r in out) == [(True, "compact", 2), (True, "main", 0), (True, "post", 2)]
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    stem, files = "0" * 32, {}
+    files[f"{stem}.json"] = (session("  fix it\n", 100.0), 100)
+    files[f"{'1' * 32}.json"] = (session('"say \\"hi\\" "', 5000.0), 5000)
+    files[f"{'2' * 32}.json"] = (session([{"type": "text", "text": "fix"}, {"type": "image", "text": "no"}, {"type": "text", "text": " it"}], 200.0), 200)  # the key of the first
+    files[f"{'3' * 32}.json"] = (session("late by its own time", 90_000.0), 150)
+    files[f"{'4' * 32}.json"] = (session("no time in it"), 150)
+    files[f"{'5' * 32}.json"] = ('{"ts": 5', 150)
+    files[f"{'6' * 32}.json"] = (session("nobody asks", 150.0, role="assistant"), 150)
+    files[f"{stem}.compact2.json"] = ('{"ts": 300.0}', 300)
+    files[f"{stem}.post2.json"] = ('{"ts": 90000.0}', 90_000)
+    files[f"{stem}.other.json"] = files["x.json"] = ("{}", 150)
+    (tmp_path / "below").mkdir()
+    for name, (text, modified) in files.items():
+        path = tmp_path / ("below" if name.startswith("4") else "") / name
+        path.write_text(text)
+        os.utime(path, (modified, modified))
+    found = lambda df: sorted((r.key, r.segment, r.segment_index, r.ts) for r in df.collect())
+    main = [(md5("fix it"), "main", 0, 200.0), (md5('say "hi"'), "main", 0, 5000.0), (md5("no time in it"), "main", 0, 150.0)]
+    windowed = readers.read_sessions(spark, str(tmp_path), since=50.0, until=400.0)
+    assert found(windowed) == sorted([main[0], main[2], (stem, "compact", 2, 300.0)])
+    assert opened_files(windowed) == 7  # one main file and one segment were changed too late, two names are no session's
+    everything = readers.read_sessions(spark, str(tmp_path))
+    late = (md5("late by its own time"), "main", 0, 90_000.0)
+    assert found(everything) == sorted([*main, late, (stem, "compact", 2, 300.0), (stem, "post", 2, 90_000.0)])
+    assert opened_files(everything) == 7  # the main files; segments are known by name and time
+    only = readers.read_sessions(spark, str(tmp_path), since=50.0, until=400.0, main_only=True)
+    assert found(only) == sorted([main[0], main[2]]) and opened_files(only) == 6
+    assert found(readers.read_sessions(spark, [str(tmp_path)], until=120.0)) == [(md5("fix it"), "main", 0, 100.0)]
 
 
 def test_archive_prefers_the_plain_copy(spark, tmp_path):
