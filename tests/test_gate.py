@@ -4,6 +4,8 @@ import copy
 import hashlib
 import json
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +143,68 @@ def test_scan_reports_unreadable_results(spark, tmp_path):
     assert got == {("base", "a"): (False, True), ("base", "b"): (True, None), ("probe", "a"): (False, True)}
 
 
+def many(n):
+    """A valid row of ``n`` tests, half of them named by their first word."""
+    row, names = good(), [f"t/a.py::n{i}" if i % 2 else f"t/a.py::n{i}[x y]" for i in range(n)]
+    ev, keys = row["eval"], [name.split()[0] for name in names]
+    tests = [{"kind": "test", "nodeid": name, "when": w, "outcome": "passed", "wasxfail": False} for w in ("teardown", "setup", "call") for name in reversed(names)]
+    ev |= {"f2p_statuses": {k: "PASSED" for k in keys[: n // 2]}, "p2p_statuses": {k: "PASSED" for k in keys[n // 2 :]}, "collected_nodes": names, "node_mapping": dict(zip(keys, names))}
+    ev |= {"n_f2p": n // 2, "n_f2p_pass": n // 2, "n_p2p": n - n // 2, "n_p2p_ok": n - n // 2}
+    row["n_f2p"] = n // 2
+    ev["collection_events"][0]["nodes"], ev["test_events"] = names, tests + ev["test_events"][-1:]
+    ev["requested_nodes_sha256"] = hashlib.sha256(json.dumps(keys, ensure_ascii=True, separators=(",", ":")).encode()).hexdigest()
+    return sign(row)
+
+
+def test_evidence_takes_time_in_proportion_to_the_tests(spark):
+    took = []
+    for n in (100, 1_000, 10_000):
+        start = time.time()
+        assert judge(spark, many(n)) == []
+        took.append(time.time() - start)
+    assert took[2] < 30
+    wrong = many(1_000)
+    wrong["eval"]["test_events"][1_500]["outcome"] = "failed"
+    assert "status_disagrees" in judge(spark, sign(wrong))
+
+
+def test_statuses_of_all_phase_patterns(spark):
+    """Every combination of reports of one test, repeats and foreign phases too, against a plain reading."""
+    from itertools import product
+
+    def plain(reports):
+        first = {w: next((r for r in reports if r[1] == w), None) for w in grader.PHASES}
+        setup, call, teardown = first["setup"], first["call"], first["teardown"]
+        is_ = lambda r, o: r is not None and r[2] == o
+        if is_(setup, "failed") or is_(teardown, "failed"):
+            return "ERROR"
+        if is_(call, "failed"):
+            return "FAILED"
+        if setup is None or not is_(teardown, "passed"):
+            return None
+        if is_(setup, "skipped"):
+            return "XFAIL" if setup[3] else "SKIPPED"
+        if call is None:
+            return None
+        if is_(call, "skipped"):
+            return "XFAIL" if call[3] else "SKIPPED"
+        return "XPASS" if call[3] else "PASSED"
+
+    options = [None, ("passed", False), ("failed", False), ("skipped", True), ("skipped", False), ("passed", True)]
+    reports, want = [], {}
+    for i, picked in enumerate(product(options, repeat=3)):
+        own = [(f"n{i}", w, *o) for w, o in zip(("call", "teardown", "setup"), picked) if o]
+        own += [(f"n{i}", "call", "failed", False), (f"n{i}", "setup", "failed", False)] if i % 3 == 0 and own else []
+        own += [(f"n{i}", "other", "failed", False)] * (i % 2)
+        reports += own
+        want[f"n{i}"] = plain(own)
+    random.Random(1).shuffle(order := list(dict.fromkeys(r[0] for r in reports)))
+    reports = [r for n in order for r in reports if r[0] == n]
+    df = spark.createDataFrame([(reports,)], "r array<struct<nodeid:string,when:string,outcome:string,wasxfail:boolean>>")
+    got = df.select(grader.phase_statuses(F.col("r")).alias("s")).first().s
+    assert {x.node: x.status for x in got} == {n: s for n, s in want.items() if s}
+
+
 def opened_files(df):
     """Files that the scans of an executed plan handed to tasks and read content from."""
     def leaves(plan):
