@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rungauge.functions import hashing, ranks, text as tx
 from rungauge.functions.guards import ratio
 from rungauge.functions.rows import global_position, keep_first
+from rungauge.shared import cut_lineage, sent_if_small
 
 
 def pass_rates(attempts: DataFrame, task: str, reward: str) -> DataFrame:
@@ -131,7 +132,7 @@ def held_out_split(rows: DataFrame, problem: str, seed: str, n_val: int) -> Data
         .orderBy("_h")
         .limit(n_val)
     )
-    marked = rows.join(F.broadcast(chosen), F.col(problem).eqNullSafe(F.col("_p")), "left")  # n_val rows
+    marked = rows.join(sent_if_small(cut_lineage(chosen, "held-out")), F.col(problem).eqNullSafe(F.col("_p")), "left")
     side = F.when(F.col("_h").isNotNull(), "val").otherwise("train")
     return marked.withColumn("split", side).drop("_p", "_h")
 

@@ -397,8 +397,8 @@ def read_broken_json(spark: SparkSession, path: str, schema: str, record_start:
     """JSON objects that may span several lines, fields in any order; every line ends up in one row.
 
     A string holds no line break, so each line's change of bracket depth is its
-    own, and a record ends where the running depth of its file is back at
-    nothing.  ``bad`` rows are records that do not parse as one object; they keep
+    own, and a record ends where the running depth of its file is back at its
+    lowest so far: a stray closing bracket is a bad record of its own.  ``bad`` rows are records that do not parse as one object; they keep
     their ``text``.  A record that was cut never closes: it takes what follows
     with it, as the sequential reader would, up to ``max_chars`` at a time, or
     up to the next line that begins with ``record_start`` when one is given.
@@ -421,7 +421,9 @@ def join_broken_json(
     rows = rows.withColumn("_before", F.col("_depth") - F.col("_d"))
     base = rows.where("_start = 1").select(F.col(file).alias("_f"), F.col("_part").alias("_p"), F.col("_before").alias("_base"))
     rows = rows.join(base, (F.col(file) == F.col("_f")) & (F.col("_part") == F.col("_p")), "left").withColumn("_base", F.coalesce("_base", F.lit(0)))
-    rows = rows.withColumn("_ends", (F.col("_depth") <= F.col("_base")).cast("long")).select(file, *at, "value", "_n", "_chars", "_part", "_ends")
+    # A closing bracket without an opening one lowers the ground that later records stand on.
+    rows = running(rows, [file, "_part"], at, {"_low": ("min", F.col("_depth"))})
+    rows = rows.withColumn("_ends", (F.col("_depth") <= F.least("_base", "_low")).cast("long")).select(file, *at, "value", "_n", "_chars", "_part", "_ends")
     rows = running(rows, [file], at, {"_closed": ("sum", F.col("_ends"))}).withColumn("_record", F.col("_closed") - F.col("_ends"))
     first = rows.groupBy(file, "_part", "_record").agg(F.min(F.col("_chars") - F.col("_n")).alias("_from"), F.sum("_n").alias("_size"))
     keys = [F.col(file).alias("_f"), F.col("_part").alias("_p"), F.col("_record").alias("_r"), "_from", "_size", F.col("_ends_well").alias("_well")]

@@ -25,6 +25,14 @@ def test_records_over_lines(spark, tmp_path):
     assert sorted(bad) == ["[1]", '{"a": 4} {"a": 5}', '{"a": 6, "a": 7}']
 
 
+def test_a_stray_closing_bracket_spoils_nothing_behind_it(spark, tmp_path):
+    text = '{"a": 1}\n}\n{"a": 2,\n"b": "x"}\n{"a": 3}\n]}\n{"a":\n4}\n'
+    good, bad = broken(spark, tmp_path, text)
+    assert good == [(1, None), (2, "x"), (3, None), (4, None)] and sorted(bad) == ["]}", "}"]
+    good, bad = broken(spark, tmp_path / "x", text, record_start="{")
+    assert good == [(1, None), (2, "x"), (3, None), (4, None)] and "".join(bad).count("}") == 2
+
+
 def test_cut_record_takes_what_follows_unless_a_start_is_known(spark, tmp_path):
     text = '{"a": 1}\n{"a": 2, "b": \n{"b": "y", "a": 3}\n{"a": 4}'
     good, bad = broken(spark, tmp_path, text)
