@@ -179,7 +179,8 @@ def test_top_k_of_any_share(spark, monkeypatch):
 def test_empty_tables(spark, folder, documents):
     empty = folder(
         documents=documents([]), benchmark=spark.createDataFrame([], "item_id long, text string"), embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>"),
-        labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), pages=spark.createDataFrame([], "page_id long, url string"),
+        labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), pages=spark.createDataFrame([], "page_id long, url string, html string"),
+        conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"),
     )
     for name, run in q.query.__globals__["QUERIES"].items():
         assert run(spark, empty).count() == 0, name
