@@ -147,29 +147,49 @@ def unique_names(requested: DataFrame, known: DataFrame, name: str, package: str
     )
 
 
-def tensor_join(new: DataFrame, old: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Two parameter tables by (name, position); ``side`` says where an element is missing."""
-    a = new.select(*keys, F.col(value).alias("new_value"))
-    b = old.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(value).alias("old_value"))
-    on = None
-    for k in keys:
-        same = F.col(k) == F.col(f"_o_{k}")
-        on = same if on is None else on & same
-    joined = a.join(b, on, "full")
-    first = keys[0]
-    side = F.when(F.col(first).isNull(), "only_old").when(F.col(f"_o_{first}").isNull(), "only_new").otherwise("both")
-    return joined.select(*[F.coalesce(F.col(k), F.col(f"_o_{k}")).alias(k) for k in keys], "new_value", "old_value", side.alias("side"))
-
-
-def weight_drift(joined: DataFrame, name: str) -> DataFrame:
-    """Per tensor: norm of the change, norm of the start, relative drift; shapes must agree."""
-    d = F.col("new_value") - F.col("old_value")
-    both = F.col("side") == "both"
-    out = joined.groupBy(name).agg(
-        F.sqrt(F.sum(F.when(both, d * d))).alias("change"),
-        F.sqrt(F.sum(F.when(both, F.col("old_value") * F.col("old_value")))).alias("norm"),
-        F.count_if(~both).alias("n_unmatched"),
-    )
+def tensor_blocks(rows: DataFrame, name: str, start: str, values: str, width: int = 4096) -> DataFrame:
+    """Pieces of tensors (``values`` from position ``start`` on) as ``cells`` of a common grid: name, block, cells.
+
+    A cell holds struct<v> per position, null where no piece has the position, so a
+    null value is told from a missing one.  What is shuffled is one row per piece and
+    block, not per value.  Positions of a tensor are unique; pieces of any length and
+    start may come.
+    """
+    here, n = F.col(start).cast("long"), F.size(values)
+    first, last = F.floor(here / width), F.floor((here + n - 1) / width)
+    pieces = rows.where(n > 0).select(F.col(name).alias("name"), here.alias("_start"), F.transform(values, lambda v: F.struct(v.cast("double").alias("v"))).alias("_values"), F.explode(F.sequence(first, last)).alias("block"))
+    low = F.greatest(F.col("_start"), F.col("block") * width)
+    high = F.least(F.col("_start") + F.size("_values"), (F.col("block") + 1) * width)
+    cut = F.slice("_values", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int"))
+    pieces = pieces.select("name", "block", F.struct((low - F.col("block") * width).cast("int").alias("at"), cut.alias("values")).alias("piece"))
+    none = F.lit(None).cast("struct<v:double>")
+    put = lambda acc, p: F.concat(acc, F.array_repeat(none, p["at"] - F.size(acc)), p["values"])
+    whole = F.aggregate(F.array_sort(F.collect_list("piece")), F.array().cast("array<struct<v:double>>"), put)
+    return pieces.groupBy("name", "block").agg(whole.alias("cells"))
+
+
+def weight_drift(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Per tensor of two tables of ``tensor_blocks``: norm of the change, norm of the start, relative drift, positions only one side has.
+
+    Blocks meet by (name, block); their positions are compared side by side.
+    """
+    mine, theirs = new.withColumnRenamed("cells", "_new"), old.withColumnRenamed("cells", "_old")
+    empty = F.array().cast("array<struct<v:double>>")
+    pairs = F.zip_with(F.coalesce("_new", empty), F.coalesce("_old", empty), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("change", "norm")], *[F.lit(0).cast("long").alias(c) for c in ("both", "one")])
+
+    def add(acc: Column, p: Column) -> Column:
+        both = p["a"].isNotNull() & p["b"].isNotNull()
+        square = lambda v: F.when(both, F.coalesce(v * v, F.lit(0.0))).otherwise(F.lit(0.0))
+        single = p["a"].isNotNull() != p["b"].isNotNull()
+        return F.struct(
+            (acc["change"] + square(p["a"]["v"] - p["b"]["v"])).alias("change"), (acc["norm"] + square(p["b"]["v"])).alias("norm"),
+            (acc["both"] + both.cast("long")).alias("both"), (acc["one"] + single.cast("long")).alias("one"),
+        )
+
+    sums = mine.join(theirs, ["name", "block"], "full").select("name", F.aggregate(pairs, start, add).alias("s"))
+    shared = lambda c: F.sqrt(F.sum(F.when(F.col("s.both") > 0, F.col(f"s.{c}"))))
+    out = sums.groupBy("name").agg(shared("change").alias("change"), shared("norm").alias("norm"), F.sum("s.one").alias("n_unmatched"))
     return out.withColumn("relative", F.when(F.col("norm") > 0, F.col("change") / F.col("norm")).otherwise(F.lit(0.0)))
 
 

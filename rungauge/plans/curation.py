@@ -393,20 +393,15 @@ full join (select 'layer' || label || case when label % 5 = 0 then '.norm' else
 
 def tensors(spark, root):
     """Embeddings as two parameter tables; one tensor has another name on one side, one has other positions."""
-    long = table(spark, root, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "x")).select(
-        "label",
-        "vec_id",
-        F.concat(
-            F.lit("layer"), F.col("label").cast("string"), F.when(F.col("label") % 5 == 0, ".norm").otherwise("")
-        ).alias("name"),
-        (F.col("vec_id") * 64 + F.col("i")).alias("pos"),
-        F.col("x").cast("double").alias("v"),
+    rows = table(spark, root, "embeddings").where(F.size("embedding") > 0).select(
+        "label", "vec_id", F.concat(F.lit("layer"), F.col("label").cast("string"), F.when(F.col("label") % 5 == 0, ".norm").otherwise("")).alias("name"),
+        (F.col("vec_id") * 64).alias("start"), F.transform("embedding", lambda x: x.cast("double")).alias("v"),
     )
     renamed = F.when(F.col("label") == 3, F.concat("name", F.lit(".new"))).otherwise(F.col("name")).alias("name")
-    moved = F.when((F.col("label") == 7) & (F.col("vec_id") % 2 != 0), -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos")
-    new = long.select(renamed, "pos", (F.col("v") + 0.01 * (F.col("pos") % 3)).alias("v"))
-    old = long.select("name", moved, "v")
-    return jn.tensor_join(new, old, ["name", "pos"], "v")
+    moved = (F.col("label") == 7) & (F.col("vec_id") % 2 != 0)  # positions -1 - p, so the piece lies backwards
+    new = rows.select(renamed, "start", F.transform("v", lambda x, i: x + 0.01 * ((F.col("start") + i) % 3)).alias("v"))
+    old = rows.select("name", F.when(moved, -F.col("start") - F.size("v")).otherwise(F.col("start")).alias("start"), F.when(moved, F.reverse("v")).otherwise(F.col("v")).alias("v"))
+    return jn.weight_drift(jn.tensor_blocks(new, "name", "start", "v"), jn.tensor_blocks(old, "name", "start", "v"))
 
 
 @query("j12_tensor_join", f"""
@@ -414,7 +409,7 @@ select name, cast(sum(case when change is null then 0 else 1 end) as bigint) as
 from ({DRIFT}) group by 1
 """)
 def _(spark, root):
-    per = jn.weight_drift(tensors(spark, root), "name")
+    per = tensors(spark, root)
     return per.select("name", F.col("change").isNotNull().cast("long").alias("compared"), "n_unmatched")
 
 
@@ -423,7 +418,7 @@ select name, round(change, 6) as change, round(norm, 6) as norm, round(change /
 where n_unmatched = 0 order by change / norm desc, name limit 10
 """)
 def _(spark, root):
-    per = jn.weight_drift(tensors(spark, root), "name").where("n_unmatched = 0")
+    per = tensors(spark, root).where("n_unmatched = 0")
     top = per.orderBy(F.desc("relative"), "name").limit(10)
     return top.select("name", *[F.round(c, 6).alias(c) for c in ("change", "norm", "relative")])
 
@@ -434,7 +429,7 @@ select count_if(n_unmatched = 0) as n_tensors, count_if(n_unmatched > 0) as n_un
        round(max(change) filter (where n_unmatched = 0 and contains(name, 'norm')), 6) as max_norm_layer from ({DRIFT})
 """)
 def _(spark, root):
-    out = jn.drift_summary(jn.weight_drift(tensors(spark, root), "name"), "name")
+    out = jn.drift_summary(tensors(spark, root), "name")
     return out.withColumn("global_drift", F.round("global_drift", 6)).withColumn("max_norm_layer", F.round("max_norm_layer", 6))
 
 
