@@ -13,6 +13,11 @@ def hash_order(salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
 
 
+def text_key(text: Column) -> Column:
+    """The SHA-256 of a text as 32 bytes: what long texts are grouped and joined by.  A null has none."""
+    return F.unhex(F.sha2(text.cast("string"), 256))
+
+
 def digest_mod_10(digest: Column) -> Column:
     """The 256-bit number written in a hex digest, modulo 10.
 

@@ -143,19 +143,24 @@ def hash_sample(rows: DataFrame, key: str, salt: str, n: int) -> DataFrame:
 
 
 def purity(train: DataFrame, held_out: DataFrame, key: str, statement: str, held_key: str | None = None) -> DataFrame:
-    """Counts that must all be 0 for a clean split: repeated ids, missing texts, ids also held out."""
-    per = train.groupBy(key).agg(F.count("*").alias("_n"), F.max(F.col(key).isNull().cast("int")).alias("_null"))
-    repeated = per.agg(F.count_if((F.col("_n") > 1) & (F.col("_null") == 0)).alias("n_repeated_ids"))
+    """Counts that must all be 0 for a clean split: repeated ids, missing texts, ids also held out.
+
+    An id may be a whole text: rows are counted by the digest of their id first, so
+    what is shuffled is one narrow row per distinct id and no text.
+    """
     blank = F.coalesce(F.length(tx.strip(F.col(statement))), F.lit(0)) == 0
-    held = held_out.select(F.col(held_key or key).alias("_held")).distinct()
-    joined = train.join(held, F.col(key) == F.col("_held"), "left")
-    rows = joined.agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col(key).isNull()).alias("n_missing_ids"),
-        F.count_if(blank).alias("n_missing_texts"),
-        F.count_if(F.col("_held").isNotNull()).alias("n_held_out"),
+    narrow = train.select(hashing.text_key(F.col(key)).alias("_key"), blank.alias("_blank"))
+    per = narrow.groupBy("_key").agg(F.count("*").alias("_n"), F.count_if("_blank").alias("_blanks"))
+    held = held_out.select(hashing.text_key(F.col(held_key or key)).alias("_held")).distinct()
+    joined = per.join(held, F.col("_key") == F.col("_held"), "left")
+    none = F.lit(0).cast("long")
+    out = joined.agg(
+        F.coalesce(F.sum("_n"), none).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_n"))), none).alias("n_missing_ids"),
+        F.coalesce(F.sum("_blanks"), none).alias("n_missing_texts"),
+        F.coalesce(F.sum(F.when(F.col("_held").isNotNull(), F.col("_n"))), none).alias("n_held_out"),
+        F.count_if(F.col("_key").isNotNull() & (F.col("_n") > 1)).alias("n_repeated_ids"),
     )
-    out = rows.select("*", repeated.scalar().alias("n_repeated_ids"))
     bad = F.col("n_missing_ids") + F.col("n_missing_texts") + F.col("n_held_out") + F.col("n_repeated_ids")
     return out.withColumn("clean", bad == 0)
 

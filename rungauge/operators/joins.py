@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from rungauge.functions import text as tx
 from rungauge.functions.guards import ratio, truthy
+from rungauge.functions.hashing import text_key
 from rungauge.functions.ordered import running
+from rungauge.shared import cut_lineage
 
 
 def results_with_tasks(results: DataFrame, tasks: DataFrame, status: DataFrame, key: str) -> DataFrame:
@@ -34,10 +36,34 @@ def by_prompt_hash(left: DataFrame, left_text: str, right: DataFrame, right_text
     return a.join(b, F.col("prompt_key") == F.col("_key"), how).drop("_key")
 
 
+def prompt_matches(left: DataFrame, left_text: str, right: DataFrame, right_text: str, right_id: Sequence[str]) -> DataFrame:
+    """Every left row with its prompt's class on the right: ``n_matches`` rows, ``first_match`` the smallest id among them.
+
+    Right rows of one prompt are one class row before they meet the left, so a
+    prompt that both sides repeat n times gives n rows and not n squared.  With
+    ``prompt_members``, which names the class of each right row, all pairs are known.
+    A prompt that is null matches nothing.
+    """
+    a = left.withColumn("prompt_key", tx.prompt_key(F.col(left_text)))
+    classes = prompt_members(right, right_text, right_id).groupBy(F.col("prompt_key").alias("_key")).agg(
+        F.count("*").alias("n_matches"), F.min(F.struct(*right_id)).alias("first_match")
+    )
+    joined = a.join(classes, F.col("prompt_key") == F.col("_key"), "left").drop("_key")
+    return joined.withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("long")))
+
+
+def prompt_members(rows: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
+    """The ids of rows with the key of their prompt; rows without a prompt belong to no class."""
+    return rows.select(*ids, tx.prompt_key(F.col(text)).alias("prompt_key")).where("prompt_key is not null")
+
+
 def match_report(asked: DataFrame, key: str, known: DataFrame, known_key: str, min_match: float = 0.9) -> DataFrame:
-    """Distinct asked keys, how many meet a known one, and whether the share is enough."""
-    keys = known.select(F.col(known_key).alias("_k")).distinct()
-    distinct = asked.select(F.col(key).alias("_a")).where("_a is not null").distinct()
+    """Distinct asked keys, how many meet a known one, and whether the share is enough.
+
+    Keys may be whole texts: their digests are what is shuffled.
+    """
+    keys = known.select(text_key(F.col(known_key)).alias("_k")).distinct()
+    distinct = asked.select(text_key(F.col(key)).alias("_a")).where("_a is not null").distinct()
     joined = distinct.join(keys, F.col("_a") == F.col("_k"), "left")
     out = joined.agg(F.count("*").alias("n_asked"), F.count("_k").alias("n_matched")).withColumn(
         "match_rate", ratio(F.col("n_matched"), F.col("n_asked"))
@@ -105,30 +131,36 @@ def resolve_nodes(requested: DataFrame, collected: DataFrame, node: str, full: s
     """Requested test ids to collected ones: exact, else the first word of exactly one.
 
     ``state`` is exact, truncated, unavailable, ambiguous, or shared when two
-    requests land on the same collected id.
+    requests land on the same collected id.  A null request stays, unavailable.
+
+    Ids meet as digests.  Texts are shuffled where copies of one become one row, and
+    at the end once more for the rows that name them.
     """
-    names = collected.select(F.col(full).alias("_full")).where("_full is not null").distinct()
+    names = collected.select(F.col(full).alias("_full")).where("_full is not null")
+    names = names.groupBy(text_key(F.col("_full")).alias("_fd")).agg(F.first("_full").alias("_full"))
     first = F.element_at(F.split(tx.strip(F.col("_full")), rf"[{tx.BLANK}]+"), 1)
-    by_first = names.groupBy(first.alias("_first")).agg(F.count("*").alias("_n"), F.min("_full").alias("_one"))
-    asked = requested.select(F.col(node).alias("node")).distinct()
-    joined = asked.join(names, F.col("node") == F.col("_full"), "left").join(
-        by_first, F.col("node") == F.col("_first"), "left"
+    narrow = cut_lineage(names.select("_fd", "_full", text_key(first).alias("_wd")), "names")
+    by_first = narrow.groupBy(F.col("_wd").alias("_first")).agg(F.count("*").alias("_n"), F.min("_fd").alias("_one"))
+    asked = cut_lineage(requested.groupBy(text_key(F.col(node)).alias("_d")).agg(F.first(node).alias("node")), "asked")
+    joined = (
+        asked.select("_d")
+        .join(narrow.select("_fd"), F.col("_d") == F.col("_fd"), "left")
+        .join(by_first, F.col("_d") == F.col("_first"), "left")
     )
     state = (
-        F.when(F.col("_full").isNotNull(), "exact")
+        F.when(F.col("_fd").isNotNull(), "exact")
         .when(F.col("_n").isNull(), "unavailable")
         .when(F.col("_n") > 1, "ambiguous")
         .otherwise("truncated")
     )
-    resolved = joined.select(
-        "node", F.coalesce(F.col("_full"), F.when(F.col("_n") == 1, F.col("_one"))).alias("full"), state.alias("state")
-    )
-    shared = (
-        resolved.where("full is not null").groupBy(F.col("full").alias("_f")).agg(F.count("*").alias("_users")).where("_users > 1")
-    )
-    return resolved.join(shared, F.col("full") == F.col("_f"), "left").select(
-        "node", "full", F.when(F.col("_users").isNotNull(), "shared").otherwise(F.col("state")).alias("state")
+    resolved = joined.select("_d", F.coalesce(F.col("_fd"), F.when(F.col("_n") == 1, F.col("_one"))).alias("_to"), state.alias("state"))
+    shared = resolved.where("_to is not null").groupBy(F.col("_to").alias("_f")).agg(F.count("*").alias("_users")).where("_users > 1")
+    found = resolved.join(shared, F.col("_to") == F.col("_f"), "left").select(
+        F.col("_d").alias("_of"), "_to", F.when(F.col("_users").isNotNull(), "shared").otherwise(F.col("state")).alias("state")
     )
+    texts = narrow.select("_fd", F.col("_full").alias("full"))
+    out = found.join(texts, F.col("_to") == F.col("_fd"), "left").join(asked, F.col("_of").eqNullSafe(F.col("_d")))
+    return out.select("node", "full", "state")
 
 
 def unique_names(requested: DataFrame, known: DataFrame, name: str, package: str, status: str) -> DataFrame:

@@ -239,19 +239,37 @@ def _(spark, root):
     return out.select("id", F.col("c_mktsegment").alias("repo"), "n_turns", "has_status")
 
 
-@query("j02_prompt_hash", """
-with c as (select conv_id, turn, text from conversations where role = 'user')
-select c.conv_id, c.turn, p.conv_id as other_conv, p.turn as other_turn
-from c join (select * from c where turn < 2) p on p.text = c.text
+USER_TURNS = "select conv_id, turn, text from conversations where role = 'user'"
+
+
+def user_turns(spark, root):
+    return table(spark, root, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+
+
+def captured_turns(users):
+    """The same turns as a log writes them: quoted."""
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return users.select("conv_id", "turn", quoted.alias("captured"))
+
+
+@query("j02_prompt_hash", f"""
+with c as ({USER_TURNS}), k as (select text, count(*) as n, min((conv_id, turn)) as f from c where text is not null group by 1)
+select c.conv_id, c.turn, coalesce(n, 0) as n_matches, f[1] as first_conv, f[2] as first_turn from c left join k on k.text = c.text
 """)
 def _(spark, root):
-    users = table(spark, root, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
-    captured = users.where("turn < 2").select(
-        F.col("conv_id").alias("other_conv"),
-        F.col("turn").alias("other_turn"),
-        F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('\\"')), F.lit('"')).alias("captured"),
+    users = user_turns(spark, root)
+    out = jn.prompt_matches(users, "text", captured_turns(users), "captured", ["conv_id", "turn"])
+    return out.select(
+        "conv_id", "turn", "n_matches", F.col("first_match.conv_id").alias("first_conv"), F.col("first_match.turn").alias("first_turn")
     )
-    return jn.by_prompt_hash(users, "text", captured, "captured").select("conv_id", "turn", "other_conv", "other_turn")
+
+
+@query("j02_prompt_members", f"""
+with c as ({USER_TURNS} and text is not null), s as (select *, regexp_replace(regexp_replace(text, '^[{BLANK}]+', ''), '[{BLANK}]+$', '') as p from c)
+select conv_id, turn, md5(p) as prompt_key from s
+""")
+def _(spark, root):
+    return jn.prompt_members(captured_turns(user_turns(spark, root)), "captured", ["conv_id", "turn"])
 
 
 @query("j03_statement_match", f"""
