@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from rungauge.functions import text as tx
 from rungauge.functions.guards import truthy, violations
 from rungauge.operators.trajectories import REDACTED_KEYS
 from rungauge.shared import cut_lineage
+from rungauge.sources.readers import read_manifest, read_shards
 
 # Fixed values of the test report formats.
 ANSI = r"\x1b\[[0-?]*[ -/]*[@-~]"
@@ -390,13 +391,14 @@ def _evidence_rules(e, v: Column, f2p: Column, p2p: Column, collection: Column,
     )
 
 
-def gate(planned: DataFrame, results: DataFrame, key: str, step: int) -> DataFrame:
+def gate(planned: DataFrame, results: DataFrame, key: str, step: int, manifest: str | None = None) -> DataFrame:
     """One row: the run's summary when it is whole and every row valid, else its problems.
 
-    ``results`` carries ``violations`` and ``unreadable``.  Counts of what was
+    ``results`` carries ``violations`` and ``unreadable``, and may carry ``misplaced``:
+    such a row speaks for no id and is a problem of its own.  Counts of what was
     resolved are null unless the run is complete, so a failed gate can not be
     read as a score.  Problems are counted by kind; the rows behind them are
-    ``gate_problems``.
+    ``gate_problems``.  ``manifest`` is the digest of the plan's file, for the summary.
     """
     # Judging a row is costly, so what the gate needs of it is written once.
     facts = cut_lineage(
@@ -408,6 +410,7 @@ def gate(planned: DataFrame, results: DataFrame, key: str, step: int) -> DataFra
             "smith_rc",
             "unreadable",
             F.slice("violations", 1, 1).alias("violations"),
+            *(["misplaced"] if "misplaced" in results.columns else []),
         ),
         "gate",
     )
@@ -418,7 +421,8 @@ def gate(planned: DataFrame, results: DataFrame, key: str, step: int) -> DataFra
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_problems"),
     )
     n_expected = planned.agg(F.count("*")).scalar()
-    sums = facts.agg(
+    placed = facts.where("misplaced is null") if "misplaced" in facts.columns else facts
+    sums = placed.agg(
         F.count("*").alias("n_observed"),
         F.count_if(truthy(F.col("resolved"))).alias("_r"),
         F.count_if(truthy(F.col("timed_out"))).alias("_t"),
@@ -429,6 +433,7 @@ def gate(planned: DataFrame, results: DataFrame, key: str, step: int) -> DataFra
     out = sums.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")  # one row each
     complete = (F.col("n_problems") == 0) & (F.col("n_observed") > 0)
     return out.withColumn("n_expected", n_expected).select(
+        *([] if manifest is None else [F.lit(manifest).alias("ids_sha256")]),
         F.lit(step).alias("checkpoint_step"),
         complete.alias("complete"),
         "n_expected",
@@ -444,7 +449,11 @@ def gate(planned: DataFrame, results: DataFrame, key: str, step: int) -> DataFra
 
 
 def gate_problems(planned: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """Rows (id, problem): duplicate and missing ids, ids outside the plan, unreadable and invalid rows."""
+    """Rows (id, problem): duplicate and missing ids, ids outside the plan, unreadable, invalid and misplaced rows."""
+    stray = None
+    if "misplaced" in results.columns:
+        stray = results.where("misplaced is not null").select(F.col(key).alias("id"), F.concat(F.lit("misplaced:"), "misplaced").alias("problem"))
+        results = results.where("misplaced is null")
     plan = planned.select(F.col(key).alias("_id")).groupBy("_id").agg(F.count("*").alias("_planned"))
     got = results.groupBy(F.col(key).alias("_rid")).agg(
         F.count("*").alias("_seen"),
@@ -462,10 +471,24 @@ def gate_problems(planned: DataFrame, results: DataFrame, key: str) -> DataFrame
         ]
     )
     invalid = F.when(F.col("_violation").isNotNull(), F.array(F.concat(F.lit("invalid:"), F.col("_violation"))))
-    return joined.select(
+    out = joined.select(
         F.coalesce("_id", "_rid").alias("id"),
         F.explode(F.concat(found, F.coalesce(invalid, F.array().cast("array<string>")))).alias("problem"),
     )
+    return out if stray is None else out.unionByName(stray)
+
+
+def gate_files(spark: SparkSession, manifest: str, shards: Sequence[str], schema: str, step: int, key: str = "instance_id") -> DataFrame:
+    """The gate of a run from its files: manifest and shard folders to the one summary row.
+
+    ``key`` of a readable result is compared with its folder; an unreadable one is
+    known by its folder only.
+    """
+    planned, digest = read_manifest(spark, manifest, key)
+    rows = read_shards(spark, shards, schema, key)
+    none = F.array().cast("array<string>")
+    judged = rows.withColumn("violations", F.when(F.col("unreadable"), none).otherwise(eval_violations()))
+    return gate(planned, judged.withColumn(key, F.coalesce(key, "folder")), key, step, digest)
 
 
 # --- redaction and audits -------------------------------------------------------------

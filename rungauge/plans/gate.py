@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from rungauge.operators import grader as gd
 from rungauge.plans import bindings as b
 from rungauge.plans.registry import query
-from rungauge.session import spread, spread_table
+from rungauge.session import spread, spread_table, table
+from rungauge.shared import fresh_folder
+from rungauge.sources.files import write_files
 
 
 EVENT = "struct<kind:string,nodes:array<string>,nodeid:string,when:string,outcome:string,wasxfail:boolean,exitstatus:int>"
@@ -127,6 +129,68 @@ def _(spark, root):
     return out.withColumn("resolved_rate", F.round("resolved_rate", 6)).withColumn("problems", F.array_join("problems", ","))
 
 
+RESULT = (
+    f"id string, error string, timed_out boolean, smith_rc int, n_f2p int, eval struct<resolved:boolean,timed_out:boolean,pytest_rc:int,n_f2p:int,n_f2p_pass:int,n_p2p:int,n_p2p_ok:int,"
+    f"f2p_statuses:map<string,string>,p2p_statuses:map<string,string>,grader_protocol:string,evaluation_state:string,reward_eligible:boolean,report_intact:boolean,restore_rc:int,collection_rc:int,"
+    f"p2p_scope:string,collected_nodes:array<string>,node_mapping:map<string,string>,collection_events:array<{EVENT}>,test_events:array<{EVENT}>,collection_sha256:string,report_sha256:string,requested_nodes_sha256:string>"
+)
+
+
+def customer_results(spark, root, faults):
+    """A result file per customer, two tests each, in two shards: ``path`` and ``text``.
+
+    With ``faults`` some are copied into another one's folder, lie too deep, lack
+    their id, are cut, empty, left out, there twice, or break a rule.
+    """
+    i, has = F.col("c_custkey"), F.col("c_acctbal") > 0
+    row = F.to_json(F.struct(
+        F.when(F.lit(not faults) | (i % 29 != 4), i.cast("string")).alias("id"), F.lit(False).alias("timed_out"), F.when(i % 23 == 1, 124).otherwise(0).alias("smith_rc"),
+        F.when(F.lit(faults) & (i % 29 == 5), 2).otherwise(1).alias("n_f2p"),
+        F.struct(
+            has.alias("resolved"), F.lit(False).alias("timed_out"), F.when(has, 0).otherwise(1).alias("pytest_rc"), F.lit(1).alias("n_f2p"), has.cast("int").alias("n_f2p_pass"),
+            F.lit(1).alias("n_p2p"), F.lit(1).alias("n_p2p_ok"), F.create_map(F.lit("t.py::a"), F.when(has, "PASSED").otherwise("FAILED")).alias("f2p_statuses"),
+            F.create_map(F.lit("t.py::b"), F.lit("PASSED")).alias("p2p_statuses"),
+        ).alias("eval"),
+    ))
+    shard = F.concat(F.lit("shard"), (i % 2).cast("string"), F.lit("/"))
+    at = lambda s, folder: F.concat(s, folder.cast("string"), F.lit("/result.json"))
+    if not faults:
+        return table(spark, root, "customer").select(at(shard, i).alias("path"), row.alias("text"))
+    path = F.when(i % 29 == 3, at(shard, -i)).when(i % 29 == 6, at(F.concat(shard, F.lit("deep/")), i)).otherwise(at(shard, i))
+    text = F.when(i % 29 == 7, F.left(row, F.length(row) - 1)).when(i % 29 == 8, "").otherwise(row)
+    paths = F.when(i % 29 == 9, F.array(path, at(F.concat(F.lit("shard"), ((i + 1) % 2).cast("string"), F.lit("/")), i))).when(i % 29 == 10, F.array()).otherwise(F.array(path))
+    return table(spark, root, "customer").select(F.explode(paths).alias("path"), text.alias("text"))
+
+
+@query("a38_gate_files", """
+with c as (select c_custkey as i, c_custkey % 29 as m, c_acctbal > 0 as ok from customer),
+ f as (select 'invalid:n_f2p_mismatch' as p, count_if(m = 5) as n from c union all select 'misplaced:id_disagrees', count_if(m = 3) from c union all select 'misplaced:missing_id', count_if(m = 4) from c
+   union all select 'misplaced:unexpected_layout', count_if(m = 6) from c union all select 'unreadable', count_if(m in (7, 8)) from c union all select 'duplicate', count_if(m = 9) from c
+   union all select 'missing', count_if(m in (3, 4, 6, 10)) from c),
+ d as (select sha256('[' || string_agg('"' || i || '"', ',' order by i) || ']') as h from c)
+select (select h from d) as ids_sha256, 80 as checkpoint_step, false as complete, count(*) as n_expected, count_if(m not in (3, 4, 6, 10)) + count_if(m = 9) as n_observed, null::bigint as n_resolved,
+  null::double as resolved_rate, null::bigint as n_outer_timeout_rc124, (select sum(n)::bigint from f) as n_problems, (select string_agg(p || '=' || n, ',' order by p || '=' || n) from f where n > 0) as problems from c
+union all
+select (select h from d), 81, true, count(*), count(*), count_if(ok), round(count_if(ok) / count(*), 6), count_if(i % 23 = 1), 0, '' from c
+""")
+def _(spark, root):
+    """Files of a run with faults, refused, and of a whole one: manifest and shards to the summary."""
+    names = table(spark, root, "customer").select(F.col("c_custkey").alias("i"))
+    listed = names.agg(F.array_sort(F.collect_list("i")).alias("l"))  # a manifest is one file
+    plan = listed.select(F.lit("ids.json").alias("path"), F.concat(F.lit('["'), F.array_join(F.col("l").cast("array<string>"), '","'), F.lit('"]')).alias("text"))
+    out = None
+    for step, faults in ((80, True), (81, False)):
+        folder = fresh_folder(spark, "gate-files")
+        write_files(plan, folder, "path", "text")
+        write_files(customer_results(spark, root, faults).repartition("path"), folder, "path", "text")
+        one = gd.gate_files(spark, f"{folder}/ids.json", [f"{folder}/shard0", f"{folder}/shard1"], RESULT, step, "id")
+        out = one if out is None else out.unionByName(one)
+    return out.select(
+        "ids_sha256", "checkpoint_step", "complete", "n_expected", "n_observed", "n_resolved", F.round("resolved_rate", 6).alias("resolved_rate"), "n_outer_timeout_rc124",
+        "n_problems", F.array_join("problems", ",").alias("problems"),
+    )
+
+
 def evidence_rows(spark, root):
     """Structured evidence of each order: two tests, their reports, and hashes; some ids carry one fault."""
     i = F.col("o_orderkey")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rungauge.functions import text as tx
+from rungauge.functions.guards import truthy
 from rungauge.functions.ordered import running
 from rungauge.functions.rows import keep_first, keep_last
+from rungauge.sources.files import file_system, list_files, read_files, run_folders, scheme_of
 
 TASK_FIELDS = (
     "instance_id string, problem_statement string, image_name string, repo string, "
@@ -98,32 +99,72 @@ def read_tasks(spark: SparkSession, path: str | list[str], source: str | None =
     return rows.where(sound).drop("malformed", "line")
 
 
+def _parsed_files(files: DataFrame, schema: str) -> tuple[DataFrame, list[str]]:
+    """``root``, ``path``, ``link``, the fields of each file's one JSON object, and ``unreadable``."""
+    fields = T.StructType.fromDDL(schema + ", _corrupt_record string")
+    names = [f.name for f in fields if f.name != "_corrupt_record"]
+    read = files.withColumn("text", F.col("content").cast("string")).withColumn("sound", truthy(tx.is_json_object(F.col("text"))))
+    parsed = F.from_json(F.when(F.col("sound"), F.col("text")), fields, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = ~F.col("sound") | F.col("row._corrupt_record").isNotNull()
+    rows = read.select("root", "path", "link", "sound", parsed.alias("row"))
+    return rows.select("root", "path", "link", *[F.when(~bad, F.col(f"row.{n}")).alias(n) for n in names], bad.alias("unreadable")), names
+
+
 def read_results(spark: SparkSession, root: str, schema: str, key_pattern: str) -> DataFrame:
     """One row per result file, whatever it holds; keys come from the folder names.
 
     ``key_pattern`` has two groups, run and instance.  ``unreadable`` marks files
     that are not one JSON object of the schema: empty, cut, followed by something
     else, an array, a repeated key.  The lenient caller filters them, the gate
-    reports them.  Empty files have no content to scan, so they are taken from
-    the file listing that the scan makes anyway.
+    reports them.  Run folders are listed in tasks, so empty files come too.
     """
-    fields = T.StructType.fromDDL(schema + ", _corrupt_record string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = F.col("content").cast("string")
-    read = files.select("path", text.alias("text")).withColumn("sound", tx.is_json_object(F.col("text")))
-    parsed = F.from_json(F.when(F.col("sound"), F.col("text")), fields, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    names = [f.name for f in fields if f.name != "_corrupt_record"]
-    bad = ~F.col("sound") | F.col("row._corrupt_record").isNotNull()
-    rows = read.select("path", "sound", parsed.alias("row")).select("path", *[F.when(~bad, F.col(f"row.{n}")).alias(n) for n in names], bad.alias("unreadable"))
-    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "listed string")
-    clean = F.regexp_replace("path", "^file:/+", "file:/")
-    found = rows.withColumn("path", clean).join(
-        listed.withColumn("listed", F.regexp_replace("listed", "^file:/+", "file:/")), F.col("path") == F.col("listed"), "full"
-    )
-    at = F.coalesce("path", "listed")
-    return found.select(
-        *names, F.regexp_extract(at, key_pattern, 1).alias("run"), F.regexp_extract(at, key_pattern, 2).alias("instance_id"), F.coalesce("unreadable", F.lit(True)).alias("unreadable")
+    rows, names = _parsed_files(read_files(list_files(spark, run_folders(root))), schema)
+    return rows.select(*names, F.regexp_extract("path", key_pattern, 1).alias("run"), F.regexp_extract("path", key_pattern, 2).alias("instance_id"), "unreadable")
+
+
+MISPLACED = ("unexpected_layout", "missing_id", "id_disagrees")
+
+
+def read_shards(spark: SparkSession, shards: Sequence[str], schema: str, key: str = "instance_id", name: str = "result.json") -> DataFrame:
+    """Result files of shard folders, laid out shard/instance/``name``, for the gate.
+
+    ``schema`` holds ``key``.  ``folder`` is the instance's folder, ``unreadable`` as in
+    ``read_results``.  ``misplaced`` says why a file does not speak for an id: it lies
+    elsewhere or behind a symbolic link, has no id, or its id is not its folder's name.
+    A shard may not be given twice, nor lie inside another.
+    """
+    roots = [scheme_of(s) + file_system(s)[1].rstrip("/") for s in shards]
+    if not roots or any(i != j and (a + "/").startswith(b + "/") for i, a in enumerate(roots) for j, b in enumerate(roots)):
+        raise ValueError("shard folders must be given, once each, and must not overlap")
+    files = list_files(spark, roots).where(F.substring_index("path", "/", -1) == name)
+    rows, names = _parsed_files(read_files(files), schema)
+    parts, ids = F.split("path", "/"), F.col(key)
+    shard = F.element_at(F.split("root", "/"), -1)
+    laid_out = F.col("path").endswith(F.concat_ws("/", shard, F.col("folder"), F.lit(name))) & (F.size(parts) == F.size(F.split("root", "/")) + 2) & ~F.col("link")
+    why = (
+        F.when(~laid_out, "unexpected_layout")
+        .when(F.col("unreadable"), None)
+        .when(ids.isNull() | (ids == ""), "missing_id")
+        .when(ids != F.col("folder"), "id_disagrees")
     )
+    return rows.withColumn("folder", F.element_at(parts, -2)).select("path", *names, "folder", "unreadable", why.alias("misplaced"))
+
+
+def read_manifest(spark: SparkSession, path: str, key: str = "instance_id") -> tuple[DataFrame, str]:
+    """The planned ids of a manifest, and the SHA-256 of its bytes.
+
+    A manifest is one JSON list of distinct texts that are not blank; anything else is refused.
+    """
+    content = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("digest"))
+    # As the one field of an object, so that nothing may follow the list.
+    whole = F.concat(F.lit('{"ids": '), "text", F.lit("}"))
+    listed = tx.is_json_object(whole) & (F.schema_of_variant(F.try_parse_json(whole)) == "OBJECT<ids: ARRAY<STRING>>")
+    ids = F.when(listed, F.from_json("text", "array<string>"))
+    fine = (F.size(ids) > 0) & F.forall(ids, lambda i: tx.strip(i) != "") & (F.size(F.array_distinct(ids)) == F.size(ids))
+    head = content.select("digest", truthy(fine).alias("fine")).collect()
+    if len(head) != 1 or not head[0].fine:
+        raise ValueError(f"not a list of distinct ids: {path}")
+    return content.select(F.explode(ids).alias(key)), head[0].digest
 
 
 def session_segments(

@@ -310,3 +310,47 @@ def test_texts_equal_up_to_blanks_share_a_side(spark):
     group = hashlib.sha256(b"task number 3").hexdigest()
     bucket = int(hashlib.sha256(("critic-v1:" + group).encode()).hexdigest(), 16) % 10
     assert out.where("id = 't3'").first().bucket == bucket
+
+
+def test_gate_from_files(spark, tmp_path):
+    def put(path, row):
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(row if isinstance(row, str) else json.dumps(row))
+
+    def run(name, shards=("s0", "s1")):
+        out = grader.gate_files(spark, str(tmp_path / name / "ids.json"), [str(tmp_path / name / s) for s in shards], SCHEMA, 80).first()
+        return out, dict(p.rsplit("=", 1) for p in out.problems)
+
+    def row(i):
+        return dict(good(), instance_id=i)
+
+    manifest = '["a", "b", "c"]\n'
+    for name in ("whole", "wrong"):
+        put(f"{name}/ids.json", manifest)
+        put(f"{name}/s0/a/result.json", row("a"))
+        put(f"{name}/s0/a/other.json", "not read")
+        put(f"{name}/s1/b/result.json", row("b"))
+        put(f"{name}/s1/c/result.json", row("c"))
+    out, _ = run("whole")
+    assert out.complete and (out.n_expected, out.n_resolved) == (3, 3) and out.ids_sha256 == hashlib.sha256(manifest.encode()).hexdigest()
+    put("wrong/s0/a/result.json", row("b"))  # another task's result
+    put("wrong/s1/c/result.json", dict(good(), instance_id=None))
+    put("wrong/s1/deep/d/result.json", row("d"))
+    put("wrong/s0/b/result.json", "")  # b is there twice, once unreadable
+    put("wrong/s0/e/result.json", row("e"))
+    os.symlink(tmp_path / "wrong/s1/b", tmp_path / "wrong/s0/f")
+    out, problems = run("wrong")
+    want = {"misplaced:id_disagrees": 1, "misplaced:missing_id": 1, "misplaced:unexpected_layout": 1, "missing": 2, "duplicate": 1, "unreadable": 1, "extra": 1}
+    assert not out.complete and out.n_resolved is None
+    links = int(problems.pop("misplaced:unexpected_layout"))
+    want.pop("misplaced:unexpected_layout")
+    assert links in (1, 2) and {k: int(v) for k, v in problems.items()} == want
+    for bad in ("[]", '["a", "a"]', '["a", " "]', "[1]", '{"a": 1}', '["a"] x', ""):
+        put("whole/ids.json", bad)
+        with pytest.raises(ValueError, match="distinct ids"):
+            run("whole")
+    put("whole/ids.json", manifest)
+    for shards in ((), ("s0", "s0"), ("s0", "s0/a"), ("s0", "s0/")):
+        with pytest.raises(ValueError, match="overlap"):
+            run("whole", shards)
