@@ -16,6 +16,7 @@ from rungauge.plans.sequences import ANSWER_SQL, KIND_SQL, ORDER, RUNS, SEGMENTS
 from rungauge.session import table
 from rungauge.shared import fresh_folder
 from rungauge.streaming import streams as st
+from rungauge.streaming.state import ordered_fold, rocksdb
 
 
 def event_stream(spark, root):
@@ -24,9 +25,10 @@ def event_stream(spark, root):
     return st.file_stream(spark, root, schema, "events.parquet").withColumn("at", st.event_time(F.col("ts")))
 
 
-def clients(stream):
+def clients(stream, *more):
     """Stream rows with what the ordered operators look at."""
     return stream.select(
+        *more,
         "event_id", "user_id", times.epoch_micros(F.col("ts")).alias("us"), "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
@@ -79,55 +81,83 @@ def _(spark, root):
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
 
 
-def last_of(done, columns):
-    """The named values of every client's last row."""
-    picked = F.max_by(F.struct(*[c.alias(n) for n, c in columns.items()]), F.struct("us", "event_id"))
-    return done.groupBy("user_id").agg(picked.alias("_s")).select("user_id", "_s.*")
+def late_waves(spark, root, waves=4, jitter_hours=20):
+    """The events in several files that arrive one by one; a row may come up to ``jitter_hours`` after its time, so neighbours overlap."""
+    folder = fresh_folder(spark, "event-waves")
+    rows = table(spark, root, "events")
+    us = times.epoch_micros(F.col("ts"))
+    came = us + F.pmod(F.xxhash64("event_id"), F.lit(jitter_hours * 3_600_000_000))
+    first, last = rows.agg(F.min(came), F.max(came)).first()
+    wave = F.floor((came - first) * waves / F.lit(last - first + 1)) if first is not None else F.lit(0)
+    for n in range(waves):  # a file source takes files by their time of writing
+        rows.where(wave == n).repartition(1).write.mode("append").parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, files_per_batch=1).withColumn("at", st.event_time(F.col("ts")))
+
+
+def folded_by(stream, key, order, state, fold, out, label, lateness):
+    """``fold`` over each key's rows in the order of their time, drained to the end."""
+    whole = lambda rows: ordered_fold(rows, key, order, "at", lateness, state, fold, out)
+    with rocksdb(stream.sparkSession):
+        return st.drain_whole(stream, whole, "at", label)
 
 
-def classify(rows):
-    prepared = rows.withColumn("kind", F.expr(KIND_SQL)).withColumn("task", F.md5(F.floor(F.col("k") / 50).cast("string")))
-    return sq.client_segments(prepared, "user_id", ORDER, "kind", "task", start=(F.col("s_task"), F.col("s_compact")))
+def folded(stream, state, fold, out, label):
+    return folded_by(stream, "user_id", ORDER, state, fold, out, label, "2 days")
 
 
-CLASSIFIER = st.CarriedStream(
-    "user_id", "s_task string, s_compact bigint", classify,
-    lambda done: last_of(done, {"s_task": F.col("task_key"), "s_compact": F.col("n_compact")}),
-)
+def classify(state, row):
+    """The segment of one request, and the client's task and compactions after it."""
+    task, n = state[0], state[1] or 0
+    kind = row["kind"]
+    if kind == "task":
+        n = n if row["task"] == task else 0
+        task = row["task"] if row["task"] is not None else task
+    if task is None:
+        return (None, 0), (0, "unknown")
+    n += kind == "compact"
+    name = {"task": "task", "compact": f"compact{n}", "post": f"post{max(n, 1)}"}.get(kind, "other")
+    return (task, n), (n, name)
+
+
+CLASSIFIER = ("s_task string, s_compact bigint", classify, "n_compact bigint, segment string")
 
 
 @query("r02_session_classifier", f"select event_id, user_id, n_compact, segment from ({SEGMENTS})")
 def _(spark, root):
-    out = CLASSIFIER.run(clients(event_stream(spark, root)), "classifier")
-    return out.select("event_id", "user_id", "n_compact", "segment")
+    rows = requests(late_waves(spark, root))
+    return folded(rows, *CLASSIFIER, "classifier").select("event_id", "user_id", "n_compact", "segment")
+
 
+def requests(stream):
+    return clients(stream, "at").select("*", F.expr(KIND_SQL).alias("kind"), F.md5(F.floor(F.col("k") / 50).cast("string")).alias("task"))
 
-def guard(rows):
-    """Identical calls in a row and whether they make a loop."""
-    signature = F.when(F.col("event_type") != "view", F.col("event_type"))
-    out = sq.identical_runs(rows, ["user_id"], ORDER, signature, start=(F.col("s_signature"), F.col("s_length")))
-    return out.withColumn("loop", F.col("run_length") >= 3)
 
+def guard(state, row):
+    """How often a client's call has come in a row, and whether that is a loop; a view has no signature."""
+    signature = None if row["event_type"] == "view" else row["event_type"]
+    length = 0 if signature is None else (state[1] or 0) + 1 if signature == state[0] else 1
+    return (signature, length), (length, length >= 3)
 
-GUARD = st.CarriedStream(
-    "user_id", "s_signature string, s_length bigint", guard,
-    lambda done: last_of(done, {"s_signature": F.col("signature"), "s_length": F.col("run_length")}),
-)
+
+GUARD = ("s_signature string, s_length bigint", guard, "run_length bigint, loop boolean")
 
 
 @query("r03_episode_guard", f"select event_id, user_id, run_length, run_length >= 3 as loop from ({RUNS})")
 def _(spark, root):
-    out = GUARD.run(clients(event_stream(spark, root)), "guard")
-    return out.select("event_id", "user_id", "run_length", "loop")
+    return folded(clients(late_waves(spark, root), "at"), *GUARD, "guard").select("event_id", "user_id", "run_length", "loop")
 
 
-def budgeted(rows):
-    return sq.step_budget(
-        rows, "user_id", ORDER, F.col("event_type") == "signup", F.col("event_type") != "error", 8, 3, start=F.col("s_step")
-    )
+def budgeted(state, row, budget=8, warn=3):
+    """The step since the last signup and what is left of the budget; an error is no step."""
+    step = state[0] or 0
+    if row["event_type"] == "error":
+        return (step,), (step, None)
+    step = 1 if row["event_type"] == "signup" else step + 1
+    name = "over" if step > budget else "used_up" if step == budget else "warn" if step >= budget - warn else "ok"
+    return (step,), (step, name)
 
 
-BUDGET = st.CarriedStream("user_id", "s_step bigint", budgeted, lambda done: last_of(done, {"s_step": F.col("step")}))
+BUDGET = ("s_step bigint", budgeted, "step bigint, budget_state string")
 
 
 @query("r04_step_budget", """
@@ -137,8 +167,7 @@ with e as (select event_id, user_id, epoch_us(ts) as us, event_type from events)
 select event_id, step, case when event_type <> 'error' then case when step > 8 then 'over' when step >= 8 then 'used_up' when step >= 5 then 'warn' else 'ok' end end as budget_state from s
 """)
 def _(spark, root):
-    out = BUDGET.run(clients(event_stream(spark, root)), "budget")
-    return out.select("event_id", "step", "budget_state")
+    return folded(clients(late_waves(spark, root), "at"), *BUDGET, "budget").select("event_id", "step", "budget_state")
 
 
 @query("r01_live_monitor", f"""
@@ -149,7 +178,7 @@ def _(spark, root):
     return health.groupBy("run").agg(F.count("*").alias("n_health"))
 
 
-def monitor_tables(spark, root):
+def monitor_tables(spark, root, stop=False):
     """The step series written in two waves, the second with corrected lines, then watched."""
     series = b.steps(spark, root)
     path = fresh_folder(spark, "steps")
@@ -158,7 +187,7 @@ def monitor_tables(spark, root):
     wrong.repartition(1).write.parquet(path)
     right.repartition(1).write.mode("append").parquet(path)
     stream = st.file_stream(spark, path, right.schema, "*.parquet", files_per_batch=1)
-    return st.LiveMonitor(mo.judge, mo.alarms, stop=False).run(stream, ["run", "step"], "seq")
+    return st.LiveMonitor(mo.judge, mo.alarms, stop=stop).run(stream, ["run", "step"], "seq")
 
 
 @query("r01_monitor_alarms", f"select run, rule, severity, n_steps from ({REPLAY})")
@@ -168,6 +197,17 @@ def _(spark, root):
     return alarms.groupBy("run", "rule", "severity").agg(F.count("*").alias("n_steps"))
 
 
+@query("r01_monitor_stop", f"""
+with s as ({b.STEPS}), r as (select run, min(first_step) as e from ({REPLAY}) where severity = 'stop' group by 1)
+select s.run, count(*) as n_health, max(s.step) as last_step, max(r.e) as ended_at from s left join r using (run) where r.e is null or s.step <= r.e group by 1
+""")
+def _(spark, root):
+    """A run ends at its first stop-level alarm, inside a batch too."""
+    health, alarms = monitor_tables(spark, root, stop=True)
+    ends = alarms.where("severity = 'stop'").groupBy("run").agg(F.max("step").alias("ended_at"))
+    return health.groupBy("run").agg(F.count("*").alias("n_health"), F.max("step").alias("last_step")).join(ends, "run", "left")
+
+
 @query("r08_chunk_stream", """
 select user_id, epoch_us(ts) // 86400000000 as response, string_agg(event_type, '' order by ts, event_id) as text, count(*) as n_chunks from events group by 1, 2
 """)

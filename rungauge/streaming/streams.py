@@ -1,11 +1,8 @@
-"""Structured Streaming forms: windows with late data, sessions, carried state, the live monitor.
-
-Two kinds of state.  Counts, windows, sessions and duplicates use Spark's own
-state store behind a watermark.  Ordered logic per client (segments, guards,
-budgets) runs the batch operators on every micro-batch, started from one state
-row per client that lies in the shared folder.  A busy client is cut into slices
-there as in batch, and a batch that is run again writes the same rows to the
-same place.
+"""Structured Streaming forms: windows with late data, sessions, ordered state, the live monitor.
+
+Counts, windows, sessions and duplicates use Spark's state store behind a
+watermark, and so does ordered logic per client (``state.ordered_fold``) and the
+monitor's table of steps.
 """
 
 from __future__ import annotations
@@ -18,6 +15,7 @@ from pyspark.sql import types as T
 
 from rungauge.functions.rows import keep_last
 from rungauge.shared import fresh_folder
+from rungauge.streaming.state import latest_series, rocksdb
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.parquet", files_per_batch: int = 64) -> DataFrame:
@@ -57,7 +55,7 @@ def drain(stream: DataFrame, mode: str = "append", label: str = "stream") -> Dat
     return rows
 
 
-END = "9999-01-01 00:00:00"
+END = "2261-01-01 00:00:00"  # in the range of pandas, which counts nanoseconds
 
 
 def drain_whole(stream: DataFrame, windows: Callable[[DataFrame], DataFrame], at: str, label: str = "stream") -> DataFrame:
@@ -145,65 +143,14 @@ def once_per_id(rows: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
     return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
 
 
-class CarriedStream:
-    """Ordered batch logic over a stream with one small state row per key.
-
-    ``step`` maps the rows of a batch, joined with their key's state columns
-    (null for a new key), to result rows; ``close`` turns those results into the
-    new state, one row per key.  A batch reads the state of the batch before it
-    and overwrites its own folders, so running it again after a failure gives the
-    same tables.
-    """
-
-    def __init__(
-        self, key: str, state: str, step: Callable[[DataFrame], DataFrame], close: Callable[[DataFrame], DataFrame]
-    ) -> None:
-        self.key, self.state, self.step, self.close = key, state, step, close
-
-    def run(self, stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
-        """Result rows of everything the stream has now; ``root`` continues an earlier run."""
-        spark = stream.sparkSession
-        root = root or fresh_folder(spark, label)
-        fields = T.StructType.fromDDL(self.state).fields
-        key_type = stream.schema[self.key].dataType
-        state_schema = T.StructType([T.StructField(self.key, key_type), *fields])
-
-        def batch(rows: DataFrame, number: int) -> None:
-            here = rows.sparkSession
-            known = here.read.schema(state_schema).parquet(f"{root}/state-{number - 1}") if number > 0 else None
-            if known is None:
-                joined = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-            else:
-                joined = rows.join(known.withColumnRenamed(self.key, "_k"), F.col(self.key) == F.col("_k"), "left").drop("_k")
-            # Written once, read for the output and for the next state.
-            self.step(joined).write.mode("overwrite").parquet(f"{root}/out-{number}")
-            state = self.close(here.read.parquet(f"{root}/out-{number}")).select(*state_schema.fieldNames())
-            if known is not None:
-                seen = state.select(F.col(self.key).alias("_k"))
-                state = state.unionByName(known.join(seen, F.col(self.key) == F.col("_k"), "left_anti"))
-            state.write.mode("overwrite").parquet(f"{root}/state-{number}")
-
-        query = (
-            stream.writeStream.foreachBatch(batch)
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-        out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/out-*")
-        if not out.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(out):  # nothing came
-            nothing = spark.createDataFrame([], T.StructType([*stream.schema.fields, *fields]))
-            return self.step(nothing).drop(*[f.name for f in fields])
-        return spark.read.parquet(f"{root}/out-*").drop(*[f.name for f in fields])
-
-
 class LiveMonitor:
     """Step metrics as a stream: the latest line of a step wins, then every rule is judged.
 
-    Each batch upserts the step table and judges the runs that it touches, all
-    their steps, because a corrected step changes the rules of later ones.  Only
-    the last judgement of a run counts.  Warnings are recorded; with ``stop`` a
-    stop-level alarm ends the run: steps that come in later batches are not read.
+    Spark's state store holds the lines.  A batch judges the runs that it touches,
+    all their steps, because a corrected step changes the rules of later ones; only
+    the last judgement of a run counts.  Warnings are recorded; with ``stop`` a run
+    ends at its first stop-level alarm: later steps, in the same batch or another,
+    are not part of it.  Tables depend on the lines, not on how batches cut them.
     """
 
     def __init__(self, judge: Callable[[DataFrame], DataFrame], alarms: Callable[[DataFrame], DataFrame], stop: bool = True) -> None:
@@ -213,33 +160,30 @@ class LiveMonitor:
         """Health and alarm tables after all steps there are now; ``keys`` are those of a run and, last, its step."""
         spark = stream.sparkSession
         root = fresh_folder(spark, label)
-        schema, runs = stream.schema, list(keys[:-1])
-        ended_schema = T.StructType([schema[k] for k in runs])
+        runs, step = list(keys[:-1]), keys[-1]
+
+        def upto_stop(rows: DataFrame, ends: DataFrame) -> DataFrame:
+            return rows.join(ends, runs, "left").where(F.col("_end").isNull() | (F.col(step) <= F.col("_end"))).drop("_end")
 
         def batch(rows: DataFrame, number: int) -> None:
             here = rows.sparkSession
-            known = rows
-            if number > 0:
-                if self.stop:
-                    known = known.join(here.read.schema(ended_schema).parquet(f"{root}/ended-{number - 1}"), runs, "left_anti")
-                known = known.unionByName(here.read.schema(schema).parquet(f"{root}/steps-{number - 1}"))
-            keep_last(known, list(keys), [order]).write.mode("overwrite").parquet(f"{root}/steps-{number}")
-            touched = here.read.schema(schema).parquet(f"{root}/steps-{number}").drop(order).join(rows.select(*runs).distinct(), runs, "left_semi")
-            self.judge(touched).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/health-{number}")
-            found = self.alarms(here.read.parquet(f"{root}/health-{number}").drop("_batch"))
+            self.judge(rows.drop(order)).write.mode("overwrite").parquet(f"{root}/judged-{number}")
+            health = here.read.parquet(f"{root}/judged-{number}")
+            found = self.alarms(health)
+            if self.stop:
+                ends = found.where("severity = 'stop'").groupBy(*runs).agg(F.min(step).alias("_end"))
+                health, found = upto_stop(health, ends), upto_stop(found, ends)
+            health.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/health-{number}")
             found.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/alarms-{number}")
-            ended = here.read.parquet(f"{root}/alarms-{number}").where("severity = 'stop'").select(*runs)
-            if number > 0:
-                ended = ended.unionByName(here.read.schema(ended_schema).parquet(f"{root}/ended-{number - 1}"))
-            ended.distinct().write.mode("overwrite").parquet(f"{root}/ended-{number}")
-
-        query = (
-            stream.writeStream.foreachBatch(batch)
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+
+        with rocksdb(spark):
+            query = (
+                latest_series(stream, runs, step, order).writeStream.foreachBatch(batch)
+                .option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
         health = spark.read.parquet(f"{root}/health-*")
         last = health.groupBy(*runs).agg(F.max("_batch").alias("_batch"))
         newest = [*runs, "_batch"]

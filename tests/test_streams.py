@@ -27,24 +27,48 @@ def stream(spark, parts):
     return streams.file_stream(spark, parts, schema, files_per_batch=1)
 
 
-def batch(spark):
-    return plans.clients(spark.read.parquet(f"{ROOT}/events.parquet")).select(
-        "*", F.lit(None).cast("string").alias("s_task"), F.lit(None).cast("bigint").alias("s_compact"),
-        F.lit(None).cast("string").alias("s_signature"), F.lit(None).cast("bigint").alias("s_length"), F.lit(None).cast("bigint").alias("s_step"),
-    )
-
-
-@pytest.mark.parametrize("carried, step, columns", [
-    (plans.CLASSIFIER, plans.classify, ["event_id", "n_compact", "segment"]),
-    (plans.GUARD, plans.guard, ["event_id", "run_length", "loop"]),
-    (plans.BUDGET, plans.budgeted, ["event_id", "step", "budget_state"]),
+def by_operators(spark):
+    """The batch operators over the same events: what the folds must give."""
+    rows = plans.requests(spark.read.parquet(f"{ROOT}/events.parquet").withColumn("at", F.col("ts")))
+    kinds = sequences.client_segments(rows, "user_id", plans.ORDER, "kind", "task")
+    runs = sequences.identical_runs(rows, ["user_id"], plans.ORDER, F.when(F.col("event_type") != "view", F.col("event_type")))
+    steps = sequences.step_budget(rows, "user_id", plans.ORDER, F.col("event_type") == "signup", F.col("event_type") != "error", 8, 3)
+    return kinds, runs.withColumn("loop", F.col("run_length") >= 3), steps
+
+
+@pytest.mark.parametrize("which, fold, columns", [
+    (0, plans.CLASSIFIER, ["event_id", "n_compact", "segment"]),
+    (1, plans.GUARD, ["event_id", "run_length", "loop"]),
+    (2, plans.BUDGET, ["event_id", "step", "budget_state"]),
 ])
-def test_carried_state_equals_batch(spark, parts, carried, step, columns):
-    got = carried.run(plans.clients(stream(spark, parts)), "test").select(*columns)
-    want = step(batch(spark)).select(*columns)
+def test_folds_equal_batch(spark, parts, which, fold, columns):
+    timed = plans.requests(stream(spark, parts).withColumn("at", streams.event_time(F.col("ts"))))
+    got = plans.folded(timed, *fold, "test").select(*columns)
+    want = by_operators(spark)[which].select(*columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_state_is_carried_and_order_of_arrival_does_not_matter(spark, tmp_path):
+    """Rows in and out of order over three batches: a fold that numbers a key's rows and remembers the one before."""
+    path, us = str(tmp_path / "rows"), 1_000_000
+    schema = "k string, us long, i int, at timestamp"
+    came = [[(5, 1), (1, 2)], [(90_000, 3), (3, 4)], [(200_000, 5), (100_000, 6), (None, 7)], [(100_000, 8)]]
+    for wave in came:
+        rows = [("a", s and s * us, i) for s, i in wave] + [(None, s and s * us, i) for s, i in wave]
+        df = spark.createDataFrame(rows, "k string, us long, i int").withColumn("at", F.timestamp_micros("us"))
+        df.coalesce(1).write.mode("append").parquet(path)
+
+    def number(state, row):
+        return ((state[0] or 0) + 1, row["i"]), ((state[0] or 0) + 1, state[1])
+
+    rows = streams.file_stream(spark, path, schema, files_per_batch=1)
+    out = plans.folded_by(rows, "k", ["us", "i"], "n long, i int", number, "n long, before int", "number", "1 day")
+    got = {(r.k, r.i): (r.n, r.before) for r in out.collect()}
+    # 8 comes after the watermark (200 000 s less a day) has not passed it, so it counts; 7 has no time.
+    one = {2: (1, None), 4: (2, 2), 1: (3, 4), 3: (4, 1), 6: (5, 3), 8: (6, 6), 5: (7, 8)}
+    assert got == {(k, i): v for k in ("a", None) for i, v in one.items()}
+
+
 def test_windows_equal_batch(spark, parts):
     timed = stream(spark, parts).withColumn("at", streams.event_time(F.col("ts")))
     got = streams.drain(streams.sliding_counts(timed, "at", "3 hours", "1 hour", "1 day"))
@@ -70,23 +94,23 @@ def test_monitor_later_line_wins_and_alarms(spark, tmp_path):
     path = str(tmp_path / "steps")
     spark.createDataFrame(rows([274.5, 254.8, 10.0], 0), schema).coalesce(1).write.mode("append").parquet(path)
     spark.createDataFrame(rows([274.5, 254.8, 112.5, 60.4, 91.3], 100), schema).coalesce(1).write.mode("append").parquet(path)
-    live = streams.LiveMonitor(monitor.judge, monitor.alarms)
+    live = streams.LiveMonitor(monitor.judge, monitor.alarms, stop=False)
     health, alarms = live.run(streams.file_stream(spark, path, schema, files_per_batch=1), ["run", "step"], "seq")
     assert {r.step: r.response_length for r in health.collect()} == {1: 274.5, 2: 254.8, 3: 112.5, 4: 60.4, 5: 91.3}
     assert {(r.rule, r.step) for r in alarms.collect() if r.rule == 1} == {(1, 4), (1, 5)}
-    # The last judgement had a stop-level alarm: another batch of that run is not read, unless the monitor only records.
+    # The run ends at its first stop-level alarm, step 4, in whatever batch, unless the monitor only records.
     spark.createDataFrame(rows([274.5, 254.8, 112.5, 60.4, 91.3, 80.0, 70.0], 200), schema).coalesce(1).write.mode("append").parquet(path)
-    for stop, steps in ((True, 5), (False, 7)):
+    for stop, steps in ((True, 4), (False, 7)):
         live = streams.LiveMonitor(monitor.judge, monitor.alarms, stop=stop)
         health, _ = live.run(streams.file_stream(spark, path, schema, files_per_batch=1), ["run", "step"], "seq")
         assert health.count() == steps
 
 
-def test_carried_stream_of_nothing(spark, tmp_path):
+def test_fold_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
-    spark.createDataFrame([], "k string, v int").write.parquet(path)
-    carried = streams.CarriedStream("k", "s int", lambda d: d.withColumn("out", F.col("v")), lambda d: d.select("k", F.lit(1).alias("s")))
-    assert carried.run(streams.file_stream(spark, path, "k string, v int"), "none").count() == 0
+    spark.createDataFrame([], "k string, us long, at timestamp").write.parquet(path)
+    rows = streams.file_stream(spark, path, "k string, us long, at timestamp")
+    assert plans.folded_by(rows, "k", ["us"], "n int", lambda s, r: ((1,), (1,)), "n int", "none", "1 day").count() == 0
 
 
 def test_long_responses_are_joined_in_order(spark):
