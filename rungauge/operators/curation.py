@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rungauge.functions import hashing, ranks, text as tx
-from rungauge.functions.guards import ratio
+from rungauge.functions.guards import ratio, truthy
+from rungauge.functions.ordered import running
 from rungauge.functions.rows import global_position, keep_first
 from rungauge.shared import cut_lineage, sent_if_small
 
@@ -241,6 +244,78 @@ def card_histogram(rows: DataFrame, values: Column, name: str) -> DataFrame:
     return rows.select(F.explode(values).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
+def distributions(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], **options) -> DataFrame:
+    """Per key: n, mean, index percentiles and maximum of the non-null values.
+
+    Equal values are counted once; everything else is read off the counts, so any
+    number of measures and percentiles costs one pass over the rows.
+    """
+    keys = list(keys)
+    counted = cut_lineage(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), "counts")
+    placed = running(counted, keys, [value], {"_upto": ("sum", F.col("_c"))}, **options)
+    totals = counted.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.sum("_c").alias("_n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("_mean"), F.max(value).alias("_max")
+    )
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+
+    def at(share: float) -> Column:
+        index = ranks.index_card(share)(F.col("_n"))
+        return F.max(F.when((F.col("_upto") - F.col("_c") <= index) & (index < F.col("_upto")), F.col(value)))
+
+    return placed.join(totals, on).groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.max("_mean").alias("mean"), *[at(p).alias(name) for name, p in shares.items()], F.max("_max").alias("max")
+    )
+
+
+def card_rollouts(rows: DataFrame) -> DataFrame:
+    """One row per rollout: turns outside compactions, completeness, wall time (missing: 0), compactions (missing: null) and image."""
+    return rows.groupBy("run", "instance_id").agg(
+        F.sum(F.when(F.col("segment") != "compact", F.col("n_turns")).otherwise(0)).cast("double").alias("turns"),
+        (~F.bool_or(truthy(F.array_contains("flags", "post_segments_missing")))).alias("complete"),
+        F.coalesce(F.max("wall_seconds"), F.lit(0)).cast("double").alias("wall"),
+        F.max("n_compactions").alias("n_compactions"), F.min("image").alias("image"),
+    )
+
+
+def card_distributions(rows: DataFrame, **options) -> DataFrame:
+    """The card's distributions: tokens and turns per segment kind, largest turn, turns and wall time per rollout.
+
+    Rows are segments: run, instance_id, segment, flags, n_turns, n_tokens,
+    max_turn_tokens, wall_seconds.  All measures are laid out as (measure, value) and
+    go through ``distributions`` together.  A measure without values has no row.
+    """
+    def laid_out(df: DataFrame, **measures: tuple[Column, Column | str]) -> DataFrame:
+        cells = [F.when(when, F.struct(F.lit(name).alias("measure"), F.col(value).cast("double").alias("value"))) for name, (when, value) in measures.items()]
+        return df.select(F.explode(F.array_compact(F.array(*cells))).alias("_m")).select("_m.*")
+
+    kind = F.col("segment")
+    by_row = laid_out(
+        rows, **{f"tokens_{k}": (kind == k, "n_tokens") for k in ("main", "post", "compact")},
+        **{f"turns_{k}": (kind == k, "n_turns") for k in ("main", "post")}, max_turn_tokens=(kind != "compact", "max_turn_tokens"),
+    )
+    by_rollout = laid_out(card_rollouts(rows), rollout_turns=(F.lit(True), "turns"), complete_rollout_turns=(F.col("complete"), "turns"), wall_seconds=(F.lit(True), "wall"))
+    return distributions(by_row.unionByName(by_rollout), ["measure"], "value", {"p50": 0.5, "p90": 0.9}, **options)
+
+
+def card_counts(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """The card's histograms as (kind, name, n): rows by run, segment and flag, rollouts by compactions and image, tool calls by name.
+
+    ``messages`` has role, synthetic and tools (names called); calls of synthetic
+    messages are not counted.  Unknown compactions are ``unknown(>=1)``.
+    """
+    rollouts = card_rollouts(rows)
+    calls = messages.where((F.col("role") == "assistant") & ~truthy(F.col("synthetic"))).select(F.lit("tool").alias("kind"), F.explode("tools").alias("name"))
+    per_row = rows.select(F.explode(F.concat(
+        F.array(F.struct(F.lit("run").alias("kind"), F.col("run").cast("string").alias("name")), F.struct(F.lit("segment").alias("kind"), F.col("segment").alias("name"))),
+        F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: F.struct(F.lit("flag").alias("kind"), f.alias("name"))),
+    )).alias("_c")).select("_c.*")
+    compactions = F.coalesce(F.col("n_compactions").cast("string"), F.lit("unknown(>=1)"))
+    per_rollout = rollouts.select(F.explode(F.array(
+        F.struct(F.lit("compactions").alias("kind"), compactions.alias("name")), F.struct(F.lit("image").alias("kind"), F.col("image").cast("string").alias("name")),
+    )).alias("_c")).select("_c.*")
+    return per_row.unionByName(per_rollout).unionByName(calls).groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
 def segment_distribution(rows: DataFrame, segment: str, value: str) -> DataFrame:
     """Per segment kind: n, mean, index p50 and p90, maximum."""
     sums = rows.groupBy(segment).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))

@@ -716,6 +716,63 @@ def _(spark, root):
     return segment_distribution(card_rows(spark, root), "segment", "n_turns").withColumn("mean", F.round("mean", 6))
 
 
+# Conversations as segments: three in a row are one rollout; every turn of the assistant calls up to two tools.
+CARD_ROWS = """
+select 'r' || conv_id % 2 as run, conv_id // 6 as instance_id, case conv_id % 3 when 0 then 'main' when 1 then 'post' else 'compact' end as segment,
+  case when conv_id % 11 = 0 then ['post_segments_missing'] when conv_id % 7 = 0 then ['no_final', 'turn_capped'] else [] end as flags,
+  count_if(role = 'assistant') as n_turns, coalesce(sum(length(text)), 0)::bigint as n_tokens, coalesce(max(length(text)), 0) as max_turn_tokens,
+  case when conv_id // 6 % 5 <> 1 then (conv_id // 6 % 97) * 1.5 end as wall_seconds, case when conv_id // 6 % 4 <> 2 then conv_id // 6 % 3 end as n_compactions, 'img' || conv_id // 6 % 8 as image
+from conversations group by conv_id
+"""
+CARD_ROLLOUTS = f"""
+select run, instance_id, sum(case when segment <> 'compact' then n_turns else 0 end) as turns, not bool_or(list_contains(flags, 'post_segments_missing')) as complete,
+  coalesce(max(wall_seconds), 0) as wall, max(n_compactions) as n_compactions, min(image) as image from ({CARD_ROWS}) group by 1, 2
+"""
+
+
+def card_segments(spark, root):
+    c, instance = F.col("conv_id"), F.floor(F.col("conv_id") / 6)
+    per = table(spark, root, "conversations").where("conv_id is not null").groupBy("conv_id").agg(
+        F.count_if(F.col("role") == "assistant").alias("n_turns"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_tokens"), F.coalesce(F.max(F.length("text")), F.lit(0)).alias("max_turn_tokens")
+    )
+    flags = F.when(c % 11 == 0, F.array(F.lit("post_segments_missing"))).when(c % 7 == 0, F.array(F.lit("no_final"), F.lit("turn_capped"))).otherwise(F.array().cast("array<string>"))
+    return per.select(
+        F.concat(F.lit("r"), (c % 2).cast("string")).alias("run"), instance.alias("instance_id"), F.when(c % 3 == 0, "main").when(c % 3 == 1, "post").otherwise("compact").alias("segment"),
+        flags.alias("flags"), "n_turns", "n_tokens", "max_turn_tokens", F.when(instance % 5 != 1, (instance % 97) * 1.5).alias("wall_seconds"),
+        F.when(instance % 4 != 2, instance % 3).alias("n_compactions"), F.concat(F.lit("img"), (instance % 8).cast("string")).alias("image"),
+    )
+
+
+@query("a18_card_distributions", f"""
+with r as ({CARD_ROWS}), o as ({CARD_ROLLOUTS}),
+ m as (select 'tokens_' || segment as measure, n_tokens::double as v from r union all select 'turns_' || segment, n_turns from r where segment <> 'compact'
+   union all select 'max_turn_tokens', max_turn_tokens from r where segment <> 'compact' union all select 'rollout_turns', turns from o
+   union all select 'complete_rollout_turns', turns from o where complete union all select 'wall_seconds', wall from o),
+ p as (select *, row_number() over (partition by measure order by v) - 1 as i, count(*) over (partition by measure) as c from m)
+select measure, count(*) as n, round(avg(v), 6) as mean, max(case when i = least(c - 1, floor(0.5 * c)) then v end) as p50, max(case when i = least(c - 1, floor(0.9 * c)) then v end) as p90, max(v) as max
+from p group by 1
+""")
+def _(spark, root):
+    from rungauge.operators.curation import card_distributions
+
+    return card_distributions(card_segments(spark, root)).withColumn("mean", F.round("mean", 6))
+
+
+@query("a18_card_counts", f"""
+with r as ({CARD_ROWS}), o as ({CARD_ROLLOUTS}), t as (select unnest(case when length(text) % 2 = 0 then ['bash', 'edit' || length(text) % 5] else ['view'] end) as tool from conversations where role = 'assistant' and turn % 7 <> 5),
+ c as (select 'run' as kind, run as name from r union all select 'segment', segment from r union all select 'flag', unnest(flags) from r
+   union all select 'compactions', coalesce(n_compactions::varchar, 'unknown(>=1)') from o union all select 'image', image from o union all select 'tool', tool from t)
+select kind, name, count(*) as n from c group by 1, 2
+""")
+def _(spark, root):
+    from rungauge.operators.curation import card_counts
+
+    n = F.length("text")
+    tools = F.when(n % 2 == 0, F.array(F.lit("bash"), F.concat(F.lit("edit"), (n % 5).cast("string")))).otherwise(F.array(F.lit("view")))
+    messages = table(spark, root, "conversations").select("role", (F.col("turn") % 7 == 5).alias("synthetic"), tools.alias("tools"))
+    return card_counts(card_segments(spark, root), messages)
+
+
 DIFF = """case doc_id % 4 when 0 then 'diff --git a/src/x.py b/src/x.py' || chr(10) || '--- a/src/x.py' || chr(10) || '+++ b/src/x.py' || chr(10) || '+' || replace(text, chr(10), ' ')
   when 1 then 'diff --git a/src/y.py b/src/y.py' || chr(10) || '+a' || chr(10) || 'diff --git a/tests/test_y.py b/tests/test_y.py' || chr(10) || '+' || replace(text, chr(10), ' ')
   when 2 then '--- a/z/conftest.py' || chr(10) || '+++ b/z/conftest.py' || chr(10) || '+' || replace(text, chr(10), ' ') else '' end"""
