@@ -211,9 +211,17 @@ def _command_in(value) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def command_of_json(values: pd.Series) -> pd.Series:
-    """Shell command inside a JSON argument text, null when there is none."""
-    return values.map(lambda v: None if v is None else _command_in(v), na_action="ignore")
+def first_command(early: pd.Series, bare: pd.Series, late: pd.Series) -> pd.Series:
+    """The first command among JSON texts: those of ``early``, else ``bare``, which is one, else those of ``late``."""
+
+    def among(texts) -> str | None:
+        return next((found for t in texts if t is not None and (found := _command_in(t)) is not None), None)
+
+    def pick(a, b, c) -> str | None:
+        found = None if a is None else among(a)
+        return found if found is not None else b if b is not None else None if c is None else among(c)
+
+    return pd.Series([pick(*row) for row in zip(early, bare.where(bare.notna(), None), late)], dtype=object)
 
 
 def _fence_language(label: Column) -> Column:
@@ -268,13 +276,11 @@ def rewrite_replies(replies: DataFrame, content: str, arguments: str) -> DataFra
         F.get_json_object(whole, "$[0].arguments"),
         F.get_json_object(whole, "$.function.arguments"),
     )
-    command = F.coalesce(
-        command_of_json(F.when(need, F.col(arguments))),
-        command_of_json(F.when(need, hermes_json)),
-        command_of_json(F.when(need, F.to_json(params))),
+    # One call for all that a reply may hold; where nothing is needed the lists are null.
+    command = first_command(
+        F.when(need, F.array(F.col(arguments), hermes_json, F.to_json(params))),
         F.when(need, bare_body),
-        command_of_json(F.when(whole.startswith("{"), whole)),
-        command_of_json(first_call),
+        F.when(need, F.array(F.when(whole.startswith("{"), whole), first_call)),
     )
     rows = rows.withColumn("_command", command)
     no_fences = tx.strip(F.regexp_replace(F.regexp_replace(s, SHELL_FENCE, ""), ANY_FENCE, ""))
