@@ -47,7 +47,7 @@ def log_statuses(logs: DataFrame, run: Sequence[str], text: str) -> DataFrame:
     )
 
 
-def phase_statuses(events: DataFrame, run: Sequence[str]) -> DataFrame:
+def run_phase_statuses(events: DataFrame, run: Sequence[str]) -> DataFrame:
     """Status per (run, nodeid) from setup, call and teardown reports.
 
     A repeated phase is CONFLICT; success needs every phase; a real failure
