@@ -27,7 +27,7 @@ TARGET_ROWS = 2_000_000
 # Estimated bytes up to which rows are counted before anything is written.
 SMALL_BYTES = 256 * 1024 * 1024
 
-KINDS = ("sum", "max", "min", "last", "prev", "next", "first")
+KINDS = ("sum", "max", "min", "last", "prev", "next", "first", "total")
 
 
 def scan_bytes(df: DataFrame) -> int | None:
@@ -65,12 +65,22 @@ def cut_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], tar
     partitioned by key and order into as many parts as they fill; a part's number
     is the slice, which rises with the order inside a group.
     """
+    hot, n_hot = hot_groups(df, keys, target_rows)
+    if not n_hot:
+        return df.withColumn("_slice", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
+    return _sliced(df, keys, order, target_rows, hot, n_hot)
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> tuple[DataFrame, int]:
+    """The keys of groups above ``target_rows``, and how many rows these groups have together."""
     names = [F.col(k).alias(f"_hot_key_{i}") for i, k in enumerate(keys)]
     hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target_rows)
     hot = cut_lineage(hot.select(*names, "_n"), "hot-groups")
-    n_hot = hot.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    if not n_hot:
-        return df.withColumn("_slice", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
+    return hot, hot.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int, hot: DataFrame, n_hot: int) -> DataFrame:
+    """The rows of hot groups cut into slices, the others in one."""
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_key_{i}")) for i, k in enumerate(keys)])
     marked = df.join(sent_if_small(hot), on, "left").withColumn("_hot", F.col("_n").isNotNull()).drop("_n", *[f"_hot_key_{i}" for i in range(len(keys))])
     parts = -(-n_hot // target_rows)
@@ -93,11 +103,13 @@ def _local(kind: str, value: Column, upto: Window, whole: Window) -> Column:
         return F.lag(F.struct(value.alias("v"))).over(whole)
     if kind == "next":
         return F.lead(F.struct(value.alias("v"))).over(whole)
+    if kind == "total":
+        return F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     raise ValueError(f"unknown running kind {kind!r}; use one of {KINDS}")
 
 
 def _summary(kind: str, value: Column, order: Column) -> Column:
-    if kind == "sum":
+    if kind in ("sum", "total"):
         return F.sum(value)
     if kind == "max":
         return F.max(value)
@@ -125,11 +137,14 @@ def _carry(kind: str, name: str, before: Window, whole: Window) -> Column:
         return F.first(name, ignorenulls=True).over(before)
     if kind == "prev":
         return F.lag(name).over(whole)
+    if kind == "total":
+        everything = F.sum(name).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return everything - F.coalesce(F.col(name), F.lit(0))
     return F.lead(name).over(whole)
 
 
 def _combine(kind: str, local: Column, carry: Column) -> Column:
-    if kind == "sum":
+    if kind in ("sum", "total"):
         return F.coalesce(local + carry, local, carry)
     if kind == "max":
         return F.greatest(local, carry)
@@ -146,9 +161,10 @@ class Scan:
     """A table with running values added step by step along one order.
 
     ``order`` is a total ascending order inside the group.  Rows are counted once,
-    for all steps: a table that one task can order as a whole gets plain windows
-    that share one sort.  Another is cut into slices, and the rows so far are
-    written before every further step, so steps never recompute each other.
+    for all steps: a table without a group that is too large for one task gets plain
+    windows that share one shuffle and one sort.  Another is cut into slices, and the
+    rows so far are written before every further step, so steps never recompute each
+    other.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int | None = None) -> None:
@@ -162,13 +178,16 @@ class Scan:
         if not is_small(df) and not rereads_cheaply(df):
             df = cut_lineage(df)
         self.plain = df.count() <= target
-        if not self.plain and not rereads_cheaply(df):
-            df = cut_lineage(df)
+        if not self.plain:
+            if not rereads_cheaply(df):
+                df = cut_lineage(df)
+            hot, n_hot = hot_groups(df, self.keys, target)
         self.steps = 0
-        if self.plain:
+        self.sliced = not self.plain and n_hot > 0
+        if not self.sliced:
             self.partition = self.keys
         else:
-            df = cut_hot_groups(df, self.keys, self.order, target)
+            df = _sliced(df, self.keys, self.order, target, hot, n_hot)
             self.partition = [*self.keys, "_slice"]
             self.helpers += ["_slice", "_hot"]
         self.df = df
@@ -182,9 +201,10 @@ class Scan:
         """Columns name = (kind, expression).
 
         Kinds: ``sum``/``max``/``min`` up to and with the row, ``last``/``first``
-        non-null value up to and with the row, ``prev``/``next`` neighbour's value.
+        non-null value up to and with the row, ``prev``/``next`` neighbour's value,
+        ``total`` the sum over the whole group.
         """
-        if self.steps and not self.plain:
+        if self.steps and self.sliced:
             self.df = cut_lineage(self.df)
         self.steps += 1
         whole = Window.partitionBy(*self.partition).orderBy(*self.order)
@@ -192,7 +212,7 @@ class Scan:
         rows = self.df
         inputs = {name: f"_v_{name}" for name in values}
         rows = rows.withColumns({inputs[name]: value for name, (_, value) in values.items()})
-        if self.plain:
+        if not self.sliced:
             local = {name: _local(kind, F.col(inputs[name]), upto, whole) for name, (kind, _) in values.items()}
             out = rows.withColumns(
                 {n: c["v"] if values[n][0] in ("prev", "next") else c for n, c in local.items()}

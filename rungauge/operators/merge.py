@@ -10,16 +10,17 @@ last, and only up to the row's length limit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungauge.functions import arrays
 from rungauge.functions.guards import first_reason, truthy
-from rungauge.functions.ordered import Scan
+from rungauge.functions.ordered import Scan, hot_groups
 from rungauge.shared import cut_lineage
 
 # --- guards ---------------------------------------------------------------------------
@@ -85,6 +86,43 @@ def _joined(rows: DataFrame, more: DataFrame, key: Sequence[str], how: str = "in
     return rows.join(named, _same(key, "", "_k_"), how).drop(*[f"_k_{k}" for k in key])
 
 
+# Turns of one rollout up to which a rollout's ids may meet in one task.
+DEALT_TURNS = 20_000
+
+
+IN_PLACE = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def _in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside leave rows where they are when both sides are dealt by a part of the join's keys."""
+    before = spark.conf.get(IN_PLACE, None)
+    spark.conf.set(IN_PLACE, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(IN_PLACE) if before is None else spark.conf.set(IN_PLACE, before)
+
+
+def _dealt_by_key(rows: DataFrame, key: Sequence[str]) -> bool:
+    """True when no rollout is so long that its rows must be spread: all steps can then share one shuffle by rollout."""
+    return not hot_groups(rows.select(*key), key, DEALT_TURNS)[1]
+
+
+def _dealt(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows`` shuffled by ``_key``, the key columns as one value, in which null equals null.
+
+    Joins on the key and more, and groups by the key and more, find their rows in place.
+    """
+    return rows.select(F.struct(*key).alias("_key"), *[c for c in rows.columns if c not in key]).repartition("_key")
+
+
+def _beside(rows: DataFrame, more: DataFrame, key: Sequence[str], by: str, how: str = "inner") -> DataFrame:
+    """``_joined`` by key and ``by`` for ``rows`` that are dealt by ``_key``; the other side is dealt likewise, nothing else moves."""
+    named = _dealt(more, key).withColumnsRenamed({"_key": "_other", by: "_by"})
+    return rows.join(named, (F.col("_key") == F.col("_other")) & F.col(by).eqNullSafe(F.col("_by")), how).drop("_other", "_by")
+
+
 def _sizes(turns: DataFrame, key: Sequence[str], turn: str) -> DataFrame:
     """Lengths and hashes of each turn's ids, without the ids."""
     prompt, response = F.coalesce("prompt", F.array().cast(NO_IDS)), F.coalesce("response", F.array().cast(NO_IDS))
@@ -149,14 +187,17 @@ def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, fill
     predecessor's prompt plus response, without writing them out.
     """
     at = [*key, turn]
-    scan = Scan(_sizes(turns, key, turn), key, [turn], **options)
+    by_key = not fill and _dealt_by_key(turns, key)
+    parts = ["_key"] if by_key else list(key)
+    sizes = _sizes(turns, key, turn)
+    scan = Scan(sizes.select(F.struct(*key).alias("_key"), *sizes.columns[len(key):]) if by_key else sizes, parts, [turn], **options)
     if fill:
         _based(scan, turn)
     else:
         scan.column("_fills", F.lit(False)).column("_base", F.lit(None).cast(turns.schema[turn].dataType))
     scan.add(_before=("prev", F.struct(F.col(turn).alias("turn"), "n_prompt", "_hp", "n_resp", "_hr", "_fills", F.col("_base").alias("base"))))
     rows = scan.rows()
-    sizes = rows.select(*at, "n_prompt", "n_resp", "_fills", "_before")
+    sizes = rows.select(*parts, turn, "n_prompt", "n_resp", "_fills", "_before")
     if fill:
         # What stood before a prompt that ends a run of filled ones: its base and the responses since, as lengths and hashes.
         ends = rows.where(~F.col("_fills") & truthy(F.col("_before._fills"))).select(*key, F.col("_before.base").alias("_base"))
@@ -165,7 +206,8 @@ def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, fill
             F.array_sort(F.collect_list(part)).alias("_parts"), F.max(F.when(~F.col("_fills"), F.struct(F.col("n_prompt").alias("n"), F.col("_hp").alias("h")))).alias("_root")
         )
         sizes = _joined(sizes.withColumn("_base", F.when(~F.col("_fills") & truthy(F.col("_before._fills")), F.col("_before.base"))), runs, [*key, "_base"], "left").drop("_base")
-    read = _joined(turns.select(*at, "prompt"), sizes, at)
+    prompts = turns.select(*at, "prompt")
+    read = _beside(sizes, prompts, key, turn).select("_key.*", "*").drop("_key") if by_key else _joined(prompts, sizes, at)
     prompt, before = F.col("prompt"), F.col("_before")
     piece = lambda start, n, h: F.xxhash64(F.slice(prompt, start + 1, n)) == h
     known = before["n_prompt"] + before["n_resp"]
@@ -177,7 +219,8 @@ def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, fill
     by_ids = F.col("_fills") | truthy((F.size(F.coalesce(prompt, F.array().cast(NO_IDS))) >= known) & same)
     how = F.when(before.isNull(), "first").when(by_ids, "ids").otherwise("broken")
     out = read.withColumns({"continuity": how, "n_obs": F.when(how == "ids", F.col("n_prompt") - known).otherwise(0)})
-    links = cut_lineage(out.select(*at, "n_prompt", "n_resp", "n_obs", "continuity", before["turn"].alias("_earlier")), "links")
+    with _in_place(turns.sparkSession):
+        links = cut_lineage(out.select(*at, "n_prompt", "n_resp", "n_obs", "continuity", before["turn"].alias("_earlier")), "links")
     if codec is None:
         links = links.withColumn("observation", F.lit(None).cast(NO_IDS))
     else:
@@ -243,12 +286,12 @@ def merged_rows(links: DataFrame, key: Sequence[str], turn: str, max_prompt: int
     stays in the last one, counted as ``blocked``.
     """
     scan = Scan(links.drop("observation"), key, [turn], **options)
-    scan.add(segment=("sum", F.when(F.col("continuity") == "broken", 1).otherwise(0)), _upto=("sum", F.col("n_obs") + F.col("n_resp")))
+    breaks = F.when(F.col("continuity") == "broken", 1).otherwise(0)
+    scan.add(segment=("sum", breaks), _upto=("sum", F.col("n_obs") + F.col("n_resp")), **({} if policy == "split" else {"_last": ("total", breaks)}))
     first_turn = ~F.col("continues")
     scan.add(_start=("last", F.when(first_turn, F.col("_upto") - F.col("n_resp"))), _first=("last", F.when(first_turn, F.struct(F.col(turn).alias("t")))))
     rows = scan.rows().withColumns({"segment": F.col("segment").cast("long"), "_upto": F.col("_upto") - F.col("_start")}).drop("_start")
     if policy != "split":
-        rows = _joined(rows, rows.groupBy(*key).agg(F.max("segment").alias("_last")), key)
         rows = rows.where(F.col("_last") == 0) if policy == "drop" else rows.where(F.col("segment") == F.col("_last"))
         rows = rows.drop("_last")
     part = [*key, "segment"]
@@ -295,15 +338,18 @@ def training_rows(
     observations of turns that continue by text; ``fill`` as in ``continuity``.
     """
     at, none = [*key, turn], F.array().cast(NO_IDS)
-    rows = _joined(merged, turns.select(*at, "prompt", "response", "logp"), at)
+    by_key = _dealt_by_key(merged, key)
+    meet = (lambda a, b, how="inner": _beside(a, b, key, turn, how)) if by_key else (lambda a, b, how="inner": _joined(a, b, at, how))
+    own = ["_key"] if by_key else list(key)
+    rows = meet(_dealt(merged, key) if by_key else merged, turns.select(*at, "prompt", "response", "logp"))
     if links is not None:
-        rows = _joined(rows, links.where("observation is not null").select(*at, "observation"), at, "left")
+        rows = meet(rows, links.where("observation is not null").select(*at, "observation"), "left")
     else:
         rows = rows.withColumn("observation", F.lit(None).cast(NO_IDS))
     if fill:
         opened = merged.where("opens_row and continues").select(*at)
         filled = fill_prompts(turns.drop("logp"), key, turn, opened, **options).select(*at, F.col("prompt").alias("_filled"))
-        rows = _joined(rows, filled, at, "left").withColumn("prompt", F.coalesce("_filled", "prompt")).drop("_filled")
+        rows = meet(rows, filled, "left").withColumn("prompt", F.coalesce("_filled", "prompt")).drop("_filled")
     by_ids = F.slice("prompt", F.col("n_prompt") - F.col("n_obs") + 1, F.col("n_obs"))
     observed = F.when(F.col("opens_row") | (F.col("n_obs") == 0), none).otherwise(F.coalesce("observation", by_ids))
     response = F.coalesce("response", none)
@@ -315,7 +361,7 @@ def training_rows(
         F.when(F.col("opens_row"), F.slice("prompt", 1, max_prompt)).alias("prompt"),
     )
     inside = rows.withColumn("_piece", F.when(F.col("begin") < max_response, piece))
-    out = inside.groupBy(*key, "row_start").agg(
+    out = inside.groupBy(*own, "row_start").agg(
         F.array_sort(F.collect_list("_piece")).alias("_p"),
         F.sum(F.when(F.col("opens_row"), F.col("n_resp")).otherwise(F.col("n_obs") + F.col("n_resp"))).cast("long").alias("n_full"),
         F.max(F.when(F.col("opens_row"), F.col("n_prompt"))).alias("_np"),
@@ -324,8 +370,8 @@ def training_rows(
     def joined(field: str) -> Column:
         return F.slice(F.flatten(F.transform("_p", lambda x: x[field])), 1, max_response)
 
-    return out.select(
-        *key,
+    out = out.select(
+        *(["_key.*"] if by_key else key),
         "row_start",
         F.element_at("_p", 1)["prompt"].alias("prompt"),
         joined("ids").alias("response"),
@@ -333,6 +379,10 @@ def training_rows(
         joined("logp").alias("logp"),
         ((F.col("n_full") > max_response) | (F.col("_np") > max_prompt)).alias("truncated"),
     )
+    if not by_key:
+        return out
+    with _in_place(turns.sparkSession):
+        return cut_lineage(out, "training-rows")
 
 
 def merge_metrics(merged: DataFrame, key: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -186,9 +186,10 @@ union all select 'keep_terminal', count(distinct s.rollout), count(distinct s.ro
 """)
 def _(spark, root):
     rows = token_turns(spark, root)
+    links = mg.continuity(rows, ["rollout"], "turn")  # the same for both policies
     out = None
     for policy in ("drop", "keep_terminal"):
-        merged = merge(rows, 10_000, 10_000, policy=policy)
+        merged = mg.merged_rows(links, ["rollout"], "turn", 10_000, 10_000, policy=policy)
         part = mg.policy_counts(rows, merged, ["rollout"]).withColumn("policy", F.lit(policy))
         out = part if out is None else out.unionByName(part)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rungauge.functions import arrays
 from rungauge.functions.codec import PieceCodec, continuation_of
 from rungauge.operators import merge
+from rungauge.shared import cut_lineage
 
 SCHEMA = "rollout string, turn int, prompt array<int>, response array<int>, logp array<double>"
 
@@ -245,3 +246,20 @@ def test_text_continuation_with_a_codec(spark):
     rows, m = rows_of(df, 50, 50, codec=codec)
     assert len(plain) == 3 and len(rows) == 2 and m.n_text_level_merges == 1
     assert rows[0].response == [2, 3, 4]
+
+
+def test_rows_of_a_rollout_meet_in_place(spark, monkeypatch, tmp_path):
+    """Ids are shuffled once for the links and once for the rows; rollouts too long for that give the same rows."""
+    turns = [(k, i, list(range(1, 3 * i + 2)), [3 * i + 2], [-0.5]) for k in (1, 2, None) for i in range(6)]
+    path = str(tmp_path / "turns")
+    spark.createDataFrame(turns, "r long, turn int, prompt array<int>, response array<int>, logp array<double>").write.parquet(path)
+    df, found = spark.read.parquet(path), []
+    for most in (merge.DEALT_TURNS, 3):
+        monkeypatch.setattr(merge, "DEALT_TURNS", most)
+        written = []
+        monkeypatch.setattr(merge, "cut_lineage", lambda rows, label="rows": written.append(rows) or cut_lineage(rows, label))
+        links = merge.continuity(df, ["r"], "turn")
+        rows = merge.training_rows(merge.merged_rows(links, ["r"], "turn", 100, 100), df, ["r"], "turn", 100, 100)
+        found.append(sorted(map(str, rows.collect())))
+        assert ("mask" in written[-1].columns) == (most > 3)
+    assert found[0] == found[1] and len(found[0]) == 3

@@ -84,3 +84,18 @@ def test_counted_rows_decide(spark, rows, tmp_path, monkeypatch):
     # The estimate of bytes has no say in it.
     monkeypatch.setattr(ordered, "SMALL_BYTES", 10)
     assert ordered.Scan(stored, ["k"], ["ts", "id"]).plain and ordered.Scan(rows, ["k"], ["ts", "id"]).plain
+
+
+def test_many_ordinary_groups_share_one_shuffle(spark, rows, tmp_path):
+    """A large table without a large group is not cut: its steps share one shuffle, and nothing is written between them."""
+    path = str(tmp_path / "rows")
+    rows.withColumn("k", F.concat(F.coalesce("k", F.lit("")), (F.col("id") % 50).cast("string"))).write.parquet(path)
+    stored = spark.read.parquet(path)
+    scan = ordered.Scan(stored, ["k"], ["ts", "id"], target_rows=500)
+    out = scan.add(a=("sum", F.col("v")), t=("total", F.col("v"))).add(b=("max", F.col("a"))).rows()
+    assert not scan.plain and not scan.sliced
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    cut = ordered.Scan(stored, ["k"], ["ts", "id"], target_rows=20)
+    again = cut.add(a=("sum", F.col("v")), t=("total", F.col("v"))).add(b=("max", F.col("a"))).rows()
+    assert cut.sliced
+    assert sorted(map(tuple, out.select("k", "ts", "id", "a", "b", "t").collect()), key=str) == sorted(map(tuple, again.select("k", "ts", "id", "a", "b", "t").collect()), key=str)
