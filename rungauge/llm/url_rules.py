@@ -21,8 +21,6 @@ from rungauge.shared import cut_lineage
 
 # Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-FIT_ROWS = 200_000  # labelled URLs that rules are mined from, about; all, if there are fewer
-WIDTH = 12  # item classes of one URL that are mined; all are matched
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,43 +60,45 @@ def tokens_of(host: Column, path: Column, rest: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(host_parts, path_parts, names)))
 
 
-def mined(labelled: DataFrame, support: float, confidence: float, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, DataFrame] | None:
+def mined(labelled: DataFrame, support: float, confidence: float, fit_rows: int | None = None) -> tuple[DataFrame, DataFrame] | None:
     """``items``, ``verdict``, ``confidence``, ``support`` and ``anchor`` (the rarest item) of each rule kept, and the classes of tokens.
 
     ``labelled``: tokens, verdict, and ``pick``, by whose hash about ``fit_rows`` rows at
-    most are mined, whatever files they lie in.  Items are classes (``token_classes``): of
-    a row's, the ``WIDTH`` that tell most about the verdict are mined, so that a row has
-    at most 2 ** WIDTH item sets.  None when there are no rows.
+    most are mined, whatever files they lie in; all rows where no number is given.  Items
+    are classes (``token_classes``).  A class that only occurs with one verdict is a rule
+    by itself, and every rule that holds it and more is pruned: it needs no mining.  The
+    classes of both verdicts are mined, all of them.  None when there are no rows.
     """
     rows = cut_lineage(labelled.select("tokens", "verdict", F.xxhash64("pick").alias("pick")), "url-labels")
     n = rows.count()
     if not n:
         return None
-    if n > fit_rows:
+    if fit_rows is not None and n > fit_rows:
         rows = cut_lineage(rows.filter(F.pmod("pick", F.lit(1 << 20)) < int(fit_rows / n * (1 << 20))), "url-sample")
     numbered = cut_lineage(rows.withColumn("id", F.monotonically_increasing_id()), "url-rows")
-    classes = cut_lineage(token_classes(numbered, math.ceil(support * numbered.count())), "url-classes")
-    pairs = numbered.select("id", F.explode("tokens").alias("token")).join(classes, "token").select("id", "class", "told").distinct()
-    best = F.slice(F.sort_array(F.collect_list(F.struct("told", "class")), asc=False), 1, WIDTH)
-    kept_items = pairs.groupBy("id").agg(F.transform(best, lambda c: c["class"]).alias("items"))
+    n = numbered.count()
+    classes = cut_lineage(token_classes(numbered, math.ceil(support * n)), "url-classes")
+    pairs = numbered.select("id", F.explode("tokens").alias("token")).join(classes.where("told.share < 1"), "token")
+    kept_items = pairs.groupBy("id").agg(F.collect_set("class").alias("items"))
     rows = numbered.join(kept_items, "id", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     rows = cut_lineage(rows, "url-items")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     rules = model.associationRules.filter(F.startswith(F.element_at("consequent", 1), F.lit("=")))
-    rules = cut_lineage(
-        rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), 2, 100).alias("verdict"), "confidence", "support"), "url-rules"
-    )
+    rules = rules.select(F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), 2, 100).alias("verdict"), "confidence", "support")
+    sure = classes.where("told.share = 1").select("class", "told").distinct()
+    sure = sure.select(F.array("class").alias("items"), F.col("told.verdict").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("told.n") / n).alias("support"))
+    rules = cut_lineage(rules.unionByName(sure), "url-rules")
     smaller = rules.select(F.col("items").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
     parts = rules.withColumn("part", F.explode(F.transform("items", lambda x: F.array_remove(F.col("items"), x))))
     weaker = parts.join(smaller, ["part"]).filter((F.col("verdict") == F.col("part_verdict")) & (F.col("part_confidence") >= F.col("confidence"))).select("items", "verdict")
     kept = rules.join(weaker.distinct(), ["items", "verdict"], "left_anti")
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
+    single = classes.select(F.col("class").alias("item"), F.col("told.n").alias("freq")).distinct()
     by_item = kept.select("items", F.explode("items").alias("item")).join(single, "item").groupBy("items").agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"))
     return cut_lineage(kept.join(by_item, "items"), "url-index"), classes.select("token", "class")
 
 
 def token_classes(rows: DataFrame, least: int) -> DataFrame:
-    """``class`` of each token that at least ``least`` rows (id, tokens, verdict) hold, and ``told``: how sure the verdict is in its rows.
+    """``class`` of each token that at least ``least`` rows (id, tokens, verdict) hold, and ``told``: the share, the number and the verdict of most of its rows.
 
     Tokens that occur in exactly the same rows are one class, named by its least
     token: they are told apart by the number and two sums of hashes of their rows.
@@ -109,7 +109,8 @@ def token_classes(rows: DataFrame, least: int) -> DataFrame:
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.sum("low").alias("low"), F.sum("high").alias("high"))
     counted = counted.filter(F.col("n") >= least)
     named = counted.groupBy("n", "low", "high").agg(F.min("token").alias("class"), F.first("blocked").alias("blocked"))
-    told = F.struct((F.greatest("blocked", F.col("n") - F.col("blocked")) / F.col("n")).alias("share"), "n")
+    mostly = F.when(F.col("blocked") * 2 > F.col("n"), "block").otherwise("allow")
+    told = F.struct((F.greatest("blocked", F.col("n") - F.col("blocked")) / F.col("n")).alias("share"), "n", mostly.alias("verdict"))
     return counted.select("token", "n", "low", "high").join(named.select("n", "low", "high", "class", told.alias("told")), ["n", "low", "high"]).select("token", "class", "told")
 
 
