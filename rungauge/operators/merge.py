@@ -190,12 +190,15 @@ def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, fill
     by_key = not fill and _dealt_by_key(turns, key)
     parts = ["_key"] if by_key else list(key)
     sizes = _sizes(turns, key, turn)
+    if not fill:
+        sizes = sizes.withColumn("_h", F.xxhash64("_hp", "_hr")).drop("_hp", "_hr")  # both are only ever asked for together
+    hashes = ["_hp", "_hr"] if fill else ["_h"]
     scan = Scan(sizes.select(F.struct(*key).alias("_key"), *sizes.columns[len(key):]) if by_key else sizes, parts, [turn], **options)
     if fill:
         _based(scan, turn)
     else:
         scan.column("_fills", F.lit(False)).column("_base", F.lit(None).cast(turns.schema[turn].dataType))
-    scan.add(_before=("prev", F.struct(F.col(turn).alias("turn"), "n_prompt", "_hp", "n_resp", "_hr", "_fills", F.col("_base").alias("base"))))
+    scan.add(_before=("prev", F.struct(F.col(turn).alias("turn"), "n_prompt", "n_resp", *hashes, "_fills", F.col("_base").alias("base"))))
     rows = scan.rows()
     sizes = rows.select(*parts, turn, "n_prompt", "n_resp", "_fills", "_before")
     if fill:
@@ -209,10 +212,13 @@ def continuity(turns: DataFrame, key: Sequence[str], turn: str, codec=None, fill
     prompts = turns.select(*at, "prompt")
     read = _beside(sizes, prompts, key, turn).select("_key.*", "*").drop("_key") if by_key else _joined(prompts, sizes, at)
     prompt, before = F.col("prompt"), F.col("_before")
-    piece = lambda start, n, h: F.xxhash64(F.slice(prompt, start + 1, n)) == h
+    hashed = lambda start, n: F.xxhash64(F.slice(prompt, start + 1, n))
+    piece = lambda start, n, h: hashed(start, n) == h
     known = before["n_prompt"] + before["n_resp"]
-    same = piece(F.lit(0), before["n_prompt"], before["_hp"]) & piece(before["n_prompt"], before["n_resp"], before["_hr"])
-    if fill:
+    if not fill:
+        same = F.xxhash64(hashed(F.lit(0), before["n_prompt"]), hashed(before["n_prompt"], before["n_resp"])) == before["_h"]
+    else:
+        same = piece(F.lit(0), before["n_prompt"], before["_hp"]) & piece(before["n_prompt"], before["n_resp"], before["_hr"])
         start = F.struct(F.col("_root.n").alias("at"), piece(F.lit(0), F.col("_root.n"), F.col("_root.h")).alias("ok"))
         step = lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), (acc["ok"] & piece(acc["at"], x["n"], x["h"])).alias("ok"))
         same = F.when(F.col("_parts").isNotNull(), F.aggregate("_parts", start, step, lambda acc: acc["ok"])).otherwise(same)
