@@ -206,8 +206,8 @@ def ascii_json(value: Column) -> Column:
         )
 
     def text(quoted: Column) -> Column:
-        # Runs of ASCII characters are one piece, every other character is one of its own.
-        wide = F.array_join(F.transform(F.split(quoted, r"(?<=[^\x00-\x7f])|(?=[^\x00-\x7f])"), escape), "")
+        # Runs of ASCII characters are one piece, every other character (two code units or one) is one of its own.
+        wide = F.array_join(F.transform(F.split(quoted, r"(?![\udc00-\udfff])(?:(?<=[^\x00-\x7f])|(?=[^\x00-\x7f]))"), escape), "")
         return F.when(quoted.rlike(r"[^\x00-\x7f]"), wide).otherwise(quoted)
 
     whole = F.to_json(F.struct(value.alias("v")))

@@ -354,3 +354,9 @@ def test_gate_from_files(spark, tmp_path):
     for shards in ((), ("s0", "s0"), ("s0", "s0/a"), ("s0", "s0/")):
         with pytest.raises(ValueError, match="overlap"):
             run("whole", shards)
+
+
+def test_escaped_texts_are_those_of_json(spark):
+    texts = ["", "a", "ü", "aü", "üa", "aüéb😀c😀😀", "😀", "t/a.py::x[€-\"\\]", "编码 ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    assert {r.t: r.j for r in df.select("t", grader.ascii_json(F.col("t")).alias("j")).collect()} == {t: json.dumps(t) for t in texts}
