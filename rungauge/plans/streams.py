@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rungauge.functions import times
+from rungauge.functions.ordered import is_small
 from rungauge.operators import evaluation as ev
 from rungauge.operators import monitor as mo
 from rungauge.operators import sequences as sq
@@ -13,7 +14,7 @@ from rungauge.plans.evaluation import CALLS
 from rungauge.plans.monitor import REPLAY
 from rungauge.plans.registry import query
 from rungauge.plans.sequences import ANSWER_SQL, KIND_SQL, ORDER, RUNS, SEGMENTS, answer_line, written_calls
-from rungauge.session import table
+from rungauge.session import SPREAD_BYTES, table
 from rungauge.shared import fresh_folder
 from rungauge.streaming import streams as st
 from rungauge.streaming.state import ordered_fold, rocksdb
@@ -81,17 +82,25 @@ def _(spark, root):
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
 
 
-def late_waves(spark, root, waves=4, jitter_hours=20):
-    """The events in several files that arrive one by one; a row may come up to ``jitter_hours`` after its time, so neighbours overlap."""
+def late_waves(spark, root, waves=4, jitter_hours=20, small=SPREAD_BYTES):
+    """The events in waves that arrive one by one; a row may come up to ``jitter_hours`` after its time, so neighbours overlap.
+
+    A wave is one micro-batch: as many files as any other wave, one if the table is small.
+    """
     folder = fresh_folder(spark, "event-waves")
     rows = table(spark, root, "events")
+    files = 1 if is_small(rows, small) else spark.sparkContext.defaultParallelism
     us = times.epoch_micros(F.col("ts"))
     came = us + F.pmod(F.xxhash64("event_id"), F.lit(jitter_hours * 3_600_000_000))
     first, last = rows.agg(F.min(came), F.max(came)).first()
     wave = F.floor((came - first) * waves / F.lit(last - first + 1)) if first is not None else F.lit(0)
+    nothing = spark.createDataFrame([], rows.schema)
     for n in range(waves):  # a file source takes files by their time of writing
-        rows.where(wave == n).repartition(1).write.mode("append").parquet(folder)
-    return st.file_stream(spark, folder, rows.schema, files_per_batch=1).withColumn("at", st.event_time(F.col("ts")))
+        rows.where(wave == n).repartition(files).write.mode("append").parquet(folder)
+        written = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+        for _ in range((n + 1) * files - written):  # a task without rows writes no file
+            nothing.write.mode("append").parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, files_per_batch=files).withColumn("at", st.event_time(F.col("ts")))
 
 
 def folded_by(stream, key, order, state, fold, out, label, lateness):

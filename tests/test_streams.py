@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rungauge.operators import monitor, sequences
 from rungauge.plans import streams as plans
 from rungauge.streaming import streams
+from rungauge.streaming.state import ordered_fold, rocksdb
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -69,6 +70,41 @@ def test_state_is_carried_and_order_of_arrival_does_not_matter(spark, tmp_path):
     assert got == {(k, i): v for k in ("a", None) for i, v in one.items()}
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_of_a_bucket_are_folded_apart(spark, tmp_path, buckets):
+    """Keys share a bucket's place in the store, null among them, and each has its own state over the batches."""
+    path, day = str(tmp_path / "rows"), 86_400_000_000
+    for wave in range(3):
+        rows = [(k, (wave * 5 + 1) * day - n, 10 * wave - n) for k in (1, 2, 3, None) for n in range(4)]
+        spark.createDataFrame(rows, "k long, us long, i int").withColumn("at", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(path)
+
+    def before(state, row):
+        return (row["i"], (state[1] or 0) + 1), (state[0], (state[1] or 0) + 1)
+
+    stream = streams.file_stream(spark, path, "k long, us long, i int, at timestamp", files_per_batch=1)
+    with rocksdb(spark):
+        out = streams.drain_whole(stream, lambda rows: ordered_fold(rows, "k", ["us"], "at", "1 day", "i int, n long", before, "before int, n long", buckets), "at")
+    order = [10 * wave - n for wave in range(3) for n in (3, 2, 1, 0)]
+    want = [(i, order[n - 1] if n else None, n + 1) for n, i in enumerate(order)]
+    for key in (1, 2, 3, None):
+        assert sorted((r.i, r.before, r.n) for r in out.where(F.col("k").eqNullSafe(F.lit(key))).collect()) == sorted(want)
+
+
+def test_waves_have_equally_many_files(spark, tmp_path):
+    """A wave of a large table is written by several tasks and is one batch, even where a wave has few rows."""
+    events = spark.read.parquet(f"{ROOT}/events.parquet")
+    few = events.orderBy("ts").limit(400).union(events.orderBy(F.desc("ts")).limit(1))
+    few.write.parquet(str(tmp_path / "events.parquet"))
+    files = spark.sparkContext.defaultParallelism
+    waves = plans.late_waves(spark, str(tmp_path), small=0)
+    got = plans.folded(plans.clients(waves, "at"), *plans.GUARD, "waves")
+    assert got.count() == 401 and got.select("event_id").distinct().count() == 401
+    counts = waves.groupBy().count().writeStream.outputMode("update").format("memory").queryName("waves_seen").trigger(availableNow=True).start()
+    counts.awaitTermination()
+    batches = [p["numInputRows"] for p in counts.recentProgress if p["sources"][0]["endOffset"] != p["sources"][0]["startOffset"]]
+    assert len(batches) == 4 and batches[3] >= 1 and sum(batches) == 401 and files > 1
+
+
 def test_windows_equal_batch(spark, parts):
     timed = stream(spark, parts).withColumn("at", streams.event_time(F.col("ts")))
     got = streams.drain(streams.sliding_counts(timed, "at", "3 hours", "1 hour", "1 day"))
