@@ -146,7 +146,7 @@ def session_files(spark, root):
     )
     other = rows.where("turn = 3").select(F.concat(stem, F.lit(".other9.json")).alias("file_name"), F.lit("{}").alias("text"))
     folder = fresh_folder(spark, "sessions")
-    sk.write_named_files(files.unionByName(later).unionByName(other), folder)
+    sk.write_named_files(files.unionByName(later).unionByName(other), folder, folders=256)
     return folder
 
 

@@ -225,12 +225,12 @@ def read_sessions(
     the same (key, segment, index) the latest stays, by time and then path.
     """
     windowed = since is not None or until is not None
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(root)  # listed once
     name, modified = F.col("_metadata.file_name"), F.unix_timestamp("_metadata.file_modification_time").cast("double")
 
     def listed(opened: bool, main: bool) -> DataFrame:
         """Files of one kind; their text is read only when it is asked for, and only theirs."""
         columns = [F.col("_metadata.file_path").alias("path"), name.alias("_name"), modified.alias("_modified")]
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(root)
         kept = reader.where(name.rlike(SESSION_FILE) & (F.regexp_extract(name, SESSION_FILE, 2) == "" if main else F.regexp_extract(name, SESSION_FILE, 2) != ""))
         if since is not None:
             kept = kept.where(F.col("modificationTime") >= F.timestamp_micros(F.lit(int((since - slack) * 1e6)))).where(modified >= since - slack)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -115,26 +116,33 @@ def append_results(df: DataFrame, path: str, key: str) -> None:
     fresh.write.mode("append").json(path)
 
 
-def write_named_files(df: DataFrame, folder: str, name: str = "file_name", text: str = "text") -> DataFrame:
+def write_named_files(df: DataFrame, folder: str, name: str = "file_name", text: str = "text", folders: int | None = None) -> DataFrame:
     """One file per row, under the row's own name below ``folder``; returns the names and sizes written.
 
     For stores that Arrow opens.  A name holds no folder, and is unique: a task that
-    runs again writes the same file again.
+    runs again writes the same file again.  Rows are dealt over the tasks by name.
+    With ``folders`` the files are dealt over as many folders below ``folder``, so that
+    many files can be listed side by side.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(f"file://{folder.removeprefix('file:')}" if folder.startswith("file:/") and not folder.startswith("file://") else folder)
         store.create_dir(path, recursive=True)
+        made = {None}
         for batch in batches:
             sizes = []
             for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not file or "/" in file:
                     raise ValueError(f"no file name: {file!r}")
                 data = (value or "").encode()
-                with store.open_output_stream(f"{path}/{file}", compression=None) as out:
+                below = None if folders is None else f"{zlib.crc32(file.encode()) % folders:05d}"
+                if below not in made:
+                    store.create_dir(f"{path}/{below}", recursive=True)
+                    made.add(below)
+                with store.open_output_stream(f"{path}/{file}" if below is None else f"{path}/{below}/{file}", compression=None) as out:
                     out.write(data)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["file_name", "n_bytes"])
 
-    rows = df.select(F.col(name).alias("file_name"), F.col(text).alias("text"))
+    rows = df.select(F.col(name).alias("file_name"), F.col(text).alias("text")).repartition("file_name")
     return cut_lineage(rows.mapInArrow(write, "file_name string, n_bytes long"), "named-files")
