@@ -230,12 +230,16 @@ def _(spark, root):
     return sq.assemble_chunks(landed, ["user_id", "response"], ORDER, "part").select("user_id", "response", "text", "n_chunks")
 
 
-def event_files(spark, root, parts, **options):
-    """The events table in several files, so that a stream takes them in several micro-batches."""
+def event_files(spark, root, parts, files_per_batch, small=SPREAD_BYTES):
+    """The events table in several files, so that a stream takes them in several micro-batches.
+
+    A large table has more files, and a batch as many more: the batches stay as many, each read by several tasks.
+    """
     folder = fresh_folder(spark, "event-files")
     rows = table(spark, root, "events")
-    rows.repartition(parts, "event_id").write.parquet(folder)
-    return st.file_stream(spark, folder, rows.schema, **options).withColumn("at", st.event_time(F.col("ts")))
+    more = 1 if is_small(rows, small) else spark.sparkContext.defaultParallelism
+    rows.repartition(parts * more, "event_id").write.parquet(folder)
+    return st.file_stream(spark, folder, rows.schema, files_per_batch=files_per_batch * more).withColumn("at", st.event_time(F.col("ts")))
 
 
 @query("r08_message_stream", ANSWER_SQL)
