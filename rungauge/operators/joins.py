@@ -11,7 +11,7 @@ from rungauge.functions import text as tx
 from rungauge.functions.guards import ratio, truthy
 from rungauge.functions.hashing import text_key
 from rungauge.functions.ordered import running
-from rungauge.shared import cut_lineage
+from rungauge.shared import cut_lineage, sent_if_small
 
 
 def results_with_tasks(results: DataFrame, tasks: DataFrame, status: DataFrame, key: str) -> DataFrame:
@@ -29,11 +29,40 @@ def results_with_tasks(results: DataFrame, tasks: DataFrame, status: DataFrame,
     )
 
 
-def by_prompt_hash(left: DataFrame, left_text: str, right: DataFrame, right_text: str, how: str = "inner") -> DataFrame:
-    """Equi-join on the normalised prompt's md5; the key is computed once per row."""
-    a = left.withColumn("prompt_key", tx.prompt_key(F.col(left_text)))
+PAIRED_ROWS = 1024  # about as many right rows of one prompt meet its left rows in one task
+
+
+def rendered_key(text: Column) -> Column:
+    """md5 of a prompt as it was rendered: stripped; quotes at its ends are its own."""
+    return F.md5(tx.strip(text))
+
+
+def by_prompt_hash(
+    left: DataFrame, left_text: str, right: DataFrame, right_text: str, how: str = "inner", paired_rows: int = PAIRED_ROWS
+) -> DataFrame:
+    """Equi-join of rendered and captured prompts on their md5; the key is computed once per row.
+
+    A left that has its ``prompt_key`` (of ``prompt_matches``) keeps it.  All pairs of
+    a prompt are rows.  Where more than ``paired_rows`` right rows share a prompt, they
+    are dealt over blocks by their hash and the prompt's left rows visit each block, so
+    no task makes all pairs of a hot prompt.
+    """
+    a = left if "prompt_key" in left.columns else left.withColumn("prompt_key", rendered_key(F.col(left_text)))
     b = right.withColumn("_key", tx.prompt_key(F.col(right_text))).drop(right_text)
-    return a.join(b, F.col("prompt_key") == F.col("_key"), how).drop("_key")
+    if how.lower().endswith(("semi", "anti")):
+        return a.join(b, F.col("prompt_key") == F.col("_key"), how)
+    sizes = b.where("_key is not null").groupBy(F.col("_key").alias("_hot")).agg(F.ceil(F.count("*") / paired_rows).alias("_blocks"))
+    hot = sent_if_small(cut_lineage(sizes.where("_blocks > 1"), "hot-prompts"))
+    a = a.join(hot, F.col("prompt_key") == F.col("_hot"), "left").withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1))
+    )
+    dealt = F.xxhash64(*[c for c, kind in b.dtypes if "map<" not in kind and "variant" not in kind])
+    b = b.join(hot.withColumnsRenamed({"_hot": "_hot_key", "_blocks": "_of"}), F.col("_key") == F.col("_hot_key"), "left").select(
+        *b.columns, F.pmod(dealt, F.coalesce("_of", F.lit(1))).alias("_at"), F.lit(True).alias("_met")
+    )
+    joined = a.join(b, (F.col("prompt_key") == F.col("_key")) & (F.col("_block") == F.col("_at")), how)
+    # An outer join leaves a row for each block that is empty; the prompt's pairs come from the others.
+    return joined.where("_hot is null or _met").drop("_key", "_hot", "_blocks", "_block", "_at", "_met")
 
 
 def prompt_matches(left: DataFrame, left_text: str, right: DataFrame, right_text: str, right_id: Sequence[str]) -> DataFrame:
@@ -44,7 +73,7 @@ def prompt_matches(left: DataFrame, left_text: str, right: DataFrame, right_text
     ``prompt_members``, which names the class of each right row, all pairs are known.
     A prompt that is null matches nothing.
     """
-    a = left.withColumn("prompt_key", tx.prompt_key(F.col(left_text)))
+    a = left.withColumn("prompt_key", rendered_key(F.col(left_text)))
     classes = prompt_members(right, right_text, right_id).groupBy(F.col("prompt_key").alias("_key")).agg(
         F.count("*").alias("n_matches"), F.min(F.struct(*right_id)).alias("first_match")
     )

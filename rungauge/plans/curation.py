@@ -254,13 +254,18 @@ def captured_turns(users):
 
 @query("j02_prompt_hash", f"""
 with c as ({USER_TURNS}), k as (select text, count(*) as n, min((conv_id, turn)) as f from c where text is not null group by 1)
-select c.conv_id, c.turn, coalesce(n, 0) as n_matches, f[1] as first_conv, f[2] as first_turn from c left join k on k.text = c.text
+select c.conv_id, c.turn, p.conv_id as other_conv, p.turn as other_turn, coalesce(n, 0) as n_matches, f[1] as first_conv, f[2] as first_turn
+from c left join k on k.text = c.text left join c p on p.text = c.text
 """)
 def _(spark, root):
     users = user_turns(spark, root)
-    out = jn.prompt_matches(users, "text", captured_turns(users), "captured", ["conv_id", "turn"])
+    captured = captured_turns(users)
+    found = jn.prompt_matches(users, "text", captured, "captured", ["conv_id", "turn"])
+    others = captured.withColumnsRenamed({"conv_id": "other_conv", "turn": "other_turn"})
+    out = jn.by_prompt_hash(found, "text", others, "captured", "left")
     return out.select(
-        "conv_id", "turn", "n_matches", F.col("first_match.conv_id").alias("first_conv"), F.col("first_match.turn").alias("first_turn")
+        "conv_id", "turn", "other_conv", "other_turn",
+        "n_matches", F.col("first_match.conv_id").alias("first_conv"), F.col("first_match.turn").alias("first_turn"),
     )
 
 
